@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import language_id, token_counts, token_files
+from . import html_extraction, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
 from .common import read
 
 
@@ -23,8 +22,29 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivatives of all pages' responses, without the records' bytes."""
+    return warc.digests(warc.derive(warc.responses(read(spark, sf_dir, "pages"))))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), verify=True, keep_ids=False).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
