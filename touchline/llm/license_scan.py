@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 6, 2, 16
 #: More windows of templates than this are refused: they are held on every executor.
 MOST_WINDOWS = 20_000
@@ -87,8 +89,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
         raise ValueError(f"{len(minimum)} windows of templates; at most {MOST_WINDOWS}")
     longest = max([r.words for r in minimum], default=SHINGLE)
     known = [sorted({r[f"m{b}"] for r in minimum}) for b in range(BANDS)]
-    d = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= SHINGLE)
-    d = d.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SHINGLE, F.lit(STRIDE))).alias("at"))
+    d = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
+    starts = F.when(F.size("h") >= SHINGLE, F.sequence(F.lit(0), F.size("h") - SHINGLE, F.lit(STRIDE)))
+    d = d.select("doc_id", "h", F.explode(starts).alias("at"))
     # inline() of one struct: each hash is computed once, and the filter stays above it
     d = d.select("doc_id", "h", "at", F.inline(F.array(F.struct(*(shingle_at(F.col("h"), F.col("at") + k).alias(f"s{k}") for k in range(WINDOW))))))
     d = d.select("doc_id", "h", "at", F.inline(F.array(F.struct(*(m.alias(f"m{b}") for b, m in enumerate(minima([F.col(f"s{k}") for k in range(WINDOW)])))))))
@@ -99,5 +102,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     skip = F.least(F.col("at"), F.lit(longest))  # words of `near` before the window
     begin = F.greatest(skip - F.col("words"), F.lit(0))
     around = F.slice("near", begin + 1, skip - begin + F.col("words") + WINDOW + SHINGLE)
-    hits = hits.select("doc_id", "license", "template", "at", (F.size(F.array_intersect("shingles", shingles(around))) / F.size("shingles")).alias("containment"))
+    share = let(around, lambda a: F.size(F.array_intersect("shingles", shingles(a))) / F.size("shingles"))
+    hits = hits.select("doc_id", "license", "template", "at", F.explode(F.array(share)).alias("containment"))
     return hits.where(F.col("containment") >= containment).groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
+from . import decontamination, html_extraction, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
 from .common import read
 
 
@@ -43,8 +43,12 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), verify=True, keep_ids=False).drop("text")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
