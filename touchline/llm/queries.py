@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
+from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op5_jaccard_join, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
