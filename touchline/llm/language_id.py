@@ -199,6 +199,20 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, lang_pred string, score double, bits double")
 
 
+def keep(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has a language."""
+    import pyarrow as pa
+
+    given, where = tuple(texts.items()), docs.columns.index("text")
+
+    def batches(it):
+        p = parser(given)
+        for b in it:
+            yield b.filter(pa.array([g[0] != UND for g in p.predict(b.column(where).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """Learns from the labelled rows outside the held-out fold and predicts every row: doc_id, held_out, lang_pred, score, bits."""
     return predict(docs, training_texts(docs, **bounds)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, html_extraction, jaccard_join, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, warc
@@ -52,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op5_jaccard_join, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op5_jaccard_join, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
