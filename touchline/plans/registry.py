@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import zones  # noqa: F401  modules register on import
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "x01_xt_value_iteration"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
