@@ -36,7 +36,7 @@ SPARK: dict[str, tuple[str, str]] = {
           CAST((user_id * 7 + event_id * 3) % 1000 AS DOUBLE) / 1000D sx, CAST((user_id * 5 + event_id * 11) % 1000 AS DOUBLE) / 1000D sy,
           CAST((user_id * 3 + event_id * 13) % 1000 AS DOUBLE) / 1000D ex, CAST((user_id * 17 + event_id) % 1000 AS DOUBLE) / 1000D ey FROM events"""),
     "syn_valuations": ("orders", """
-        SELECT o_custkey player_id, CAST(o_orderdate AS DATE) day, o_orderkey tiebreak, CAST(o_totalprice AS DOUBLE) value FROM orders"""),
+        SELECT o_custkey player_id, CAST(o_orderdate AS DATE) AS day, o_orderkey tiebreak, CAST(o_totalprice AS DOUBLE) value FROM orders"""),
     "syn_players": ("customer", """
         SELECT c_custkey player_id, c_name name, CAST(c_nationkey AS INT) team, CAST(c_acctbal AS DOUBLE) a, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 100D b,
           CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE CAST(c_custkey * 61 % 997 AS DOUBLE) / 100D END quality FROM customer"""),
