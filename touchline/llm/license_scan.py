@@ -56,8 +56,10 @@ def word_hashes(text: Column) -> Column:
 
 
 def shingle_at(hashes: Column, i: Column) -> Column:
-    """The shingle that begins at word i (from 0); null beyond the last."""
-    return F.when(i + (SHINGLE - 1) < F.size(hashes), F.xxhash64(*(F.get(hashes, i + k) for k in range(SHINGLE))))
+    """The shingle that begins at word i (from 0), or the last one; never null, which keeps the generated code small
+    enough to be compiled."""
+    i = F.least(i, F.size(hashes) - SHINGLE)
+    return F.xxhash64(*(F.get(hashes, i + k) for k in range(SHINGLE)))
 
 
 def shingles(hashes: Column) -> Column:
@@ -94,7 +96,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     d = d.select("doc_id", "h", F.explode(starts).alias("at"))
     # inline() of one struct: each hash is computed once, and the filter stays above it
     d = d.select("doc_id", "h", "at", F.inline(F.array(F.struct(*(shingle_at(F.col("h"), F.col("at") + k).alias(f"s{k}") for k in range(WINDOW))))))
-    d = d.select("doc_id", "h", "at", F.inline(F.array(F.struct(*(m.alias(f"m{b}") for b, m in enumerate(minima([F.col(f"s{k}") for k in range(WINDOW)])))))))
+    bands, held = minima([F.col(f"s{k}") for k in range(WINDOW)]), []
+    for b in range(0, BANDS, 4):  # a few bands at a time: methods of over 8 kB are not compiled
+        more = F.inline(F.array(F.struct(*(bands[k].alias(f"m{k}") for k in range(b, b + 4)))))
+        d = d.select("doc_id", "h", "at", *held, *(f"s{k}" for k in range(WINDOW)), more)
+        held += [f"m{k}" for k in range(b, b + 4)]
     d = d.where(reduce(lambda a, b: a | b, [F.col(f"m{b}").isin(known[b]) for b in range(BANDS)]))
     d = d.select("doc_id", "at", F.slice("h", F.greatest(F.col("at") - longest, F.lit(0)) + 1, 2 * longest + WINDOW + SHINGLE).alias("near"), F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("m")) for b in range(BANDS)))).alias("x"))
     bands = t.select("template", "license", "shingles", "words", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("m")) for b in range(BANDS)))).alias("x")).select("template", "license", "shingles", "words", "x.*").distinct()
