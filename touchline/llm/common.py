@@ -37,6 +37,14 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now: it does so when their handles are garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a path of the shared folder through Hadoop's file systems (any scheme)."""
     jvm = spark.sparkContext._jvm

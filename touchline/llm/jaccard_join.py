@@ -7,11 +7,13 @@ as one set. Two sets link when 100 * intersection >= PERCENT * union.
 2. Of each set the least hashes (all that a link could miss, and `spare` more) are counted over all sets. A linked pair
    shares at least `spare` of them, so a set with fewer shared ones has no link, and one of its rarest must be shared
    with each partner. Those rarest shingles' posting lists hold all linked pairs.
-3. Within a list (or a block of a long one) the links are found by DivideSkip: short postings are merged and counted,
-   long ones probed by binary search, and sets that reach the required overlap are kept. Only links that join two parts
-   of a list are returned, so a group of n copies makes n - 1 rows.
-4. Long lists whose sets overlap make a family, which is cut into blocks. All blocks are first searched for partners in
-   one block; only sets that are then not in the family's main component are searched for in all others.
+3. Sets that share a short list are held against the first set of most of their lists; what that leaves apart in a list
+   is paired, and pairs whose lists can't reach the required overlap are dropped. Long lists that share a set make a
+   family, in blocks: all blocks are searched for partners in one block, and only sets that are then not in the
+   family's main component are searched for in all others.
+4. Within a task links are found by DivideSkip: short postings are merged and counted, long ones probed by binary
+   search (or merged, where that costs less), and sets that reach the required overlap are kept. Only links that join two
+   parts are returned, so a group of n copies makes n - 1 rows.
 
 Null texts and texts without words have the empty set, and link with nothing. Fewer than SHINGLE words: the whole
 sequence is one shingle. Equal doc_ids are one document: it links with all that one of its rows links with. Extra
@@ -25,14 +27,13 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import kept, parts
+from .common import kept, parts, release
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Sets in a block; a list of more sets is a long one.
-BLOCK = 512
+#: Sets in a block of a family, and in the posting lists that are searched pair by pair; a list of more sets is a long one.
+BLOCK, SHORT = 512, 32
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,39 +126,44 @@ class Index:
     """Inverted index of some sets."""
 
     def __init__(self, members: list[np.ndarray]):
-        self.members = members
         self.sizes = np.array(list(map(len, members)), dtype=np.int64)
+        ends = np.cumsum(self.sizes)
         flat = np.concatenate(members)
-        owner = np.repeat(np.arange(len(members)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.tokens, self.first = np.unique(flat[order], return_index=True)
-        self.owner = owner[order]
-        self.end = np.append(self.first[1:], len(flat))
-
-    def search(self, x: np.ndarray, percent: int) -> np.ndarray:
-        """Members that link with x, by DivideSkip."""
-        at = np.searchsorted(self.tokens, x)
-        at = at[(at < len(self.tokens))]
-        at = at[np.isin(self.tokens[at], x, assume_unique=True)]
-        t = required(len(x), percent)
+        fresh = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+        self.first = np.flatnonzero(fresh)
+        self.length = np.diff(np.append(self.first, len(flat)))
+        token = np.empty(len(flat), dtype=np.int64)
+        token[order] = np.cumsum(fresh) - 1
+        self.owner = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.tokens = np.split(token, ends[:-1])  # ascending, as the hashes are
+
+    def merged(self, lists: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each member."""
+        n = self.length[lists]
+        where = np.repeat(self.first[lists] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[where], minlength=len(self.sizes))
+
+    def search(self, q: int, percent: int) -> np.ndarray:
+        """Members that link with member q, by DivideSkip."""
+        size, t = int(self.sizes[q]), required(int(self.sizes[q]), percent)
+        at = self.tokens[q]
+        at = at[self.length[at] > 1]
         if len(at) < t:
             return np.zeros(0, dtype=np.int64)
-        length = self.end[at] - self.first[at]
-        at = at[np.argsort(length, kind="stable")]
-        length = self.end[at] - self.first[at]
-        skip = min(len(at) - 1, t - 1, int(t / (0.05 * np.log2(max(2, int(length[-1]))) + 1)))
+        at = at[np.argsort(self.length[at], kind="stable")]
+        skip = min(t - 1, int(t / (0.05 * np.log2(int(self.length[at[-1]])) + 1)))
         short, long = at[: len(at) - skip], at[len(at) - skip :]
-        n = self.end[short] - self.first[short]
-        where = np.repeat(self.first[short] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        count = np.bincount(self.owner[where], minlength=len(self.members))  # the short lists, merged
-        rest = np.flatnonzero(count >= t - skip)
-        rest = rest[(100 * np.minimum(self.sizes[rest], len(x)) >= percent * np.maximum(self.sizes[rest], len(x)))]
-        for k in long.tolist() if len(rest) else ():  # the long ones, probed
-            posting = self.owner[self.first[k] : self.end[k]]
-            p = np.searchsorted(posting, rest)
-            count[rest] += (p < len(posting)) & (posting[np.minimum(p, len(posting) - 1)] == rest)
-        both = count[rest]
-        return rest[100 * both >= percent * (self.sizes[rest] + len(x) - both)]
+        count = self.merged(short)
+        rest = np.flatnonzero((count >= t - skip) & (100 * np.minimum(self.sizes, size) >= percent * np.maximum(self.sizes, size)))
+        rest = rest[rest != q]
+        if len(rest) * 8000 > int(self.length[long].sum()):  # many candidates: to merge the long lists costs less than to probe them
+            both = (count + self.merged(long))[rest]
+        else:
+            long = np.sort(long)
+            probe = [int((m[np.minimum(np.searchsorted(m, long), len(m) - 1)] == long).sum()) for m in (self.tokens[c] for c in rest.tolist())]
+            both = count[rest] + np.array(probe, dtype=np.int64)
+        return rest[100 * both >= percent * (self.sizes[rest] + size - both)]
 
 
 def forest(ids: list[int], members: list[np.ndarray], queries: list[int], percent: int) -> list[tuple[int, int]]:
@@ -173,7 +179,7 @@ def forest(ids: list[int], members: list[np.ndarray], queries: list[int], percen
     out = []
     index = Index(members)
     for q in queries:
-        for m in index.search(members[q], percent).tolist():
+        for m in index.search(q, percent).tolist():
             a, b = root(q), root(m)
             if a != b:
                 up[a] = b
@@ -213,31 +219,56 @@ def search_groups(rows: DataFrame, percent: int) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------------------------
 
 
-def links(docs: DataFrame, reps: DataFrame, counted: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links a, b that join the classes' representatives: enough of them to reach each from all that it is linked with."""
-    length = F.size("hashes")
+def prefixes(reps: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """id, n, t, m, rare: the shared ones among each set's least hashes, the length of t's posting list, and whether t is one
+    of those (the rarest) of which each partner must have one. Sets with too few shared ones are left out."""
     tokens = counted.join(reps, "doc_id", "left_semi").where(F.col("n") * (100 - percent) >= percent)  # smaller sets link with equal ones only
-    rows = tokens.select(F.col("doc_id").alias("id"), "n", length.alias("m"), F.explode("hashes").alias("t"))
-    df = rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(df, "t").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    rows = tokens.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.size("hashes").alias("size"), F.explode("hashes").alias("t"))
     # partners are not smaller than percent of n; they share at least as many as the smaller one's spare
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20)).cast("int")
-    rarest = F.col("m") - least + 1 - (F.col("m") - F.size("shared"))
-    lists = shared.where(rarest > 0).select("id", F.explode(F.slice("shared", 1, F.greatest(rarest, F.lit(1)).cast("int"))).alias("x")).select("id", F.col("x.t").alias("t"))
-    lists = kept(lists, "lists")
-    count = lists.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
-    lists = kept(lists.join(count, "t"), "lists")
-    full = kept(sets(docs.join(lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, percent, whole=True).select(F.col("doc_id").alias("id"), "hashes").distinct(), "sets")
-    # short lists: equal ones once
-    short = lists.where(F.col("m") <= BLOCK).groupBy("t").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    short = short.groupBy("ids").agg(F.min("t").alias("grp")).select(F.col("grp").cast("string").alias("grp"), F.explode("ids").alias("id"))
-    found = kept(search_groups(short.join(full, "id").withColumn("query", F.lit(True)), percent), "found")
-    # long lists: families of lists that share a set
-    long = lists.where(F.col("m") > BLOCK)
+    for _ in range(2):  # the second time over the few sets that are left, whose partners are among them
+        df = rows.groupBy("t").agg(F.count("*").cast("int").alias("m")).where("m > 1")
+        both = rows.drop("m", "rare").join(df, "t").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("shared"))
+        rarest = F.col("size") - least + 1 - (F.col("size") - F.size("shared"))
+        both = both.where(F.size("shared") >= least).select("id", "n", "size", rarest.alias("rarest"), F.posexplode("shared").alias("pos", "x"))
+        rows = kept(both.select("id", "n", "size", "x.t", "x.m", (F.col("pos") < F.col("rarest")).alias("rare")), "prefixes")
+        release(counted.sparkSession)
+    return rows.drop("size")
+
+
+def short_links(lists: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of sets that share a short list. First each set is held against one other, the first set of most of its lists;
+    then all pairs of a list that are not yet joined, if their lists can reach the required overlap."""
+    short = lists.where(F.col("m") <= SHORT)
+    groups = short.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")).groupBy("ids").agg(F.count("*").alias("w"), F.min("t").alias("g"))
+    groups = kept(groups.where(F.size("ids") > 1), "groups")
+    first = groups.select(F.col("ids")[0]["id"].alias("a"), "w", F.explode("ids").alias("x")).select("a", "w", F.col("x.id").alias("id")).where("a <> id")
+    first = first.groupBy("id", "a").agg(F.sum("w").alias("w")).groupBy("id").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+    units = first.select(F.col("a").cast("string").alias("grp"), "id", F.lit(False).alias("query")).union(first.select("a").distinct().select(F.col("a").cast("string"), "a", F.lit(True)))
+    found = kept(search_groups(units.join(full, "id"), percent), "found")
+    label = components(found)
+    member = groups.select("g", "w", F.explode("ids").alias("x")).select("g", "w", "x.id", "x.n")
+    member = kept(member.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    mixed = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
+    open_ = kept(member.join(mixed, "g").groupBy("g", "w").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component"))).alias("ids")), "open")
+    pair = F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["n"], y["n"]).alias("n"))))))
+    pairs = open_.select("w", pair.alias("p")).groupBy("p.a", "p.b", "p.n").agg(F.sum("w").alias("w"))
+    more = lists.where(F.col("m") > SHORT).groupBy("id").agg(F.count("*").alias("more"))
+    pairs = pairs.join(more.select(F.col("id").alias("a"), F.col("more").alias("ma")), "a", "left").join(more.select(F.col("id").alias("b"), F.col("more").alias("mb")), "b", "left")
+    # the smaller set's spare: what a linked pair shares of its least hashes
+    need = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    pairs = kept(pairs.where(F.col("w") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= need).select("a", "b"), "pairs")
+    units = pairs.select(F.col("a").cast("string").alias("grp"), F.col("b").alias("id"), F.lit(False).alias("query")).union(pairs.select("a").distinct().select(F.col("a").cast("string"), "a", F.lit(True)))
+    return found.union(search_groups(units.join(full, "id"), percent))
+
+
+def long_links(lists: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links of sets whose rarest shared hashes all have long lists. Lists that share a set make a family, in blocks."""
+    long = lists.where((F.col("m") > SHORT) & F.col("rare"))
     if long.isEmpty():
         return found
     chained = long.groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    tied = chained.select(F.element_at("ts", 1).alias("a"), F.explode("ts").alias("b")).distinct()
+    tied = kept(chained.select(F.element_at("ts", 1).alias("a"), F.explode("ts").alias("b")).distinct(), "tied")
     family = components(tied).union(tied.where("a = b").select("a", "b")).groupBy("id").agg(F.min("component").alias("family"))
     members = chained.select("id", F.element_at("ts", 1).alias("t")).join(family.withColumnRenamed("id", "t"), "t").select("family", "id")
     blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -249,24 +280,34 @@ def links(docs: DataFrame, reps: DataFrame, counted: DataFrame, size: int, perce
     found = kept(found.union(search_groups(units.join(full, "id"), percent)), "found")
     # sets outside their family's main component against all blocks
     label = components(found)
-    labelled = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = kept(members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     sized = labelled.groupBy("family", "component").agg(F.count("*").alias("size"))
     main = sized.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    rest = labelled.join(main, "family")
+    rest = kept(labelled.join(main, "family"), "rest")
     asked = rest.where("component <> main")
+    many = asked.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
+    asked = kept(asked.join(many, "family").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int")), "asked")
     if asked.isEmpty():
         return found
-    many = asked.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
-    asked = asked.join(many, "family").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int"))
-    ask_rows = asked.select("family", "id", "ask", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"))
-    all_rows = rest.join(many, "family").where("component = main").select("family", "id", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("query"))
-    pairs = asked.select("family", "id", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("other"), "ask", "asks").where("other >= ask")
-    among = pairs.select(F.concat_ws(":", F.lit("u"), "family", "ask", "other").alias("grp"), "id", F.lit(True).alias("query")).union(
-        asked.select("family", "id", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("other"), "ask").where("other < ask").select(F.concat_ws(":", F.lit("u"), "family", "other", "ask").alias("grp"), "id", F.lit(False).alias("query")))
-    units = ask_rows.union(all_rows.select("family", "id", "ask", "block", "query")).select(F.concat_ws(":", "family", "ask", "block").alias("grp"), "id", "query").union(among)
+    others = F.explode(F.sequence(F.lit(0), F.col("asks") - 1))
+    units = asked.select("family", "ask", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(F.concat_ws(":", "family", "ask", "with").alias("grp"), "id", F.lit(True).alias("query"))
+    units = units.union(rest.join(many, "family").where("component = main").select("family", "id", others.alias("ask"), "block").select(F.concat_ws(":", "family", "ask", "block").alias("grp"), "id", F.lit(False).alias("query")))
+    among = asked.select("family", "id", others.alias("other"), "ask")
+    units = units.union(among.select(F.concat_ws(":", F.lit("u"), "family", F.least("ask", "other"), F.greatest("ask", "other")).alias("grp"), "id", (F.col("ask") <= F.col("other")).alias("query")))
     return found.union(search_groups(units.join(full, "id"), percent))
 
 
+def links(docs: DataFrame, reps: DataFrame, counted: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b that join the classes' representatives: enough of them to reach each from all that it is linked with."""
+    lists = prefixes(reps, counted, percent)
+    ids = lists.select(F.col("id").alias("doc_id")).distinct()
+    full = kept(sets(docs.join(ids, "doc_id", "left_semi"), size, percent, whole=True).select(F.col("doc_id").alias("id"), "hashes").distinct(), "sets")
+    release(docs.sparkSession)
+    found = kept(short_links(lists, full, percent), "found")
+    release(docs.sparkSession)
+    return long_links(lists, full, found, percent)
+
+
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     counted = kept(sets(docs, size, percent), "shingles")
