@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LENGTH, WIDTH = 105.0, 68.0  # metres
 EVENT_LENGTH, EVENT_WIDTH = 120.0, 80.0  # units of the event provider
@@ -112,7 +113,7 @@ POSITION_GROUPS = {
 POSITION_ORDER = ["GK", "DEF", "MID", "FWD"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     """Accents folded, lower case, other marks as blanks, blanks collapsed; null as ''."""
     import unicodedata

@@ -30,16 +30,19 @@ def logistic(df: DataFrame, features: list[str], label: str, standardize: bool =
     features' own units, so that it can be used as a column expression."""
     d = df.dropna(subset=[*features, label])
     d, use = scaled(d, features) if standardize else (d, {f: (0.0, 1.0) for f in features})
-    d = assembled(d.withColumn("label", F.col(label).cast("double")), features).select("features", "label")
-    model = LogisticRegression(regParam=1.0 / max(1, d.count()), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(d)
+    d = assembled(d.withColumn("label", F.col(label).cast("double")), features).select("features", "label").persist()
+    model = LogisticRegression(regParam=1.0 / max(1, d.count()), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8).fit(d)
+    d.unpersist()
     weights = {f: float(w) / use[f][1] for f, w in zip(features, model.coefficients)}
     return float(model.intercept) - sum(weights[f] * use[f][0] for f in features), weights
 
 
 def boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, seed: int = 0):
     """Gradient boosting with the completion model's settings; judge it by calibration, not by values."""
-    d = assembled(df.dropna(subset=[*features, label]).withColumn("label", F.col(label).cast("double")), features)
-    return GBTClassifier(maxIter=rounds, stepSize=0.06, minInstancesPerNode=60, maxDepth=5, maxBins=255, seed=seed).fit(d)
+    d = assembled(df.dropna(subset=[*features, label]).withColumn("label", F.col(label).cast("double")), features).select("features", "label").persist()
+    model = GBTClassifier(maxIter=rounds, stepSize=0.06, minInstancesPerNode=60, maxDepth=5, maxBins=255, seed=seed).fit(d)
+    d.unpersist()
+    return model
 
 
 def boosted_probability(model, df: DataFrame, features: list[str]) -> DataFrame:
