@@ -80,7 +80,7 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """The automata of all languages in one table: entry (state, symbol) holds the next state, and in its lowest bit whether a phrase ends."""
+    """The automata of all languages in one table: entry (state, symbol) holds the next state, and in its two lowest bits how many phrases end."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = list(texts)
@@ -100,19 +100,21 @@ class CrossParser:
             codes = self.codes(text)
             nxt = suffix_automaton(codes.tolist())
             root = base * self.width
-            reset = np.full(self.width, root << 1 | 1, dtype=np.int64)
+            # a symbol that doesn't go on ends a phrase and begins the next; one of no sample is a phrase of its own
+            reset = np.full(self.width, root << 2 | 2, dtype=np.int64)
             for c, s in nxt[0].items():
-                reset[c] = (base + s) * self.width << 1 | 1
+                reset[c] = (base + s) * self.width << 2 | 1
             table = np.tile(reset, (len(nxt), 1))
+            table[0] = root << 2 | 1
             for k, edges in enumerate(nxt):
                 for c, s in edges.items():
-                    table[k, c] = (base + s) * self.width << 1
+                    table[k, c] = (base + s) * self.width << 2
             tables.append(table)
             self.roots.append(root)
             self.sizes.append(max(2, len(codes)))
             base += len(nxt)
         table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int64)
-        self.table = table.astype(np.int32) if base * self.width < 2**30 else table
+        self.table = table.astype(np.int32) if base * self.width < 2**29 else table
         self.view = memoryview(self.table)
 
     def codes(self, text: str) -> np.ndarray:
@@ -136,8 +138,8 @@ class CrossParser:
             if k < 12:
                 break
             step = table.take(state[:, :k] + flat[starts[:k] + t])
-            count[:, :k] += step & 1
-            state[:, :k] = step >> 1
+            count[:, :k] += step & 3
+            state[:, :k] = step >> 2
         else:
             k = 0
         view = self.view
@@ -147,8 +149,8 @@ class CrossParser:
                 s, n = int(state[lang, j]), 0
                 for c in rest:
                     v = view[s + c]
-                    n += v & 1
-                    s = v >> 1
+                    n += v & 3
+                    s = v >> 2
                 state[lang, j] = s
                 count[lang, j] += n
         count += state != roots  # the phrase that the end cuts off

@@ -5,7 +5,8 @@ into windows of WINDOW shingles, STRIDE apart, and a template into all its windo
 Each of BANDS bands holds one minimum (the shingles' hashes under a permutation). A window that holds a whole template
 of n shingles has likeness n / WINDOW at least, 1 for longer templates, so one of the bands collides with probability
 1 - (1 - n / WINDOW) ** BANDS: over 0.9999 for the shortest template, of 3 shingles. A hit counts if at least
-`containment` of the template's shingles stand within the template's length around the window.
+`containment` of the template's shingles stand within the template's length around the window; of several templates at
+one place the one with the best containment counts, then the longest.
 
 Null texts, empty texts and texts under SHINGLE words: no row. Several hits of a template in a text are one row with the
 best containment. Rows with equal doc_id count as one document. Extra columns are ignored; ties take the least position.
@@ -109,5 +110,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     begin = F.greatest(skip - F.col("words"), F.lit(0))
     around = F.slice("near", begin + 1, skip - begin + F.col("words") + WINDOW + SHINGLE)
     share = let(around, lambda a: F.size(F.array_intersect("shingles", shingles(a))) / F.size("shingles"))
-    hits = hits.select("doc_id", "license", "template", "at", F.explode(F.array(share)).alias("containment"))
-    return hits.where(F.col("containment") >= containment).groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))
+    hits = hits.select("doc_id", "license", "template", "at", "words", F.explode(F.array(share)).alias("containment")).where(F.col("containment") >= containment)
+    # of the templates that fit one place (versions of one licence) the best and longest counts
+    hits = hits.groupBy("doc_id", "at").agg(F.max_by(F.struct("license", "template", "containment"), F.struct("containment", "words", -F.col("template"))).alias("x")).select("doc_id", "at", "x.*")
+    return hits.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))
