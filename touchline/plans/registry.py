@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fitted, passes, people, zones  # noqa: F401  modules register on import
+from . import fitted, passes, people, relational, zones  # noqa: F401  modules register on import
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "x01_xt_value_iteration"
