@@ -92,9 +92,9 @@ def _(p):
     return R.pagerank(e).join(R.in_out_ratio(e).select("team", "node", "in_out_ratio"), ["team", "node"]).join(R.clustering(e), ["team", "node"])
 
 
-@query("x11_role_features", "syn_passes", f"{PR}, io AS{IO.split(', io AS')[1]}, {CL}, {ROLES} SELECT ts.team, ts.player_id, n_passes, R[mean_x]R mean_x, round(dispersion, 5) dispersion, R[long_share]R long_share, R[pagerank]R pagerank, R[clustering]R clustering FROM ts LEFT JOIN pr ON pr.team = ts.team AND pr.node = ts.player_id LEFT JOIN cl ON cl.team = ts.team AND cl.node = ts.player_id")
+@query("x11_role_features", "syn_passes", f"{PR}, io AS{IO.split(', io AS')[1]}, {CL}, {ROLES} SELECT ts.team, ts.player_id, n_passes, round(dispersion, 5) dispersion, R[long_share]R long_share, R[pagerank]R pagerank, R[clustering]R clustering FROM ts LEFT JOIN pr ON pr.team = ts.team AND pr.node = ts.player_id LEFT JOIN cl ON cl.team = ts.team AND cl.node = ts.player_id")
 def _(p):
-    return R.role_features(p).select("team", "player_id", "n_passes", "mean_x", F.round("dispersion", 5).alias("dispersion"), "long_share", "pagerank", "clustering")
+    return R.role_features(p).select("team", "player_id", "n_passes", F.round("dispersion", 5).alias("dispersion"), "long_share", "pagerank", "clustering")
 
 
 @query("x10_role_features_match", "syn_passes", "SELECT match_id, team, passer player_id, count(*) n_passes, R[avg(start_x)]R mean_x, R[sqrt(var_pop(start_x) + var_pop(start_y))]R dispersion FROM syn_passes WHERE completed GROUP BY ALL")

@@ -187,3 +187,88 @@ def _(log):
     j = F.to_json(F.struct(F.col("seq").cast("string").alias("id"), F.struct(F.col("type").alias("name")).alias("type"), F.struct(F.col("team").cast("string").alias("name")).alias("team"), F.when(F.col("x").isNotNull(), F.array("x", "y")).alias("location")))
     d = log.select("match_id", F.from_json(j, EVENT).alias("e"))
     return d.select(F.col("e.id").cast("long").alias("seq"), "match_id", F.col("e.type.name").alias("type"), F.col("e.team.name").cast("int").alias("team"), F.get("e.location", F.lit(0)).alias("x"))
+
+
+@query("p08_all_pass_filter", "syn_passes", "SELECT match_id, team, count(*) n, count(*) FILTER (NOT completed) failed FROM syn_passes GROUP BY ALL")
+def _(p):
+    """Every recorded outcome counts as failed."""
+    return p.groupBy("match_id", "team").agg(F.count("*").alias("n"), F.count_if(~F.col("completed")).alias("failed"))
+
+
+@query("p14_row_guards", "syn_log", "SELECT match_id, count(*) n FROM syn_log WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1")
+def _(log):
+    return log.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("match_id").agg(F.count("*").alias("n"))
+
+
+@query("p15_keep_known", "syn_players", "SELECT player_id FROM syn_players WHERE quality IS NOT NULL AND a > 0 AND name IS NOT NULL")
+def _(p):
+    return p.where("quality is not null and a > 0 and name is not null").select("player_id")
+
+
+@query("p19_columns", "syn_players", "SELECT player_id AS id, R[a + b]R total FROM syn_players")
+def _(p):
+    return p.withColumn("total", F.col("a") + F.col("b")).withColumnRenamed("player_id", "id").select("id", "total")
+
+
+@query("s05_matches", "syn_snapshots", "SELECT match_id, count(*) passes, min(pass_id) first_pass FROM syn_snapshots GROUP BY match_id")
+def _(s):
+    return s.groupBy("match_id").agg(F.count("*").alias("passes"), F.min("pass_id").alias("first_pass"))
+
+
+@query("s07_last_frame_wins", "syn_log", "SELECT match_id, possession, arg_max(type, seq) type FROM syn_log GROUP BY ALL")
+def _(log):
+    return log.groupBy("match_id", "possession").agg(F.max_by("type", "seq").alias("type"))
+
+
+@query("s10_season_of_team", "syn_passes", "SELECT DISTINCT match_id FROM syn_passes WHERE team = 3 ORDER BY match_id")
+def _(p):
+    return p.where("team = 3").select("match_id").distinct().orderBy("match_id")
+
+
+@query("s16_season_union", "syn_snapshots", "SELECT match_id, count(*) n FROM syn_snapshots WHERE match_id IN (SELECT DISTINCT match_id FROM syn_snapshots ORDER BY match_id LIMIT 5) GROUP BY match_id")
+def _(s):
+    """The first matches only, as the loader's limit gives them."""
+    first = s.select("match_id").distinct().orderBy("match_id").limit(5)
+    return s.join(F.broadcast(first), "match_id", "left_semi").groupBy("match_id").agg(F.count("*").alias("n"))
+
+
+@query("s17_all_passes", "syn_passes", "SELECT match_id, team, passer, recipient, completed::INT completed, R[start_x]R start_x, R[end_y]R end_y FROM syn_passes WHERE team = 5")
+def _(p):
+    return p.where("team = 5").select("match_id", "team", "passer", "recipient", F.col("completed").cast("int").alias("completed"), "start_x", "end_y")
+
+
+@query("j06_left_network", "syn_passes", "WITH t AS (SELECT team, passer, count(*) n FROM syn_passes GROUP BY ALL), d AS (SELECT team, recipient passer, count(*) k FROM syn_passes WHERE completed AND passer <> recipient AND recipient < 20 GROUP BY ALL) SELECT t.team, t.passer, n, k FROM t LEFT JOIN d USING (team, passer)")
+def _(p):
+    t = p.groupBy("team", "passer").agg(F.count("*").alias("n"))
+    d = p.where("completed and passer <> recipient and recipient < 20").groupBy("team", F.col("recipient").alias("passer")).agg(F.count("*").alias("k"))
+    return t.join(d, ["team", "passer"], "left")
+
+
+@query("j16_bearing_pairs", "syn_attempts", "SELECT seq, R[degrees(atan2(ey - sy, ex - sx))]R bearing FROM syn_attempts WHERE ex <> sx OR ey <> sy")
+def _(e):
+    return e.where("ex <> sx or ey <> sy").select("seq", F.degrees(F.atan2(F.col("ey") - F.col("sy"), F.col("ex") - F.col("sx"))).alias("bearing"))
+
+
+@query("u04_index_intersection", "syn_players", "SELECT player_id FROM syn_players WHERE a > 0 AND player_id IN (SELECT player_id FROM syn_players WHERE b > 5)")
+def _(p):
+    return p.where("a > 0").select("player_id").join(p.where("b > 5").select("player_id"), "player_id")
+
+
+@query("f06_formats", "syn_valuations", "SELECT tiebreak, CAST(round(value / 1000, 1) AS DECIMAL(12, 1))::VARCHAR || 'k' label FROM syn_valuations WHERE tiebreak % 10 = 3")
+def _(v):
+    return v.where("tiebreak % 10 = 3").select("tiebreak", F.concat(F.round(F.col("value") / 1000, 1).cast("decimal(12,1)").cast("string"), F.lit("k")).alias("label"))
+
+
+@query("f13_arrays", "syn_snapshots", "SELECT pass_id, len(frame) n, R[list_min(list_transform(frame, lambda p: p.x))]R lo, frame[-1].k::INT last FROM syn_snapshots")
+def _(s):
+    return s.select("pass_id", F.size("frame").cast("long").alias("n"), F.array_min(F.transform("frame", lambda p: p["x"])).alias("lo"), F.element_at("frame", -1)["k"].cast("int").alias("last"))
+
+
+@query("f15_map_counts", "syn_log", "SELECT match_id, type, count(*) n FROM syn_log GROUP BY ALL")
+def _(log):
+    return log.groupBy("match_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("f16_conditionals", "syn_players", "SELECT player_id, CASE WHEN a < 0 THEN 'low' WHEN a < 5000 THEN 'mid' ELSE 'high' END band FROM syn_players")
+def _(p):
+    return p.select("player_id", F.when(F.col("a") < 0, "low").when(F.col("a") < 5000, "mid").otherwise("high").alias("band"))

@@ -190,3 +190,12 @@ def _(p):
     x, y = S.metric_to_season(F.col("start_x"), F.col("start_y"))
     m = p.groupBy(S.zone(y, 8), S.zone(x, 12)).agg(F.when(F.count("*") >= 25, F.avg("end_x")).alias("m")).agg(F.stddev_pop("m").alias("a"))
     return m.crossJoin(F.broadcast(p.agg(F.stddev_samp("end_x").alias("b")))).select((F.col("a") / F.col("b")).alias("spread"))
+
+
+@query("st01_windowed_zone_counts", "events", f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, {Z("(event_id * 11 % 1000) / 1000.0", 8)} * 12 + {Z("(user_id * 7 % 1000) / 1000.0", 12)} zone, count(*) n FROM events GROUP BY 1, 2""")
+def _(e):
+    """The streaming rollup over a table."""
+    from touchline.streaming.zone_counts import zone_counts
+
+    d = e.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") * 7 % 1000 / 1000.0).alias("x"), (F.col("event_id") * 11 % 1000 / 1000.0).alias("y"))
+    return zone_counts(d, window="1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
