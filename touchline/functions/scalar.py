@@ -133,14 +133,21 @@ def words(name: Column) -> Column:
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared words over all words of two normalised names; 0 if either has none."""
-    ta, tb = words(a), words(b)
+    return set_jaccard(words(a), words(b))
+
+
+def set_jaccard(ta: Column, tb: Column) -> Column:
+    """Shared over all words of two arrays of words; 0 if either is empty."""
     return F.when((F.size(ta) > 0) & (F.size(tb) > 0), F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))).otherwise(num(0))
 
 
 def surname_anchor(a: Column, b: Column, least: int = 4) -> Column:
     """Whether two normalised names share a word of four letters or more."""
-    long = lambda t: F.filter(words(t), lambda w: F.length(w) >= least)
-    return F.coalesce(F.arrays_overlap(long(a), long(b)), F.lit(False))
+    return F.coalesce(F.arrays_overlap(long_words(words(a), least), long_words(words(b), least)), F.lit(False))
+
+
+def long_words(t: Column, least: int = 4) -> Column:
+    return F.filter(t, lambda w: F.length(w) >= least)
 
 
 def club_core(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.functions.scalar import club_core, num, surname_anchor, token_jaccard, years
+from touchline.functions.scalar import club_core, long_words, num, set_jaccard, words, years
 
 
 def as_of(left: DataFrame, history: DataFrame, key: str, at: str, day: str = "day", tiebreak: str = "tiebreak", value: str = "value") -> DataFrame:
@@ -34,20 +34,32 @@ def match_clubs(teams: DataFrame, clubs: DataFrame) -> DataFrame:
     return teams.join(best, "team", "left")
 
 
-def link_players(players: DataFrame, market: DataFrame, least: float = 0.34) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, key: str, spread: str, ways: int = 16) -> DataFrame:
+    """All pairs of rows with one `key`; the left rows of a key are spread over `ways` groups by the column `spread`."""
+    n = 4 * ways
+    a = left.withColumn("_g", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int")).repartition(n, key, "_g")
+    b = right.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).repartition(n, key, "_g")
+    return a.join(b.hint("shuffle_hash"), [key, "_g"]).drop("_g")
+
+
+def link_players(players: DataFrame, market: DataFrame, least: float = 0.34, same: bool = False) -> DataFrame:
     """id, tm_id, score, method: exact name, else the best share of words, else the one who shares a surname.
 
     players(id, norm, club) and market(tm_id, tm_norm, club, ord); players of clubs without a squad search the whole table.
-    The club bounds the pairs of the join.
+    The club bounds the pairs of the join. `same`: both are one table, and no row is a candidate of its own id.
     """
+    players = players.withColumn("_ta", words(F.col("norm"))).withColumn("_la", long_words(F.col("_ta")))
+    market = market.withColumn("_tb", words(F.col("tm_norm"))).withColumn("_lb", long_words(F.col("_tb")))
     squads = market.select("club").distinct()
-    inside = players.join(squads, "club", "left_semi").join(market, "club")
+    inside = players.join(squads, "club", "left_semi")
+    inside = within(inside, market, "club", "id")
     outside = players.join(squads, "club", "left_anti").drop("club")
     shared = lambda d, c: d.withColumn("_w", F.explode(F.filter(F.split(c, " "), lambda w: w != "")))
     across = shared(outside, "norm").join(shared(market.drop("club"), "tm_norm"), "_w").drop("_w").distinct()
     pairs = inside.drop("club").unionByName(across)
+    pairs = pairs.where("id <> tm_id") if same else pairs
     exact = F.col("norm") == F.col("tm_norm")
-    pairs = pairs.withColumn("score", F.when(exact, num(1)).otherwise(token_jaccard(F.col("norm"), F.col("tm_norm")))).withColumn("anchor", surname_anchor(F.col("norm"), F.col("tm_norm")))
+    pairs = pairs.withColumn("score", F.when(exact, num(1)).otherwise(set_jaccard(F.col("_ta"), F.col("_tb")))).withColumn("anchor", F.coalesce(F.arrays_overlap("_la", "_lb"), F.lit(False)))
     rank = F.struct(F.when(exact, 0).otherwise(1).alias("a"), (-F.col("score")).alias("b"), "ord")
     anchored = F.col("anchor")
     best = pairs.groupBy("id").agg(F.min_by(F.struct("tm_id", "score", exact.alias("exact")), rank).alias("b"), F.count_if(anchored).alias("anchors"), F.max_by(F.struct("tm_id", "score"), F.when(anchored, F.struct("score", -F.col("ord")))).alias("s"))

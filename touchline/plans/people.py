@@ -264,19 +264,20 @@ JAC = "CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE len(list_intersect(ta, t
 
 
 def blocked(n):
-    """Names of ids that end in 0 against those that end in 1, within a club."""
-    d = named(n)
-    return d.where("id % 10 = 0").select("id", "club", F.col("norm").alias("na")).join(d.where("id % 10 = 1").select(F.col("id").alias("other"), "club", F.col("norm").alias("nb")), "club")
+    """The word sets ta, tb of every name and of every other name of its club."""
+    d = named(n).select("id", "club", S.words(F.col("norm")).alias("t"))
+    return K.within(d.withColumnRenamed("t", "ta"), d.select(F.col("id").alias("other"), "club", F.col("t").alias("tb")), "club", "id").where("id <> other")
 
 
 @query("f02_token_jaccard", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, other, R[{JAC}]R score FROM pr2")
 def _(n):
-    return blocked(n).select("id", "other", S.token_jaccard(F.col("na"), F.col("nb")).alias("score"))
+    return blocked(n).select("id", "other", S.set_jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
 @query("f03_surname_anchor", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, count(*) FILTER (list_has_any(list_filter(ta, lambda w: len(w) >= 4), list_filter(tb, lambda w: len(w) >= 4))) anchors FROM pr2 GROUP BY id")
 def _(n):
-    return blocked(n).groupBy("id").agg(F.count_if(S.surname_anchor(F.col("na"), F.col("nb"))).alias("anchors"))
+    d = blocked(n).withColumn("anchor", F.coalesce(F.arrays_overlap(S.long_words(F.col("ta")), S.long_words(F.col("tb"))), F.lit(False)))
+    return d.groupBy("id").agg(F.count_if("anchor").alias("anchors"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in S.CLUB_WORDS) + "]"
@@ -289,7 +290,7 @@ def _(n):
 
 @query("u03_token_sets", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, sum(len(list_intersect(ta, tb)))::BIGINT shared, sum(len(list_distinct(list_concat(ta, tb))))::BIGINT total FROM pr2 GROUP BY id")
 def _(n):
-    a, b = S.words(F.col("na")), S.words(F.col("nb"))
+    a, b = F.col("ta"), F.col("tb")
     return blocked(n).groupBy("id").agg(F.sum(F.size(F.array_intersect(a, b))).alias("shared"), F.sum(F.size(F.array_union(a, b))).alias("total"))
 
 
@@ -301,8 +302,9 @@ LINK = f"""{TOK}, cand AS (SELECT a.id, b.id tm_id, a.norm = b.norm ex, CASE WHE
 
 
 def linked(n):
+    """Every name against the other names of its club."""
     d = named(n)
-    return K.link_players(d.where("id % 10 = 0"), d.where("id % 10 > 0").select(F.col("id").alias("tm_id"), F.col("norm").alias("tm_norm"), "club", F.col("id").alias("ord")))
+    return K.link_players(d, d.select(F.col("id").alias("tm_id"), F.col("norm").alias("tm_norm"), "club", F.col("id").alias("ord")), same=True)
 
 
 @query("j12_fuzzy_links", "syn_names", f"WITH {LINK} SELECT id, tm_id, R[score]R score, method FROM lk")
