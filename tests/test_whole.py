@@ -1,5 +1,7 @@
 """Queries that once did less than the whole job, against brute force on small fixtures."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,17 @@ def test_every_name_is_linked_to_the_others_of_its_club(names):
     assert pairs[1, 2] == 1 and pairs[3, 4] == pytest.approx(1 / 6)
     got = {r.id: (r.tm_id, pytest.approx(r.score), r.method) for r in people.linked(names).collect()}
     assert got == brute_links(NAMES)
+
+
+def test_control_grid_covers_all_snapshots(spark):
+    snapshots = spark.read.parquet(f"{SF}/orders.parquet").count()
+    got = queries()["g05_control_grid"](spark, SF)
+    r = got.agg(F.count("*").alias("n"), F.count_distinct("pass_id").alias("ids"), F.max("ix").alias("ix"), F.max("iy").alias("iy")).first()
+    assert tuple(r) == (snapshots * 50 * 34, snapshots, 49, 33)
+    key, cust = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey", "o_custkey").orderBy("o_orderkey").first()
+    at = {(r.ix, r.iy): r.control for r in got.where(F.col("pass_id") == key).collect()}
+    for ix, iy in [(0, 0), (17, 20), (49, 33)]:
+        x, y = ix * 105 / 49 - 52.5, iy * 68 / 33 - 34
+        time = lambda k: 0.7 + math.hypot((key * 31 + k * 97) % 1050 / 10 - 52.5 - x, (cust * 17 + k * 61) % 680 / 10 - 34 - y) / 5
+        own, other = min(map(time, range(3, 21, 2))), min(map(time, range(2, 21, 2)))
+        assert at[ix, iy] == pytest.approx(1 / (1 + math.exp(-(other - own) / 0.45)), abs=2e-6)

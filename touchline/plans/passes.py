@@ -82,8 +82,9 @@ def _(s):
 @query("g05_control_grid", "syn_snapshots", f"""WITH {EX}, pts AS (SELECT pass_id, ix::INT ix, iy::INT iy, ix * (105.0 / 9) - 52.5 tx, iy * (68.0 / 6) - 34.0 ty FROM syn_snapshots, range(10) a(ix), range(7) b(iy) WHERE pass_id % 50 = 0),
     c AS {control_sql("pts", "pass_id, ix, iy")} SELECT pass_id, ix, iy, R[control]R control FROM c""")
 def _(s):
-    """A 10 x 7 grid for the snapshots that figures show."""
-    return M.control_grid(M.sides(s.where("pass_id % 50 = 0")).select("pass_id", "teammates", "opponents"), 10, 7).select("pass_id", "ix", "iy", "control")
+    """The operator's own grid (50 x 34) for every snapshot."""
+    dealt = s.repartition(4 * s.sparkSession.sparkContext.defaultParallelism, "pass_id")  # 1700 rows of each
+    return M.control_grid(M.sides(dealt).select("pass_id", "teammates", "opponents")).select("pass_id", "ix", "iy", "control")
 
 
 @query("j18_player_grid", "syn_snapshots", f"WITH {EX} SELECT pass_id, R[min(0.7 + sqrt(x ** 2 + y ** 2) / 5.0)]R t FROM att GROUP BY 1")
