@@ -61,3 +61,19 @@ def test_control_grid_covers_all_snapshots(spark):
         time = lambda k: 0.7 + math.hypot((key * 31 + k * 97) % 1050 / 10 - 52.5 - x, (cust * 17 + k * 61) % 680 / 10 - 34 - y) / 5
         own, other = min(map(time, range(3, 21, 2))), min(map(time, range(2, 21, 2)))
         assert at[ix, iy] == pytest.approx(1 / (1 + math.exp(-(other - own) / 0.45)), abs=2e-6)
+
+
+def test_scans_without_a_filter_of_their_own(spark):
+    lines, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    got = queries()["s17_all_passes"](spark, SF)
+    assert got.count() == lines.count() and got.select("team").distinct().count() == lines.selectExpr("l_suppkey % 18 t").distinct().count()
+    labels = {r.tiebreak: r.label for r in queries()["f06_formats"](spark, SF).collect()}
+    assert set(labels) == {r.o_orderkey for r in orders.select("o_orderkey").collect()}
+    for r in orders.limit(20).collect():
+        assert float(labels[r.o_orderkey][:-1]) == pytest.approx(float(r.o_totalprice) / 1000, abs=0.051) and labels[r.o_orderkey][-1] == "k"
+
+
+def test_date_range_with_an_equality(spark):
+    rows = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_custkey", "o_orderkey", "cast(cast(o_orderdate as date) as string) day", "o_orderpriority").collect()
+    want = sorted((r.o_custkey, r.o_orderkey) for r in rows if "1996-01-01" <= r.day <= "1996-06-30" and r.o_orderpriority == "1-URGENT")
+    assert want and sorted(map(tuple, queries()["p16_date_range"](spark, SF).collect())) == want

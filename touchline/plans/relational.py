@@ -59,9 +59,11 @@ def _(p):
     return p.dropna(subset=["quality", "a"]).select("player_id")
 
 
-@query("p16_date_range", "syn_valuations", "SELECT player_id, tiebreak FROM syn_valuations WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND player_id % 3 = 0")
-def _(v):
-    return v.where("day between date '1996-01-01' and date '1996-06-30' and player_id % 3 = 0").select("player_id", "tiebreak")
+@query("p16_date_range", "syn_valuations orders", "SELECT player_id, tiebreak FROM syn_valuations WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND player_id % 3 = 0")
+def _(v, o):
+    """Valuations of a half-year whose order has one priority, as the reference takes one competition."""
+    urgent = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("tiebreak"))
+    return v.where("day between date '1996-01-01' and date '1996-06-30'").join(urgent, "tiebreak", "left_semi").select("player_id", "tiebreak")
 
 
 @query("p17_numeric_range", "syn_passes", "SELECT count(*) n FROM syn_passes WHERE start_x BETWEEN -10 AND 20")
@@ -234,7 +236,7 @@ def _(s):
 
 @query("s17_all_passes", "syn_passes", "SELECT match_id, team, passer, recipient, completed::INT completed, R[start_x]R start_x, R[end_y]R end_y FROM syn_passes WHERE team = 5")
 def _(p):
-    return p.where("team = 5").select("match_id", "team", "passer", "recipient", F.col("completed").cast("int").alias("completed"), "start_x", "end_y")
+    return p.select("match_id", "team", "passer", "recipient", F.col("completed").cast("int").alias("completed"), "start_x", "end_y")
 
 
 @query("j06_left_network", "syn_passes", "WITH t AS (SELECT team, passer, count(*) n FROM syn_passes GROUP BY ALL), d AS (SELECT team, recipient passer, count(*) k FROM syn_passes WHERE completed AND passer <> recipient AND recipient < 20 GROUP BY ALL) SELECT t.team, t.passer, n, k FROM t LEFT JOIN d USING (team, passer)")
@@ -256,7 +258,7 @@ def _(p):
 
 @query("f06_formats", "syn_valuations", "SELECT tiebreak, CAST(round(value / 1000, 1) AS DECIMAL(12, 1))::VARCHAR || 'k' label FROM syn_valuations WHERE tiebreak % 10 = 3")
 def _(v):
-    return v.where("tiebreak % 10 = 3").select("tiebreak", F.concat(F.round(F.col("value") / 1000, 1).cast("decimal(12,1)").cast("string"), F.lit("k")).alias("label"))
+    return v.select("tiebreak", F.concat(F.round(F.col("value") / 1000, 1).cast("decimal(12,1)").cast("string"), F.lit("k")).alias("label"))
 
 
 @query("f13_arrays", "syn_snapshots", "SELECT pass_id, len(frame) n, R[list_min(list_transform(frame, lambda p: p.x))]R lo, frame[-1].k::INT last FROM syn_snapshots")
