@@ -77,3 +77,15 @@ def test_date_range_with_an_equality(spark):
     rows = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_custkey", "o_orderkey", "cast(cast(o_orderdate as date) as string) day", "o_orderpriority").collect()
     want = sorted((r.o_custkey, r.o_orderkey) for r in rows if "1996-01-01" <= r.day <= "1996-06-30" and r.o_orderpriority == "1-URGENT")
     assert want and sorted(map(tuple, queries()["p16_date_range"](spark, SF).collect())) == want
+
+
+def test_every_name_is_normalised_whole(spark):
+    d = spark.createDataFrame([(1, "en", "Łukasz Piszczek"), (2, "de", "Weiß, Öl–Bär"), (3, "ru", "Лев Яшин"), (4, "ja", "中田 英寿!"), (5, "en", None)], "doc_id long, club string, name string")
+    got = {r.id: r.norm for r in people.named(d).collect()}
+    assert got == {1: "łukasz piszczek", 2: "weiß ol bar", 3: "лев яшин", 4: "中田 英寿", 5: ""}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    norm = {r.id: r.norm for r in queries()["f01_normalize_name"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(norm) == set(texts)
+    plain = {i: t for i, t in texts.items() if t.isascii()}
+    assert plain and all(norm[i] == " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for i, t in plain.items())

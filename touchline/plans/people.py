@@ -249,8 +249,8 @@ ASCII = f"nm AS (SELECT doc_id id, club, {NORM} norm FROM syn_names WHERE regexp
 
 
 def named(n):
-    plain = F.translate("name", "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY")
-    return n.where(F.rlike(plain, F.lit("^[ -~\\n]*$"))).select(F.col("doc_id").alias("id"), "club", S.normalize_name("name").alias("norm"))
+    """Every name, normalised; letters and digits of other scripts stay as they are."""
+    return n.select(F.col("doc_id").alias("id"), "club", S.normalize_name("name").alias("norm"))
 
 
 @query("f01_normalize_name", "syn_names", f"WITH {ASCII} SELECT id, norm FROM nm")
