@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.llm import decontamination
 from touchline.plans import people
 from touchline.plans.registry import queries
 
@@ -89,3 +90,12 @@ def test_every_name_is_normalised_whole(spark):
     assert set(norm) == set(texts)
     plain = {i: t for i, t in texts.items() if t.isascii()}
     assert plain and all(norm[i] == " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for i, t in plain.items())
+
+
+def test_items_of_numbers_and_short_items_are_found(spark):
+    long, short, brief = "What is 12 + 34 + 56 + 78 + 90?", "What is 12 times 7?", "12 km"
+    d = [(1, f"so they ask: {long} and more"), (2, "he said What is 12 times 7? to them"), (3, "what is 13 + 34 + 56 + 78 + 90 then"), (4, "What is 15 times 3?"), (5, "it was 12km away"), (6, "it was 13 km away"), (7, None)]
+    b = [(1, long), (2, short), (3, brief), (4, None), (5, "")]
+    got = decontamination.leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (4, 2), (5, 3)}
+    assert len(got) == 4 and all(r.coverage == 1 for r in got)
