@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import decontamination
+from touchline.llm import decontamination, order_minhash
 from touchline.plans import people
 from touchline.plans.registry import queries
 
@@ -99,3 +99,16 @@ def test_items_of_numbers_and_short_items_are_found(spark):
     got = decontamination.leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (4, 2), (5, 3)}
     assert len(got) == 4 and all(r.coverage == 1 for r in got)
+
+
+def test_fingerprints_of_texts_on_both_sides_of_a_length_meet(spark):
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "amet", "erat") for b in ("um", "is", "ant", "or", "ius", "em", "us", "at", "it")]
+    long = " ".join(words[:36])
+    short, blankless = " ".join(words[:30]), "".join(chr(0x4E00 + 7 * k) for k in range(300))
+    assert len(short) < 256 < len(long)
+    pairs = [(1, long, short), (2, blankless, blankless[:225] + short[:75]), (3, " ".join(words[:9]), " ".join(words[:10]))]
+    d = spark.createDataFrame(pairs, "k int, x string, y string")
+    got = {r.k: r.v for r in d.select("k", order_minhash.likeness(order_minhash.fingerprint(F.col("x")), order_minhash.fingerprint(F.col("y"))).alias("v")).collect()}
+    assert got[1] > 0.4 and got[2] > 0.2 and got[3] > 0
+    docs = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.near_edited for r in order_minhash.fingerprints(docs).collect()}[1] > 0.2

@@ -1,13 +1,13 @@
 """Document fingerprints by Order MinHash.
 
-DataFrame operations only. A text is a sequence of tokens: its words, or its characters where it is short (under
-SHORT characters) or has hardly any blanks. Each k-mer of tokens is numbered among its equals, so that repeats differ,
+DataFrame operations only. A text of any length is a sequence of tokens: its words, and the characters of words of over
+LONG characters (scripts without blanks). What a token is depends on its word alone, so texts of all lengths share
+sketches. Both ends are padded, so that texts under K tokens have k-mers in common too. Each k-mer of tokens is numbered among its equals, so that repeats differ,
 and hashed. The hash circle is cut at SKETCHES points; the sketch of a point is the LENGTH least numbered k-mers after
 it, put back into text order and hashed as a tuple. So both the set of k-mers and their order tell. The likeness of two
 fingerprints is the share of equal sketches (0 to 1).
 
-Null text: as an empty one; its fingerprint is that of no k-mer, equal only to that of texts without a token. Texts
-under k tokens are one k-mer. Equal texts have equal fingerprints. Repeated rows and equal doc_ids: each row on its own,
+Null text: as an empty one; its fingerprint is that of no k-mer, equal only to that of texts without a token. Equal texts have equal fingerprints. Repeated rows and equal doc_ids: each row on its own,
 in the order of (doc_id, text); a null doc_id comes first. Extra columns are ignored.
 """
 
@@ -19,17 +19,16 @@ from pyspark.sql.window import Window
 
 from .common import let, parts
 
-SKETCHES, LENGTH, WORDS, CHARS, SHORT = 32, 2, 3, 4, 256
+SKETCHES, LENGTH, K, LONG = 32, 2, 3, 24
 #: Bits of an element that hold its position; the others hold its hash.
 PLACE = 28
 
 
 def tokens(text: Column) -> Column:
-    """struct(t: tokens, k) of a text."""
-    n = F.length(text)
+    """Words of a text; long words as their characters."""
     words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return let(words, lambda w: F.when((n < SHORT) | (F.size(w) * 24 < n), F.struct(chars.alias("t"), F.lit(CHARS).alias("k"))).otherwise(F.struct(w.alias("t"), F.lit(WORDS).alias("k"))))
+    pieces = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(F.length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
+    return let(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONG), pieces(ws)).otherwise(ws))
 
 
 def packed(h: Column, place: Column) -> Column:
@@ -37,12 +36,12 @@ def packed(h: Column, place: Column) -> Column:
     return F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(place.cast("long"))
 
 
-def kmers(x: Column) -> Column:
-    """Sorted array of (hash of a k-mer, position)."""
-    t, k = x["t"], x["k"]
-    most = max(WORDS, CHARS)
-    n = F.greatest(F.size(t) - k + 1, F.lit(1))
-    one = lambda i: F.xxhash64(*(F.when(F.lit(j) < k, F.get(t, i + j)) for j in range(most)))  # noqa: E731  nulls change nothing
+def kmers(t: Column) -> Column:
+    """Sorted array of (hash of a k-mer, position) of an array of tokens."""
+    # a start is '', an end is null, which changes nothing: no token is ''
+    at = lambda i, j: F.get(t, i + j) if j == 0 else F.when(i + j < 0, F.lit("")).otherwise(F.get(t, i + j))
+    one = lambda i: F.xxhash64(*(at(i, j) for j in range(1 - K, 1)))
+    n = F.size(t) + (K - 1)
     return F.when(F.size(t) > 0, F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: packed(one(i), i)))).otherwise(F.array().cast("array<bigint>"))
 
 
