@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.llm import decontamination, jaccard_join, language_id, sentence_pieces
 from touchline.llm.common import kept, read
@@ -22,12 +23,18 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least doc_id, once."""
+    """Keeps of each group of linked documents the one with the least doc_id, once: of its rows that with the least text.
+
+    Of rows without a doc_id each text stays once.
+    """
     found = kept(jaccard_join.join(docs), "components")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"))
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    stay = found.where("doc_id = component_id").select("doc_id")
+    out = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
     repeated = not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    if repeated:
+        first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+        out = out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import decontamination, order_minhash
+import corpus_pipeline
+from touchline.llm import decontamination, jaccard_join, order_minhash
 from touchline.plans import people
 from touchline.plans.registry import queries
 
@@ -112,3 +113,13 @@ def test_fingerprints_of_texts_on_both_sides_of_a_length_meet(spark):
     assert got[1] > 0.4 and got[2] > 0.2 and got[3] > 0
     docs = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")
     assert {r.doc_id: r.near_edited for r in order_minhash.fingerprints(docs).collect()}[1] > 0.2
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, c), (None, d), (None, d), (None, "another text without an id"), (9, None), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join(docs).where("doc_id is not null").collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 7), (9, 7)}
+    left = corpus_pipeline.without_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(1, a), (7, c), (0, d), (0, "another text without an id")])

@@ -314,6 +314,16 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     reps = counted.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     reps = kept(reps, "classes")
     found = kept(links(docs, reps.select("doc_id"), counted, size, percent), "found")
-    # one document may have several classes, where its doc_id repeats
-    classes = reps.join(components(found).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
-    return counted.select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # one document may have several classes, where its doc_id repeats: it links them
+    repeated = kept(counted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    again = not repeated.isEmpty()
+    if again:
+        tied = counted.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "set_key").join(reps.select("set_key", F.col("doc_id").alias("b")), "set_key").select("a", "b")
+        found = found.select("a", "b").union(tied)
+    label = components(found).withColumnRenamed("id", "doc_id")
+    if again:
+        own = label.join(repeated, "doc_id", "left_semi").withColumnRenamed("component", "own")
+    classes = reps.join(label, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = counted.select("doc_id", "n", "set_key").join(classes, "set_key", "left")
+    rows = rows.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("own", "component_id")) if again else rows
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
