@@ -123,10 +123,12 @@ def brute_components(rows):
     return sorted((i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows) if i is not None)
 
 
-@pytest.mark.parametrize("limit", [512, 3])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "counted"), [(1_000_000, 4096), (300, 2), (300, 3)])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, limit, counted):
     monkeypatch.setattr(jaccard_join, "BLOCK", limit)
-    monkeypatch.setattr(jaccard_join, "SHORT", min(32, limit))
+    monkeypatch.setattr(jaccard_join, "COUNTED", counted)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1 if counted == 2 else 32)
+    monkeypatch.setattr(jaccard_join, "SHORT", 64 if limit > 300 else 2)
     r = np.random.default_rng(3)
     vocabulary = [f"w{k}" for k in range(400)]
     base = list(r.choice(vocabulary, 120))

@@ -37,6 +37,15 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (8 bytes each) that are still broadcast.
+MOST_IDS = 1_000_000
+
+
+def few_rows(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast where a count shows that it is small; else it is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished jobs now: it does so when their handles are garbage."""
     import gc

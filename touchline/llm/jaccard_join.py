@@ -4,40 +4,46 @@ A document's set is its distinct shingles of SHINGLE words. Documents with equal
 as one set. Two sets link when 100 * intersection >= PERCENT * union.
 
 1. Shingles are hashed to 64 bits; a set is a sorted array of hashes.
-2. Of each set the least hashes (all that a link could miss, and `spare` more) are counted over all sets. A linked pair
-   shares at least `spare` of them, so a set with fewer shared ones has no link, and one of its rarest must be shared
-   with each partner. Those rarest shingles' posting lists hold all linked pairs.
-3. Sets that share a short list are held against the first set of most of their lists; what that leaves apart in a list
-   is paired, and pairs whose lists can't reach the required overlap are dropped. Long lists that share a set make a
-   family, in blocks: all blocks are searched for partners in one block, and only sets that are then not in the
-   family's main component are searched for in all others.
-4. Within a task links are found by DivideSkip: short postings are merged and counted, long ones probed by binary
-   search (or merged, where that costs less), and sets that reach the required overlap are kept. Only links that join two
-   parts are returned, so a group of n copies makes n - 1 rows.
+2. A first sieve: of each class the least hashes (all that a link could miss, and `spare` more) are counted over all
+   classes. A linked pair shares at least `spare` of them, so a set with fewer shared ones has no link.
+3. A second sieve: all hashes of the sets that are left are counted. A set with more hashes of its own than a link allows
+   goes; of the others the rarest hashes stay, of which each partner has one among its own (a passage that many
+   documents share is never among them unless it is nearly all of a document).
+4. Each set is held against one other, the first set of most of its posting lists. What that leaves apart in a list is
+   searched, in blocks of bounded size, by those sets alone that are outside the list's largest part.
+5. A search is DivideSkip: short postings are merged and counted, long ones probed by binary search (or merged, where
+   that costs less), and sets that reach the required overlap are kept. Only links that join two parts are returned,
+   so a group of n copies makes n - 1 rows.
 
 Null texts and texts without words have the empty set, and link with nothing. Fewer than SHINGLE words: the whole
-sequence is one shingle. Equal doc_ids are one document: it links with all that one of its rows links with. Extra
-columns are ignored. An empty table gives an empty result. component_id: the least doc_id reachable.
+sequence is one shingle. Rows with one doc_id are one document: it links with all that one of its rows links with. A
+null doc_id is a document of its own, which links as any other. Extra columns are ignored. An empty table gives an
+empty result. component_id: the least doc_id reachable; null where only rows without a doc_id are.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, parts, release
+from .common import few_rows, kept, parts, release
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Sets in a block of a family, and in the posting lists that are searched pair by pair; a list of more sets is a long one.
-BLOCK, SHORT = 512, 32
+#: Hashes in a block of a list (8 bytes each; a task holds two blocks); sets in the lists of which equal ones are one.
+BLOCK, SHORT = 1_000_000, 64
+#: From so many rows on, hashes count as equally frequent. One class in SAMPLE tells which hashes are hot.
+COUNTED, SAMPLE = 4096, 32
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 20
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
@@ -67,6 +73,16 @@ def word_hashes(text: str) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, dtype=np.uint64)
     blank = SPACE[raw]
+    if len(raw) > PIECE:  # cut at blanks, so that the tables of powers stay small
+        cuts = np.flatnonzero(blank)
+        cuts = np.unique(cuts[np.minimum(np.searchsorted(cuts, np.arange(PIECE, len(raw), PIECE)), len(cuts) - 1)]) if len(cuts) else cuts
+        return np.concatenate([_piece(r, b) for r, b in zip(np.split(raw, cuts), np.split(blank, cuts))])
+    return _piece(raw, blank)
+
+
+def _piece(raw: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    if not len(raw):
+        return np.zeros(0, dtype=np.uint64)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
     begin, end = edge[::2], edge[1::2]
     up, down = powers(max(16, int(len(raw)).bit_length()))
@@ -187,8 +203,8 @@ def forest(ids: list[int], members: list[np.ndarray], queries: list[int], percen
     return out
 
 
-def search_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Links a, b within each group of rows(grp, id, query, hashes); groups are read one after another."""
+def search_groups(units: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links a, b within each group of units(grp, id, query), found by its queries; full(id, hashes) has the sets."""
     import pyarrow as pa
 
     def batches(it):
@@ -205,6 +221,9 @@ def search_groups(rows: DataFrame, percent: int) -> DataFrame:
                 if g != now:
                     flush()
                     now, ids, members, queries = g, [], [], []
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+                        out = []
                 if asks[k]:
                     queries.append(len(ids))
                 ids.append(keys[k])
@@ -212,118 +231,193 @@ def search_groups(rows: DataFrame, percent: int) -> DataFrame:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    dealt = rows.select("grp", "id", "query", "hashes").repartition(parts(rows.sparkSession), "grp").sortWithinPartitions("grp", "id")
+    rows = units.join(full, "id").select("grp", "id", "query", "hashes")
+    dealt = rows.repartition(parts(rows.sparkSession), "grp").sortWithinPartitions("grp", "id")
     return dealt.mapInArrow(batches, "a long, b long")
 
 
+# --- candidates -----------------------------------------------------------------------------------------------------
+
+
+def hot_hashes(rows: DataFrame, key: str = "id") -> list[int]:
+    """Hashes that would fill a good part of a shuffle partition, from the sets of one class in SAMPLE. At most 8 a partition
+    on average, so they are few at any size. They only steer where rows go: what is found does not depend on them."""
+    n = parts(rows.sparkSession)
+    some = rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SAMPLE)) == 0)
+    total = some.count()
+    most = max(16, total // (8 * n))
+    return [r.t for r in some.groupBy("t").count().where(F.col("count") > most).select("t").limit(16 * n).collect()]
+
+
+def shared(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """rows(t, id, n) whose hash t is in more than one row, and m: how many rows have it, or COUNTED if there are as many.
+
+    One shuffle; a task holds COUNTED rows of a hash at most. Hot hashes are dealt out by id.
+    """
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    known = np.array(sorted(hot), dtype=np.int64)
+
+    def batches(it):
+        held, over = [], None  # rows of the last hash so far; that hash once it has COUNTED rows
+
+        def out(cols, m):
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(m, pa.int32())], names=["t", "id", "n", "m"])
+
+        for b in it:
+            cols = [b.column(k).to_numpy() for k in range(3)]
+            if held:
+                cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
+                held = []
+            t = cols[0]
+            if not len(t):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            m = np.diff(np.append(first, len(t)))
+            m[np.isin(t[first], known)] = COUNTED
+            if over is not None and t[0] == over:
+                m[0] = COUNTED
+            last = int(first[-1])
+            if m[-1] >= COUNTED:
+                over, last = t[-1], len(t)
+            else:
+                held = [c[last:] for c in cols]
+            m = np.minimum(np.repeat(m, np.diff(np.append(first, len(t)))), COUNTED)[:last]
+            many = m > 1
+            if many.any():
+                yield out([c[:last][many] for c in cols], m[many])
+        if held and len(held[0]) > 1:
+            yield out(held, np.full(len(held[0]), len(held[0]), dtype=np.int32))
+
+    to = F.when(F.col("t").isin(hot), F.xxhash64("id")).otherwise(F.col("t")) if hot else F.col("t")
+    return rows.select("t", "id", "n").repartition(parts(spark), to).sortWithinPartitions("t").mapInArrow(batches, "t long, id long, n int, m int")
+
+
+def least_shared(n: str, percent: int) -> Column:
+    """What a set of n shares at least of its least hashes with any partner: the smaller set's spare."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) / 20)).cast("int")
+
+
+def survivors(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id of the sets that share enough of their least hashes with others. Smaller sets link with equal ones only."""
+    some, rows = (x.where(F.col("n") * (100 - percent) >= percent).select(F.explode("hashes").alias("t"), k, F.col("n").cast("int").alias("n")) for x, k in ((counted, "set_key"), (classes, "id")))
+    return shared(rows, hot_hashes(some, "set_key")).groupBy("id", "n").count().where(F.col("count") >= least_shared("n", percent)).select("id")
+
+
+def prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """t, id, n of the rarest hashes of each set, of which each partner has one among its own; sets with more hashes of
+    their own than a link allows have none, and so no row."""
+    rows = full.select(F.explode("hashes").alias("t"), "id", F.size("hashes").alias("n"))
+    both = shared(rows, hot_hashes(rows)).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("x"))
+    # in order of (m, t) those of a set's own come first, then the shared ones
+    left = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("x"))).cast("int")
+    return both.where(left > 0).select("id", "n", F.explode(F.slice("x", F.lit(1), left)).alias("x")).select("x.t", "id", "n")
+
+
+def in_blocks(members: DataFrame, key: str) -> DataFrame:
+    """members(key, id, n) and blocks, block: each key's members in blocks of about BLOCK hashes."""
+    size = members.groupBy(key).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    return members.join(size.hint("merge"), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def star_links(lists: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of each set with one other: of the least sets of its lists the one that is that of most."""
+    centre = lists.groupBy("t").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("t", "a")
+    near = lists.join(centre.hint("merge"), "t").where("a <> id").groupBy("id", "n", "a").agg(F.count("*").alias("w"))
+    near = kept(in_blocks(near.groupBy("id", "n").agg(F.max_by("a", F.struct("w", "a")).alias("a")), "a"), "stars")
+    units = near.select(F.concat_ws(":", "a", "block").alias("grp"), "id", F.lit(False).alias("query"))
+    units = units.union(near.select("a", "block").distinct().select(F.concat_ws(":", "a", "block"), "a", F.lit(True)))
+    return search_groups(units, full, percent)
+
+
+def open_links(lists: DataFrame, label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets of each list that are not joined so far. Equal short lists are one; long ones are searched block by
+    block, each block by the sets that are outside the list's largest part."""
+    member = lists.join(label.hint("merge"), "id", "left").select("t", "id", "n", F.coalesce("component", "id").alias("component"))
+    parts_ = member.groupBy("t", "component").agg(F.count("*").alias("size"))
+    mixed = parts_.groupBy("t").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("k"), F.sum("size").alias("m")).where("k > 1").drop("k")
+    member = kept(member.join(mixed.hint("merge"), "t"), "open")
+    short = member.where(F.col("m") <= SHORT).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component", "main"))).alias("ids"))
+    short = short.groupBy("ids").agg(F.min("t").alias("t")).select("t", F.explode("ids").alias("x")).select("t", "x.id", "x.n", "x.component", "x.main")
+    member = short.unionByName(member.where(F.col("m") > SHORT).drop("m")).withColumn("query", F.col("component") != F.col("main"))
+    asked = member.where("query").groupBy("t").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks"))
+    member = in_blocks(member, "t").join(asked.hint("merge"), "t").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int"))
+    # each block of sets meets each block of those that ask
+    of = lambda ask, block, query: F.struct(F.concat_ws(":", "t", ask, block).alias("grp"), query.alias("query"))
+    own = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda k: of(k, F.col("block"), F.col("query") & (k == F.col("ask"))))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.col("query") & (k != F.col("block"))), lambda k: of(F.col("ask"), k, F.lit(True)))
+    units = member.select("id", F.explode(F.concat(own, others)).alias("x")).select("x.grp", "id", "x.query")
+    return search_groups(units, full, percent)
+
+
+def links(counted: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links a, b of the classes: enough of them to reach each from all that it is linked with."""
+    spark = classes.sparkSession
+    found = kept(survivors(counted, classes, percent), "survivors")
+    release(spark)
+    full = kept(fetch(found), "sets")
+    lists = kept(prefixes(full, percent), "prefixes")
+    release(spark)
+    ids = lists.select("id").distinct()
+    few = kept(full.join(few_rows(ids), "id", "left_semi"), "full")
+    stars = kept(star_links(lists, few, percent), "stars")
+    label = kept(components(stars), "labels")
+    rest = open_links(lists, label, few, percent)
+    return kept(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), "found")
+
+
 # --- the join -------------------------------------------------------------------------------------------------------
 
 
-def prefixes(reps: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
-    """id, n, t, m, rare: the shared ones among each set's least hashes, the length of t's posting list, and whether t is one
-    of those (the rarest) of which each partner must have one. Sets with too few shared ones are left out."""
-    tokens = counted.join(reps, "doc_id", "left_semi").where(F.col("n") * (100 - percent) >= percent)  # smaller sets link with equal ones only
-    rows = tokens.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.size("hashes").alias("size"), F.explode("hashes").alias("t"))
-    # partners are not smaller than percent of n; they share at least as many as the smaller one's spare
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20)).cast("int")
-    for _ in range(2):  # the second time over the few sets that are left, whose partners are among them
-        df = rows.groupBy("t").agg(F.count("*").cast("int").alias("m")).where("m > 1")
-        both = rows.drop("m", "rare").join(df, "t").groupBy("id", "n", "size").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("shared"))
-        rarest = F.col("size") - least + 1 - (F.col("size") - F.size("shared"))
-        both = both.where(F.size("shared") >= least).select("id", "n", "size", rarest.alias("rarest"), F.posexplode("shared").alias("pos", "x"))
-        rows = kept(both.select("id", "n", "size", "x.t", "x.m", (F.col("pos") < F.col("rarest")).alias("rare")), "prefixes")
-        release(counted.sparkSession)
-    return rows.drop("size")
-
-
-def short_links(lists: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links of sets that share a short list. First each set is held against one other, the first set of most of its lists;
-    then all pairs of a list that are not yet joined, if their lists can reach the required overlap."""
-    short = lists.where(F.col("m") <= SHORT)
-    groups = short.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")).groupBy("ids").agg(F.count("*").alias("w"), F.min("t").alias("g"))
-    groups = kept(groups.where(F.size("ids") > 1), "groups")
-    first = groups.select(F.col("ids")[0]["id"].alias("a"), "w", F.explode("ids").alias("x")).select("a", "w", F.col("x.id").alias("id")).where("a <> id")
-    first = first.groupBy("id", "a").agg(F.sum("w").alias("w")).groupBy("id").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-    units = first.select(F.col("a").cast("string").alias("grp"), "id", F.lit(False).alias("query")).union(first.select("a").distinct().select(F.col("a").cast("string"), "a", F.lit(True)))
-    found = kept(search_groups(units.join(full, "id"), percent), "found")
-    label = components(found)
-    member = groups.select("g", "w", F.explode("ids").alias("x")).select("g", "w", "x.id", "x.n")
-    member = kept(member.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
-    mixed = member.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
-    open_ = kept(member.join(mixed, "g").groupBy("g", "w").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component"))).alias("ids")), "open")
-    pair = F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["n"], y["n"]).alias("n"))))))
-    pairs = open_.select("w", pair.alias("p")).groupBy("p.a", "p.b", "p.n").agg(F.sum("w").alias("w"))
-    more = lists.where(F.col("m") > SHORT).groupBy("id").agg(F.count("*").alias("more"))
-    pairs = pairs.join(more.select(F.col("id").alias("a"), F.col("more").alias("ma")), "a", "left").join(more.select(F.col("id").alias("b"), F.col("more").alias("mb")), "b", "left")
-    # the smaller set's spare: what a linked pair shares of its least hashes
-    need = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
-    pairs = kept(pairs.where(F.col("w") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= need).select("a", "b"), "pairs")
-    units = pairs.select(F.col("a").cast("string").alias("grp"), F.col("b").alias("id"), F.lit(False).alias("query")).union(pairs.select("a").distinct().select(F.col("a").cast("string"), "a", F.lit(True)))
-    return found.union(search_groups(units.join(full, "id"), percent))
-
-
-def long_links(lists: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links of sets whose rarest shared hashes all have long lists. Lists that share a set make a family, in blocks."""
-    long = lists.where((F.col("m") > SHORT) & F.col("rare"))
-    if long.isEmpty():
-        return found
-    chained = long.groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    tied = kept(chained.select(F.element_at("ts", 1).alias("a"), F.explode("ts").alias("b")).distinct(), "tied")
-    family = components(tied).union(tied.where("a = b").select("a", "b")).groupBy("id").agg(F.min("component").alias("family"))
-    members = chained.select("id", F.element_at("ts", 1).alias("t")).join(family.withColumnRenamed("id", "t"), "t").select("family", "id")
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = kept(members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "family")
-    # all blocks against the first
-    first = members.where("block = 0").select("family", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), F.lit(0).alias("block"))
-    units = first.union(members.where("block > 0").select("family", "id", F.col("block").alias("with"), "block"))
-    units = units.select(F.concat_ws(":", "family", "with").alias("grp"), "id", (F.col("block") == F.col("with")).alias("query"))
-    found = kept(found.union(search_groups(units.join(full, "id"), percent)), "found")
-    # sets outside their family's main component against all blocks
-    label = components(found)
-    labelled = kept(members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    sized = labelled.groupBy("family", "component").agg(F.count("*").alias("size"))
-    main = sized.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    rest = kept(labelled.join(main, "family"), "rest")
-    asked = rest.where("component <> main")
-    many = asked.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
-    asked = kept(asked.join(many, "family").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int")), "asked")
-    if asked.isEmpty():
-        return found
-    others = F.explode(F.sequence(F.lit(0), F.col("asks") - 1))
-    units = asked.select("family", "ask", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(F.concat_ws(":", "family", "ask", "with").alias("grp"), "id", F.lit(True).alias("query"))
-    units = units.union(rest.join(many, "family").where("component = main").select("family", "id", others.alias("ask"), "block").select(F.concat_ws(":", "family", "ask", "block").alias("grp"), "id", F.lit(False).alias("query")))
-    among = asked.select("family", "id", others.alias("other"), "ask")
-    units = units.union(among.select(F.concat_ws(":", F.lit("u"), "family", F.least("ask", "other"), F.greatest("ask", "other")).alias("grp"), "id", (F.col("ask") <= F.col("other")).alias("query")))
-    return found.union(search_groups(units.join(full, "id"), percent))
-
-
-def links(docs: DataFrame, reps: DataFrame, counted: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links a, b that join the classes' representatives: enough of them to reach each from all that it is linked with."""
-    lists = prefixes(reps, counted, percent)
-    ids = lists.select(F.col("id").alias("doc_id")).distinct()
-    full = kept(sets(docs.join(ids, "doc_id", "left_semi"), size, percent, whole=True).select(F.col("doc_id").alias("id"), "hashes").distinct(), "sets")
-    release(docs.sparkSession)
-    found = kept(short_links(lists, full, percent), "found")
-    release(docs.sparkSession)
-    return long_links(lists, full, found, percent)
+def numbered(counted: DataFrame) -> tuple[DataFrame, bool]:
+    """set_key, n, doc_id (the least) and id of each class, and whether any id differs from doc_id: that of a class
+    whose least doc_id is null or that of another class too."""
+    spark = counted.sparkSession
+    classes = kept(counted.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    odd = kept(classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "odd")
+    if odd.isEmpty():
+        return classes.withColumn("id", F.col("doc_id")), False
+    lo, hi = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # numbers that no doc_id has: above all, or where there is no room below all
+    fresh = F.monotonically_increasing_id()
+    fresh = F.lit((hi if hi is not None else 0) + 1) + fresh if (hi or 0) < 2**62 else F.lit(lo - 1) - fresh
+    own = classes.join(odd, "doc_id", "left_anti").withColumn("id", F.col("doc_id"))
+    others = classes.join(few_rows(odd), classes.doc_id.eqNullSafe(odd.doc_id), "left_semi").withColumn("id", fresh)
+    return kept(own.unionByName(others), "numbered"), True
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    docs = docs.select("doc_id", "text")
     counted = kept(sets(docs, size, percent), "shingles")
-    reps = counted.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    reps = kept(reps, "classes")
-    found = kept(links(docs, reps.select("doc_id"), counted, size, percent), "found")
-    # one document may have several classes, where its doc_id repeats: it links them
-    repeated = kept(counted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    again = not repeated.isEmpty()
-    if again:
-        tied = counted.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "set_key").join(reps.select("set_key", F.col("doc_id").alias("b")), "set_key").select("a", "b")
-        found = found.select("a", "b").union(tied)
-    label = components(found).withColumnRenamed("id", "doc_id")
-    if again:
-        own = label.join(repeated, "doc_id", "left_semi").withColumnRenamed("component", "own")
-    classes = reps.join(label, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
-    rows = counted.select("doc_id", "n", "set_key").join(classes, "set_key", "left")
-    rows = rows.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("own", "component_id")) if again else rows
+    classes, odd = numbered(counted)
+    one = counted.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    if odd:
+        one = one.drop("id").join(classes.select("set_key", "id"), "set_key")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """id and all hashes of some classes."""
+        if not odd:
+            some = docs.join(few_rows(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
+            return sets(some, size, percent, whole=True).select(F.col("doc_id").alias("id"), "hashes")
+        wanted = kept(classes.join(few_rows(ids), "id", "left_semi"), "wanted")
+        texts = few_rows(wanted.select("doc_id").distinct())
+        some = sets(docs.join(texts, docs.doc_id.eqNullSafe(texts.doc_id), "left_semi"), size, percent, whole=True)
+        return some.join(wanted.select("set_key", "id"), "set_key").groupBy("id").agg(F.first("hashes").alias("hashes"))
+
+    found = links(counted, one, fetch, percent)
+    if odd:  # one document may have several classes, where its doc_id repeats: it links them
+        of = kept(counted.where("doc_id is not null and n > 0").select("doc_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key"), "rows")
+        least = of.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("hi")).where("b <> hi").select("doc_id", "b")
+        found = found.union(of.join(least, "doc_id").select(F.col("id").alias("a"), "b"))
+    label = components(found)
+    linked = classes.join(label, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    rows = counted.select("doc_id", "n", "set_key").join(linked, "set_key", "left")
+    if odd:  # a repeated doc_id is one document also where one of its texts is empty; labels may be numbers of our own
+        rows = kept(rows, "labelled")
+        least = rows.where("component_id is not null").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        rows = rows.join(least, "component_id", "left").select("doc_id", "n", F.when(F.col("component_id").isNotNull(), F.col("least")).alias("component_id"))
+        of = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        rows = rows.join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "own"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
