@@ -256,3 +256,25 @@ def test_pipeline(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     assert 0 < docs.count() < spark.read.parquet(f"{SF}/documents.parquet").count() and all(r.decodes for r in docs.select("decodes").collect())
+
+
+def test_token_ids_equal_the_library():
+    import random
+
+    r = random.Random(5)
+    symbols = [*"aAbJz09 .,!?;:'\"-_<|>\n\t\r", "İ", "ı", "É", "́", "̌", "日", "🙂", " ", " ", "Σ", "ﬁ", "½", "한", "ᄒ", "ᅡ", "'s", "'LL", "<|endoftext|>", "ǰ", "ǅ", "²"]
+    texts = ["".join(r.choice(symbols) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    e = token_files.encoder(tokenizer_path("word_bpe_49k.json"))
+    assert [g.tolist() for g in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_of_hot_and_extreme_ids(spark, tmp_path):
+    rows = [(7, f"text number {k}") for k in range(60)] + [(-(2**63), "least"), (2**63 - 1, "most"), (None, "none"), (None, None), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_files.round_trip(d, str(tmp_path / "t"), files=8).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    import json
+
+    assert sum(f["n_docs"] > 0 for f in json.load(open(tmp_path / "t" / "manifest.json"))) > 3  # the hot doc_id has several files

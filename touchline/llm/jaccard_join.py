@@ -34,8 +34,9 @@ from .common import few_rows, kept, parts, release
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Hashes in a block of a list (8 bytes each; a task holds two blocks); sets in the lists of which equal ones are one.
-BLOCK, SHORT = 1_000_000, 64
+#: Hashes in a block of a list (8 bytes each; a task holds two blocks); blocks into which smaller lists are dealt; sets in
+#: the lists of which equal ones are one.
+BLOCK, SPREAD, SHORT = 1_000_000, 12, 64
 #: From so many rows on, hashes count as equally frequent. One class in SAMPLE tells which hashes are hot.
 COUNTED, SAMPLE = 4096, 32
 
@@ -315,9 +316,14 @@ def prefixes(full: DataFrame, percent: int) -> DataFrame:
     return both.where(left > 0).select("id", "n", F.explode(F.slice("x", F.lit(1), left)).alias("x")).select("x.t", "id", "n")
 
 
+def block_count(hashes: Column) -> Column:
+    """Smaller blocks, for more tasks, as long as they are few: what is sent grows with their number."""
+    return F.ceil(F.greatest(hashes / BLOCK, F.least(F.lit(SPREAD), hashes * SPREAD / BLOCK))).cast("int")
+
+
 def in_blocks(members: DataFrame, key: str) -> DataFrame:
-    """members(key, id, n) and blocks, block: each key's members in blocks of about BLOCK hashes."""
-    size = members.groupBy(key).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    """members(key, id, n) and blocks, block: each key's members in blocks of BLOCK hashes at most, on average."""
+    size = members.groupBy(key).agg(block_count(F.sum("n")).alias("blocks"))
     return members.join(size.hint("merge"), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
@@ -341,7 +347,7 @@ def open_links(lists: DataFrame, label: DataFrame, full: DataFrame, percent: int
     short = member.where(F.col("m") <= SHORT).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component", "main"))).alias("ids"))
     short = short.groupBy("ids").agg(F.min("t").alias("t")).select("t", F.explode("ids").alias("x")).select("t", "x.id", "x.n", "x.component", "x.main")
     member = short.unionByName(member.where(F.col("m") > SHORT).drop("m")).withColumn("query", F.col("component") != F.col("main"))
-    asked = member.where("query").groupBy("t").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("asks"))
+    asked = member.where("query").groupBy("t").agg(block_count(F.sum("n")).alias("asks"))
     member = in_blocks(member, "t").join(asked.hint("merge"), "t").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asks")).cast("int"))
     # each block of sets meets each block of those that ask
     of = lambda ask, block, query: F.struct(F.concat_ws(":", "t", ask, block).alias("grp"), query.alias("query"))

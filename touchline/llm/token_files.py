@@ -6,11 +6,12 @@ dictionary's hash and an index of offsets.
 
     b"TLTK" | version u16 | bytes of an id u16 | hash of the dictionary (16 bytes)
     the documents' zstandard frames
-    the index, 4 x n int64 in one zstandard frame: doc_id, offset, compressed bytes, ids
+    the index, 5 x n int64 in one zstandard frame: 1 if there is a doc_id, doc_id, offset, compressed bytes, ids
     length of that frame u64 | n u64 | b"KTLT"
 
-Null text: as an empty one; a document then has only its end id. Repeated doc_ids are all kept, one after another (ties
-by their bytes). A null doc_id comes first. An empty table makes no file and no row. Extra columns are ignored.
+Null text: as an empty one; a document then has only its end id. Repeated doc_ids are all kept, one after another (a
+doc_id that would fill several files is dealt out to them by its bytes; ties within a file by their bytes). A null
+doc_id comes first. Very long texts are encoded whole. An empty table makes no file and no row. Extra columns are ignored.
 Files are written under a temporary name and renamed, so a task that is run again leaves one whole file.
 """
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import parts, scratch, tokenizer_path
 
 MAGIC, HEAD, TAIL = b"TLTK", "<4sHH16s", "<QQ4s"
-#: Entries of a worker's memos; they are emptied when full and never change a result.
-MEMO = 600_000
+#: Words that a worker remembers; they are forgotten when there are more, which never changes a result.
+MEMO = 900_000
+#: Bytes of text (and 128 a document) that go into one file, on average.
+FILE_BYTES = 512 << 20
 
 
 def open_fs(uri: str):
@@ -45,42 +48,54 @@ def open_fs(uri: str):
 
 class Encoder:
     """Encodes with the tokenizers library, many texts at a time. The tokenizer drops white space and never joins across
-    it, so runs between blanks are encoded once and remembered, and so are words within runs; texts that may hold a
-    special token's string are encoded as they are."""
+    it, so words between blanks are encoded once and remembered: new ones all in one text, apart by a special token.
+    Marks after a letter or digit of ASCII at a word's end are words of their own. Texts that may hold a special token's
+    string are encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.tokenizer.model)  # for words that the normaliser and the splitter leave as they are
+        added = self.tokenizer.get_added_tokens_decoder()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _words(self, words: set[str]) -> None:
-        """Remembers the ids of words and of marks between them."""
-        if len(self.words) > MEMO:
-            self.words = {"": b""}
-        new = [w for w in words if w not in self.words]
-        plain = [w for w in new if w.isascii() and w.isalpha()]
-        other = [w for w in new if not (w.isascii() and w.isalpha())]
-        for t, some in ((self.bare, plain), (self.tokenizer, other)):
-            for at in range(0, len(some), 4096):
-                got = t.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)
-                self.words.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(some[at : at + 4096], got))
-
-    def _learn(self, new: set[str]) -> None:
-        split = {}
-        for r in new:
-            w = r.rstrip(".,!?;:")
-            w = w if w[-1:].isalnum() else r  # else the marks belong to those before them
-            split[r] = (w.lower() if w.isascii() and w.isalpha() else w, r[len(w) :])
-        self._words({x for p in split.values() for x in p})
-        words = self.words
-        self.runs.update((r, words[w] + words[m]) for r, (w, m) in split.items())
+        self.marks = [t.content for t in added.values()]
+        apart = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.apart = apart[0] if apart else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {"": 0}  # of each word, where its ids begin and end
+        self.pool = np.zeros(1 << 16, dtype=self.kind)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # slot k: pool[ends[k] : ends[k + 1]]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        ids, sizes = [], []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            if self.apart:
+                got = np.array(self.tokenizer.encode_batch_fast([self.apart[1].join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+                cut = np.flatnonzero(got == self.apart[0])
+                sizes.append(np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1)
+                ids.append(np.delete(got, cut))
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.array(list(map(len, got))))
+                ids += [np.array(g, dtype=self.kind) for g in got]
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        ids, sizes = self._ids(words)
+        n, end = len(self.slot), int(self.ends[len(self.slot)])
+        while n + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while end + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.ends[n + 1 : n + 1 + len(words)] = end + np.cumsum(sizes)
+        self.pool[end : end + len(ids)] = ids
+        self.slot.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text of a list or Arrow array; null as empty."""
@@ -88,27 +103,29 @@ class Encoder:
         import pyarrow.compute as pc
 
         texts = (texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())).fill_null("")
+        if not len(texts):
+            return []
         whole = np.zeros(len(texts), dtype=bool)
         for m in self.marks:
             whole |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        plain = pc.replace_substring_regex(plain, r"([A-Za-z0-9])([.,!?;:]+)(\s|$)", r"\1 \2\3")
+        # A-Z as a-z, but in texts with combining marks: letters of either case may be composed differently
+        plain = pc.if_else(pc.match_substring_regex(plain, r"\p{M}"), plain, pc.ascii_lower(plain))
         split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
-        runs = split.flatten().dictionary_encode()
-        here, at = runs.dictionary.to_pylist(), runs.indices.to_numpy()
-        new = {r for r in here if r not in self.runs}
-        if len(self.runs) + len(new) > MEMO:
-            self.runs = {"": b""}
-            new = set(here) - {""}
+        words = split.flatten().dictionary_encode()
+        here = words.dictionary.to_pylist()
+        new = [w for w in here if w not in self.slot]
+        if len(self.slot) + len(new) > MEMO:
+            self._forget()
+            new = [w for w in here if w]
         if new:
             self._learn(new)
-        known = list(map(self.runs.__getitem__, here))
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.width
-        first = np.cumsum(size) - size
-        n = size[at]
+        slot = np.fromiter(map(self.slot.__getitem__, here), dtype=np.int64, count=len(here))[words.indices.to_numpy()]
+        first, n = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
         end = np.cumsum(n)
-        ids = np.frombuffer(b"".join(known), dtype=self.kind)[np.repeat(first[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        ends = np.concatenate(([0], end))[np.cumsum(pc.list_value_length(split).to_numpy())]
-        out = np.split(ids, ends[:-1]) if len(ends) else []
+        ids = self.pool[np.repeat(first - (end - n), n) + np.arange(end[-1])]
+        out = np.split(ids, np.concatenate(([0], end))[np.cumsum(pc.list_value_length(split).to_numpy())][:-1])
         for k in np.flatnonzero(whole).tolist():
             out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=self.kind)
         return out
@@ -142,14 +159,14 @@ class Reader:
         system, path = open_fs(uri)
         self.file = system.open_input_file(path)
         magic, version, self.width, mark = struct.unpack(HEAD, self.file.read_at(struct.calcsize(HEAD), 0))
-        if magic != MAGIC or version != 1 or mark != dictionary_hash(dictionary):
+        if magic != MAGIC or version != 2 or mark != dictionary_hash(dictionary):
             raise ValueError(f"{uri}: not a token file of this dictionary")
         size, tail = self.file.size(), struct.calcsize(TAIL)
         length, self.n, end = struct.unpack(TAIL, self.file.read_at(tail, size - tail))
         if end != MAGIC[::-1]:
             raise ValueError(f"{uri}: cut off")
         index = zstandard.ZstdDecompressor().decompress(self.file.read_at(length, size - tail - length))
-        self.doc_ids, self.offsets, self.sizes, self.counts = np.frombuffer(index, dtype="<i8").reshape(4, self.n)
+        self.known, self.doc_ids, self.offsets, self.sizes, self.counts = np.frombuffer(index, dtype="<i8").reshape(5, self.n)
         self.zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
     def ids(self, k: int) -> np.ndarray:
@@ -160,26 +177,26 @@ class Reader:
         self.file.close()
 
 
-NULL_ID = -(2**63)
-
-
-def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int = 2, files: int | None = None, dictionary_bytes: int = 64 << 10, train_rows: int = 400, level: int = 1) -> list[dict]:
+def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int = 2, files: int | None = None, dictionary_bytes: int = 64 << 10, train_rows: int = 400, train_chars: int = 8000, level: int = 1) -> list[dict]:
     """Writes the files, `dictionary.zstd` and `manifest.json` into `out_uri`; returns the manifest: file, start, n_docs, n_tokens by ascending doc_id.
 
-    The dictionary is trained on `train_rows` rows at most. Cut points are quantiles of doc_id, one a file.
+    The dictionary is trained on the first `train_chars` characters of `train_rows` rows at most; it tells how small the
+    files are, not what they hold. Cut points are quantiles of doc_id, one a file; there are as many files as
+    FILE_BYTES asks for, and shuffle partitions at least.
     """
     import pyarrow as pa
     import zstandard
 
     spark, path = docs.sparkSession, path or tokenizer_path("word_bpe_49k.json")
     docs = docs.select("doc_id", "text")
-    files = files or parts(spark)
+    if not files:
+        files = max(parts(spark), -(-(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 128)).first()[0] or 0) // FILE_BYTES))
     chosen = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect() if r.doc_id is not None]
-    texts = docs.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min(F.substring("text", 1, 8000)).alias("text")).orderBy("doc_id").collect() if chosen else []
+    texts = docs.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min(F.substring("text", 1, train_chars)).alias("text")).orderBy("doc_id").collect() if chosen else []
     e = encoder(path)
     raw = train_dictionary([x.tobytes() for x in e.encode([r.text or "" for r in texts]) if len(x)], dictionary_bytes)
-    cuts = (docs.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 10_000)).first() or [None])[0] if files > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    cuts = (docs.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(10_000, 10 * files))).first() or [None])[0] if files > 1 else []
+    cuts = np.sort(np.array(cuts or [], dtype=np.int64))
     system, folder = open_fs(out_uri)
     system.create_dir(folder, recursive=True)
     with system.open_output_stream(f"{folder}/dictionary.zstd") as f:
@@ -192,14 +209,20 @@ def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int =
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True)
         last = array(e.kind, [end_id]).tobytes()
         for b in it:
-            ids = [NULL_ID if x is None else x for x in b.column(0).to_pylist()]
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy()
+            # a cut that stands more than once: so many files are its doc_id's
+            part = np.where(known, np.searchsorted(cuts, ids, side="left"), 0)
+            same = np.where(known, np.searchsorted(cuts, ids, side="right"), 0) - part
             column, at = b.column(1), 0
             upto = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
             while at < len(ids):
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4_000_000)))
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 6_000_000)))
                 got = [x.tobytes() + last for x in e.encode(column.slice(at, to - at))]
-                part = np.searchsorted(cuts, np.array(ids[at:to]), side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids[at:to], pa.int64()), pa.array([len(x) // e.width for x in got], pa.int64()), pa.array([z.compress(x) for x in got], pa.binary())], names=["part", "doc_id", "n", "blob"])
+                where = part[at:to]
+                for k in np.flatnonzero(same[at:to] > 1).tolist():
+                    where[k] += zlib.crc32(got[k]) % int(same[at + k])
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column(0).slice(at, to - at), pa.array([len(x) // e.width for x in got], pa.int64()), pa.array([z.compress(x) for x in got], pa.binary())], names=["part", "doc_id", "n", "blob"])
                 at = to
 
     def save(it):
@@ -207,23 +230,24 @@ def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int =
         z, now, out, done = zstandard.ZstdCompressor(level=3), None, None, []
 
         def close():
-            index = z.compress(np.array(rows, dtype="<i8").T.tobytes())
-            out.write(index + struct.pack(TAIL, len(index), len(rows), MAGIC[::-1]))
+            index = z.compress(b"".join(np.array(c, dtype="<i8").tobytes() for c in columns))
+            out.write(index + struct.pack(TAIL, len(index), len(columns[0]), MAGIC[::-1]))
             out.close()
             system.move(temporary, f"{folder}/part-{now:05d}.tok")
-            done.append((now, len(rows), sum(r[3] for r in rows)))
+            done.append((now, len(columns[0]), sum(columns[4])))
 
         for b in it:
             for part, doc_id, n, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if part != now:
                     if out:
                         close()
-                    now, rows, at = part, [], struct.calcsize(HEAD)
+                    now, columns, at = part, [array("q") for _ in range(5)], struct.calcsize(HEAD)
                     temporary = f"{folder}/.{part:05d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary)
-                    out.write(struct.pack(HEAD, MAGIC, 1, 2 if encoder(path).width == 2 else 4, dictionary_hash(raw)))
+                    out.write(struct.pack(HEAD, MAGIC, 2, encoder(path).width, dictionary_hash(raw)))
                 out.write(blob)
-                rows.append((doc_id, at, len(blob), n))
+                for c, x in zip(columns, (doc_id is not None, doc_id or 0, at, len(blob), n)):
+                    c.append(x)
                 at += len(blob)
         if out:
             close()
@@ -240,7 +264,7 @@ def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int =
 
 
 def read_back(spark: SparkSession, uri: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone; a task reads whole files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone; a task reads whole files, some rows at a time."""
     import pyarrow as pa
 
     system, folder = open_fs(uri)
@@ -251,14 +275,15 @@ def read_back(spark: SparkSession, uri: str) -> DataFrame:
         for b in it:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = Reader(file, raw)
-                sums = [zlib.crc32(r.ids(k).astype("<u4").tobytes()) for k in range(r.n)]
                 starts = start + np.cumsum(r.counts) - r.counts
-                ids = [None if x == NULL_ID else x for x in r.doc_ids.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(r.counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, r.n, 4096):
+                    to = min(r.n, at + 4096)
+                    sums = [zlib.crc32(r.ids(k).astype("<u4").tobytes()) for k in range(at, to)]
+                    yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[at:to], pa.int64(), mask=r.known[at:to] == 0), pa.array(starts[at:to], pa.int64()), pa.array(r.counts[at:to], pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 r.close()
 
     rows = spark.createDataFrame([(m["file"], m["start"]) for m in manifest], "file string, start long")
-    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, min(len(manifest), parts(spark)))).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, out_uri: str | None = None, **how) -> DataFrame:
