@@ -5,9 +5,11 @@ A page becomes a tree of its block elements and text blocks. Each node is conten
 potential. Sum-product message passing, upward and then downward, yields each node's marginal; text blocks of marginal
 0.5 or more are kept, in page order. The weights are trained on labelled pages by their likelihood.
 
-Null or empty html, and pages without content: text "" and n_chars 0. Broken markup is read as browsers do it roughly:
-open elements are closed where they must be, stray end tags are ignored. Repeated rows: each on its own. Extra columns
-are ignored. Ties (a marginal of exactly 0.5) count as content.
+Null or empty html, and pages without content: text "" and n_chars 0. Broken markup is read as browsers do it: open
+elements are closed where they must be, stray end tags are ignored, elements beyond DEEPEST levels become siblings; a
+quote that nothing closes ends with its tag. One pass over the page, in time linear in its length. Plain text,
+and a page that has only paragraphs and headings, is an article of its own. Repeated rows: each on its own. Extra columns are ignored. Ties (a
+marginal of exactly 0.5) count as content.
 """
 
 from __future__ import annotations
@@ -20,9 +22,14 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-RAW = re.compile(r"<(script|style|template|noscript|textarea|iframe|svg|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+#: An attribute's name, and the quote that opens its value or the value; nothing at the end of a tag.
+ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(\"|'|[^\s>\"'][^\s>]*|))?)?")
+#: Elements whose content is no markup; elements that hold nothing to read; elements that stand in a head.
+RAW = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in "script style textarea title iframe xmp noembed noframes".split()}
+DROPPED = frozenset("template noscript svg math object".split())
+HEADISH = frozenset("title meta link base script style noscript template".split())
+DEEPEST = 400
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr progress output".split())
 #: Open elements that a start tag closes.
@@ -46,7 +53,11 @@ WORDS = {
     "w_content": "content article post entry story main body text blog page prose single articlebody maincontent".split(),
 }
 WORD = {w: k for k, ws in WORDS.items() for w in ws}
-NAMES = [*sorted(set(TAGS.values())), "other", *WORDS, "hidden", "links", "short", "long", "stop", "sign", "bias"]
+#: What a page has to say where its article is: an article element, a main one, a class of that kind, or nothing.
+KINDS = ("article", "main", "class", "bare")
+BASE = [*sorted(set(TAGS.values())), "other", *WORDS, "hidden", "links", "short", "long", "stop", "sign"]
+#: A node's features, and each of them together with its page's kind.
+NAMES = [*BASE, "bias", *(f"{k}:{n}" for k in KINDS for n in BASE)]
 COLUMN = {n: k for k, n in enumerate(NAMES)}
 
 
@@ -58,84 +69,164 @@ class Tree:
         self.features: list[tuple[int, ...]] = [(COLUMN["root"],)]
         self.text: list[str | None] = [None]
         self.marks: list[str] = [""]
-        source = RAW.sub(" ", source)
-        stack: list[tuple[str, int]] = [("#page", 0)]
-        run: list[str] = []
-        linked = inside = 0  # characters within links; open links
-
-        def flush():
-            nonlocal run, linked
-            if run:
-                t = " ".join(entities.unescape("".join(run)).split())
-                if t:
-                    f = [COLUMN["text"]]
-                    if linked > 0.5 * len(t):
-                        f.append(COLUMN["links"])
-                    if len(t) < 40:
-                        f.append(COLUMN["short"])
-                    elif len(t) > 120:
-                        f.append(COLUMN["long"])
-                    if t[-1] in ".!?\"'":
-                        f.append(COLUMN["stop"])
-                    if t[0] == "©" or "©" in t[:60]:
-                        f.append(COLUMN["sign"])
-                    self.add(stack[-1][1], f, t, "")
-                run, linked = [], 0
-
-        at = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                piece = source[at : m.start()]
-                run.append(piece)
-                if inside:
-                    linked += len(piece)
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+        self.kind = len(KINDS) - 1
+        self.plain = True  # whether there are only paragraphs and headings, and so nothing to choose from
+        self.stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, node, whether its text is dropped
+        self.open: dict[str, list[int]] = {}  # where each tag stands in the stack
+        self.scopes = [0]  # where elements of SCOPE stand in the stack
+        self.run: list[str] = []
+        self.linked = self.inside = 0  # characters within links; open links
+        self.read(source)
+        own = len(BASE) * (1 + self.kind) + 1
+        self.features = [(*f, *(own + c for c in f)) for f in self.features]
+
+    def read(self, source: str) -> None:
+        at, end, gone = 0, len(source), {'"': False, "'": False}
+        while at < end:
+            lt = source.find("<", at)
+            lt = end if lt < 0 else lt
+            if lt > at:
+                self.piece(source[at:lt])
+            if lt == end:
+                break
+            m = TAG.match(source, lt + 1)
+            if m is None:
+                if source.startswith("<!--", lt):
+                    to = source.find("-->", lt + 2 if source.startswith("<!-->", lt) else lt + 4)
+                    at = end if to < 0 else to + 3
+                elif source[lt + 1 : lt + 2] in ("!", "?", "/"):
+                    to = source.find(">", lt)
+                    at = end if to < 0 else to + 1
+                else:
+                    self.piece("<")
+                    at = lt + 1
                 continue
-            tag = tag.lower()
-            if tag in INLINE:
-                if tag == "a":
-                    inside = max(0, inside + (-1 if m[1] else 1))
-                elif tag == "br" or tag == "img":
-                    run.append(" ")
-                continue
-            flush()
-            inside = 0
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+            at, values = m.end(), []
+            if source[at : at + 1] != ">":
+                while True:
+                    a = ATTRIBUTE.match(source, at)
+                    at = a.end()
+                    name, value = a[1], a[2]
+                    if name is None:
                         break
+                    if value == '"' or value == "'":
+                        to = -1 if gone[value] else source.find(value, at)
+                        if to < 0:  # nothing closes it: the tag does
+                            gone[value] = True
+                            to = source.find(">", at)
+                            to = end if to < 0 else to
+                            value, at = source[at:to], to
+                        else:
+                            value, at = source[at:to], to + 1
+                    values.append((name, value or ""))
+                if at >= end:  # a tag that the page's end cuts off
+                    break
+            closed = source[at - 1] == "/"
+            at += 1
+            tag = m[2].lower()
+            if m[1]:
+                self.end_tag(tag)
                 continue
-            if tag not in VOID:
-                if stack[-1][0] == "p":  # a block ends a paragraph
-                    stack.pop()
-                if tag in CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in CLOSES[tag]:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in SCOPE:
-                            break
-                f = {COLUMN[TAGS.get(tag, "other")]}
-                mark = ""
-                if m[3]:
-                    for name, *values in ATTRIBUTE.findall(m[3]):
-                        name, value = name.lower(), "".join(values).lower()
-                        if name in ("class", "id", "role", "aria-label"):
-                            for w in re.split(r"[^a-z]+", value):
-                                if w in WORD:
-                                    f.add(COLUMN[WORD[w]])
-                        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                            f.add(COLUMN["hidden"])
-                        elif name == "data-y":
-                            mark = value
-                stack.append((tag, self.add(stack[-1][1], f, None, mark)))
-                if m[3].endswith("/") and tag != "p":
-                    stack.pop()
-        run.append(source[at:])
-        flush()
+            self.start_tag(tag, values, closed)
+            if tag in RAW:
+                close = RAW[tag].search(source, at)
+                to = close.start() if close else end
+                if tag == "title":
+                    self.piece(source[at:to])
+                at = to
+        self.flush()
+
+    def piece(self, text: str) -> None:
+        self.run.append(text)
+        if self.inside:
+            self.linked += len(text)
+
+    def flush(self) -> None:
+        if self.run:
+            t = " ".join(entities.unescape("".join(self.run)).split())
+            if t:
+                if self.stack[-1][0] == "head":
+                    self.cut(len(self.stack) - 1)
+                _, node, dropped = self.stack[-1]
+                f = [COLUMN["text"]]
+                if self.linked > 0.5 * len(t):
+                    f.append(COLUMN["links"])
+                if len(t) < 40:
+                    f.append(COLUMN["short"])
+                elif len(t) > 120:
+                    f.append(COLUMN["long"])
+                if t[-1] in ".!?\"'”»。":
+                    f.append(COLUMN["stop"])
+                if "©" in t[:60]:
+                    f.append(COLUMN["sign"])
+                if not dropped:
+                    self.add(node, f, t, "")
+            self.run = []
+        self.linked = 0
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th open element and all within it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
+
+    def end_tag(self, tag: str) -> None:
+        if tag in INLINE:
+            if tag == "a":
+                self.inside = max(0, self.inside - 1)
+            return
+        self.flush()
+        self.inside = 0
+        if tag not in ("body", "html") and self.open.get(tag):
+            self.cut(self.open[tag][-1])
+
+    def start_tag(self, tag: str, values: list[tuple[str, str]], closed: bool) -> None:
+        if tag in INLINE:
+            if tag == "a":
+                self.inside += 1
+            elif tag in ("br", "img"):
+                self.run.append(" ")
+            return
+        self.flush()
+        self.inside = 0
+        if self.open.get("head") and tag not in HEADISH:
+            self.cut(self.open["head"][-1])
+        if tag in VOID or tag in ("html", "head", "body") and self.open.get(tag):
+            return
+        if self.stack[-1][0] == "p":  # a block ends a paragraph
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES:
+            first = [self.open[t][k] for t in CLOSES[tag] if self.open.get(t) for k in (-1,)]
+            if first and max(first) > self.scopes[-1]:
+                self.cut(min(k for k in first if k > self.scopes[-1]))
+        f = {COLUMN[TAGS.get(tag, "other")]}
+        self.plain = self.plain and TAGS.get(tag) in ("root", "head", "p", "heading")
+        mark = ""
+        if tag in KINDS:
+            self.kind = min(self.kind, KINDS.index(tag))
+        for name, value in values:
+            name, value = name.lower(), value.lower()
+            if name in ("class", "id", "role", "aria-label"):
+                for w in re.split(r"[^a-z]+", value):
+                    if w in WORD:
+                        f.add(COLUMN[WORD[w]])
+                        if WORD[w] == "w_content" and tag != "body":
+                            self.kind = min(self.kind, KINDS.index("class"))
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                f.add(COLUMN["hidden"])
+            elif name == "data-y":
+                mark = value
+        _, above, dropped = self.stack[-1]
+        node = self.add(above, f, None, mark)
+        if closed and tag not in TAGS and tag not in RAW:
+            return
+        deep = len(self.stack) >= DEEPEST
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, above if deep else node, dropped or tag in DROPPED or tag in RAW and tag != "title"))
 
     def add(self, parent: int, features, text: str | None, mark: str) -> int:
         self.parent.append(parent)
@@ -153,7 +244,7 @@ def blocks(source: str | None) -> list[str]:
 # --- labelled pages -------------------------------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     """Pages in which data-y tells content (1) from the rest (0): the layouts that sites commonly use."""
     r = random.Random(seed)
 
@@ -167,7 +258,8 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
         return "".join(f"<{tag}><a href='/x'>{words(1, 3)}</a></{tag}>" for _ in range(r.randint(a, b)))
 
     def name(kind):
-        return r.choice(WORDS[kind])
+        """A word of the kind, or one that tells nothing."""
+        return r.choice(WORDS[kind]) if r.random() < 0.8 else words(1, 1)
 
     def attr(kind):
         return f'{r.choice(["class", "id"])}="{r.choice(["", "site-", "the ", "js_", ""])}{name(kind)}{r.choice(["", "-box", " col", "-1"])}"'
@@ -211,8 +303,10 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
                 out.append(f"<figure><figcaption>{prose()}</figcaption></figure>")
             elif x < 0.9:
                 out.append(f"<div><p>{prose()}</p></div>")
-            elif x < 0.92:
+            elif x < 0.93:
                 out.append(f"<section><h2>{words(1, 4)}</h2><p>{prose()}</p></section>")
+            elif x < 0.95:
+                out.append(f"{r.choice(['', '<div>'])}{prose()}")
             elif x < 0.97:
                 out.append(rest())
             else:
@@ -225,13 +319,36 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
             out.append(comments())
         return "".join(out)
 
+    def wrapped(core, odd=True):
+        """An article within a few boxes that say nothing, or something else."""
+        for _ in range(r.randint(0, 3)):
+            core = f"<div {r.choice(['', '', 'class=' + words(1, 1), attr(r.choice(list(WORDS))) if odd else ''])}>{core}</div>"
+        return core
+
+    def bare():
+        text = [words(25, 90).capitalize() + "." if r.random() < 0.5 else prose() for _ in range(r.randint(1, 8))]
+        core = "".join(r.choice(["<p>{}</p>", "<p>{}", "<p>{}", "<div>{}</div>", "<h2>{}</h2><p>{}</p>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).replace("{}", t) for t in text)
+        core = r.choice([f"<div data-y=1>{wrapped(core, False)}</div>", f"<div data-y=1>{text[0]}</div>", f"<table data-y=1><tr><td>{core}</td></tr></table>", f"<section data-y=1>{core}</section>", f"<div data-y=1><h1>{words(1, 8)}</h1>{core}</div>", f"<center data-y=1>{core}</center>"])
+        if r.random() < 0.4:
+            core = "".join(f"<p data-y=1>{t}</p>" for t in text)
+        before, after = ("".join(rest() for _ in range(r.randint(0, 2))) for _ in range(2))
+        foot = f"<footer data-y=0>&copy; {prose()}</footer>" if r.random() < 0.4 else f"<div {attr('w_frame')} data-y=0>&copy; {prose()}</div>" if r.random() < 0.3 else ""
+        whole = f"<html data-y=0><head><title>{words(1, 8)}</title></head><body>{before}{core}{after}{foot}</body></html>"
+        # fragments: what isn't marked is the page itself
+        return r.choice([whole, whole, core, f"<html data-y=1><body>{text[0]}<p>{text[-1]}</body></html>", f"<html data-y=1>{''.join(f'<p>{t}' for t in text)}", f"<html data-y=1><head data-y=0><title>{words(1, 8)}</title></head><body><h1>{words(1, 8)}</h1>{text[0]}<br>{text[-1]}{foot}</body></html>", f"<html data-y=1>{text[0]}"])
+
     def page():
+        if r.random() < 0.3:  # no container at all, or no markup
+            return bare()
         body = [f"<header data-y=0><div>{words(1, 3)}</div>{r.choice(['', '<h1>' + words(1, 3) + '</h1>'])}<p>{prose()}</p></header>"] if r.random() < 0.5 else []
         body += [rest() for _ in range(r.randint(0, 3))]
         core = article()
         body.append(r.choice([
-            lambda: f"<article data-y=1>{core}</article>",
-            lambda: f"<main data-y=1>{core}</main>",
+            lambda: f"<article data-y=1>{wrapped(core)}</article>",
+            lambda: f"<article {attr(r.choice(list(WORDS)))} data-y=1>{core}</article>",
+            lambda: f"<article class=\"{name('w_content')} {name(r.choice(list(WORDS)))}-{name(r.choice(list(WORDS)))}\" data-y=1>{core}</article>",
+            lambda: f"<main data-y=1>{wrapped(core)}</main>",
+            lambda: f"<div data-y=1>{wrapped(core)}</div>",
             lambda: f"<main data-y=0><article data-y=1>{core}</article></main>",
             lambda: f"<div {attr('w_content')} data-y=1>{core}</div>",
             lambda: f"<div data-y=0><div {attr('w_content')} data-y=1>{core}</div>{rest()}</div>",
@@ -253,24 +370,39 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
 # --- the model ------------------------------------------------------------------------------------------------------
 
 
-def design(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Features:
+    """The features of nodes: pairs of a node and a column."""
+
+    def __init__(self, features: list[tuple[int, ...]]):
+        self.n = len(features)
+        self.node = np.repeat(np.arange(self.n), list(map(len, features)))
+        self.column = np.fromiter((c for f in features for c in f), dtype=np.int64, count=len(self.node))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of each node's weights."""
+        return np.bincount(self.node, weights=w[self.column], minlength=self.n) + w[COLUMN["bias"]]
+
+    def sums(self, y: np.ndarray) -> np.ndarray:
+        """The sum of the nodes' y of each column."""
+        out = np.bincount(self.column, weights=y[self.node], minlength=len(NAMES))
+        out[COLUMN["bias"]] += y.sum()
+        return out
+
+
+def design(trees: list[Tree]) -> tuple[Features, np.ndarray, np.ndarray]:
     """Features of all nodes, the row of each node's parent (-1: none), and each node's depth."""
     sizes = [len(t.parent) for t in trees]
     first = np.cumsum([0, *sizes[:-1]])
     parent = np.concatenate([np.where(np.array(t.parent) < 0, -1, np.array(t.parent) + f) for t, f in zip(trees, first)])
-    x = np.zeros((len(parent), len(NAMES)))
-    x[:, COLUMN["bias"]] = 1
-    at = np.repeat(np.arange(len(parent)), [len(f) for t in trees for f in t.features])
-    x[at, [c for t in trees for f in t.features for c in f]] = 1
-    depth = np.zeros(len(parent), dtype=np.int64)
+    depth = [0] * len(parent)
     for k, p in enumerate(parent.tolist()):
         if p >= 0:
             depth[k] = depth[p] + 1
-    return x, parent, depth
+    return Features([f for t in trees for f in t.features]), parent, np.array(depth, dtype=np.int64)
 
 
 @functools.lru_cache(maxsize=1)
-def train(n: int = 160, seed: int = 7, ridge: float = 1e-4, rounds: int = 220) -> np.ndarray:
+def train(n: int = 900, seed: int = 7, ridge: float = 3e-4, rounds: int = 260) -> np.ndarray:
     """Weights of the features and J01, J10, J11 of the coupling (J00 is 0), by gradient steps (Adam) on the exact
     likelihood of the labelled pages; sum-product gives the expected features."""
     trees = [Tree(p) for p in labelled_pages(n, seed)]
@@ -278,25 +410,26 @@ def train(n: int = 160, seed: int = 7, ridge: float = 1e-4, rounds: int = 220) -
     y = np.array([float(m == "1") for t in trees for m in t.marks])
     child = np.flatnonzero(parent >= 0)
     p = parent[child]
-    seen = np.concatenate([x.T @ y, [((1 - y[p]) * y[child]).sum(), (y[p] * (1 - y[child])).sum(), (y[p] * y[child]).sum()]])
+    seen = np.concatenate([x.sums(y), [((1 - y[p]) * y[child]).sum(), (y[p] * (1 - y[child])).sum(), (y[p] * y[child]).sum()]])
     w = np.zeros(len(NAMES) + 3)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
         node, pair = beliefs(x, parent, depth, w)
-        gradient = (np.concatenate([x.T @ node, pair[child].sum(axis=0)]) - seen) / n + ridge * w
+        gradient = (np.concatenate([x.sums(node), pair[child].sum(axis=0)]) - seen) / n + ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w -= 0.25 * (1 - 0.8 * k / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return w
 
 
-def beliefs(x: np.ndarray, parent: np.ndarray, depth: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def beliefs(x: Features, parent: np.ndarray, depth: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum-product over all trees, messages up to the roots and then down: P(content) of each node, and for each node and
     its parent P(parent 0, node 1), P(1, 0), P(1, 1)."""
-    own = x @ w[: len(NAMES)]
+    own = x.times(w)
     j = np.array([[0.0, w[-3]], [w[-2], w[-1]]])  # j[parent, child]
     up = np.zeros((len(own), 2))  # sum of the children's messages
     sent = np.zeros((len(own), 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
     for rows in levels[:0:-1]:
         b0, b1 = up[rows, 0], own[rows] + up[rows, 1]
         m = np.stack([np.logaddexp(b0 + j[0, 0], b1 + j[0, 1]), np.logaddexp(b0 + j[1, 0], b1 + j[1, 1])], axis=1)
@@ -332,7 +465,10 @@ def extract_all(sources: list[str | None], w: np.ndarray) -> list[str]:
         return []
     p, out, at = marginals(trees, w), [], 0
     for t in trees:
-        out.append("\n".join(x for x, q in zip(t.text, p[at : at + len(t.parent)].tolist()) if x and q >= 0.5))
+        if t.plain:
+            out.append("\n".join(x for x, above in zip(t.text, t.parent) if x and COLUMN["head"] not in t.features[above]))
+        else:
+            out.append("\n".join(x for x, q in zip(t.text, p[at : at + len(t.parent)].tolist()) if x and q >= 0.5))
         at += len(t.parent)
     return out
 
