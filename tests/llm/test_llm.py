@@ -165,7 +165,58 @@ def test_fingerprints(docs, odd):
         assert got[i].near_next == sum(a[k : k + 8] == b[k : k + 8] for k in range(0, 256, 8)) / 32
     long = [r for r in got.values() if r.n_chars > 1000]
     assert np.mean([r.near_edited for r in long]) > 0.3 and np.mean([r.near_next for r in long]) < 0.1
-    assert len(order_minhash.fingerprints(odd).collect()) == len(ODD)
+    assert len(order_minhash.fingerprints(odd).collect()) == len(ODD) and order_minhash.fingerprints(odd.limit(0)).collect() == []
+
+
+def python_fingerprint(spark, text):
+    """The sketches in plain Python; only Spark's hash is its own."""
+    from pyspark.sql import types as T
+
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    t = [c for w in words for c in (w if len(w) > order_minhash.LONG else [w])]
+    if not t:
+        return [0] * order_minhash.SKETCHES
+
+    def hashed(rows, *kinds):
+        schema = T.StructType([T.StructField(f"c{k}", x) for k, x in enumerate(kinds)])
+        return [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(F.xxhash64(*(f"c{k}" for k in range(len(kinds))))).collect()]
+
+    bits = order_minhash.PLACE
+    padded = ["", "", *t, None, None]
+    mers = [h >> bits for h in hashed([tuple(padded[k : k + 3]) for k in range(len(t) + 2)], *[T.StringType()] * 3)]
+    number = [sum(x == m for x in mers[:k]) for k, m in enumerate(mers)]
+    elements = sorted((h >> bits, k) for k, h in enumerate(hashed(list(zip(mers, number)), T.LongType(), T.IntegerType())))
+    width, out = 2 ** (64 - bits) // order_minhash.SKETCHES, []
+    for b in range(order_minhash.SKETCHES):
+        at = next((k for k, (h, _) in enumerate(elements) if h + 2 ** (63 - bits) >= b * width), 0)
+        pair = sorted((elements[at], elements[(at + 1) % len(elements)]), key=lambda x: x[1])
+        out.append([h for h, _ in pair])
+    if len(elements) == 1:
+        return [h & 0xFFFFFFFF for h in hashed([(x[0],) for x in out], T.LongType())]
+    return [h & 0xFFFFFFFF for h in hashed([tuple(x) for x in out], T.LongType(), T.LongType())]
+
+
+def test_fingerprints_against_brute_force(spark):
+    texts = ["one two three four five", "a", "la la la la la la la", "word " * 30 + "end", "x" * 60, "日本語の文章 " * 8, "", " \t", "the quick brown fox jumps over the lazy dog " * 3]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for r in d.select("k", "text", order_minhash.fingerprint(F.col("text")).alias("f")).collect():
+        assert list(r.f) == python_fingerprint(spark, r.text), r.text
+
+
+def test_fingerprints_of_hot_ids(spark):
+    import hashlib
+
+    rows = [(5, f"text {k} of one id " * (k % 4)) for k in range(80)] + [(None, f"none {k} and so on") for k in range(30)] + [(k, f"other {k} here") for k in range(10, 20)] + [(-(2**63), None)]
+    d = spark.createDataFrame([(i, t, "clash", 1, True) for i, t in rows], "doc_id long, text string, bucket string, h int, head boolean")
+    got = order_minhash.fingerprints(d, 16).collect()
+    h = {r.text: r.h for r in d.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        cut = len(t) // 4
+        want.append((str(i), hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
+    assert order_minhash.in_order(d, 16).select("bucket").distinct().count() > 8
 
 
 def test_order_tells(spark):

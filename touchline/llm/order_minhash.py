@@ -2,13 +2,16 @@
 
 DataFrame operations only. A text of any length is a sequence of tokens: its words, and the characters of words of over
 LONG characters (scripts without blanks). What a token is depends on its word alone, so texts of all lengths share
-sketches. Both ends are padded, so that texts under K tokens have k-mers in common too. Each k-mer of tokens is numbered among its equals, so that repeats differ,
-and hashed. The hash circle is cut at SKETCHES points; the sketch of a point is the LENGTH least numbered k-mers after
-it, put back into text order and hashed as a tuple. So both the set of k-mers and their order tell. The likeness of two
-fingerprints is the share of equal sketches (0 to 1).
-
-Null text: as an empty one; its fingerprint is that of no k-mer, equal only to that of texts without a token. Equal texts have equal fingerprints. Repeated rows and equal doc_ids: each row on its own,
-in the order of (doc_id, text); a null doc_id comes first. Extra columns are ignored.
+sketches. Both ends are padded, so that texts under K tokens have k-mers in common too. Each k-mer of tokens is numbered
+among its equals, so that repeats differ, and hashed. The hash circle is cut at SKETCHES points; the sketch of a point is
+the LENGTH least numbered k-mers after it, put back into text order and hashed as a tuple. So both the set of k-mers and
+their order tell. The likeness of two fingerprints is the share of equal sketches (0 to 1). One circle stands for SKETCHES
+permutations: each tuple is a random one, but those of a text of few k-mers are often the same.
+
+Null text: as an empty one; its fingerprint is that of no k-mer, equal only to that of texts without a token. Equal texts
+have equal fingerprints. Repeated rows and equal doc_ids: each row on its own, in the order of (doc_id, hash of the text,
+text); a null doc_id comes first. The last document is followed by the first, a single one by itself. Extra columns are
+ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, parts
+from .common import kept, let, parts
 
 SKETCHES, LENGTH, K, LONG = 32, 2, 3, 24
 #: Bits of an element that hold its position; the others hold its hash.
@@ -91,45 +94,57 @@ def likeness(a: Column, b: Column) -> Column:
     return same / F.lit(float(SKETCHES))
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """`docs` and next_<column> of the document that follows in ascending doc_id; the first follows the last.
+def in_order(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text, h (a hash of the text) and bucket: ascending ranges of (doc_id, h), bounded by quantiles of doc_id.
 
-    Rows are dealt out once, by ranges of doc_id whose bounds are quantiles; only each range's first row goes on to the
-    range before it, so no task sees more than its ranges.
+    Null doc_ids come first. A doc_id that would fill several buckets has several, by h.
     """
-    buckets = buckets or 4 * parts(docs.sparkSession)
-    cuts = (docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20_000)).first() or [None])[0] if buckets > 1 else None
-    cuts = sorted(set(cuts or []))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    cuts, rows, nulls = docs.select(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(10_000, 20 * buckets)) if buckets > 1 else F.lit(None), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = sorted(cuts or [])
+    first = -(-nulls * buckets // max(1, rows))  # buckets of null doc_ids
+    least = sorted({c: cuts.index(c) for c in cuts}.items())  # each cut, and how many are below it
+
     # the number of cuts below doc_id, by halving
     def rank(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return F.lit(least[lo][1] if lo < len(least) else len(cuts))
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(cuts[mid]), rank(lo, mid)).otherwise(rank(mid + 1, hi))
-
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(rank(0, len(cuts))) if len(cuts) <= 256 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0))
-    dealt = docs.withColumn("bucket", bucket)
-    by = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), *[F.col(c) for c in columns if c == "text"])
-    row = F.struct(*(F.col(c) for c in columns))
-    led = dealt.withColumn("next", F.lead(row).over(by))
-    firsts = dealt.groupBy("bucket").agg(F.min_by(row, F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), *[F.col(c) for c in columns if c == "text"])).alias("head"))
+        return F.when(F.col("doc_id") <= F.lit(least[mid][0]), rank(lo, mid)).otherwise(rank(mid + 1, hi))
+
+    part = lambda n: F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * n, 32)
+    many = {c: cuts.count(c) for c, _ in least if cuts.count(c) > 1}
+    share = F.element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), F.col("doc_id")) if many else F.lit(1)
+    place = rank(0, len(least)) if len(least) <= 256 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0))
+    bucket = F.when(F.col("doc_id").isNull(), part(F.lit(max(1, first)))).otherwise(first + place + part(F.coalesce(share, F.lit(1)).cast("long")))
+    return docs.withColumn("bucket", bucket.cast("int"))
+
+
+def with_heads(docs: DataFrame) -> DataFrame:
+    """`docs` with head (false), and the first row of each bucket once more at the end of the bucket before (head: true)."""
+    least = docs.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("x"))
     order = Window.orderBy("bucket")  # one row a bucket
-    numbered_ = firsts.select("bucket").withColumn("after", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(order)))
-    heads = numbered_.join(firsts.withColumnRenamed("bucket", "after"), "after").select("bucket", "head")
-    last = led.where(F.col("next").isNull()).join(heads, "bucket").withColumn("next", F.col("head")).drop("head")
-    rest = led.where(F.col("next").isNotNull())
-    return rest.unionByName(last).select(*docs.columns, *(F.col(f"next.{c}").alias(f"next_{c}") for c in columns))
+    least = kept(least.select("bucket", F.col("x.doc_id").alias("first_id"), F.col("x.h").alias("first_h"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("before")), "heads")
+    # a few dozen bytes a bucket
+    same = docs.join(F.broadcast(least.withColumnRenamed("bucket", "b")), (F.col("bucket") == F.col("b")) & (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    heads = same.groupBy(F.col("before").alias("bucket")).agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), "bucket", F.lit(True).alias("head"))
+    return docs.withColumn("head", F.lit(False)).unionByName(heads)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row: the edited
-    text has its last floor(n_chars / 4) characters replaced by the first as many of the next document."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("sketch", fingerprint(F.col("text")))
-    both = with_next(own, ["text", "sketch"])
+    text has its last floor(n_chars / 4) characters replaced by the first as many of the next document.
+
+    Rows are dealt out once, by ranges of doc_id; only each range's first text goes on to the range before it.
+    """
+    buckets = buckets or 4 * parts(docs.sparkSession)
+    own = with_heads(in_order(docs.withColumn("doc_id", F.col("doc_id").cast("long")), buckets)).withColumn("sketch", fingerprint(F.col("text")))
+    by = Window.partitionBy("bucket").orderBy("head", F.col("doc_id").asc_nulls_first(), "h", "text")
+    both = own.withColumn("next", F.lead(F.struct("text", "sketch")).over(by)).where("not head")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), cut))
-    both = both.select("doc_id", n.alias("n_chars"), "sketch", edited.alias("edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next.text"), F.lit(1), cut))
+    both = both.select("doc_id", n.alias("n_chars"), "sketch", edited.alias("edited"), likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"))
     both = both.select("*", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_sketch")).drop("edited")
     return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), "near_next")
