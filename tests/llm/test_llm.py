@@ -50,6 +50,11 @@ def test_cross_parsing_against_brute_force():
     for t in ["the cadabra", "gatos", "zz", "a", "cat cat cat los"]:
         c = p.codes(t)
         assert p.phrases([c])[0].tolist() == [phrases(c.tolist(), p.codes(x).tolist()) for x in texts.values()]
+    r = np.random.default_rng(1)
+    wide = {"han": "".join(chr(0x4E00 + k) for k in r.integers(0, 6000, 900)), "latin": "some words of a language " * 3}
+    p = language_id.CrossParser(wide)
+    codes = [p.codes(x) for x in [wide["han"][40:90], wide["han"][::7], "some of a 一丁", *[wide["han"][k : k + 9] + "words" for k in range(20)]]]
+    assert p.width > 700 and p.phrases(codes).tolist() == [[phrases(c.tolist(), p.codes(x).tolist()) for x in wide.values()] for c in codes]
 
 
 def test_language_of_odd_texts(odd):
@@ -370,3 +375,35 @@ def test_html_against_regular_expressions():
         parts = re.split("</?(?:p|h1)>", re.sub("<[^/ph!][^>]*>|</[^ph][^>]*>|<!--.*?-->", " ", inner, flags=re.S))
         want = "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in parts) if t)
         assert html_extraction.extract_all([page], html_extraction.train()) == [want]
+
+
+def test_warc_headers_and_streams(spark, tmp_path):
+    import gzip
+
+    odd = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:x>\r\ncontent-length:  %d\r\nWARC-Target-URI:http://a:80/b\r\nX-Long: one\r\n two\r\nX-Twice: 1\r\nX-Twice:2\r\nWARC-Page-Id: seven\r\n\r\n%s\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\ncontent-type:text/html\r\nBad line\r\n\r\n<p>A</p><p>B</p>"
+    raw = odd % (len(block), block)
+    (headers, got), (_, empty) = warc.parse(raw + b"\r\n" + odd % (0, b""))
+    assert got == block and empty == b"" and headers["X-Long"] == "one two" and headers["X-Twice"] == "1, 2" and headers["WARC-Target-URI"] == "http://a:80/b"
+    assert warc.row(raw)[:3] == (None, "response", "<urn:x>")
+    d = spark.createDataFrame([("response", raw), ("response", raw), ("request", raw)], "record_type string, record binary")
+    kinds = sorted(r.record_type for r in warc.derive(d).collect())
+    assert kinds == ["conversion"] * 2 + ["metadata"] * 2
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "one.warc.gz").write_bytes(gzip.compress(raw * 3))  # one member, three records
+    (tmp_path / "w" / "two.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(raw))
+    (tmp_path / "w" / "plain.warc").write_bytes(raw)
+    assert warc.read_files(spark, str(tmp_path / "w")).count() == 6
+    with pytest.raises(ValueError):
+        list(warc.parse(raw[:-20]))
+
+
+def test_warc_of_odd_tables(spark, tmp_path):
+    schema = "page_id long, url string, html string, record_id string, record binary"
+    rows = [(1, "u", "<p>a</p>", "clash", None)] * 3 + [(None, None, "x" * 300_000, None, None)]
+    d = spark.createDataFrame(rows, schema)
+    made = warc.responses(d)
+    assert made.count() == 4 and made.select("record_id").distinct().count() == 2 and warc.derive(made).count() == 8
+    warc.write_files(made, str(tmp_path / "w"), 2)
+    assert warc.read_files(spark, str(tmp_path / "w")).count() == 2  # equal captures once
+    assert warc.responses(d.limit(0)).collect() == warc.derive(made.limit(0)).collect() == []

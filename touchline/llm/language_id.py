@@ -5,7 +5,8 @@ it: each phrase is the longest prefix of the rest that occurs in the sample. The
 fewest phrases, normalised to bits per letter (phrases x log2 of the sample's length / length), wins.
 
 Null texts, empty texts and texts without letters: `und`, score 0. Ties: the first language by name. Repeated rows are
-predicted each on its own; extra columns of the input are ignored. No labelled row at all: every text is `und`.
+predicted each on its own; extra columns of the input are ignored. No labelled row at all: every text is `und`. Alphabets
+may be of any size: the automata are sparse tables. Of more than `max_languages` labels the most frequent are learned.
 """
 
 from __future__ import annotations
@@ -27,21 +28,21 @@ def held_out(doc_id="doc_id"):
 
 
 def training_texts(docs: DataFrame, per_language: int = 48, max_chars: int = 12_000, max_languages: int = 512) -> dict[str, str]:
-    """A bounded sample: for each language the `per_language` rows of least hash outside the held-out fold, `max_chars` characters in all.
+    """A bounded sample: for each language the `per_language` rows of least hash outside the held-out fold, of each the same
+    share of characters from its begin, `max_chars` characters in all.
 
     The bound is per_language x max_languages rows and max_chars x max_languages characters, at any size of the input.
     Only ids and labels are ranked; the texts of the chosen rows are fetched by a filter on their ids.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct()
-    found = picked.limit(per_language * max_languages + 1).collect()
-    if len({r.lang for r in found}) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    picked = rows.where(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("k", F.row_number().over(best))
+    found = picked.where(F.col("k") <= per_language).select("doc_id", "lang").distinct().collect()
     out: dict[str, list[tuple[int, str]]] = {}
     if not found:
         return {}
-    texts = rows.where(F.col("doc_id").isin([r.doc_id for r in found])).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
+    texts = rows.where(F.col("doc_id").isin([r.doc_id for r in found]) & F.col("lang").isin(languages)).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
     for r in texts.collect():
         out.setdefault(r.lang, []).append((r.doc_id, r.text))
     share = max(200, max_chars // max(1, per_language // 4))
@@ -80,42 +81,69 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """The automata of all languages in one table: entry (state, symbol) holds the next state, and in its two lowest bits how many phrases end."""
+    """The automata of all languages as rows of one sparse table, shifted into each other's gaps.
+
+    A state is where its row begins. `owner` of state + symbol is the state (else the state has no such edge, and the
+    phrase ends), `next` the next state, and in its two lowest bits how many phrases end.
+    """
 
     def __init__(self, texts: dict[str, str]):
         self.languages = list(texts)
         letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
         self.width = len(letters) + 2  # 0: between words; 1: a letter of no sample
-        if self.width > 4000:
-            letters, self.width = letters[:3998], 4000
-        code = np.zeros(0x110000, dtype=np.uint16)
+        code = np.zeros(0x110000, dtype=np.int32)
         code[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         for k, c in enumerate(letters, 2):
             for x in {c, c.upper(), c.title()}:
                 if len(x) == 1:
                     code[ord(x)] = k
         self.code = code
-        tables, self.roots, self.sizes, base = [], [], [], 0
+        owner, target = {}, {}  # by slot
+        self.roots, self.sizes, ends, end = [], [], [], 0
         for text in texts.values():
             codes = self.codes(text)
-            nxt = suffix_automaton(codes.tolist())
-            root = base * self.width
-            # a symbol that doesn't go on ends a phrase and begins the next; one of no sample is a phrase of its own
-            reset = np.full(self.width, root << 2 | 2, dtype=np.int64)
-            for c, s in nxt[0].items():
-                reset[c] = (base + s) * self.width << 2 | 1
-            table = np.tile(reset, (len(nxt), 1))
-            table[0] = root << 2 | 1
-            for k, edges in enumerate(nxt):
-                for c, s in edges.items():
-                    table[k, c] = (base + s) * self.width << 2
-            tables.append(table)
+            edges = suffix_automaton(codes.tolist())
+            # the start has all symbols; one that stands nowhere in the sample is a phrase of its own
+            root = end
+            state = np.full(len(edges), -1, dtype=np.int64)
+            state[0] = root
+            owner.update((root + c, root) for c in range(self.width))
+            taken, free = {root}, end + self.width
+            top = free + self.width
+            for k in sorted(range(1, len(edges)), key=lambda k: -len(edges[k])):
+                row = sorted(edges[k])
+                lead = row[0] if row else 0
+                low = at = max(free, root + self.width + lead)  # so that no row begins within another language's
+                tries = 0
+                while at - lead in taken or any(at + c - lead in owner for c in row):
+                    tries += 1  # the next place, then any, then behind all others
+                    at = at + 1 if tries < 32 else low + k * tries * 0x9E3779B1 % (top - low + 1) if tries < 128 else max(at + 1, top)
+                begin = at - lead
+                taken.add(begin)
+                state[k] = begin
+                owner.update((begin + c, begin) for c in row)
+                top = max(top, begin + row[-1] + 1 if row else 0)
+                while free in owner:
+                    free += 1
+            for k, row in enumerate(edges):
+                target.update((int(state[k]) + c, int(state[s])) for c, s in row.items())
+            ends.append((root, {c: int(state[s]) for c, s in edges[0].items()}))
             self.roots.append(root)
             self.sizes.append(max(2, len(codes)))
-            base += len(nxt)
-        table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int64)
-        self.table = table.astype(np.int32) if base * self.width < 2**29 else table
-        self.view = memoryview(self.table)
+            end = top
+        kind = np.int32 if end + self.width < 2**29 else np.int64
+        self.owner, self.next = np.full(end + self.width, -1, dtype=kind), np.zeros(end + self.width, dtype=kind)
+        self.owner[np.fromiter(owner, dtype=np.int64, count=len(owner))] = np.fromiter(owner.values(), dtype=np.int64, count=len(owner))
+        self.next[np.fromiter(target, dtype=np.int64, count=len(target))] = np.fromiter(target.values(), dtype=np.int64, count=len(target)) << 2
+        #: What follows where a phrase ends, by language and symbol: the next state and how many phrases end.
+        self.reset = np.zeros((len(self.roots), self.width), dtype=kind)
+        for k, (root, first) in enumerate(ends):
+            self.reset[k] = root << 2 | 2
+            known = list(first)
+            self.reset[k, known] = [first[c] << 2 | 1 for c in known]
+            odd = np.setdiff1d(np.arange(self.width), known)
+            self.next[root + odd] = root << 2 | 1
+        self.views = memoryview(self.owner), memoryview(self.next)
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text, each run of other characters as one 0, and a 0 at either end."""
@@ -128,27 +156,29 @@ class CrossParser:
         lengths = np.array([len(codes[i]) for i in order])
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate([codes[i] for i in order]).astype(np.int32)
-        roots = np.array(self.roots, dtype=self.table.dtype)[:, None]
+        roots = np.array(self.roots, dtype=self.next.dtype)[:, None]
         state = np.repeat(roots, len(codes), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
-        table, k = self.table, len(codes)
+        k = len(codes)
         for t in range(int(lengths[0]) if len(lengths) else 0):
             while k and lengths[k - 1] <= t:
                 k -= 1
             if k < 12:
                 break
-            step = table.take(state[:, :k] + flat[starts[:k] + t])
+            c, now = flat[starts[:k] + t], state[:, :k]
+            at = now + c
+            step = np.where(self.owner.take(at) == now, self.next.take(at), self.reset.take(c, axis=1))
             count[:, :k] += step & 3
             state[:, :k] = step >> 2
         else:
             k = 0
-        view = self.view
+        owner, nxt = self.views
         for j in range(k):  # the few longest: one by one
             rest = flat[starts[j] + t : starts[j] + lengths[j]].tolist()
             for lang in range(len(self.roots)):
-                s, n = int(state[lang, j]), 0
+                s, n, reset = int(state[lang, j]), 0, self.reset[lang].tolist()
                 for c in rest:
-                    v = view[s + c]
+                    v = nxt[s + c] if owner[s + c] == s else reset[c]
                     n += v & 3
                     s = v >> 2
                 state[lang, j] = s

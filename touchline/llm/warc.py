@@ -5,8 +5,11 @@ metadata record, both with WARC-Refers-To of the response and with its target, d
 `write_files` / `read_files` store and scan WARC 1.1 files (a gzip member a record) with an offset index.
 
 Null html: a response with an empty payload, whose conversion is empty. Null url: no WARC-Target-URI. Record ids are
-name-based on page_id, url and payload, so a task that is run again makes the same records; repeated rows make equal
-records, once each. Extra columns are ignored. An empty table makes no records.
+name-based on page_id, url and payload, so a task that is run again makes the same records. Rows with equal page_id, url
+and html are one capture: each row gives the same record under the same id, and a file holds it once. Header names are
+read in any case and with or without blanks after the colon; folded lines are joined, repeated names listed. A
+WARC-Page-Id that is no number reads as null; a record without its length is an error. Files are read record by record.
+Extra columns are ignored. An empty table makes no records.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,25 +50,90 @@ def record(headers: dict[str, str | None], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+#: The spelling under which known headers are kept.
+SPELLING = {h.lower(): h for h in (*KEPT, "WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "WARC-Concurrent-To", "Content-Type", "Content-Length")}
+
+
+def header_lines(lines: list[str]) -> dict[str, str]:
+    """Headers by name. Folded lines belong to the one before, values of one name are listed, lines without a colon go."""
+    unfolded: list[str] = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and unfolded:
+            unfolded[-1] += " " + x.strip()
+        elif ":" in x:
+            unfolded.append(x)
+    out: dict[str, str] = {}
+    for x in unfolded:
+        name, _, value = x.partition(":")
+        name = SPELLING.get(name.strip().lower(), name.strip())
+        out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """Headers, block and all bytes of each record of a stream; one record is held at a time."""
+    chunks, data = iter(chunks), bytearray()
+
+    def more() -> bool:
+        got = next(chunks, None)
+        if got:
+            data.extend(got)
+        return got is not None
+
+    while True:
+        blank = 0  # line ends between records
+        while True:
+            while blank < len(data) and data[blank] in b"\r\n":
+                blank += 1
+            if blank < len(data) or not more():
+                break
+        del data[:blank]
+        if not data:
+            return
+        seen = 0
+        while (end := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(data)
+            if not more():
+                raise ValueError("a WARC record is cut off in its headers")
+        version, *lines = data[:end].decode("utf-8", "surrogateescape").split("\r\n")
+        headers = header_lines(lines)
+        if not version.startswith("WARC/") or not headers.get("Content-Length", "").isdigit():
+            raise ValueError(f"no WARC record: {version[:80]!r}")
+        size = end + 4 + int(headers["Content-Length"])
+        while len(data) < size:
+            if not more():
+                raise ValueError("a WARC record is cut off in its block")
+        yield headers, bytes(data[end + 4 : size]), bytes(data[:size]) + b"\r\n\r\n"
+        del data[:size]
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record in `data`."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
+    for headers, block, _ in read_records([data]):
+        yield headers, block
+
+
+def unzipped(file, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, or of a plain one."""
+    z, first = None, True
+    while raw := file.read(size):
+        if first and raw[:2] != b"\x1f\x8b":
+            yield raw
+            yield from iter(lambda: file.read(size), b"")
+            return
+        first = False
+        while raw:
+            z = z or zlib.decompressobj(31)
+            yield z.decompress(raw)
+            raw = z.unused_data
+            z = None if z.eof else z
 
 
 def http_payload(block: bytes) -> tuple[dict[str, str], bytes]:
     """Status line (under the empty name) and headers of an HTTP response, and its payload."""
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    return {"": status} | dict(x.split(": ", 1) for x in lines if ": " in x), payload
+    return {"": status} | header_lines(lines), payload
 
 
 def one_line(value: str | None) -> str | None:
@@ -81,7 +151,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[bytes]:
     """The conversion and the metadata record of one response record."""
     http, payload = http_payload(block)
     text = "\n".join(blocks(payload.decode("utf-8", "replace"))).encode("utf-8", "surrogatepass")
-    source = headers["WARC-Record-ID"]
+    source = headers.get("WARC-Record-ID")
     linked = {k: headers.get(k) for k in KEPT} | {"WARC-Refers-To": source, "WARC-Refers-To-Target-URI": headers.get("WARC-Target-URI"), "WARC-Refers-To-Date": headers.get("WARC-Date"), "WARC-Source-Payload-Digest": headers.get("WARC-Payload-Digest")}
     conversion = {"WARC-Type": "conversion", "WARC-Record-ID": record_id("conversion", source)} | linked | {"Content-Type": "text/plain; charset=utf-8", "WARC-Block-Digest": digest(text)}
     about = json.dumps({"envelope": {k: v for k, v in headers.items()}, "http": http, "payload-length": len(payload), "conversion": conversion["WARC-Record-ID"], "conversion-digest": conversion["WARC-Block-Digest"], "conversion-chars": len(text.decode("utf-8", "surrogatepass"))}, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")
@@ -89,11 +159,15 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[bytes]:
     return [record(conversion, text), record(metadata, about)]
 
 
+def number(value: str | None) -> int | None:
+    """A 64-bit number, or None."""
+    return int(value) if value and re.fullmatch(r"-?\d{1,19}", value) and -(2**63) <= int(value) < 2**63 else None
+
+
 def row(raw: bytes) -> tuple:
-    (headers, block), = parse(raw)
-    page = headers.get("WARC-Page-Id")
+    (headers, block, raw), = read_records([raw])
     own = headers.get("WARC-Payload-Digest") or headers.get("WARC-Source-Payload-Digest")
-    return (None if page is None else int(page), headers["WARC-Type"], headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), headers.get("WARC-Target-URI"), own, headers.get("WARC-Block-Digest"), len(block), raw)
+    return (number(headers.get("WARC-Page-Id")), headers.get("WARC-Type"), headers.get("WARC-Record-ID"), headers.get("WARC-Refers-To"), headers.get("WARC-Target-URI"), own, headers.get("WARC-Block-Digest"), len(block), raw)
 
 
 def _batch(rows: Iterable[tuple]):
@@ -122,7 +196,7 @@ def derive(records: DataFrame) -> DataFrame:
         for b in it:
             raws = b.column(0)
             for at in range(0, b.num_rows, 200):
-                yield _batch(row(d) for raw in raws.slice(at, 200).to_pylist() for h, block in parse(raw) if h["WARC-Type"] == "response" for d in derivatives(h, block))
+                yield _batch(row(d) for raw in raws.slice(at, 200).to_pylist() for h, block in parse(raw) if h.get("WARC-Type") == "response" for d in derivatives(h, block))
 
     return records.where("record_type = 'response'").select("record").mapInArrow(batches, RECORD)
 
@@ -141,10 +215,13 @@ def write_files(records: DataFrame, uri: str, files: int | None = None) -> DataF
         system, folder = open_fs(uri)
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}.warc.gz"
-        temporary, at, index = f"{folder}/.{name}-{context.taskAttemptId()}", 0, []
+        temporary, at, index, last = f"{folder}/.{name}-{context.taskAttemptId()}", 0, [], None
         with system.open_output_stream(temporary, compression=None) as f:
             for b in it:
                 for kind, rid, raw in zip(*(c.to_pylist() for c in b.columns)):
+                    if rid is not None and rid == last:  # the same record once more
+                        continue
+                    last = rid
                     member = gzip.compress(raw, 6, mtime=0)
                     f.write(member)
                     index.append((f"{uri}/{name}", at, len(member), rid, kind))
@@ -159,20 +236,28 @@ def write_files(records: DataFrame, uri: str, files: int | None = None) -> DataF
 
 
 def read_files(spark: SparkSession, uri: str) -> DataFrame:
-    """All records of the WARC files under `uri`, through Spark's reader."""
+    """All records of the WARC files in folder `uri`, zipped or not; a task reads whole files, record by record."""
+    from pyarrow import fs
+
+    system, folder = open_fs(uri)
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith("."))
 
     def batches(it):
+        system, folder = open_fs(uri)
         for b in it:
-            for raw in b.column(0).to_pylist():
-                rows = []
-                for headers, block in parse(gzip.decompress(raw)):
-                    rows.append(row(record({k: v for k, v in headers.items() if k != "Content-Length"}, block)))
-                    if len(rows) == 200:
-                        yield _batch(rows)
-                        rows = []
+            for name in b.column(0).to_pylist():
+                rows, size = [], 0
+                with system.open_input_stream(f"{folder}/{name}", compression=None) as f:
+                    for _, _, raw in read_records(unzipped(f)):
+                        rows.append(row(raw))
+                        size += len(raw)
+                        if size > 4 << 20:
+                            yield _batch(rows)
+                            rows, size = [], 0
                 yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(f"{uri}/*.warc.gz").select("content").mapInArrow(batches, RECORD)
+    files = spark.createDataFrame([(n,) for n in names], "name string")
+    return files.repartition(max(1, min(len(names), parts(spark)))).mapInArrow(batches, RECORD)
 
 
 def digests(records: DataFrame) -> DataFrame:
