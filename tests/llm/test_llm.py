@@ -407,3 +407,42 @@ def test_warc_of_odd_tables(spark, tmp_path):
     warc.write_files(made, str(tmp_path / "w"), 2)
     assert warc.read_files(spark, str(tmp_path / "w")).count() == 2  # equal captures once
     assert warc.responses(d.limit(0)).collect() == warc.derive(made.limit(0)).collect() == []
+
+
+def test_pieces_of_odd_texts():
+    import random
+    import time
+
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, t, r = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Transducer(path), random.Random(3)
+    symbols = [*"aaeeiinnrstlothedbm AB.,'\n\t 01", "  ", "   ", "▁", "\x1f", "é", "日", "🙂", "\x00", "İ", "the", "ing", "</s>", "<0x0A>", " "]
+    texts = ["".join(r.choice(symbols) for _ in range(r.randint(0, 30))) for _ in range(6000)]
+    texts += ["x" * 20_000, "日本語の" * 5000, "the " * 20_000, "ab" * 300, " " * 500]
+    began = time.process_time()
+    for x, ids in zip(texts, t.encode_all(texts)):
+        assert ids.tolist() == model.encode(x), x[:50]
+        assert t.decode(ids.tolist()) == x.replace("▁", " ")
+    assert time.process_time() - began < 30
+
+
+def test_normaliser_arcs():
+    t = sentence_pieces.transducer(tokenizer_path("piece_bpe_32k.model"))
+    plain, t.normaliser.plain = t.normaliser.plain, False
+    try:
+        for x in ("a b", " a  b ", "", "a", "  "):
+            assert t.normaliser.read(x) == (sentence_pieces.MARK + x.replace(" ", sentence_pieces.MARK) if x else "")
+    finally:
+        t.normaliser.plain = plain
+
+
+def test_long_map():
+    from touchline.llm.common import LongMap
+
+    m, r = LongMap(), np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 2**62, 20_000))
+    r.shuffle(keys)
+    for at in range(0, len(keys), 777):
+        m.put(keys[at : at + 777], np.arange(at, min(at + 777, len(keys))))
+    assert m.get(keys).tolist() == list(range(len(keys))) and set(m.get(keys + 1)[~np.isin(keys + 1, keys)]) == {-1}

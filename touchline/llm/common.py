@@ -78,3 +78,54 @@ def tokenizer_path(name: str) -> str:
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class LongMap:
+    """A hash table of 64-bit numbers that is read and filled many entries at a time."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.size, self.bits = 0, 10
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+
+    def _place(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys):
+        """The values of keys (0 or more); -1 where there is none."""
+        import numpy as np
+
+        out = np.full(len(keys), -1, dtype=np.int64)
+        at, rest, mask = self._place(keys), np.arange(len(keys)), (1 << self.bits) - 1
+        while len(rest):
+            found = self.keys[at]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            go = ~hit & (found >= 0)
+            rest, at = rest[go], at[go] + 1 & mask
+        return out
+
+    def put(self, keys, values) -> None:
+        """Adds keys that differ from each other and from all before."""
+        import numpy as np
+
+        if (self.size + len(keys)) * 3 > 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = np.concatenate((self.keys[old], keys)), np.concatenate((self.values[old], values))
+            self.size = 0
+            while len(keys) * 3 > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        self.size += len(keys)
+        at, mask = self._place(keys), (1 << self.bits) - 1
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[put] = False
+            keys, values, at = keys[rest], values[rest], at[rest] + 1 & mask
