@@ -446,3 +446,47 @@ def test_long_map():
     for at in range(0, len(keys), 777):
         m.put(keys[at : at + 777], np.arange(at, min(at + 777, len(keys))))
     assert m.get(keys).tolist() == list(range(len(keys))) and set(m.get(keys + 1)[~np.isin(keys + 1, keys)]) == {-1}
+
+
+PAST = "the quick brown fox jumps over the lazy dog while seven other animals look on from behind a wooden fence near the old mill"
+
+
+def odd_documents(spark, item):
+    """Documents with null and repeated ids, copies, a leak and columns whose names operators may use themselves."""
+    near = PAST.replace("wooden", "painted")
+    rows = [
+        (1, PAST, "keep"), (2, PAST, "copy of 1"), (None, PAST, "copy of 1"), (3, None, "no text"), (4, "", "empty"), (5, "12 34 !!", "no letters"),
+        (6, "one text of its own that nobody else has written so far", "keep"), (6, "another text under the same id which comes first by its words", "keep"),
+        (None, "a text without an id that is like no other text in this table", "keep"), (None, "a second text without an id that talks about something else", "keep"),
+        (None, f"noise before it {item} and noise after it", "leak"), (7, f"some other noise {item} and more", "leak"), (8, "x" * 9000 + " long words and more", "keep"), (9, near + " " + near, "keep"),
+    ]
+    return spark.createDataFrame([(i, t, "en" if k % 2 else None, "s", 5, why, k, True, {"a": k}) for k, (i, t, why) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, id string, row_id int, n boolean, m map<string,int>")
+
+
+def test_pipeline_stages_of_odd_documents(spark, tmp_path):
+    item = "which of the following rivers flows through the largest number of countries before it reaches the sea"
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd_documents(spark, item)
+    stages = dict(corpus_pipeline.STAGES)
+    english = stages["language_id"](spark, docs.withColumn("lang", F.lit("en")), str(tmp_path))
+    assert english.columns == docs.columns and sorted(r.id for r in english.collect() if "no " in r.id or r.id == "empty") == []
+    got = stages["jaccard_join"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    ids = sorted(r.id for r in got.collect())
+    assert ids.count("keep") == 7 and "copy of 1" not in ids and ids.count("leak") == 2, ids
+    got = stages["decontamination"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.count() == docs.count() - 2 and got.where("id = 'leak'").count() == 0
+    got = stages["sentence_pieces"](spark, docs, str(tmp_path))
+    assert got.columns[: len(docs.columns)] == docs.columns and got.count() == docs.count() and all(r.decodes for r in got.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+
+
+def test_jaccard_join_of_odd_documents(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(odd_documents(spark, "an item")).collect()), key=str)
+    assert [x for x in got if x[0] in (1, 2)] == [(1, 21, 1), (2, 21, 1)] and (None, 21, 1) in got and [x for x in got if x[0] == 4] == [(4, 0, 4)]
+    assert {x[2] for x in got if x[0] == 6} == {6} and len(got) == 14
+    # linked with each other, under no id; a repeated id of which one text is empty
+    d = spark.createDataFrame([(None, PAST), (None, PAST.replace("quick", "slow") + " x"), (5, ""), (5, PAST * 2), (4, PAST * 2), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.join(d, percent=60).collect()} == {(None, None), (5, 4), (4, 4)}
+    assert jaccard_join.join(d.limit(0)).collect() == []

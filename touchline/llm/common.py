@@ -129,3 +129,26 @@ class LongMap:
             rest = np.ones(len(keys), dtype=bool)
             rest[put] = False
             keys, values, at = keys[rest], values[rest], at[rest] + 1 & mask
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` hasn't."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame, to: str) -> DataFrame:
+    """`docs` and column `to`, a number for each row: its doc_id where no other row has it; else, and for a row without
+    one, a number above all doc_ids (where there is no room, below), in the order of (doc_id, text, the other columns)."""
+    odd = kept(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(to)), "odd")
+    if odd.isEmpty():
+        return docs.withColumn(to, F.col("doc_id"))
+    odd = few_rows(odd)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    fresh = F.monotonically_increasing_id()  # ascends with the order
+    fresh = F.lit((high or 0) + 1) + fresh if (high or 0) < 2**62 else F.lit(low - 2**62) + fresh
+    same = docs.doc_id.eqNullSafe(odd[to])
+    order = [F.col("doc_id").asc_nulls_last(), "text", *(F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")), F.monotonically_increasing_id()]
+    rows = kept(docs.join(odd, same, "left_semi").orderBy(*order).withColumn(to, fresh), "numbered")
+    return docs.join(odd, same, "left_anti").withColumn(to, F.col("doc_id")).unionByName(rows)

@@ -387,9 +387,11 @@ def numbered(counted: DataFrame) -> tuple[DataFrame, bool]:
     lo, hi = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
     # numbers that no doc_id has: above all, or where there is no room below all
     fresh = F.monotonically_increasing_id()
-    fresh = F.lit((hi if hi is not None else 0) + 1) + fresh if (hi or 0) < 2**62 else F.lit(lo - 1) - fresh
-    own = classes.join(odd, "doc_id", "left_anti").withColumn("id", F.col("doc_id"))
-    others = classes.join(few_rows(odd), classes.doc_id.eqNullSafe(odd.doc_id), "left_semi").withColumn("id", fresh)
+    fresh = F.lit((hi if hi is not None else 0) + 1) + fresh if (hi or 0) < 2**62 else F.lit(lo - 2**62) + fresh
+    odd = few_rows(odd)
+    same = classes.doc_id.eqNullSafe(odd.doc_id)
+    own = classes.join(odd, same, "left_anti").withColumn("id", F.col("doc_id"))
+    others = classes.join(odd, same, "left_semi").withColumn("id", fresh)
     return kept(own.unionByName(others), "numbered"), True
 
 
