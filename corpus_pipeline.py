@@ -1,20 +1,17 @@
 """Training-data pipeline over `documents`: language ID, near-duplicates, decontamination, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Null doc_ids and repeated rows are allowed everywhere: rows with one doc_id are one document.
+Null and repeated doc_ids and repeated rows are allowed everywhere: each row is a document of its own. Extra columns of
+any name are kept. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from touchline.llm import decontamination, jaccard_join, language_id, sentence_pieces
-from touchline.llm.common import kept, read
-
-#: Rows of leaked documents' ids that are still broadcast: 8 bytes each.
-MOST_IDS = 1_000_000
+from touchline.llm.common import few_rows, kept, named, read, unused
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,24 +20,23 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least doc_id, once: of its rows that with the least text.
+    """Keeps of each group of linked rows the one with the least doc_id.
 
-    Of rows without a doc_id each text stays once.
+    Rows without a doc_id, or with one that other rows have too, come after all others, in the order of (doc_id, text).
     """
-    found = kept(jaccard_join.join(docs), "components")
-    stay = found.where("doc_id = component_id").select("doc_id")
-    out = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
-    repeated = not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    if repeated:
-        first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-        out = out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    key = unused(docs, "row_id")
+    all_ = named(docs, key)
+    found = kept(jaccard_join.join(all_.select(F.col(key).alias("doc_id"), "text")), "components")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return all_.join(stay, key, "left_semi").select(docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaked = kept(decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(F.broadcast(leaked) if leaked.count() <= MOST_IDS else leaked, "doc_id", "left_anti")
+    """Rows that hold a benchmark item go."""
+    key = unused(docs, "row_id")
+    all_ = named(docs, key)
+    leaked = decontamination.leaks(all_.select(F.col(key).alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return all_.join(few_rows(kept(leaked.select(F.col("doc_id").alias(key)).distinct(), "leaks")), key, "left_anti").select(docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
