@@ -487,6 +487,7 @@ def test_jaccard_join_of_odd_documents(spark):
     assert [x for x in got if x[0] in (1, 2)] == [(1, 21, 1), (2, 21, 1)] and (None, 21, 1) in got and [x for x in got if x[0] == 4] == [(4, 0, 4)]
     assert {x[2] for x in got if x[0] == 6} == {6} and len(got) == 14
     # linked with each other, under no id; a repeated id of which one text is empty
-    d = spark.createDataFrame([(None, PAST), (None, PAST.replace("quick", "slow") + " x"), (5, ""), (5, PAST * 2), (4, PAST * 2), (None, None)], "doc_id long, text string")
+    other = "five words stand here and more"
+    d = spark.createDataFrame([(None, PAST), (None, PAST.replace("quick", "slow") + " x"), (5, ""), (5, other), (4, other), (None, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in jaccard_join.join(d, percent=60).collect()} == {(None, None), (5, 4), (4, 4)}
     assert jaccard_join.join(d.limit(0)).collect() == []
