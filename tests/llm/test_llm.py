@@ -491,3 +491,103 @@ def test_jaccard_join_of_odd_documents(spark):
     d = spark.createDataFrame([(None, PAST), (None, PAST.replace("quick", "slow") + " x"), (5, ""), (5, other), (4, other), (None, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in jaccard_join.join(d, percent=60).collect()} == {(None, None), (5, 4), (4, 4)}
     assert jaccard_join.join(d.limit(0)).collect() == []
+
+
+def license_words(text):
+    return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+
+
+def test_license_scan_against_brute_force(spark):
+    """Recall at containment 0.8 and more, over templates of all lengths with edited words."""
+    r = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    templates = [(f"L{k}", " ".join(r.choice(vocabulary, n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 40, 80, 160] * 2)]
+    rows, want = [], set()
+    for doc in range(320):
+        k = doc % len(templates)
+        words = templates[k][1].split()
+        for at in r.integers(0, len(words), int(r.integers(0, 1 + max(1, len(words) // 12)))) if len(words) > 2 else ():
+            words[at] = "edited"
+        text = [*r.choice(vocabulary, int(r.integers(0, 60))), *words, *r.choice(vocabulary, int(r.integers(0, 60)))]
+        rows.append((doc, " ".join(text)))
+        own = templates[k][1].split()
+        grams = lambda ws: {tuple(ws[j : j + 3]) for j in range(len(ws) - 2)}
+        if len(own) < 3 or len(grams(own) & grams(words)) >= 0.8 * len(grams(own)):
+            want.add((doc, f"L{k}"))
+    rows += [(1000, None), (1001, ""), (1002, "w1"), (0, "a second row of one id")]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id int, text string, license string, at int")
+    got = {(x.doc_id, x.license) for x in license_scan.scan(d, templates).collect()}
+    assert len(got & want) >= 0.99 * len(want)
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append(license_words(t))
+    for i, name in got:  # nothing is found that isn't there
+        own = dict(templates)[name].split()
+        if len(own) < 3:
+            assert any(own == ws[j : j + len(own)] for ws in text[i] for j in range(len(ws)))
+        else:
+            grams = lambda ws: {tuple(ws[j : j + 3]) for j in range(len(ws) - 2)}
+            assert any(len(grams(own) & grams(ws)) >= 0.8 * len(grams(own)) for ws in text[i])
+    assert license_scan.scan(d.limit(0)).collect() == [] and license_scan.scan(d, []).collect() == [] and license_scan.scan(d, [("x", "--")]).collect() == []
+
+
+def python_tokens(text):
+    import regex
+
+    t = regex.sub("[\x01\x02]", " ", text or "")
+    t = regex.sub(rf"(?<=\d ?)((?i:{decontamination.UNITS}))(?![\p{{L}}\p{{N}}])", "  \x01u\\1 ", t)
+    t = regex.sub(r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*", lambda m: "\x01p" + m[0], t)
+    t = regex.sub(r"(?<=\d)[.,](?=\d)", "\x02", t)
+    t = regex.sub("(?<![\\p{L}\\p{N}])\\d[\\d\x02]*", lambda m: f" \x01n{m[0]} ", t)
+    return [w for w in regex.split("[^\\p{L}\\p{N}\x01\x02]+", t.lower()) if w]
+
+
+def brute_leaks(docs, items, width=6, coverage=0.5, least=3, literals=3):
+    slot = lambda w: w[0] == "\x01"
+    shape = lambda ws: tuple(w[:2] if slot(w) else w for w in ws)
+    plain = lambda ws: tuple(w[2:] if slot(w) else w for w in ws)
+    out = set()
+    for item, itext in items:
+        t = python_tokens(itext)
+        n = min(width, len(t))
+        ws = [(k, t[k : k + n]) for k in range(len(t) - n + 1)] if n else []
+        weak = [sum(not slot(x) for x in w) < literals for _, w in ws]
+        by_shape = [x for x, bad in zip(ws, weak) if not bad]
+        raws = ws if len(ws) < least or any(weak) else []
+        for doc, text in docs:
+            d = python_tokens(text)
+            for some, key, exact in ((by_shape, shape, False), (raws, plain, True)):
+                by_offset = {}
+                for at in range(len(d) - n + 1):
+                    for k, w in some:
+                        if key(d[at : at + n]) == key(w):
+                            hits, slots = by_offset.setdefault(at - k, (set(), set()))
+                            hits.add(key(w))
+                            slots.update((b, a) for a, b in zip(d[at : at + n], w) if slot(b))
+                good = set().union(*(h for h, s in by_offset.values() if exact or len({b for b, _ in s}) == len(s)), set())
+                windows = len({key(w) for _, w in some})
+                if windows and len(good) >= min(least, windows) and len(good) >= windows * coverage:
+                    out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("most", [300_000, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST", most)
+    r = np.random.default_rng(6)
+    words = [*"the of a train city river takes from to and with before".split(), "Boston", "Paris", "12", "7", "3.5", "km", "hours", "apples"]
+    say = lambda n: " ".join(r.choice(words, n)).strip()
+    items = [(k, say(int(r.integers(1, 25)))) for k in range(25)] + [(50, "What is 12 plus 7?"), (51, "What is 12 + 34 + 56 + 78 + 90?"), (52, None), (53, ""), (54, "?!")]
+    docs = []
+    for k in range(120):
+        _, t = items[int(r.integers(0, 27))]
+        w = t.split()
+        for at in r.integers(0, len(w), int(r.integers(0, 3))):
+            w[at] = str(r.choice(words))
+        docs.append((k, f"{say(int(r.integers(0, 9)))} {' '.join(w)} {say(int(r.integers(0, 9)))}"))
+    docs += [(200, "As for what is 12 plus 7? It is 19."), (201, "What is 13 plus 8?"), (202, None), (203, "")]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, hash int, t string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(d, b).collect()}
+    assert (200, 50) in got and got == brute_leaks(docs, items)
+    assert decontamination.leaks(d.limit(0), b).collect() == decontamination.leaks(d, b.limit(0)).collect() == []

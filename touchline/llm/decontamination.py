@@ -90,9 +90,12 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 6, coverage: float = 0
     kinds = sorted(map(tuple, w.select("n", "exact").distinct().collect())) or [(width, False)]
     per_item = w.groupBy("item_id", "exact").agg(F.count_distinct("hash").alias("windows"))
     n = w.count()
-    side = F.broadcast(w) if n <= MOST else w
-    hit = windows(docs, "doc_id", kinds).join(side, "hash")
-    words = F.slice("t", F.col("at") + 1, F.col("n"))
+    rows = windows(docs, "doc_id", kinds)
+    if n <= MOST:
+        hit = rows.join(F.broadcast(w), "hash")
+    else:  # rows that are shuffled carry their window alone; a window that very many texts hold is split by the join
+        hit = rows.select("doc_id", "at", "hash", F.slice("t", F.col("at") + 1, F.lit(width)).alias("t"), F.lit(0).alias("from")).join(w, "hash")
+    words = F.slice("t", (F.col("at") if n <= MOST else F.col("from")) + 1, F.col("n"))
     bound = let(words, lambda ws: F.filter(F.zip_with(ws, F.col("item_words"), lambda a, b: F.when(is_slot(b), F.struct(b.alias("item"), a.alias("text")))), lambda x: x.isNotNull()))
     hit = hit.select("doc_id", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("offset"), "hash", bound.alias("slots"))
     found = hit.groupBy("doc_id", "item_id", "exact", "offset").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))

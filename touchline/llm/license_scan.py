@@ -8,21 +8,24 @@ of n shingles has likeness n / WINDOW at least, 1 for longer templates, so one o
 `containment` of the template's shingles stand within the template's length around the window; of several templates at
 one place the one with the best containment counts, then the longest.
 
-Null texts, empty texts and texts under SHINGLE words: no row. Several hits of a template in a text are one row with the
-best containment. Rows with equal doc_id count as one document. Extra columns are ignored; ties take the least position.
+Templates under SHINGLE words have no shingle; all their words must stand one after another. Null texts and empty texts:
+no row. Several hits of a template in a text are one row with the best containment. Rows with equal doc_id count as one
+document. Extra columns are ignored; ties take the least position. Very long texts are searched whole. An empty table
+gives no row; a template without words is never found. Windows of templates are held on every executor up to MOST_WINDOWS;
+beyond, they are searched in portions of as many.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
 
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 6, 2, 16
-#: More windows of templates than this are refused: they are held on every executor.
+#: Windows of templates that are searched for at once.
 MOST_WINDOWS = 20_000
 
 #: Statements by which texts declare a licence, and the licence's SPDX identifier.
@@ -47,6 +50,11 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 ]
 
 
@@ -74,22 +82,54 @@ def minima(window: list[Column]) -> list[Column]:
     return [F.least(*(s.bitwiseXOR(F.lit(k - 2**64 if k >= 2**63 else k)) for s in window)) for k in keys]
 
 
-def template_windows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, license, shingles, words, and a row for each window with its BANDS minima."""
-    t = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(templates)], "template int, license string, text string")
-    t = t.select("template", "license", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= SHINGLE)
-    t = t.select("*", F.array_distinct(shingles(F.col("h"))).alias("shingles"), F.size("h").alias("words"))
+def template_windows(templates: DataFrame) -> DataFrame:
+    """template, license, shingles, words, and a row for each window of templates(template, license, h) with its BANDS minima."""
+    t = templates.select("*", F.array_distinct(shingles(F.col("h"))).alias("shingles"), F.size("h").alias("words"))
     t = t.select("template", "license", "shingles", "words", "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE + 1 - WINDOW, F.lit(0)))).alias("at"))
     return t.select("template", "license", "shingles", "words", *(m.alias(f"m{b}") for b, m in enumerate(minima([shingle_at(F.col("h"), F.col("at") + k) for k in range(WINDOW)]))))
 
 
+def exact(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, at, license, template, words, containment of templates(template, license, h) of under SHINGLE words."""
+    t = templates.select("license", "template", F.size("h").alias("words"), F.xxhash64(F.size("h"), *(F.get("h", F.lit(k)) for k in range(SHINGLE - 1))).alias("key"))
+    lengths = [r.words for r in t.select("words").distinct().collect()]  # under SHINGLE
+    d = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).select("doc_id", "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("at"))
+    key = lambda n: F.when(F.col("at") + n <= F.size("h"), F.xxhash64(F.lit(n), *(F.get("h", F.col("at") + k) if k < n else F.lit(None).cast("long") for k in range(SHINGLE - 1))))
+    d = d.select("doc_id", "at", F.explode(F.array(*map(key, lengths))).alias("key"))
+    return d.join(F.broadcast(t), "key").select("doc_id", "at", "license", "template", "words", F.lit(1.0).alias("containment"))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
     """doc_id, license, template, containment, word (position of the first window that hit) of every statement found."""
     spark = docs.sparkSession
-    t = template_windows(spark, templates or TEMPLATES)
-    minimum = t.collect()  # bounded: MOST_WINDOWS
-    if len(minimum) > MOST_WINDOWS:
-        raise ValueError(f"{len(minimum)} windows of templates; at most {MOST_WINDOWS}")
+    given = [(k, a, b) for k, (a, b) in enumerate(TEMPLATES if templates is None else templates)]
+    known = spark.createDataFrame(given, "template int, license string, text string").select("template", "license", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
+    sizes = {r.template: r.n for r in known.select("template", F.size("h").alias("n")).collect()}
+    hits = []
+    if any(n < SHINGLE for n in sizes.values()):
+        hits.append(exact(docs, known.where(F.size("h") < SHINGLE)))
+    portion, windows = [], 0
+    for k, n in sorted(sizes.items()):
+        if n >= SHINGLE:
+            portion.append(k)
+            windows += max(1, n - SHINGLE + 2 - WINDOW)
+        if portion and (windows >= MOST_WINDOWS or k == max(sizes)):
+            hits.append(near(docs, known.where(F.col("template").isin(portion)), containment))
+            portion, windows = [], 0
+    if portion:
+        hits.append(near(docs, known.where(F.col("template").isin(portion)), containment))
+    if not hits:
+        return docs.limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("word"))
+    hits = reduce(DataFrame.unionByName, hits)
+    # of the templates that fit one place (versions of one licence) the best and longest counts
+    hits = hits.groupBy("doc_id", "at").agg(F.max_by(F.struct("license", "template", "containment"), F.struct("containment", "words", -F.col("template"))).alias("x")).select("doc_id", "at", "x.*")
+    return hits.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))
+
+
+def near(docs: DataFrame, templates: DataFrame, containment: float) -> DataFrame:
+    """doc_id, at, license, template, words, containment of templates(template, license, h), by bands and containment."""
+    t = template_windows(templates)
+    minimum = t.collect()  # MOST_WINDOWS, or one template's
     longest = max([r.words for r in minimum], default=SHINGLE)
     known = [sorted({r[f"m{b}"] for r in minimum}) for b in range(BANDS)]
     d = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
@@ -110,7 +150,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     begin = F.greatest(skip - F.col("words"), F.lit(0))
     around = F.slice("near", begin + 1, skip - begin + F.col("words") + WINDOW + SHINGLE)
     share = let(around, lambda a: F.size(F.array_intersect("shingles", shingles(a))) / F.size("shingles"))
-    hits = hits.select("doc_id", "license", "template", "at", "words", F.explode(F.array(share)).alias("containment")).where(F.col("containment") >= containment)
-    # of the templates that fit one place (versions of one licence) the best and longest counts
-    hits = hits.groupBy("doc_id", "at").agg(F.max_by(F.struct("license", "template", "containment"), F.struct("containment", "words", -F.col("template"))).alias("x")).select("doc_id", "at", "x.*")
-    return hits.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))
+    return hits.select("doc_id", "at", "license", "template", "words", F.explode(F.array(share)).alias("containment")).where(F.col("containment") >= containment)
