@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests, one machine)."""
+    """The folder that driver and executors share; one of our own only where none is set (tests); never on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         where = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,12 +35,76 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """`df` as a written table in the shared folder: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    return out
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are kept within are removed at the end, but those that the given function is called with."""
+    outer, mine, stay = getattr(_open, "paths", None), [], set()
+
+    def stays(df: DataFrame) -> DataFrame:
+        stay.add(df.kept_at)
+        return df
+
+    _open.paths = mine
+    try:
+        yield stays
+    finally:
+        _open.paths = outer
+        for path in mine:
+            if path not in stay:
+                drop_path(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batch_rows(spark: SparkSession, n: int = 1000) -> None:
+    """Rows that the next job's Python workers get at once: few where rows hold whole texts, which may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def frugal(batches):
+    """A function over batches, whose worker gives free memory back now and then: workers live on between stages."""
+
+    @functools.wraps(batches)
+    def run(it):
+        def each():
+            seen = 0
+            for b in it:
+                yield b
+                seen += b.nbytes
+                if seen > 32 << 20:
+                    trim()
+                    seen = 0
+
+        yield from batches(each())
+        trim()
+
+    return run
 
 
 #: Rows of ids (8 bytes each) that are still broadcast.
@@ -47,11 +117,13 @@ def few_rows(ids: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs now: it does so when their handles are garbage."""
+    """Lets Spark remove the shuffle files of finished jobs now: it does so when their handles are garbage, a moment later."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

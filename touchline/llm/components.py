@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, passing
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,12 +29,14 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of every node of edges(a, b); nodes without a link to another have no row."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = kept(edges, "links")
-    before = _state(edges)
-    while before[0]:
-        edges = kept(_stars(_stars(edges, True), False), "links")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
+    with passing(edges.sparkSession) as stays:
+        edges = kept(edges, "links")
+        before = _state(edges)
+        while before[0]:
+            edges = kept(_stars(_stars(edges, True), False), "links")
+            now = _state(edges)
+            if now == before:
+                break
+            before = now
+        stays(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

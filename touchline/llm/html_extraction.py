@@ -22,6 +22,8 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import batch_rows, frugal
+
 TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 #: An attribute's name, and the quote that opens its value or the value; nothing at the end of a tag.
 ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(\"|'|[^\s>\"'][^\s>]*|))?)?")
@@ -487,4 +489,5 @@ def extract(pages: DataFrame, w: np.ndarray | None = None) -> DataFrame:
                 text = extract_all(c.column(2).to_pylist(), given)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(batches, "page_id long, url string, text string, n_chars long")
+    batch_rows(pages.sparkSession)
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(batches), "page_id long, url string, text string, n_chars long")

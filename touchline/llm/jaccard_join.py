@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_rows, kept, parts, release
+from .common import batch_rows, few_rows, frugal, kept, parts, passing, release
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -133,7 +133,8 @@ def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, whole: bo
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(list(map(len, s)), pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "set_key", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n long, set_key binary, hashes array<long>")
+    batch_rows(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(frugal(batches), "doc_id long, n long, set_key binary, hashes array<long>")
 
 
 # --- search within one task -----------------------------------------------------------------------------------------
@@ -234,7 +235,8 @@ def search_groups(units: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     rows = units.join(full, "id").select("grp", "id", "query", "hashes")
     dealt = rows.repartition(parts(rows.sparkSession), "grp").sortWithinPartitions("grp", "id")
-    return dealt.mapInArrow(batches, "a long, b long")
+    batch_rows(rows.sparkSession)
+    return dealt.mapInArrow(frugal(batches), "a long, b long")
 
 
 # --- candidates -----------------------------------------------------------------------------------------------------
@@ -292,7 +294,8 @@ def shared(rows: DataFrame, hot: list[int]) -> DataFrame:
             yield out(held, np.full(len(held[0]), len(held[0]), dtype=np.int32))
 
     to = F.when(F.col("t").isin(hot), F.xxhash64("id")).otherwise(F.col("t")) if hot else F.col("t")
-    return rows.select("t", "id", "n").repartition(parts(spark), to).sortWithinPartitions("t").mapInArrow(batches, "t long, id long, n int, m int")
+    batch_rows(spark, 20_000)
+    return rows.select("t", "id", "n").repartition(parts(spark), to).sortWithinPartitions("t").mapInArrow(frugal(batches), "t long, id long, n int, m int")
 
 
 def least_shared(n: str, percent: int) -> Column:
@@ -360,17 +363,21 @@ def open_links(lists: DataFrame, label: DataFrame, full: DataFrame, percent: int
 def links(counted: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links a, b of the classes: enough of them to reach each from all that it is linked with."""
     spark = classes.sparkSession
-    found = kept(survivors(counted, classes, percent), "survivors")
+    with passing(spark) as stays:
+        with passing(spark) as stay:
+            found = kept(survivors(counted, classes, percent), "survivors")
+            release(spark)
+            full = kept(fetch(found), "sets")
+            release(spark)
+            lists = stay(kept(prefixes(full, percent), "prefixes"))
+            release(spark)
+            few = stay(kept(full.join(few_rows(kept(lists.select("id").distinct(), "ids")), "id", "left_semi"), "full"))
+        stars = kept(star_links(lists, few, percent), "stars")
+        label = kept(components(stars), "labels")
+        rest = open_links(lists, label, few, percent)
+        out = stays(kept(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), "found"))
     release(spark)
-    full = kept(fetch(found), "sets")
-    lists = kept(prefixes(full, percent), "prefixes")
-    release(spark)
-    ids = lists.select("id").distinct()
-    few = kept(full.join(few_rows(ids), "id", "left_semi"), "full")
-    stars = kept(star_links(lists, few, percent), "stars")
-    label = kept(components(stars), "labels")
-    rest = open_links(lists, label, few, percent)
-    return kept(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), "found")
+    return out
 
 
 # --- the join -------------------------------------------------------------------------------------------------------

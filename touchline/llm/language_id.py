@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import batch_rows, frugal
+
 UND = "und"
 
 
@@ -188,7 +190,7 @@ class CrossParser:
         out[order] = count.T
         return out
 
-    def predict(self, texts: list[str | None], chunk: int = 3_000_000) -> Iterator[tuple[str, float, float | None]]:
+    def predict(self, texts: list[str | None], chunk: int = 2_000_000) -> Iterator[tuple[str, float, float | None]]:
         """(language, score, bits per letter) of each text, in order."""
         bits = np.log2(np.array(self.sizes)) if self.sizes else None
         at = 0
@@ -228,7 +230,8 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
             got = list(p.predict(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())))], names=["doc_id", "lang_pred", "score", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, lang_pred string, score double, bits double")
+    batch_rows(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(frugal(batches), "doc_id long, lang_pred string, score double, bits double")
 
 
 def keep(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -242,7 +245,8 @@ def keep(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
         for b in it:
             yield b.filter(pa.array([g[0] != UND for g in p.predict(b.column(where).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    batch_rows(docs.sparkSession)
+    return docs.mapInArrow(frugal(batches), docs.schema)
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import batch_rows, frugal, tokenizer_path
 
 #: Entries of a worker's memo of words; it is emptied when full and never changes a result.
 MEMO = 600_000
@@ -126,4 +126,5 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 tokens.append(sum(map(memo.__getitem__, w)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_words long, n_tokens long")
+    batch_rows(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(frugal(batches), "doc_id long, n_words long, n_tokens long")

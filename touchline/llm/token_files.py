@@ -30,11 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, tokenizer_path
+from .common import batch_rows, frugal, parts, scratch, tokenizer_path
 
 MAGIC, HEAD, TAIL = b"TLTK", "<4sHH16s", "<QQ4s"
 #: Words that a worker remembers; they are forgotten when there are more, which never changes a result.
-MEMO = 900_000
+MEMO = 500_000
 #: Bytes of text (and 128 a document) that go into one file, on average.
 FILE_BYTES = 512 << 20
 
@@ -253,7 +253,8 @@ def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int =
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(3)], names=["part", "n_docs", "n_tokens"])
 
-    dealt = docs.mapInArrow(compress, "part int, doc_id long, n long, blob binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "blob")
+    batch_rows(spark)
+    dealt = docs.mapInArrow(frugal(compress), "part int, doc_id long, n long, blob binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "blob")
     manifest, start = [], 0
     for r in sorted(dealt.mapInArrow(save, "part long, n_docs long, n_tokens long").collect()):  # a row a file
         manifest.append({"file": f"{out_uri}/part-{r.part:05d}.tok", "start": start, "n_docs": r.n_docs, "n_tokens": r.n_tokens})
