@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontamination, jaccard_join, language_id, sentence_pieces
-from touchline.llm.common import few_rows, kept, named, read, unused
+from touchline.llm.common import few_rows, kept, named, passing, read, release, unused
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     key = unused(docs, "row_id")
     all_ = named(docs, key)
-    found = kept(jaccard_join.join(all_.select(F.col(key).alias("doc_id"), "text")), "components")
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    return all_.join(stay, key, "left_semi").select(docs.columns)
+    with passing(spark) as stays:
+        found = jaccard_join.join(all_.select(F.col(key).alias("doc_id"), "text"))
+        copies = stays(kept(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "copies"))
+    release(spark)
+    return all_.join(few_rows(copies), key, "left_anti").select(docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
