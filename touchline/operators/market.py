@@ -12,13 +12,13 @@ from touchline.functions.scalar import club_core, long_words, num, set_jaccard,
 def as_of(left: DataFrame, history: DataFrame, key: str, at: str, day: str = "day", tiebreak: str = "tiebreak", value: str = "value") -> DataFrame:
     """Adds the latest `value` of `history` with day <= at; the greatest tiebreak of a day; null without one.
 
-    An equi-join on the key and an aggregate: rows of one key spread over the join's skewed partitions and are reduced
-    before they are shuffled again.
+    The history is joined to the distinct pairs of key and date alone and reduced before it meets the rows; nulls in other
+    columns change nothing, a null key or date has no value.
     """
-    cols = left.columns
-    j = left.join(history.select(F.col(key), F.col(day).alias("_day"), F.col(tiebreak).alias("_t"), F.col(value).alias("_v")), key, "left").where(F.col("_day").isNull() | (F.col("_day") <= F.col(at)))
-    found = j.groupBy(*cols).agg(F.max_by("_v", F.struct("_day", "_t")).alias(value))
-    return left.join(found, cols, "left")
+    asked = left.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
+    past = history.select(F.col(key), F.col(day).alias("_day"), F.col(tiebreak).alias("_t"), F.col(value).alias("_v"))
+    found = asked.join(past, key).where(F.col("_day") <= F.col(at)).groupBy(key, at).agg(F.max_by("_v", F.struct("_day", "_t")).alias(value))
+    return left.join(found, [key, at], "left").select(*left.columns, value)
 
 
 def match_clubs(teams: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def within(left: DataFrame, right: DataFrame, key: str, spread: str, ways: int =
 
 
 def link_players(players: DataFrame, market: DataFrame, least: float = 0.34, same: bool = False) -> DataFrame:
-    """id, tm_id, score, method: exact name, else the best share of words, else the one who shares a surname.
+    """id, tm_id, score, method: exact name, else the best share of words, else the one who shares a surname; the score
+    is always the best of all candidates.
 
     players(id, norm, club) and market(tm_id, tm_norm, club, ord); players of clubs without a squad search the whole table.
     The club bounds the pairs of the join. `same`: both are one table, and no row is a candidate of its own id.
@@ -66,7 +67,7 @@ def link_players(players: DataFrame, market: DataFrame, least: float = 0.34, sam
     method = F.when(F.col("b.exact"), "exact").when(F.col("b.score") >= least, "token").when(F.col("anchors") == 1, "surname").when(F.col("anchors") > 1, "ambiguous").otherwise("none")
     got = players.join(best, "id", "left").withColumn("method", F.coalesce(method, F.lit("none")))
     pick = lambda f: F.when(F.col("method").isin("exact", "token"), F.col(f"b.{f}")).when(F.col("method") == "surname", F.col(f"s.{f}"))
-    return got.select("id", pick("tm_id").alias("tm_id"), F.coalesce(pick("score"), F.col("b.score"), num(0)).alias("score"), "method")
+    return got.select("id", pick("tm_id").alias("tm_id"), F.coalesce("b.score", num(0)).alias("score"), "method")
 
 
 def exclude(links: DataFrame, bad: DataFrame) -> DataFrame:

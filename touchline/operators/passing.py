@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.functions.scalar import ControlParams, control, distance, logistic, metric_to_season, num, zone
-from touchline.operators.motion import pressure
+from touchline.functions.scalar import ControlParams, control, distance, events_to_metric, logistic, metric_to_season, num, zone
+from touchline.operators.motion import match_target, pressure
 from touchline.operators.threat import NX, NY, lookup
 
 FEATURES = ["control_target", "distance_m", "forward_m", "pressure_m"]
@@ -70,6 +70,30 @@ def passing_value(valued: DataFrame) -> DataFrame:
     return df.withColumn("cpv_rank", F.col("below") / F.greatest(F.col("n_candidates") - 1, F.lit(1))).drop("below")
 
 
+def pass_table(events: DataFrame, frames: DataFrame) -> DataFrame:
+    """One row a pass that has a freeze frame with players of both sides: its ends, its nearest teammate as the target, all
+    positions in metres, and whether its possession's first team scored in it.
+
+    events(match_id, event_seq, and the provider's fields) and frames(match_id, event_uuid, freeze_frame). Passes that were
+    neither completed nor cut out (out of play, offside, stopped) are left out.
+    """
+    point = lambda p: F.struct(*(c.alias(n) for c, n in zip(events_to_metric(p[0], p[1]), "xy")))
+    goal = (F.col("type.name") == "Shot") & (F.col("shot.outcome.name") == "Goal")
+    log = events.select("match_id", "possession", F.col("event_seq").alias("seq"), F.col("possession_team.name").alias("owner"), F.when(goal, F.col("team.name")).alias("scorer"))
+    owners = log.where("possession is not null").groupBy("match_id", "possession").agg(F.min_by("owner", "seq").alias("owner"), F.collect_set("scorer").alias("scorers"))
+    scored = owners.select("match_id", "possession", F.array_contains("scorers", F.col("owner")).cast("int").alias("possession_scored"))
+    outcome = F.col("pass.outcome.name")
+    passes = events.where((F.col("type.name") == "Pass") & F.col("location").isNotNull() & (outcome.isNull() | (outcome == "Incomplete")))
+    passes = passes.select("match_id", F.col("id").alias("event_id"), "period", "minute", F.col("team.name").alias("team"), F.col("player.id").alias("passer_id"), F.col("player.name").alias("passer"), F.col("pass.recipient.id").alias("recipient_id"), F.col("pass.recipient.name").alias("recipient"),
+                           F.when(outcome.isNull(), 1).otherwise(0).alias("completed"), point(F.col("location")).alias("s"), point(F.col("pass.end_location")).alias("e"), "possession")
+    seen = frames.select("match_id", F.col("event_uuid").alias("event_id"), F.transform("freeze_frame", lambda p: F.struct(point(p["location"]).alias("at"), p["teammate"].alias("teammate"), F.coalesce(p["actor"], F.lit(False)).alias("actor"))).alias("ps"))
+    side = lambda mate: F.transform(F.filter("ps", lambda p: ~p["actor"] & (p["teammate"] == mate)), lambda p: p["at"])
+    df = passes.join(seen, ["match_id", "event_id"]).select("*", side(True).alias("teammates"), side(False).alias("opponents"), F.size("ps").alias("n_visible"))
+    df = df.where((F.size("teammates") > 0) & (F.size("opponents") > 0)).select("*", F.col("s.x").alias("start_x"), F.col("s.y").alias("start_y"), F.col("e.x").alias("end_x"), F.col("e.y").alias("end_y")).drop("s", "e", "ps")
+    df = match_target(df).join(scored, ["match_id", "possession"], "left")
+    return df.withColumn("possession_scored", F.coalesce("possession_scored", F.lit(0)))
+
+
 def possessions(log: DataFrame) -> DataFrame:
     """match_id, possession, team (first seen), start_x, start_y (first located), scored (by that team)."""
     first = log.groupBy("match_id", "possession").agg(F.min_by("team", "seq").alias("owner"), F.min_by(F.struct("x", "y"), F.when(F.col("x").isNotNull(), F.col("seq"))).alias("start"))

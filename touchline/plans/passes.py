@@ -79,8 +79,7 @@ def _(s):
     return M.sides(s).select("pass_id", S.nearest_time(F.col("teammates"), F.col("end_x"), F.col("end_y"), S.ControlParams()).alias("t"))
 
 
-@query("g05_control_grid", "syn_snapshots", f"""WITH {EX}, pts AS (SELECT pass_id, ix::INT ix, iy::INT iy, ix * (105.0 / 9) - 52.5 tx, iy * (68.0 / 6) - 34.0 ty FROM syn_snapshots, range(10) a(ix), range(7) b(iy) WHERE pass_id % 50 = 0),
-    c AS {control_sql("pts", "pass_id, ix, iy")} SELECT pass_id, ix, iy, R[control]R control FROM c""")
+@query("g05_control_grid", "syn_snapshots")
 def _(s):
     """The operator's own grid (50 x 34) for every snapshot."""
     dealt = s.repartition(4 * s.sparkSession.sparkContext.defaultParallelism, "pass_id")  # 1700 rows of each

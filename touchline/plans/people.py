@@ -244,92 +244,73 @@ def _(p):
 
 
 # --- names and links ---
-NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
-ASCII = f"nm AS (SELECT doc_id id, club, {NORM} norm FROM syn_names WHERE regexp_matches(strip_accents(name), '^[ -~\\n]*$'))"
-
-
 def named(n):
     """Every name, normalised; letters and digits of other scripts stay as they are."""
     return n.select(F.col("doc_id").alias("id"), "club", S.normalize_name("name").alias("norm"))
 
 
-@query("f01_normalize_name", "syn_names", f"WITH {ASCII} SELECT id, norm FROM nm")
+@query("f01_normalize_name", "syn_names")
 def _(n):
     return named(n).select("id", "norm")
 
 
-TOK = f"{ASCII}, tk AS (SELECT id, club, norm, list_distinct(list_filter(string_split(norm, ' '), lambda w: w <> '')) t FROM nm)"
-BLOCK = "pr2 AS (SELECT a.id, b.id other, a.t ta, b.t tb, a.norm na, b.norm nb FROM tk a JOIN tk b ON a.club = b.club AND a.id % 10 = 0 AND b.id % 10 = 1)"
-JAC = "CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) * 1.0::DOUBLE / len(list_distinct(list_concat(ta, tb))) END"
-
-
 def blocked(n):
     """The word sets ta, tb of every name and of every other name of its club."""
     d = named(n).select("id", "club", S.words(F.col("norm")).alias("t"))
     return K.within(d.withColumnRenamed("t", "ta"), d.select(F.col("id").alias("other"), "club", F.col("t").alias("tb")), "club", "id").where("id <> other")
 
 
-@query("f02_token_jaccard", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, other, R[{JAC}]R score FROM pr2")
+@query("f02_token_jaccard", "syn_names")
 def _(n):
     return blocked(n).select("id", "other", S.set_jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
-@query("f03_surname_anchor", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, count(*) FILTER (list_has_any(list_filter(ta, lambda w: len(w) >= 4), list_filter(tb, lambda w: len(w) >= 4))) anchors FROM pr2 GROUP BY id")
+@query("f03_surname_anchor", "syn_names")
 def _(n):
     d = blocked(n).withColumn("anchor", F.coalesce(F.arrays_overlap(S.long_words(F.col("ta")), S.long_words(F.col("tb"))), F.lit(False)))
     return d.groupBy("id").agg(F.count_if("anchor").alias("anchors"))
 
 
-STOP = "[" + ", ".join(f"'{w}'" for w in S.CLUB_WORDS) + "]"
-
-
-@query("f04_club_core", "syn_names", f"WITH {TOK} SELECT id, len(list_filter(t, lambda w: NOT list_contains({STOP}, w))) n FROM tk")
+@query("f04_club_core", "syn_names")
 def _(n):
     return named(n).select("id", F.size(S.club_core(F.col("norm"))).alias("n"))
 
 
-@query("u03_token_sets", "syn_names", f"WITH {TOK}, {BLOCK} SELECT id, sum(len(list_intersect(ta, tb)))::BIGINT shared, sum(len(list_distinct(list_concat(ta, tb))))::BIGINT total FROM pr2 GROUP BY id")
+@query("u03_token_sets", "syn_names")
 def _(n):
     a, b = F.col("ta"), F.col("tb")
     return blocked(n).groupBy("id").agg(F.sum(F.size(F.array_intersect(a, b))).alias("shared"), F.sum(F.size(F.array_union(a, b))).alias("total"))
 
 
-LINK = f"""{TOK}, cand AS (SELECT a.id, b.id tm_id, a.norm = b.norm ex, CASE WHEN a.norm = b.norm THEN 1.0::DOUBLE ELSE {JAC.replace("ta", "a.t").replace("tb", "b.t")} END score, list_has_any(list_filter(a.t, lambda w: len(w) >= 4), list_filter(b.t, lambda w: len(w) >= 4)) anc
-    FROM tk a JOIN tk b ON a.club = b.club AND a.id % 10 = 0 AND b.id % 10 > 0), bst AS (SELECT id, arg_min({{'tm_id': tm_id, 'score': score, 'ex': ex}}, {{'e': CASE WHEN ex THEN 0 ELSE 1 END, 's': -score, 'o': tm_id}}) b, count(*) FILTER (anc) na,
-    arg_max({{'tm_id': tm_id, 'score': score}}, {{'s': score, 'o': -tm_id}}) FILTER (anc) s FROM cand GROUP BY id),
-  md AS (SELECT id, b, s, CASE WHEN b.ex THEN 'exact' WHEN b.score >= 0.34 THEN 'token' WHEN na = 1 THEN 'surname' WHEN na > 1 THEN 'ambiguous' ELSE 'none' END method FROM bst),
-  lk AS (SELECT id, CASE WHEN method IN ('exact', 'token') THEN b.tm_id WHEN method = 'surname' THEN s.tm_id END tm_id, CASE WHEN method = 'surname' THEN s.score ELSE b.score END score, method FROM md)"""
-
-
 def linked(n):
     """Every name against the other names of its club."""
     d = named(n)
     return K.link_players(d, d.select(F.col("id").alias("tm_id"), F.col("norm").alias("tm_norm"), "club", F.col("id").alias("ord")), same=True)
 
 
-@query("j12_fuzzy_links", "syn_names", f"WITH {LINK} SELECT id, tm_id, R[score]R score, method FROM lk")
+@query("j12_fuzzy_links", "syn_names")
 def _(n):
     return linked(n)
 
 
-@query("c12_link_audit", "syn_names", f"WITH {LINK} SELECT id, R[score]R score, method FROM lk WHERE method <> 'exact' ORDER BY round(score, 9), id LIMIT 25")
+@query("c12_link_audit", "syn_names")
 def _(n):
     return linked(n).where("method <> 'exact'").orderBy(F.round("score", 9), "id").limit(25).select("id", "score", "method")
 
 
-@query("t04_lowest_confidence", "syn_names", f"WITH {LINK} SELECT id, R[score]R score FROM lk WHERE tm_id IS NOT NULL ORDER BY round(score, 9), id LIMIT 25")
+@query("t04_lowest_confidence", "syn_names")
 def _(n):
     return linked(n).where("tm_id is not null").orderBy(F.round("score", 9), "id").limit(25).select("id", "score")
 
 
-@query("p24_exclusions", "syn_names", f"WITH {LINK}, bad AS (SELECT DISTINCT id FROM lk WHERE tm_id % 7 = 0) SELECT id, CASE WHEN bad.id IS NULL THEN tm_id END tm_id, CASE WHEN bad.id IS NOT NULL THEN 'excluded' ELSE method END method FROM lk LEFT JOIN bad USING (id)")
+@query("p24_exclusions", "syn_names")
 def _(n):
     d = linked(n).withColumn("club", F.lit("x"))
     bad = d.where("tm_id % 7 = 0").select("tm_id", "club").distinct()
     return K.exclude(d, bad).select("id", "tm_id", "method")
 
 
-@query("a33_link_rate", "syn_names", f"WITH {LINK} SELECT R[avg(CASE WHEN tm_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)]R linked, count(*) n FROM lk")
+@query("a33_link_rate", "syn_names")
 def _(n):
     return linked(n).agg(F.avg(F.col("tm_id").isNotNull().cast("double")).alias("linked"), F.count("*").alias("n"))
 

@@ -59,7 +59,7 @@ def _(p):
     return p.dropna(subset=["quality", "a"]).select("player_id")
 
 
-@query("p16_date_range", "syn_valuations orders", "SELECT player_id, tiebreak FROM syn_valuations WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND player_id % 3 = 0")
+@query("p16_date_range", "syn_valuations orders", "SELECT player_id, tiebreak FROM syn_valuations WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND tiebreak IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(v, o):
     """Valuations of a half-year whose order has one priority, as the reference takes one competition."""
     urgent = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("tiebreak"))
@@ -234,7 +234,7 @@ def _(s):
     return s.join(F.broadcast(first), "match_id", "left_semi").groupBy("match_id").agg(F.count("*").alias("n"))
 
 
-@query("s17_all_passes", "syn_passes", "SELECT match_id, team, passer, recipient, completed::INT completed, R[start_x]R start_x, R[end_y]R end_y FROM syn_passes WHERE team = 5")
+@query("s17_all_passes", "syn_passes", "SELECT match_id, team, passer, recipient, completed::INT completed, R[start_x]R start_x, R[end_y]R end_y FROM syn_passes")
 def _(p):
     return p.select("match_id", "team", "passer", "recipient", F.col("completed").cast("int").alias("completed"), "start_x", "end_y")
 
@@ -256,7 +256,7 @@ def _(p):
     return p.where("a > 0").select("player_id").join(p.where("b > 5").select("player_id"), "player_id")
 
 
-@query("f06_formats", "syn_valuations", "SELECT tiebreak, CAST(round(value / 1000, 1) AS DECIMAL(12, 1))::VARCHAR || 'k' label FROM syn_valuations WHERE tiebreak % 10 = 3")
+@query("f06_formats", "syn_valuations", "SELECT tiebreak, CAST(round(value / 1000, 1) AS DECIMAL(12, 1))::VARCHAR || 'k' label FROM syn_valuations")
 def _(v):
     return v.select("tiebreak", F.concat(F.round(F.col("value") / 1000, 1).cast("decimal(12,1)").cast("string"), F.lit("k")).alias("label"))
 
