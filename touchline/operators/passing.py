@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.functions.scalar import ControlParams, control, distance, events_to_metric, logistic, metric_to_season, num, zone
+from touchline.functions.scalar import ControlParams, control, distance, events_to_metric, logistic, metric_to_season, mirror, num, zone
 from touchline.operators.motion import match_target, pressure
 from touchline.operators.threat import NX, NY, lookup
 
@@ -70,6 +70,42 @@ def passing_value(valued: DataFrame) -> DataFrame:
     return df.withColumn("cpv_rank", F.col("below") / F.greatest(F.col("n_candidates") - 1, F.lit(1))).drop("below")
 
 
+def zone_values(values: DataFrame) -> DataFrame:
+    """One row with the values of all zones as an array: a surface has a value for each."""
+    return values.agg(F.transform(F.array_sort(F.collect_list(F.struct("zone", "xt"))), lambda v: v["xt"]).alias("zone_values"))
+
+
+def passing_value_in_place(passes: DataFrame, xt: DataFrame, model, turnover: DataFrame | None = None, params: ControlParams = ControlParams()) -> DataFrame:
+    """What `passing_value` gives for all choices of each pass, computed within its row: nothing is exploded or shuffled.
+
+    `turnover`: a surface of conceded goals; without, the opponents' own threat.
+    """
+    sx, sy = F.col("start_x"), F.col("start_y")
+    point = F.struct(F.col("target_x").alias("x"), F.col("target_y").alias("y"))
+    df = passes.where((F.size("teammates") >= 2) & (F.size("opponents") >= 1)).crossJoin(F.broadcast(zone_values(xt).withColumnRenamed("zone_values", "gains")))
+    if turnover is not None:
+        df = df.crossJoin(F.broadcast(zone_values(turnover.select("zone", F.col("value").alias("xt"))).withColumnRenamed("zone_values", "losses")))
+    df = df.withColumn("pressure_m", pressure(F.col("opponents"), sx, sy))
+
+    def option(c: Column) -> Column:
+        x, y = metric_to_season(c["x"], c["y"])
+        at = zone(y, NY) * NX + zone(x, NX)
+        mx, my = mirror(x, y)
+        lost = -F.get("gains", zone(my, NY) * NX + zone(mx, NX)) if turnover is None else -F.get("losses", at)
+        features = {"control_target": control(F.col("teammates"), F.col("opponents"), c["x"], c["y"], params), "distance_m": distance(c["x"], c["y"], sx, sy), "forward_m": c["x"] - sx, "pressure_m": F.col("pressure_m")}
+        return F.struct(model(features).alias("p"), F.get("gains", at).alias("v"), lost.alias("t"))
+
+    df = df.withColumn("options", F.transform(F.concat("teammates", F.array(point)), option))
+    df = df.withColumn("evs", F.transform("options", lambda o: o["p"] * o["v"] + (num(1) - o["p"]) * o["t"])).withColumn("n", F.size("evs"))
+    total = lambda f: F.aggregate("evs", num(0), lambda s, e: s + f(e))
+    df = df.withColumn("ev_chosen", F.get("evs", F.col("n") - 1)).withColumn("ev_mean", total(lambda e: e) / F.col("n")).withColumn("ev_max", F.array_max("evs")).withColumn("best", F.get("options", F.col("n") - 1))
+    df = df.withColumn("ev_spread", F.sqrt(total(lambda e: (e - F.col("ev_mean")) * (e - F.col("ev_mean"))) / F.col("n")))
+    c, m = F.col("ev_chosen"), F.col("ev_mean")
+    below = F.size(F.filter("evs", lambda e: e < c))
+    return df.select("pass_id", "match_id", "team", "passer", "completed", "target_match_dist", F.col("n").alias("n_candidates"), "start_x", "start_y", "target_x", "target_y", "ev_chosen", "ev_mean", "ev_max", "ev_spread", F.col("best.p").alias("p_complete_chosen"), F.col("best.v").alias("v_receive_chosen"), F.col("best.t").alias("v_turnover_chosen"),
+                     (c - m).alias("cpv_avg"), (c - F.col("ev_max")).alias("cpv_max"), ((c - m) / F.greatest("ev_spread", num(1e-4))).alias("cpv_z"), (below / F.greatest(F.col("n") - 1, F.lit(1))).alias("cpv_rank"))
+
+
 def pass_table(events: DataFrame, frames: DataFrame) -> DataFrame:
     """One row a pass that has a freeze frame with players of both sides: its ends, its nearest teammate as the target, all
     positions in metres, and whether its possession's first team scored in it.

@@ -12,6 +12,7 @@ from touchline.operators import threat as T
 from .base import query
 from .passes import prepared, reliability
 from .people import AX, PAIRS, priced
+from .zones import SURFACE, Z
 
 FULL = ["quality", "age", "age_sq", "log_passes", "log_caps", "pos_MID", "pos_FWD"]
 
@@ -144,7 +145,8 @@ def _(p):
     return R.spearman(both, "x", "y", ["rep"]).agg(F.avg("rho").alias("rho"), F.count("*").alias("reps"))
 
 
-@query("v02_turnover_map", "syn_log")
+@query("v02_turnover_map", "syn_log", f"""WITH {SURFACE} SELECT i % 60 gx, i // 60 gy, R[value]R value FROM range(2400) r(i) JOIN surf
+    ON surf.zone = {Z("(i // 60 + 0.5) / 40.0", 8)} * 12 + {Z("(i % 60 + 0.5) / 60.0", 12)}""")
 def _(log):
     s = P.turnover_surface(log).select("zone", F.col("value").alias("xt"))
     g = log.sparkSession.range(2400).select((F.col("id") % 60).alias("gx"), F.floor(F.col("id") / 60).alias("gy"))

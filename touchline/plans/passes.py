@@ -185,15 +185,19 @@ def valued(p, s):
     return P.expected_values(P.choices(prepared(s)), T.surface(p), MODEL)
 
 
+def rated(p, s):
+    return P.passing_value_in_place(prepared(s), T.surface(p), MODEL)
+
+
 @query("c07_cpv_fixed_model", "syn_passes syn_snapshots", f"""{VALUED} SELECT pas.pass_id, pas.team, pas.passer, n n_candidates, R[c]R ev_chosen, R[m]R ev_mean, R[mx]R ev_max, R[sd]R ev_spread, R[pc]R p_complete_chosen, R[c - m]R cpv_avg, R[c - mx]R cpv_max,
     R[(c - m) / greatest(sd, 1e-4)]R cpv_z FROM cpv JOIN pas USING (pass_id)""")
 def _(p, s):
-    return P.passing_value(valued(p, s)).select("pass_id", "team", "passer", F.col("n_candidates").cast("long").alias("n_candidates"), "ev_chosen", "ev_mean", "ev_max", "ev_spread", "p_complete_chosen", "cpv_avg", "cpv_max", "cpv_z")
+    return rated(p, s).select("pass_id", "team", "passer", F.col("n_candidates").cast("long").alias("n_candidates"), "ev_chosen", "ev_mean", "ev_max", "ev_spread", "p_complete_chosen", "cpv_avg", "cpv_max", "cpv_z")
 
 
 @query("a19_choice_aggregates", "syn_passes syn_snapshots", f"{VALUED} SELECT team, R[avg(c - m)]R cpv_avg, R[avg(c - mx)]R cpv_max, R[avg(sd)]R spread, count(*) n FROM cpv JOIN pas USING (pass_id) GROUP BY team")
 def _(p, s):
-    return P.passing_value(valued(p, s)).groupBy("team").agg(F.avg("cpv_avg").alias("cpv_avg"), F.avg("cpv_max").alias("cpv_max"), F.avg("ev_spread").alias("spread"), F.count("*").alias("n"))
+    return rated(p, s).groupBy("team").agg(F.avg("cpv_avg").alias("cpv_avg"), F.avg("cpv_max").alias("cpv_max"), F.avg("ev_spread").alias("spread"), F.count("*").alias("n"))
 
 
 @query("a20_choice_baselines", "syn_passes syn_snapshots", f"{VALUED}, b AS (SELECT pass_id, avg(ev) a, max(ev) x, count(*) n FROM ev WHERE NOT chosen GROUP BY 1) SELECT pass_id, n n_candidates, R[a]R ev_baseline_avg, R[x]R ev_baseline_max FROM b")
@@ -205,12 +209,12 @@ def _(p, s):
 @query("w05_choice_rank", "syn_passes syn_snapshots", None)
 def _(p, s):
     """Rank of the chosen option; no SQL twin as equal options are told apart by the last bit."""
-    return P.passing_value(valued(p, s)).select("pass_id", "cpv_rank")
+    return rated(p, s).select("pass_id", "cpv_rank")
 
 
 @query("w04_choice_z", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, R[(c - m) / greatest(sd, 1e-4)]R cpv_z FROM cpv")
 def _(p, s):
-    return P.passing_value(valued(p, s)).select("pass_id", "cpv_z")
+    return rated(p, s).select("pass_id", "cpv_z")
 
 
 @query("c02_pass_evaluation", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, R[sum(p)]R sum_p, R[sum(ev)]R sum_ev, R[min(v_turnover)]R worst_loss FROM ev GROUP BY 1")
@@ -223,18 +227,18 @@ def _(p, s):
 def _(p, s):
     """What the pass returned at its actual end, less the chosen option's expected value."""
     xt, end = T.surface(p), S.metric_to_season(F.col("end_x"), F.col("end_y"))
-    d = T.lookup(T.lookup(s, xt, *end, "good"), xt, *end, "bad", opponents=True).join(P.passing_value(valued(p, s)).select("pass_id", "ev_chosen"), "pass_id")
+    d = T.lookup(T.lookup(s, xt, *end, "good"), xt, *end, "bad", opponents=True).join(rated(p, s).select("pass_id", "ev_chosen"), "pass_id")
     return d.select("pass_id", (F.when(F.col("completed") == 1, F.col("good")).otherwise(F.col("bad")) - F.col("ev_chosen")).alias("execution_quality"))
 
 
 @query("a10_quality_by_passer", "syn_passes syn_snapshots", f"{VALUED} SELECT team, passer, count(*) n, R[avg((c - m) / greatest(sd, 1e-4))]R quality FROM cpv JOIN pas USING (pass_id) GROUP BY ALL HAVING count(*) >= 10")
 def _(p, s):
-    return P.passing_value(valued(p, s)).groupBy("team", "passer").agg(F.count("*").alias("n"), F.avg("cpv_z").alias("quality")).where("n >= 10")
+    return rated(p, s).groupBy("team", "passer").agg(F.count("*").alias("n"), F.avg("cpv_z").alias("quality")).where("n >= 10")
 
 
 @query("a12_rounded_class_means", "syn_passes syn_snapshots", f"{VALUED} SELECT completed, round(avg(c), 5) ev_chosen, round(avg(c - m), 5) cpv_avg FROM cpv JOIN pas USING (pass_id) GROUP BY completed")
 def _(p, s):
-    return P.passing_value(valued(p, s)).groupBy("completed").agg(F.round(F.avg("ev_chosen"), 5).alias("ev_chosen"), F.round(F.avg("cpv_avg"), 5).alias("cpv_avg"))
+    return rated(p, s).groupBy("completed").agg(F.round(F.avg("ev_chosen"), 5).alias("ev_chosen"), F.round(F.avg("cpv_avg"), 5).alias("cpv_avg"))
 
 
 @query("c10_reception", "syn_passes syn_snapshots", f"""{XTS}, pts AS (SELECT pass_id, target_x tx, target_y ty FROM pas WHERE completed = 1 AND target_match_dist <= 6), ctl AS {control_sql("pts", "pass_id")}
@@ -245,14 +249,14 @@ def _(p, s):
 
 @query("v03_widest_choice", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, R[sd]R ev_spread FROM cpv JOIN pas USING (pass_id) WHERE n >= 8 AND start_x BETWEEN -10 AND 20 ORDER BY round(sd, 9) DESC, pass_id LIMIT 1")
 def _(p, s):
-    d = P.passing_value(valued(p, s)).where((F.col("n_candidates") >= 8) & F.col("start_x").between(-10, 20))
+    d = rated(p, s).where((F.col("n_candidates") >= 8) & F.col("start_x").between(-10, 20))
     return d.orderBy(F.round("ev_spread", 9).desc(), "pass_id").limit(1).select("pass_id", "ev_spread")
 
 
 @query("v07_eye_test", "syn_passes syn_snapshots", f"""{VALUED}, k AS (SELECT pass_id, round(c - m, 9) v FROM cpv WHERE n >= 4), u AS ((SELECT pass_id, v, 'top' side FROM k ORDER BY v DESC, pass_id LIMIT 5) UNION ALL (SELECT pass_id, v, 'bottom' FROM k ORDER BY v, pass_id LIMIT 5))
     SELECT pass_id, R[v]R cpv_avg, side FROM u""")
 def _(p, s):
-    d = P.passing_value(valued(p, s)).where("n_candidates >= 4").select("pass_id", F.round("cpv_avg", 9).alias("cpv_avg"))
+    d = rated(p, s).where("n_candidates >= 4").select("pass_id", F.round("cpv_avg", 9).alias("cpv_avg"))
     return d.orderBy(F.desc("cpv_avg"), "pass_id").limit(5).withColumn("side", F.lit("top")).union(d.orderBy("cpv_avg", "pass_id").limit(5).withColumn("side", F.lit("bottom")))
 
 

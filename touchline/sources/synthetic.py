@@ -60,12 +60,19 @@ def duck(sql: str) -> str:
     return re.sub(r"CAST\(floor\(event_id / 7\) AS BIGINT\)", "CAST(floor(event_id / 7.0) AS BIGINT)", sql)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where its files give fewer partitions: each of its rows costs much."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projected table, or a plain one."""
     if name not in SPARK:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source, sql = WHOLE.get(name) or SPARK[name]
-    return spark.sql(sql.replace(f"FROM {source}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    return spark.sql(sql.replace(f"FROM {source}", "FROM {rows}"), rows=spread(rows) if name == "syn_snapshots" else rows)
 
 
 def ctes(*names: str) -> str:
