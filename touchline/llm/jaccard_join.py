@@ -253,7 +253,7 @@ def hot_hashes(rows: DataFrame, key: str = "id") -> list[int]:
 
 
 def shared(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """rows(t, id, n) whose hash t is in more than one row, and m: how many rows have it, or COUNTED if there are as many.
+    """rows(t, id) whose hash t is in more than one row, and m: how many rows have it, or COUNTED if there are as many.
 
     One shuffle; a task holds COUNTED rows of a hash at most. Hot hashes are dealt out by id.
     """
@@ -266,10 +266,10 @@ def shared(rows: DataFrame, hot: list[int]) -> DataFrame:
         held, over = [], None  # rows of the last hash so far; that hash once it has COUNTED rows
 
         def out(cols, m):
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(m, pa.int32())], names=["t", "id", "n", "m"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(m, pa.int32())], names=["t", "id", "m"])
 
         for b in it:
-            cols = [b.column(k).to_numpy() for k in range(3)]
+            cols = [b.column(k).to_numpy() for k in range(2)]
             if held:
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
                 held = []
@@ -295,7 +295,7 @@ def shared(rows: DataFrame, hot: list[int]) -> DataFrame:
 
     to = F.when(F.col("t").isin(hot), F.xxhash64("id")).otherwise(F.col("t")) if hot else F.col("t")
     batch_rows(spark, 20_000)
-    return rows.select("t", "id", "n").repartition(parts(spark), to).sortWithinPartitions("t").mapInArrow(frugal(batches), "t long, id long, n int, m int")
+    return rows.select("t", "id").repartition(parts(spark), to).sortWithinPartitions("t").mapInArrow(frugal(batches), "t long, id long, m int")
 
 
 def least_shared(n: str, percent: int) -> Column:
@@ -303,17 +303,20 @@ def least_shared(n: str, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) / 20)).cast("int")
 
 
-def survivors(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def survivors(counted: DataFrame, classes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """id of the sets that share enough of their least hashes with others. Smaller sets link with equal ones only."""
-    some, rows = (x.where(F.col("n") * (100 - percent) >= percent).select(F.explode("hashes").alias("t"), k, F.col("n").cast("int").alias("n")) for x, k in ((counted, "set_key"), (classes, "id")))
-    return shared(rows, hot_hashes(some, "set_key")).groupBy("id", "n").count().where(F.col("count") >= least_shared("n", percent)).select("id")
+    some, rows = (x.where(F.col("n") * (100 - percent) >= percent).select(F.explode("hashes").alias("t"), k) for x, k in ((counted, "set_key"), (classes, "id")))
+    counts = shared(rows, hot_hashes(some, "set_key")).groupBy("id").count()
+    # sizes come last: rows of a hash and an id alone are shuffled
+    return counts.join(sizes.hint("merge"), "id").where(F.col("count") >= least_shared("n", percent)).select("id")
 
 
 def prefixes(full: DataFrame, percent: int) -> DataFrame:
     """t, id, n of the rarest hashes of each set, of which each partner has one among its own; sets with more hashes of
     their own than a link allows have none, and so no row."""
-    rows = full.select(F.explode("hashes").alias("t"), "id", F.size("hashes").alias("n"))
-    both = shared(rows, hot_hashes(rows)).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("x"))
+    rows = full.select(F.explode("hashes").alias("t"), "id")
+    both = shared(rows, hot_hashes(rows)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("x"))
+    both = both.join(full.select("id", F.size("hashes").alias("n")).hint("merge"), "id")
     # in order of (m, t) those of a set's own come first, then the shared ones
     left = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("x"))).cast("int")
     return both.where(left > 0).select("id", "n", F.explode(F.slice("x", F.lit(1), left)).alias("x")).select("x.t", "id", "n")
@@ -360,12 +363,12 @@ def open_links(lists: DataFrame, label: DataFrame, full: DataFrame, percent: int
     return search_groups(units, full, percent)
 
 
-def links(counted: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def links(counted: DataFrame, classes: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links a, b of the classes: enough of them to reach each from all that it is linked with."""
     spark = classes.sparkSession
     with passing(spark) as stays:
         with passing(spark) as stay:
-            found = kept(survivors(counted, classes, percent), "survivors")
+            found = kept(survivors(counted, classes, sizes, percent), "survivors")
             release(spark)
             full = kept(fetch(found), "sets")
             release(spark)
@@ -421,7 +424,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         some = sets(docs.join(texts, docs.doc_id.eqNullSafe(texts.doc_id), "left_semi"), size, percent, whole=True)
         return some.join(wanted.select("set_key", "id"), "set_key").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
-    found = links(counted, one, fetch, percent)
+    found = links(counted, one, classes.select("id", "n"), fetch, percent)
     if odd:  # one document may have several classes, where its doc_id repeats: it links them
         of = kept(counted.where("doc_id is not null and n > 0").select("doc_id", "set_key").distinct().join(classes.select("set_key", "id"), "set_key"), "rows")
         least = of.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("hi")).where("b <> hi").select("doc_id", "b")
