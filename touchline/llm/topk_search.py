@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, frugal, kept
+from .common import batch_rows, frugal, kept, parts
 
 #: Bits kept of a component and of a query's weight; they tell how many rows are resolved exactly, not the result.
 SLICES, DIGITS = 7, 7
@@ -248,10 +248,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     blocks = index(whole_numbers(vectors))
     queries = grouped(blocks, every)
     n = max(1, blocks.count())
-    # each group goes to every bucket of blocks; a bucket is a block or a few
-    asks = queries.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # each group goes to every bucket of blocks; a bucket is a block or a few, and few bytes are much work
     bucket: Column = F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    met = asks.join(blocks.withColumn("bucket", bucket).hint("merge"), "bucket").drop("bucket")
+    tasks = max(n, parts(spark))
+    asks = queries.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(tasks, "bucket")
+    met = asks.join(blocks.withColumn("bucket", bucket).repartition(tasks, "bucket").hint("merge"), "bucket").drop("bucket")
     schema = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def find(batches):
