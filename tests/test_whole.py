@@ -42,10 +42,10 @@ def brute_links(rows):
 
 
 def test_every_name_is_linked_to_the_others_of_its_club(names):
-    pairs = {(r.id, r.other): r.score for r in people.blocked(names).select("id", "other", people.S.set_jaccard(F.col("ta"), F.col("tb")).alias("score")).collect()}
+    pairs = {(r.id, r.other): r.score for r in people.blocked(names, 1).select("id", "other", people.S.set_jaccard(F.col("ta"), F.col("tb")).alias("score")).collect()}
     assert set(pairs) == {(a, b) for a, c, _ in NAMES for b, d, _ in NAMES if a != b and c == d}
     assert pairs[1, 2] == 1 and pairs[3, 4] == pytest.approx(1 / 6)
-    got = {r.id: (r.tm_id, pytest.approx(r.score), r.method) for r in people.linked(names).collect()}
+    got = {r.id: (r.tm_id, pytest.approx(r.score), r.method) for r in people.linked(names, 1).collect()}
     assert got == brute_links(NAMES)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
@@ -113,18 +115,18 @@ POSITION_GROUPS = {
 POSITION_ORDER = ["GK", "DEF", "MID", "FWD"]
 
 
+@functools.cache
+def accents() -> str:
+    """Pattern of all combining marks."""
+    marks = (c for c in map(chr, range(0x110000)) if unicodedata.combining(c))
+    return "[" + "".join(marks) + "]"
+
+
 @F.pandas_udf(StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     """Accents folded, lower case, other marks as blanks, blanks collapsed; null as ''."""
-    import unicodedata
-
-    def one(s):
-        if not isinstance(s, str):
-            return ""
-        folded = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
-
-    return names.map(one)
+    folded = names.fillna("").astype(str).str.normalize("NFKD").str.replace(accents(), "", regex=True).str.lower()
+    return folded.str.replace(r"[\W_]+", " ", regex=True).str.strip()
 
 
 def words(name: Column) -> Column:
@@ -138,7 +140,8 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def set_jaccard(ta: Column, tb: Column) -> Column:
     """Shared over all words of two arrays of words; 0 if either is empty."""
-    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))).otherwise(num(0))
+    shared = F.size(F.array_intersect(ta, tb))  # the arrays are sets
+    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), shared / (F.size(ta) + F.size(tb) - shared)).otherwise(num(0))
 
 
 def surname_anchor(a: Column, b: Column, least: int = 4) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontamination, html_extraction, jaccard_join, language_id, license_scan, order_minhash, sentence_pieces, token_counts, token_files, topk_search, warc
+from . import conversation_repair, decontamination, html_extraction, jaccard_join, language_id, license_scan, order_minhash, sentence_pieces, token_alignment, token_counts, token_files, topk_search, warc
 from .common import read
 
 
@@ -52,6 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(read(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op5_jaccard_join, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination, op12_topk_search, op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_files, op4_license_scan, op5_jaccard_join, op6_order_minhash, op7_warc_derivatives, op8_html_extraction, op9_sentence_pieces, op10_decontamination, op11_token_alignment, op12_topk_search, op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

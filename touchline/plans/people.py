@@ -243,74 +243,86 @@ def _(p):
     return R.spearman(d, "x", "y", ["g"]).select("rho", "n")
 
 
-# --- names and links ---
+# --- names and links: every name whose id is divisible by 50 against all others of its club ---
+ASKED = 50
+NORM = r"nm AS (SELECT doc_id id, club, trim(regexp_replace(lower(strip_accents(coalesce(name, ''))), '[^\p{L}\p{N}]+', ' ', 'g')) norm FROM syn_names), tk AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda w: w <> '')) t FROM nm)"
+MET = f"""{NORM}, pr AS (SELECT a.id, b.id other, a.norm = b.norm ex, len(list_intersect(a.t, b.t)) s, len(a.t) na, len(b.t) nb, len(list_filter(list_intersect(a.t, b.t), lambda w: length(w) >= 4)) > 0 anchor
+    FROM tk a JOIN tk b ON a.id <> b.id AND (a.club = b.club OR a.club IS NULL) WHERE a.id % {ASKED} = 0),
+  sc AS (SELECT *, CASE WHEN ex THEN 1.0::DOUBLE WHEN na > 0 AND nb > 0 THEN s * 1.0::DOUBLE / (na + nb - s) ELSE 0.0::DOUBLE END score FROM pr),
+  be AS (SELECT id, arg_min(other, {{'a': NOT ex, 's': -score, 'o': other}}) best, bool_or(ex) ex, max(score) score, count(*) FILTER (anchor) anchors, min(other) FILTER (anchor) anchored FROM sc GROUP BY id),
+  li AS (SELECT nm.id, CASE WHEN ex THEN 'exact' WHEN score >= 0.34 THEN 'token' WHEN anchors = 1 THEN 'surname' WHEN anchors > 1 THEN 'ambiguous' ELSE 'none' END AS method, coalesce(score, 0) score, best, anchored FROM nm LEFT JOIN be USING (id) WHERE nm.id % {ASKED} = 0),
+  lk AS (SELECT id, CASE WHEN method IN ('exact', 'token') THEN best WHEN method = 'surname' THEN anchored END tm_id, score, method FROM li)"""
+
+
 def named(n):
     """Every name, normalised; letters and digits of other scripts stay as they are."""
     return n.select(F.col("doc_id").alias("id"), "club", S.normalize_name("name").alias("norm"))
 
 
-@query("f01_normalize_name", "syn_names")
+@query("f01_normalize_name", "syn_names", f"WITH {NORM} SELECT id, norm FROM nm")
 def _(n):
     return named(n).select("id", "norm")
 
 
-def blocked(n):
-    """The word sets ta, tb of every name and of every other name of its club."""
+def blocked(n, every=ASKED):
+    """The word sets ta, tb of every name asked for and of every other name of its club (or of all, without a club)."""
     d = named(n).select("id", "club", S.words(F.col("norm")).alias("t"))
-    return K.within(d.withColumnRenamed("t", "ta"), d.select(F.col("id").alias("other"), "club", F.col("t").alias("tb")), "club", "id").where("id <> other")
+    asked, others = d.where(F.col("id") % every == 0).withColumnRenamed("t", "ta"), d.select(F.col("id").alias("other"), "club", F.col("t").alias("tb"))
+    asked, others = K.in_pools(asked, others)
+    return K.within(others.drop("club"), asked.drop("club"), "_pool", "other").where("id <> other")
 
 
-@query("f02_token_jaccard", "syn_names")
+@query("f02_token_jaccard", "syn_names", f"WITH {MET} SELECT id, other, R[CASE WHEN na > 0 AND nb > 0 THEN s * 1.0::DOUBLE / (na + nb - s) ELSE 0 END]R score FROM pr")
 def _(n):
     return blocked(n).select("id", "other", S.set_jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
-@query("f03_surname_anchor", "syn_names")
+@query("f03_surname_anchor", "syn_names", f"WITH {MET} SELECT id, count(*) FILTER (anchor) anchors FROM pr GROUP BY id")
 def _(n):
     d = blocked(n).withColumn("anchor", F.coalesce(F.arrays_overlap(S.long_words(F.col("ta")), S.long_words(F.col("tb"))), F.lit(False)))
     return d.groupBy("id").agg(F.count_if("anchor").alias("anchors"))
 
 
-@query("f04_club_core", "syn_names")
+@query("f04_club_core", "syn_names", f"WITH {NORM} SELECT id, len(list_filter(t, lambda w: w NOT IN ({', '.join(map(repr, S.CLUB_WORDS))})))::INT n FROM tk")
 def _(n):
     return named(n).select("id", F.size(S.club_core(F.col("norm"))).alias("n"))
 
 
-@query("u03_token_sets", "syn_names")
+@query("u03_token_sets", "syn_names", f"WITH {MET} SELECT id, sum(s)::BIGINT shared, sum(na + nb - s)::BIGINT total FROM pr GROUP BY id")
 def _(n):
-    a, b = F.col("ta"), F.col("tb")
-    return blocked(n).groupBy("id").agg(F.sum(F.size(F.array_intersect(a, b))).alias("shared"), F.sum(F.size(F.array_union(a, b))).alias("total"))
+    pairs = blocked(n).select("id", F.size(F.array_intersect("ta", "tb")).alias("s"), (F.size("ta") + F.size("tb")).alias("n"))
+    return pairs.groupBy("id").agg(F.sum("s").alias("shared"), F.sum(F.col("n") - F.col("s")).alias("total"))
 
 
-def linked(n):
-    """Every name against the other names of its club."""
+def linked(n, every=ASKED):
+    """Every name asked for against the other names of its club."""
     d = named(n)
-    return K.link_players(d, d.select(F.col("id").alias("tm_id"), F.col("norm").alias("tm_norm"), "club", F.col("id").alias("ord")), same=True)
+    return K.link_players(d.where(F.col("id") % every == 0), d.select(F.col("id").alias("tm_id"), F.col("norm").alias("tm_norm"), "club", F.col("id").alias("ord")), same=True)
 
 
-@query("j12_fuzzy_links", "syn_names")
+@query("j12_fuzzy_links", "syn_names", f"WITH {MET} SELECT id, tm_id, R[score]R score, method FROM lk")
 def _(n):
     return linked(n)
 
 
-@query("c12_link_audit", "syn_names")
+@query("c12_link_audit", "syn_names", f"WITH {MET} SELECT id, R[score]R score, method FROM lk WHERE method <> 'exact' ORDER BY round(lk.score, 9), id LIMIT 25")
 def _(n):
     return linked(n).where("method <> 'exact'").orderBy(F.round("score", 9), "id").limit(25).select("id", "score", "method")
 
 
-@query("t04_lowest_confidence", "syn_names")
+@query("t04_lowest_confidence", "syn_names", f"WITH {MET} SELECT id, R[score]R score FROM lk WHERE tm_id IS NOT NULL ORDER BY round(lk.score, 9), id LIMIT 25")
 def _(n):
     return linked(n).where("tm_id is not null").orderBy(F.round("score", 9), "id").limit(25).select("id", "score")
 
 
-@query("p24_exclusions", "syn_names")
+@query("p24_exclusions", "syn_names", f"WITH {MET} SELECT id, CASE WHEN tm_id % 7 = 0 THEN NULL ELSE tm_id END tm_id, CASE WHEN tm_id % 7 = 0 THEN 'excluded' ELSE method END AS method FROM lk")
 def _(n):
     d = linked(n).withColumn("club", F.lit("x"))
     bad = d.where("tm_id % 7 = 0").select("tm_id", "club").distinct()
     return K.exclude(d, bad).select("id", "tm_id", "method")
 
 
-@query("a33_link_rate", "syn_names")
+@query("a33_link_rate", "syn_names", f"WITH {MET} SELECT R[avg(CASE WHEN tm_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END)]R linked, count(*) n FROM lk")
 def _(n):
     return linked(n).agg(F.avg(F.col("tm_id").isNotNull().cast("double")).alias("linked"), F.count("*").alias("n"))
 

@@ -1,6 +1,6 @@
 """Domain tables projected from the star-schema tables by integer arithmetic, in Spark and as SQL views.
 
-The same definitions serve both engines, but for those of WHOLE; they stand in for provider files where none are at hand.
+The same definitions serve both engines; they stand in for provider files where none are at hand.
 """
 
 from __future__ import annotations
@@ -44,13 +44,9 @@ SPARK: dict[str, tuple[str, str]] = {
         SELECT CAST(s_suppkey AS INT) player_id, CAST(s_nationkey AS INT) team, CAST(s_acctbal AS DOUBLE) / 1000D a, CAST(s_suppkey * 37 % 1000 AS DOUBLE) / 100D b,
           CASE WHEN s_suppkey % 20 = 0 THEN NULL ELSE CAST(s_suppkey * 61 % 997 AS DOUBLE) / 100D END quality FROM supplier"""),
     "syn_names": ("documents", """
-        SELECT doc_id, lang club, substring(text, 1, 40) name FROM documents"""),
+        SELECT doc_id, lang club, text name FROM documents"""),
 }
 
-#: Spark's definitions that hold more than the SQL views: whole texts as names.
-WHOLE: dict[str, tuple[str, str]] = {"syn_names": ("documents", "SELECT doc_id, lang club, text name FROM documents")}
-
-
 def duck(sql: str) -> str:
     """The definitions in the other engine's dialect."""
     import re
@@ -70,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projected table, or a plain one."""
     if name not in SPARK:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source, sql = WHOLE.get(name) or SPARK[name]
+    source, sql = SPARK[name]
     rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     return spark.sql(sql.replace(f"FROM {source}", "FROM {rows}"), rows=spread(rows) if name == "syn_snapshots" else rows)
 
