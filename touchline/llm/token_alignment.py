@@ -243,6 +243,6 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         n_a, n_b, n_groups, n_best, count_sum = (pa.array(c) for c in totals.T.copy())
         return pa.table([documents.column("doc_id").cast(pa.int64()), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(hashes, pa.string())], schema=out)
 
-    documents = table.where("code is null").select("chunk", "doc_id", "codes")
+    documents = table.where("code is null").select(F.col("chunk").alias("part"), "doc_id", "codes")
     kinds = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in out)
-    return documents.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(compose, kinds)
+    return documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(compose, kinds)
