@@ -9,9 +9,10 @@ after another character and neither changes the text first; A's pre-tokenizer be
 is the end of a group, and equal segments have equal tokens wherever they stand.
 
 Documents go in chunks of CHUNK_BYTES; a chunk lists its distinct segments once and has each document as a row of numbers
-in that list. The distinct segments of all chunks are tokenised and aligned once. Links are counted from the segments'
-occurrences, the alignments are joined back to the chunks' lists, and each chunk composes its documents from its own list.
-No word of a text is shuffled but as part of a chunk's row of numbers; a frequent segment is one row a chunk.
+in that list. The lists are dealt out by segment, so that each distinct segment of the corpus is tokenised and aligned once,
+for all chunks that have it. Links are counted from the segments' occurrences; alignments and counts are joined back to the
+chunks, and each chunk composes its documents. No word of a text is shuffled but as part of a chunk's packed row of numbers;
+a frequent segment is one row a chunk, wherever it is dealt to.
 
 Null and empty texts have no tokens, nor have texts in which B's mark for a blank stands (B's tokens read as another text):
 zeros and an empty hash. Special tokens' strings are plain text. Very long texts, and texts without blanks, are whole (a chunk
@@ -30,15 +31,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, frugal, kept, tokenizer_path
+from .common import batch_rows, few_rows, frugal, kept, parts, passing, release, tokenizer_path
 from .sentence_pieces import MARK, Normaliser
 
 #: Bytes of text of a chunk, on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
 #: Characters that are white space for one of the libraries, or may be: no cut follows them.
 BLANKS = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}"
 #: Stands for a space to cut at, in texts that don't hold it (it is no character).
 CUT = "\ufdd0"
+IN_PYTHON = re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), BLANKS)
+ENDS_BLANK = re.compile(f"[{IN_PYTHON}]$")
+#: Segments that are tokenised as one text, and rows of a chunk's documents that are packed together.
+TOGETHER, PACKED = 400, 2000
 
 
 class Tokenizers:
@@ -66,10 +71,23 @@ class Tokenizers:
         one, two = self.b.encode("x"), self.b.encode("x ")
         self.space_b = two[len(one) :]  # B adds no space to an empty text
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each segment by A and by B."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        return a, [ids if s else self.space_b for s, ids in zip(segments, self.b.encode(segments, num_threads=1))]
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments by A and by B, one after another; those that may be joined are read as one text."""
+        a, b, run = [], [], []
+
+        def flush():
+            if run:
+                text = " ".join(run)
+                a.append(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids)
+                b.append(self.b.encode(text) if text else self.space_b)
+                run.clear()
+
+        for s in segments:
+            run.append(s)
+            if len(run) >= TOGETHER or not self.apart or not s or ENDS_BLANK.search(s):  # the next space would join its blanks
+                flush()
+        flush()
+        return tuple(np.fromiter((i for ids in each for i in ids), dtype=np.int64) for each in (a, b))
 
 
 def byte_letters() -> dict[str, int]:
@@ -107,7 +125,7 @@ def cut(texts) -> tuple[list[np.ndarray], list[str]]:
     split = pc.split_pattern(marked, CUT)
     odd = np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False))
     if len(odd):  # texts that hold the stand-in themselves
-        place = re.compile("(?<=[^" + re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), BLANKS) + "]) ")
+        place = re.compile(f"(?<=[^{IN_PYTHON}]) ")
         lists = split.to_pylist()
         for k in odd.tolist():
             lists[k] = place.split(texts[k].as_py())
@@ -117,12 +135,26 @@ def cut(texts) -> tuple[list[np.ndarray], list[str]]:
     return np.split(words.indices.to_numpy().astype("<i4"), ends[:-1]) if len(ends) else [], words.dictionary.to_pylist()
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, their lowest bytes first, then the next ones."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A written table of documents (chunk, doc_id, codes) and of the chunks' distinct segments (chunk, code, segment, n)."""
+    """A written table of packed documents (chunk, ids, known, sizes, codes) and of the chunks' distinct segments (chunk,
+    code, segment, n)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "sizes", "codes")), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
 
     def batches_of(batches):
         from pyspark import TaskContext
@@ -139,15 +171,24 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_B
             else:
                 distinct = whole.dictionary_encode()
                 each, segments = [np.array([i], dtype="<i4") for i in distinct.indices.to_pylist()], distinct.dictionary.to_pylist()
-            codes = [b""] * len(ids)
-            for k, c in zip(np.flatnonzero(fit.to_numpy(zero_copy_only=False)).tolist(), each):
-                codes[k] = c.tobytes()
-            counts = np.bincount(np.concatenate(each), minlength=len(segments)) if each else np.zeros(0, dtype=np.int64)
-            n, m = len(ids), len(segments)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids, pa.array(codes, pa.binary()), *(pa.nulls(n, t) for t in schema.types[3:])], schema=schema)
+            m = len(segments)
+            counts = np.bincount(np.concatenate(each), minlength=m) if each else np.zeros(0, dtype=np.int64)
+            order = np.argsort(-counts, kind="stable")  # frequent ones first: small numbers pack well
+            renamed = np.empty(m, dtype="<i4")
+            renamed[order] = np.arange(m, dtype="<i4")
+            sizes, full = np.zeros(len(ids), dtype="<i4"), fit.to_numpy(zero_copy_only=False)
+            sizes[full] = [len(c) for c in each]
+            known, numbers, done = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), 0
+            for at in range(0, len(ids), PACKED):
+                here = slice(at, at + PACKED)
+                codes = each[done : done + int(full[here].sum())]
+                done += len(codes)
+                row = [chunk, numbers[here].astype("<i8").tobytes(), known[here].tobytes(), sizes[here].tobytes(), packed(renamed[np.concatenate(codes)] if codes else np.zeros(0, dtype="<i4"))]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(row, schema.types)), *(pa.nulls(1, t) for t in schema.types[5:])], schema=schema)
             for at in range(0, m, 50_000):
-                k = min(m, at + 50_000) - at
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(segments[at : at + k], pa.string()), pa.array(counts[at : at + k].astype(np.int64))], schema=schema)
+                here = order[at : at + 50_000]
+                k = len(here)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *(pa.nulls(k, pa.binary()) for _ in range(4)), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array([segments[j] for j in here.tolist()], pa.string()), pa.array(counts[here].astype(np.int64))], schema=schema)
 
         for b in batches:
             upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
@@ -164,85 +205,124 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_B
             yield from rows()
 
     batch_rows(docs.sparkSession)
-    return kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(batches_of), "chunk long, doc_id long, codes binary, code int, segment string, n long"), "chunks")
+    return kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(batches_of), "chunk long, ids binary, known binary, sizes binary, codes binary, code int, segment string, n long"), "chunks")
 
 
-def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A written table of each distinct segment's alignment: sid, segment, n, n_a, n_b, n_groups, groups, links (a, b)."""
+def aligned(lists: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A written table: for each row of the chunks' lists (chunk, code) its groups; and chunk, pair, n: how often the
+    chunk's documents link a and b (pair = a * 2^32 + b), in parts."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    schema = pa.schema([("sid", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups")), ("groups", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("groups", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
 
     def batches_of(batches):
-        from pyspark import TaskContext
+        t, counted, held = tokenizers(path_a, path_b), [], 0
+
+        def pairs():
+            chunk, pair, n = (np.concatenate(c) for c in zip(*counted))
+            order = np.lexsort((pair, chunk))
+            chunk, pair, n = chunk[order], pair[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (pair[1:] != pair[:-1]))))
+            k = len(first)
+            return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(pair[first]), pa.array(np.add.reduceat(n, first))], schema=schema)
 
-        t, sid = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 33
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                some = b.slice(at, 20_000)
-                segments = some.column(0).to_pylist()
-                if not segments:
-                    continue
-                each_a, each_b = t.encode(segments)
-                ids_a, ids_b = (np.fromiter((i for ids in each for i in ids), dtype=np.int64) for each in (each_a, each_b))
-                n_a, n_b = (np.array([len(ids) for ids in each]) for each in (each_a, each_b))
-                text = (" " + " ".join(segments)).encode()
-                if not (b"".join(map(t.bytes_a.__getitem__, ids_a.tolist())) == text == b"".join(map(t.bytes_b.__getitem__, ids_b.tolist()))):
-                    raise ValueError("tokens don't read as their texts: the tokenizers change texts in a way that their files don't tell")
-                # the batch is one text, whose segments end where both tokenizers' tokens do
-                ends_a, ends_b = np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b])
-                meet = np.intersect1d(ends_a, ends_b, assume_unique=True)
-                to_a, to_b = np.searchsorted(ends_a, meet), np.searchsorted(ends_b, meet)
-                last = np.searchsorted(to_a, np.cumsum(n_a) - 1)  # of each segment, its last group
-                texts_a, texts_b = ids_a.astype(str).tolist(), ids_b.astype(str).tolist()
-                groups, x, y = [], 0, 0
-                for p, q in zip((to_a + 1).tolist(), (to_b + 1).tolist()):
-                    groups.append(",".join(texts_a[x:p]) + "|" + ",".join(texts_b[y:q]))
-                    x, y = p, q
-                first = np.concatenate(([0], last + 1))
-                offsets = pa.array(first.astype(np.int32))
-                joined = [";".join(groups[p:q]) for p, q in zip(first[:-1].tolist(), first[1:].tolist())]
-                k = len(segments)
-                columns = [np.arange(sid, sid + k), some.column(0), some.column(1), n_a, n_b, np.diff(first), pa.array(joined, pa.string()), *(pa.ListArray.from_arrays(offsets, pa.array(ids[to].astype(np.int32))) for ids, to in ((ids_a, to_a), (ids_b, to_b)))]
-                sid += k
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
-
-    batch_rows(segments.sparkSession, 20_000)
-    return kept(segments.mapInArrow(frugal(batches_of), "sid long, segment string, n long, n_a long, n_b long, n_groups long, groups string, a array<int>, b array<int>"), "aligned")
+            if not b.num_rows:
+                continue
+            rows = b.column(2)  # sorted: equal segments stand together
+            new = np.concatenate(([True], pc.not_equal(rows.slice(1), rows.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)))
+            of = np.cumsum(new) - 1  # of each row, its segment's place
+            segments = rows.filter(pa.array(new)).to_pylist()
+            ids_a, ids_b = t.encode(segments)
+            text = (" " + " ".join(segments)).encode()
+            if not (b"".join(map(t.bytes_a.__getitem__, ids_a.tolist())) == text == b"".join(map(t.bytes_b.__getitem__, ids_b.tolist()))):
+                raise ValueError("tokens don't read as their texts: the tokenizers change texts in a way that their files don't tell")
+            # the batch is one text, whose segments end where both tokenizers' tokens do
+            ends_a, ends_b = np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b])
+            meet = np.intersect1d(ends_a, ends_b, assume_unique=True)
+            to_a, to_b = np.searchsorted(ends_a, meet), np.searchsorted(ends_b, meet)
+            ends = np.cumsum([len(s.encode()) + 1 for s in segments])
+            last = np.searchsorted(meet, ends)  # of each segment, its last group
+            texts_a, texts_b = ids_a.astype(str).tolist(), ids_b.astype(str).tolist()
+            groups, x, y = [], 0, 0
+            for p, q in zip((to_a + 1).tolist(), (to_b + 1).tolist()):
+                groups.append(f"{texts_a[x]}|{texts_b[y]}" if p - x == 1 == q - y else ",".join(texts_a[x:p]) + "|" + ",".join(texts_b[y:q]))
+                x, y = p, q
+            first = np.concatenate(([0], last + 1))
+            joined = pa.array([";".join(groups[p:q]) for p, q in zip(first[:-1].tolist(), first[1:].tolist())], pa.string())
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), joined.take(pa.array(of)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=schema)
+            # every link of every row
+            size = np.diff(first)[of]
+            link = np.repeat(first[:-1][of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            counted.append((np.repeat(b.column(0).to_numpy(), size), ((ids_a[to_a] << 32) + ids_b[to_b])[link], np.repeat(b.column(3).to_numpy(), size)))
+            held += len(link)
+            if held > 1_000_000:
+                yield pairs()
+                counted, held = [], 0
+        if counted:
+            yield pairs()
+
+    spark = lists.sparkSession
+    batch_rows(spark, 20_000)
+    dealt = lists.select("chunk", "code", "segment", "n").repartition(parts(spark), "segment").sortWithinPartitions("segment")
+    return kept(dealt.mapInArrow(frugal(batches_of), "chunk long, code int, groups string, pair long, n long"), "aligned")
 
 
 def links(found: DataFrame) -> DataFrame:
-    """a, b, count, best (whether no other link of b is more frequent) of the corpus, from the distinct segments."""
-    counts = found.select("n", F.explode(F.arrays_zip("a", "b")).alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("count"))
-    return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
+    """pair, value (2 * how often it is linked in the corpus, and 1 more if no other link of its b is more frequent)."""
+    counts = found.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("count"))
+    best = F.max("count").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))))
+    return counts.select("pair", (F.col("count") * 2 + (F.col("count") == best).cast("long")).alias("value"))
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
+    spark = docs.sparkSession
     path_a, path_b = path_a or tokenizer_path("byte_bpe_50k.json"), path_b or tokenizer_path("piece_bpe_32k.model")
     table = chunks(docs, path_a, path_b, chunk_bytes)
-    lists = table.where("code is not null").select("chunk", "code", "segment", "n")
-    found = aligned(lists.groupBy("segment").agg(F.sum("n").alias("n")), path_a, path_b)
-    each = found.select("sid", F.explode(F.arrays_zip("a", "b")).alias("x")).select("sid", "x.a", "x.b")
-    sums = each.join(links(found), ["a", "b"]).groupBy("sid").agg(F.sum("count").alias("count_sum"), F.count_if("best").alias("n_best"))
-    numbers = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
-    back = lists.drop("n").join(found.join(sums, "sid").select("segment", *numbers, "groups"), "segment").drop("segment")
+    found = aligned(table.where("code is not null"), path_a, path_b)
+    release(spark)
+    with passing(spark) as stays:
+        counts = few_rows(kept(links(found), "links"))
+        linked = stays(kept(found.where("pair is not null").select("chunk", "pair").join(counts, "pair"), "linked"))
+    release(spark)
+    back = found.where("code is not null").select("chunk", "code", "groups").unionByName(linked, allowMissingColumns=True)
     out = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
 
-    def compose(documents: pa.Table, segments: pa.Table) -> pa.Table:
-        order = np.argsort(segments.column("code").to_numpy())  # 0, 1, 2, ...
-        values = np.stack([segments.column(c).to_numpy()[order] for c in numbers]) if len(order) else np.zeros((5, 0), dtype=np.int64)
-        groups = np.array(segments.column("groups").to_pylist(), dtype=object)[order]
-        totals, hashes = np.zeros((documents.num_rows, 5), dtype=np.int64), []
-        for k, codes in enumerate(documents.column("codes").to_pylist()):
-            codes = np.frombuffer(codes, dtype="<i4")
-            totals[k] = values[:, codes].sum(axis=1)
-            hashes.append(hashlib.sha256(";".join(groups[codes].tolist()).encode()).hexdigest() if len(codes) else "")
-        n_a, n_b, n_groups, n_best, count_sum = (pa.array(c) for c in totals.T.copy())
-        return pa.table([documents.column("doc_id").cast(pa.int64()), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(hashes, pa.string())], schema=out)
-
-    documents = table.where("code is null").select(F.col("chunk").alias("part"), "doc_id", "codes")
+    def compose(documents: pa.Table, lists: pa.Table) -> pa.Table:
+        is_pair = pc.is_valid(lists.column("pair"))
+        known = lists.filter(is_pair)
+        pair, first = np.unique(known.column("pair").to_numpy(), return_index=True)
+        value = known.column("value").to_numpy()[first]
+        segments = lists.filter(pc.invert(is_pair))
+        groups = segments.column("groups").take(pa.array(np.argsort(segments.column("code").to_numpy()))).combine_chunks()  # codes are 0, 1, 2, ...
+        split = pc.split_pattern(groups, ";")
+        each, to = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+        sides = pc.split_pattern(each, "|").flatten()
+        commas = pc.count_substring(sides, ",").to_numpy().astype(np.int64) + 1
+        ends = pc.extract_regex(each, r"(?:^|,)(?P<a>\d+)\|(?:\d+,)*(?P<b>\d+)$")
+        link = (pc.struct_field(ends, "a").cast(pa.int64()).to_numpy() << 32) + pc.struct_field(ends, "b").cast(pa.int64()).to_numpy()
+        counted = value[np.searchsorted(pair, link)]
+        by_group = (commas[0::2], commas[1::2], np.ones(len(link), dtype=np.int64), counted & 1, counted >> 1)
+        per_segment = [np.diff(np.concatenate(([0], np.cumsum(x)))[to]) for x in by_group]
+        texts = np.array(groups.to_pylist(), dtype=object)
+        columns, hashes = [[] for _ in range(6)], []
+        for ids, there, sizes, codes in zip(*(documents.column(c).to_pylist() for c in ("ids", "known", "sizes", "codes"))):
+            codes = unpacked(codes)
+            at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype="<i4"))))
+            columns[0].append(pa.array(np.frombuffer(ids, dtype="<i8"), mask=~np.frombuffer(there, dtype=bool)))
+            for c, x in zip(columns[1:], per_segment):
+                c.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(x[codes])))[at])))
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                hashes.append(hashlib.sha256(";".join(texts[codes[x:y]].tolist()).encode()).hexdigest() if y > x else "")
+        doc_id, n_a, n_b, n_groups, n_best, count_sum = map(pa.concat_arrays, columns)
+        return pa.table([doc_id, n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(hashes, pa.string())], schema=out)
+
+    documents = table.where("ids is not null").select(F.col("chunk").alias("part"), "ids", "known", "sizes", "codes")
     kinds = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in out)
     return documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(compose, kinds)
