@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, few_rows, frugal, kept, parts, passing, release, tokenizer_path
+from .common import batch_rows, few_rows, frugal, kept, parts, passing, release, tokenizer_path, trim
 from .sentence_pieces import MARK, Normaliser
 
 #: Bytes of text of a chunk, on average.
@@ -295,29 +295,37 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     out = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
 
     def compose(documents: pa.Table, lists: pa.Table) -> pa.Table:
-        is_pair = pc.is_valid(lists.column("pair"))
-        known = lists.filter(is_pair)
+        """A chunk's documents; what is no longer needed is let go of on the way."""
+        tokenizers.cache_clear()
+        trim()
+        known = lists.select(["pair", "value"]).filter(pc.is_valid(lists.column("pair")))
         pair, first = np.unique(known.column("pair").to_numpy(), return_index=True)
         value = known.column("value").to_numpy()[first]
-        segments = lists.filter(pc.invert(is_pair))
+        segments = lists.select(["code", "groups"]).filter(pc.is_null(lists.column("pair")))
+        del known, first
         groups = segments.column("groups").take(pa.array(np.argsort(segments.column("code").to_numpy()))).combine_chunks()  # codes are 0, 1, 2, ...
         split = pc.split_pattern(groups, ";")
         each, to = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
-        sides = pc.split_pattern(each, "|").flatten()
-        commas = pc.count_substring(sides, ",").to_numpy().astype(np.int64) + 1
+        del segments, split
         ends = pc.extract_regex(each, r"(?:^|,)(?P<a>\d+)\|(?:\d+,)*(?P<b>\d+)$")
         link = (pc.struct_field(ends, "a").cast(pa.int64()).to_numpy() << 32) + pc.struct_field(ends, "b").cast(pa.int64()).to_numpy()
+        del ends
         counted = value[np.searchsorted(pair, link)]
-        by_group = (commas[0::2], commas[1::2], np.ones(len(link), dtype=np.int64), counted & 1, counted >> 1)
-        per_segment = [np.diff(np.concatenate(([0], np.cumsum(x)))[to]) for x in by_group]
+        del link, pair, value
+        commas = pc.count_substring(pc.split_pattern(each, "|").flatten(), ",").to_numpy() + 1
+        del each
+        each_segment = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[to])
+        per_segment = [each_segment(commas[0::2]).astype(np.int32), each_segment(commas[1::2]).astype(np.int32), np.diff(to).astype(np.int32), each_segment(counted & 1).astype(np.int32), each_segment(counted >> 1)]
+        del commas, counted
         texts = np.array(groups.to_pylist(), dtype=object)
+        del groups
         columns, hashes = [[] for _ in range(6)], []
         for ids, there, sizes, codes in zip(*(documents.column(c).to_pylist() for c in ("ids", "known", "sizes", "codes"))):
             codes = unpacked(codes)
             at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype="<i4"))))
             columns[0].append(pa.array(np.frombuffer(ids, dtype="<i8"), mask=~np.frombuffer(there, dtype=bool)))
             for c, x in zip(columns[1:], per_segment):
-                c.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(x[codes])))[at])))
+                c.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(x[codes], dtype=np.int64)))[at])))
             for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
                 hashes.append(hashlib.sha256(";".join(texts[codes[x:y]].tolist()).encode()).hexdigest() if y > x else "")
         doc_id, n_a, n_b, n_groups, n_best, count_sum = map(pa.concat_arrays, columns)
