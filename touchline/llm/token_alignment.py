@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import batch_rows, few_rows, frugal, kept, parts, passing, release, tokenizer_path, trim
 from .sentence_pieces import MARK, Normaliser
 
-#: Bytes of text of a chunk, on average.
-CHUNK_BYTES = 32 << 20
+#: Bytes of text of a chunk, on average, and of what is cut at once.
+CHUNK_BYTES, SLICE_BYTES = 32 << 20, 2 << 20
 #: Characters that are white space for one of the libraries, or may be: no cut follows them.
 BLANKS = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}"
 #: Stands for a space to cut at, in texts that don't hold it (it is no character).
@@ -116,13 +116,12 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
-def cut(texts) -> tuple[list[np.ndarray], list[str]]:
-    """For each text of an Arrow array (without nulls) its segments' numbers in the list of distinct segments, and that list."""
+def cut(texts):
+    """Of an Arrow array of texts (without nulls): how many segments each has, and all segments in order, dictionary-encoded."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    marked = pc.replace_substring_regex(texts, f"([^{BLANKS}]) ", rf"\1{CUT}")
-    split = pc.split_pattern(marked, CUT)
+    split = pc.split_pattern(pc.replace_substring_regex(texts, f"([^{BLANKS}]) ", rf"\1{CUT}"), CUT)
     odd = np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False))
     if len(odd):  # texts that hold the stand-in themselves
         place = re.compile(f"(?<=[^{IN_PYTHON}]) ")
@@ -130,9 +129,7 @@ def cut(texts) -> tuple[list[np.ndarray], list[str]]:
         for k in odd.tolist():
             lists[k] = place.split(texts[k].as_py())
         split = pa.array(lists, pa.list_(pa.string()))
-    words = split.flatten().dictionary_encode()
-    ends = np.cumsum(pc.list_value_length(split).to_numpy())
-    return np.split(words.indices.to_numpy().astype("<i4"), ends[:-1]) if len(ends) else [], words.dictionary.to_pylist()
+    return pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -162,41 +159,44 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_B
         chunk, apart = TaskContext.get().partitionId() << 33, tokenizers(path_a, path_b).apart
         some, size = [], 0
 
-        def rows():
-            ids, texts = (pa.concat_arrays([s.column(k) for s in some]) for k in (0, 1))
+        def read(ids, texts):
+            """Of some documents: ids, which have tokens, their numbers of segments, the segments; the text is let go of."""
             fit = pc.fill_null(pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, MARK))), False)
-            whole = texts.filter(fit)
-            if apart:
-                each, segments = cut(whole)
-            else:
-                distinct = whole.dictionary_encode()
-                each, segments = [np.array([i], dtype="<i4") for i in distinct.indices.to_pylist()], distinct.dictionary.to_pylist()
-            m = len(segments)
-            counts = np.bincount(np.concatenate(each), minlength=m) if each else np.zeros(0, dtype=np.int64)
+            whole, full = texts.filter(fit), fit.to_numpy(zero_copy_only=False)
+            each, words = cut(whole) if apart else (np.ones(len(whole), dtype=np.int64), whole.dictionary_encode())
+            sizes = np.zeros(len(ids), dtype="<i4")
+            sizes[full] = each
+            return ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), sizes, words
+
+        def rows():
+            known, numbers, sizes = (np.concatenate([s[k] for s in some]) for k in range(3))
+            words = pa.chunked_array([s[3] for s in some]).unify_dictionaries()
+            segments, m = words.chunk(0).dictionary, len(words.chunk(0).dictionary)
+            codes = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype("<i4")
+            del words
+            counts = np.bincount(codes, minlength=m)
             order = np.argsort(-counts, kind="stable")  # frequent ones first: small numbers pack well
             renamed = np.empty(m, dtype="<i4")
             renamed[order] = np.arange(m, dtype="<i4")
-            sizes, full = np.zeros(len(ids), dtype="<i4"), fit.to_numpy(zero_copy_only=False)
-            sizes[full] = [len(c) for c in each]
-            known, numbers, done = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), 0
-            for at in range(0, len(ids), PACKED):
-                here = slice(at, at + PACKED)
-                codes = each[done : done + int(full[here].sum())]
-                done += len(codes)
-                row = [chunk, numbers[here].astype("<i8").tobytes(), known[here].tobytes(), sizes[here].tobytes(), packed(renamed[np.concatenate(codes)] if codes else np.zeros(0, dtype="<i4"))]
+            codes = renamed[codes]
+            to = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            for at in range(0, len(sizes), PACKED):
+                end = min(len(sizes), at + PACKED)
+                row = [chunk, numbers[at:end].astype("<i8").tobytes(), known[at:end].tobytes(), sizes[at:end].tobytes(), packed(codes[to[at] : to[end]])]
                 yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(row, schema.types)), *(pa.nulls(1, t) for t in schema.types[5:])], schema=schema)
+            del codes
             for at in range(0, m, 50_000):
                 here = order[at : at + 50_000]
                 k = len(here)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *(pa.nulls(k, pa.binary()) for _ in range(4)), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array([segments[j] for j in here.tolist()], pa.string()), pa.array(counts[here].astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *(pa.nulls(k, pa.binary()) for _ in range(4)), pa.array(np.arange(at, at + k, dtype=np.int32)), segments.take(pa.array(here)), pa.array(counts[here].astype(np.int64))], schema=schema)
 
         for b in batches:
             upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
             at = 0
             while at < b.num_rows:
                 before = int(upto[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(upto, before + chunk_bytes - size)))
-                some.append(b.slice(at, to - at))
+                to = max(at + 1, int(np.searchsorted(upto, before + min(SLICE_BYTES, chunk_bytes - size))))
+                some.append(read(b.column(0).slice(at, to - at), b.column(1).slice(at, to - at)))
                 size, at = size + int(upto[to - 1]) - before, to
                 if size >= chunk_bytes:
                     yield from rows()
@@ -258,7 +258,7 @@ def aligned(lists: DataFrame, path_a: str, path_b: str) -> DataFrame:
             link = np.repeat(first[:-1][of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             counted.append((np.repeat(b.column(0).to_numpy(), size), ((ids_a[to_a] << 32) + ids_b[to_b])[link], np.repeat(b.column(3).to_numpy(), size)))
             held += len(link)
-            if held > 1_000_000:
+            if held > 300_000:
                 yield pairs()
                 counted, held = [], 0
         if counted:
