@@ -258,7 +258,7 @@ def aligned(lists: DataFrame, path_a: str, path_b: str) -> DataFrame:
             link = np.repeat(first[:-1][of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             counted.append((np.repeat(b.column(0).to_numpy(), size), ((ids_a[to_a] << 32) + ids_b[to_b])[link], np.repeat(b.column(3).to_numpy(), size)))
             held += len(link)
-            if held > 300_000:
+            if held > 1_000_000:
                 yield pairs()
                 counted, held = [], 0
         if counted:
@@ -289,7 +289,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     release(spark)
     with passing(spark) as stays:
         counts = few_rows(kept(links(found), "links"))
-        linked = stays(kept(found.where("pair is not null").select("chunk", "pair").join(counts, "pair"), "linked"))
+        linked = stays(kept(found.where("pair is not null").select("chunk", "pair").distinct().join(counts, "pair"), "linked"))
     release(spark)
     back = found.where("code is not null").select("chunk", "code", "groups").unionByName(linked, allowMissingColumns=True)
     out = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
