@@ -13,13 +13,23 @@ from touchline.sources.scratch import kept
 def as_of(left: DataFrame, history: DataFrame, key: str, at: str, day: str = "day", tiebreak: str = "tiebreak", value: str = "value") -> DataFrame:
     """Adds the latest `value` of `history` with day <= at; the greatest tiebreak of a day; null without one.
 
-    The history is joined to the distinct pairs of key and date alone and reduced before it meets the rows; nulls in other
-    columns change nothing, a null key or date has no value.
+    Days are dates, times or ISO texts. Questions and history are sorted together once, within a key and year: the last
+    history row before a question answers it, or what the key's earlier years end with, which is a row a year. So no
+    question meets a key's whole history, and a key with a long one is dealt out by years. Nulls in other columns change
+    nothing, a null key or date has no value.
     """
-    asked = left.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
-    past = history.select(F.col(key), F.col(day).alias("_day"), F.col(tiebreak).alias("_t"), F.col(value).alias("_v"))
-    found = asked.join(past, key).where(F.col("_day") <= F.col(at)).groupBy(key, at).agg(F.max_by("_v", F.struct("_day", "_t")).alias(value))
-    return left.join(found, [key, at], "left").select(*left.columns, value)
+    year = lambda c: F.substring(c.cast("string"), 1, 4)
+    known = history.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.struct(F.col(tiebreak).alias("t"), F.col(value).alias("v")).alias("_h"))
+    asked = left.select(F.col(key).alias("_k"), F.col(at).alias("_d")).where("_k is not null and _d is not null").distinct()
+    ends = known.groupBy("_k", year(F.col("_d")).alias("_y")).agg(F.max_by("_h", F.struct("_d", F.col("_h.t"))).alias("_end"))
+    years_ = ends.unionByName(asked.select("_k", year(F.col("_d")).alias("_y")).distinct(), allowMissingColumns=True).groupBy("_k", "_y").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    earlier = Window.partitionBy("_k").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    years_ = years_.select("_k", "_y", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    both = known.withColumn("_asks", F.lit(False)).unionByName(asked.withColumn("_asks", F.lit(True)), allowMissingColumns=True).withColumn("_y", year(F.col("_d")))
+    order = Window.partitionBy("_k", "_y").orderBy("_d", "_asks", F.col("_h.t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    answered = both.withColumn("_now", F.last("_h", ignorenulls=True).over(order)).where("_asks").select("_k", "_d", "_y", "_now").join(years_, ["_k", "_y"], "left")
+    answered = answered.select(F.col("_k").alias(key), F.col("_d").alias(at), F.coalesce("_now", "_before")["v"].alias(value))
+    return left.join(answered, [key, at], "left").select(*left.columns, value)
 
 
 def match_clubs(teams: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -43,14 +53,15 @@ def within(left: DataFrame, right: DataFrame, key: str, spread: str, ways: int =
     return a.join(b.hint("shuffle_hash"), [key, "_g"]).drop("_g")
 
 
-def in_pools(players: DataFrame, market: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with `_pool`: a club's squad, or for players of clubs without one the whole market."""
+def in_pools(players: DataFrame, market: DataFrame, everyone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both with `_pool`: a club's squad, or for players of clubs without one the whole market (`everyone`, where that is
+    more than the squads)."""
     squads = market.where("club is not null").select("club").distinct().withColumn("_squad", F.lit(True))
     players = players.join(squads, "club", "left").withColumn("_pool", F.when(F.col("_squad"), F.concat(F.lit("="), F.col("club").cast("string"))).otherwise("*")).drop("_squad")
     own = market.where("club is not null").withColumn("_pool", F.concat(F.lit("="), F.col("club").cast("string")))
     if players.where("_pool = '*'").isEmpty():
         return players, own
-    return players, own.unionByName(market.withColumn("_pool", F.lit("*")))
+    return players, own.unionByName((market if everyone is None else everyone).withColumn("_pool", F.lit("*")))
 
 
 def name_classes(market: DataFrame) -> DataFrame:
@@ -119,16 +130,16 @@ def anchors(players: DataFrame, known: DataFrame, names: DataFrame, who: DataFra
     return most.join(few, "id", "left").select("id", n.alias("anchors"), "anchor")
 
 
-def link_players(players: DataFrame, market: DataFrame, least: float = 0.34, same: bool = False) -> DataFrame:
+def link_players(players: DataFrame, market: DataFrame, least: float = 0.34, same: bool = False, everyone: DataFrame | None = None) -> DataFrame:
     """id, tm_id, score, method: exact name, else the best share of words, else the one who shares a surname; the score
     is always the best of all candidates.
 
     players(id, norm, club) and market(tm_id, tm_norm, club, ord), ord unique; players of clubs without a squad search the
-    whole market. Candidates come from an index of each name's rarest words. `same`: both are one table, in which each
+    whole market (or `everyone`, of the same columns). Candidates come from an index of each name's rarest words. `same`: both are one table, in which each
     player stands, and no row is a candidate of its own id.
     """
     players, market = kept(players.select("id", "norm", "club"), "players"), kept(market.select("tm_id", "tm_norm", "club", "ord"), "market")
-    players, market = in_pools(players.withColumn("_ta", F.array_sort(words(F.col("norm")))), market)
+    players, market = in_pools(players.withColumn("_ta", F.array_sort(words(F.col("norm")))), market, everyone)
     nth = F.row_number().over(Window.partitionBy("_pool", "tm_norm").orderBy("ord"))
     firsts = market.withColumn("_nth", nth).where("_nth <= 2").select("_pool", F.col("tm_norm").alias("norm"), "tm_id", "ord")
     exact = players.join(firsts, ["_pool", "norm"])
@@ -161,6 +172,36 @@ def checked_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     return left.join(once.drop("_n"), keys, "left")
 
 
+def price_data(roles: DataFrame, appearances: DataFrame, clubs: DataFrame, players: DataFrame, valuations: DataFrame, competition: str, season: tuple[str, str], on: str, wrong: DataFrame) -> DataFrame:
+    """`roles` (player_id, name, team, ..), a row a player and team, and tm_id, tm_name, score, method, market_value.
+
+    A club's squad is who appeared for it in the competition between the season's days. Teams are matched to the season's
+    clubs by name, players to their club's squad (of a team without one, to all players); values are the last on or before
+    the day `on`; of players who are linked to a (tm_id, team) of `wrong` every link is cleared. The join back is checked:
+    it never adds rows.
+    """
+    from touchline.functions.scalar import normalize_name
+
+    squads = appearances.where(F.col("date").cast("date").between(F.lit(season[0]).cast("date"), F.lit(season[1]).cast("date")) & (F.col("competition_id") == competition)).select(F.col("player_club_id").alias("club_id"), F.col("player_id").alias("tm_id")).distinct()
+    there = clubs.join(squads.select("club_id").distinct(), "club_id", "left_semi")
+    teams = kept(roles.select("team").distinct().select("team", normalize_name("team").alias("norm")), "teams")
+    matched = match_clubs(teams.select(F.col("norm").alias("team")).distinct(), there.select("club_id", normalize_name("name").alias("club"), F.col("club_id").alias("ord")))
+    club_of = teams.join(matched.withColumnRenamed("team", "norm"), "norm").where("club_id is not null").select(F.col("team").alias("club"), "club_id")
+    named = kept(players.select(F.col("player_id").alias("tm_id"), normalize_name("name").alias("tm_norm"), F.col("name").alias("tm_name")), "players")
+    inside = named.join(squads, "tm_id").join(club_of, "club_id").select("tm_id", "tm_norm", "club", F.col("tm_id").alias("ord"))
+    everyone = named.select("tm_id", "tm_norm", F.lit(None).cast("string").alias("club"), F.col("tm_id").alias("ord"))
+    key = F.to_json(F.struct("player_id", "team"))
+    asked = roles.select(key.alias("id"), normalize_name("name").alias("norm"), F.col("team").cast("string").alias("club"))
+    links = link_players(asked, inside, everyone=everyone)
+    links = links.join(roles.select(key.alias("id"), "player_id", "team"), "id")
+    links = as_of(links.withColumn("_on", F.lit(on).cast("date")), valuations.withColumnRenamed("player_id", "tm_id"), "tm_id", "_on").drop("_on").withColumnRenamed("value", "market_value")
+    wrong = wrong.select("tm_id", "team")
+    cleared = links.join(wrong, ["tm_id", "team"], "left_semi").select("player_id").distinct().withColumn("_x", F.lit(True))
+    links = links.join(cleared, "player_id", "left").select("player_id", "team", "score", *(F.when(F.col("_x").isNull(), F.col(c)).alias(c) for c in ("tm_id", "market_value")), F.when(F.col("_x"), "excluded").otherwise(F.col("method")).alias("method"))
+    links = links.join(named.select("tm_id", "tm_name"), "tm_id", "left")
+    return checked_left_join(roles, links, ["player_id", "team"])
+
+
 def price_features(df: DataFrame, on: str) -> DataFrame:
     """age, age_sq, log_passes, log_caps, log_value, pos_MID, pos_FWD of rows with value, date of birth and quality."""
     d = df.where("market_value is not null and date_of_birth is not null and quality is not null")

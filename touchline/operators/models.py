@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions.scalar import num
 
+#: Rows that one task of a fit takes at least, and groups whose ids still go through the driver.
+ROWS_PER_TASK, MOST_GROUPS = 50_000, 100_000
+
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
@@ -37,10 +42,18 @@ def logistic(df: DataFrame, features: list[str], label: str, standardize: bool =
     return float(model.intercept) - sum(weights[f] * use[f][0] for f in features), weights
 
 
-def boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, seed: int = 0):
-    """Gradient boosting with the completion model's settings; judge it by calibration, not by values."""
-    d = assembled(df.dropna(subset=[*features, label]).withColumn("label", F.col(label).cast("double")), features).select("features", "label").persist()
-    model = GBTClassifier(maxIter=rounds, stepSize=0.06, minInstancesPerNode=60, maxDepth=5, maxBins=255, seed=seed).fit(d)
+def boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, seed: int = 0, key: list[str] | None = None, held: float = 0.1, least: float = 1e-4):
+    """Gradient boosting with the completion model's settings; judge it by calibration, not by values.
+
+    With `key`, a share of the rows (by a hash of it) is held out, and the rounds end before `rounds` where a round lowers
+    its loss by less than the share `least`. Trees are grown level by level over all partitions; a small table goes into few.
+    """
+    here = df.dropna(subset=[*features, label]).withColumn("label", F.col(label).cast("double"))
+    aside = F.pmod(F.xxhash64(*(key or [F.lit(0)]), F.lit(seed)), F.lit(1000)) < F.lit(int(1000 * held)) if key else F.lit(False)
+    d = assembled(here.withColumn("held", aside), features).select("features", "label", "held")
+    d = d.coalesce(max(1, -(-d.count() // ROWS_PER_TASK))).persist()
+    settings = {"validationIndicatorCol": "held", "validationTol": least} if key and not d.where("held").isEmpty() else {}
+    model = GBTClassifier(maxIter=rounds, stepSize=0.06, minInstancesPerNode=60, maxDepth=5, maxBins=255, seed=seed, **settings).fit(d)
     d.unpersist()
     return model
 
@@ -49,19 +62,63 @@ def boosted_probability(model, df: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(assembled(df, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _tree(lines: list[str], x: list[Column]) -> Column:
+    """The column of a printed tree, whose lines are used up: `If (feature 0 <= 0.5)`, a tree, `Else (..)`, a tree, or
+    `Predict: 1.0`."""
+    line = lines.pop(0)
+    if line.startswith("Predict"):
+        return num(float(line.rpartition(" ")[2]))
+    _, _, feature, sign, bound = line.strip("()").replace("(", "").split()
+    if sign != "<=":
+        raise ValueError(f"not a numeric split: {line}")
+    low = _tree(lines, x)
+    lines.pop(0)  # Else
+    return F.when(x[int(feature)] <= num(float(bound)), low).otherwise(_tree(lines, x))
+
+
+def boosted_expression(model, features: list[str]):
+    """The fitted trees as a column function of {feature: column}, for columns bound in lambdas too: the chance of label 1.
+
+    The features should be plain references (bound before), as each tree reads them several times.
+    """
+    trees: list[list[str]] = []
+    for line in map(str.strip, model.toDebugString.split("\n")):
+        if line.startswith("Tree "):
+            trees.append([])
+        elif trees and line:
+            trees[-1].append(line)
+    weights = list(model.treeWeights)
+
+    def predict(columns: dict[str, Column]) -> Column:
+        x = [columns[f] for f in features]
+        parts = [_tree(list(t), x) * num(w) for t, w in zip(trees, weights)]
+        while len(parts) > 1:  # a sum of little depth
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2 :]
+        return num(1) / (num(1) + F.exp(parts[0] * -2.0))
+
+    return predict
+
+
 def folds(df: DataFrame, group: str, n: int = 5, seed: int = 0) -> DataFrame:
-    """group, fold: the (few) sorted groups, shuffled with the seed and cut into n near-equal parts."""
-    ids = np.array(sorted(r[0] for r in df.select(group).distinct().collect()))
+    """`df` with fold: its groups, sorted, shuffled with the seed and cut into n near-equal parts. Beyond MOST_GROUPS groups
+    each falls to a fold by its hash, which makes the parts near-equal too."""
+    ids = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(ids) > MOST_GROUPS:
+        return df.where(F.col(group).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(n)).cast("int"))
+    ids = np.array(sorted(ids))
     np.random.default_rng(seed).shuffle(ids)
     rows = [(x.item(), k) for k, part in enumerate(np.array_split(ids, n)) for x in part]
-    return df.sparkSession.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, fold int")
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, fold int")), group)
 
 
-def out_of_fold(df: DataFrame, group: str, features: list[str], label: str, n: int = 5, seed: int = 0) -> DataFrame:
-    """`df` with p predicted by a model of the other folds."""
+def out_of_fold(df: DataFrame, group: str, features: list[str], label: str, n: int = 5, seed: int = 0, kind: str = "logistic", **how) -> DataFrame:
+    """`df` with fold and p, predicted by a model of the other folds: logistic, or boosted (`how` as for `boosted`)."""
     from touchline.operators.passing import fixed_model
 
-    d = df.join(F.broadcast(folds(df, group, n, seed)), group)
+    d = folds(df, group, n, seed)
+    if kind == "boosted":
+        parts = [boosted_probability(boosted(d.where(F.col("fold") != k), features, label, **how), d.where(F.col("fold") == k).dropna(subset=features), features) for k in range(n)]
+        return functools.reduce(DataFrame.unionByName, parts)
     p = F.lit(None).cast("double")
     for k in range(n):
         b, w = logistic(d.where(F.col("fold") != k), features, label)
@@ -69,6 +126,42 @@ def out_of_fold(df: DataFrame, group: str, features: list[str], label: str, n: i
     return d.withColumn("p", p)
 
 
+def reliability(df: DataFrame, label: str, p: str, bins: int = 10, least: int = 30) -> DataFrame:
+    """bin, n, mean prediction and label, whether the bin counts, and their gap; bins without rows are left out."""
+    b = F.greatest(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    d = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(label).alias("mean_observed"))
+    return d.withColumn("counts", F.col("n") >= least).withColumn("gap", F.abs(F.col("mean_predicted") - F.col("mean_observed")))
+
+
+def quality_of(df: DataFrame, label: str, p: str = "p", gate: float = 0.10) -> DataFrame:
+    """One row: n, brier, baseline (of the label's mean), worst_gap of the bins that count, passed."""
+    sums = df.where(F.col(p).isNotNull()).groupBy(F.greatest(F.least(F.floor(F.col(p) * 10), F.lit(9)), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(F.col(label).cast("double")).alias("sy"), F.sum((F.col(p) - F.col(label)) * (F.col(p) - F.col(label))).alias("se"))
+    mean = F.sum("sy") / F.sum("n")
+    out = sums.agg(F.sum("n").alias("n"), (F.sum("se") / F.sum("n")).alias("brier"), (mean * (num(1) - mean)).alias("baseline"), F.max(F.when(F.col("n") >= 30, F.abs(F.col("sp") - F.col("sy")) / F.col("n"))).alias("worst_gap"))
+    return out.withColumn("passed", F.col("worst_gap") <= gate)
+
+
+def compared(df: DataFrame, group: str, features: list[str], label: str, key: list[str], n: int = 5, seed: int = 0, rounds: int = 300) -> DataFrame:
+    """kind, n, brier, baseline, worst_gap, passed, chosen: both kinds of model judged out of fold; the one whose worst gap
+    is least is chosen, the first of equals."""
+    tried = []
+    for kind, how in (("logistic", {}), ("boosted", {"rounds": rounds, "key": key})):
+        tried.append(quality_of(out_of_fold(df, group, features, label, n, seed, kind, **how), label).first())
+    gaps = [1.0 if r.worst_gap is None else r.worst_gap for r in tried]
+    rows = [(kind, *r, gaps.index(min(gaps)) == k) for k, (kind, r) in enumerate(zip(("logistic", "boosted"), tried))]
+    return df.sparkSession.createDataFrame(rows, "kind string, n long, brier double, baseline double, worst_gap double, passed boolean, chosen boolean")
+
+
+def completion_model(df: DataFrame, group: str, features: list[str], label: str, key: list[str], **how):
+    """The kind of model that `compared` chooses, fitted to all rows, as a column function; and the comparison."""
+    from touchline.operators.passing import fixed_model
+
+    table = compared(df, group, features, label, key, **how)
+    if table.where("chosen").first().kind == "logistic":
+        return fixed_model(*logistic(df, features, label)), table
+    return boosted_expression(boosted(df, features, label, how.get("rounds", 300), how.get("seed", 0), key), features), table
+
+
 def discount(df: DataFrame) -> tuple:
     """Reception model of scored by zone and control, and a column function for the discount: chance at the mean zone value
     over the mean chance of all rows."""
@@ -80,22 +173,6 @@ def discount(df: DataFrame) -> tuple:
     return (b, w, zone, mean), lambda control: curve(num(b + w["zone_xt"] * zone) + control * w["control_target"]) / num(mean)
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int = 400, seed: int = 0) -> DataFrame:
-    """key, lo, hi: 2.5 and 97.5 % points of the mean under Poisson(1) weights, drawn from a hash of row and draw.
-
-    Rows are weighted where they are, and only sums a key and draw are shuffled.
-    """
-    u = (F.xxhash64(key, value, "_draw", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / num(2.0**53))
-    weight, below, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(8):
-        below += term
-        term /= k + 1
-        weight = weight + F.when(u >= below, 1).otherwise(0)
-    d = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw")).withColumn("_w", weight)
-    means = d.groupBy(key, "_draw").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
-    return means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-
-
 def principal_axes(df: DataFrame, columns: list[str], share: float = 0.90) -> tuple[DataFrame, int]:
     """pc1 .. pck of the fewest components that hold over `share` of the variance. Rows with nulls are left out."""
     d = assembled(df.dropna(subset=columns), columns)

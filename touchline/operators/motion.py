@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions.scalar import ControlParams, clip, control, distance, nearest, num
+from touchline.operators.order import quantiles
 
 
 def velocities(tracking: DataFrame, keys: list[str], axes: list[str], dt: float = 0.04, half: int = 3, limit: float = 12.0) -> DataFrame:
@@ -26,7 +27,7 @@ def frame_step(tracking: DataFrame, time: str = "t") -> DataFrame:
     """dt: the median time between frames that follow each other (over the frames of all games; one row a frame)."""
     frames = tracking.select("game_id", "frame", time).distinct()
     step = F.col(time) - F.lag(time).over(Window.partitionBy("game_id").orderBy("frame"))
-    return frames.select(step.alias("d")).agg(F.median("d").alias("dt"))
+    return quantiles(frames.select(step.alias("d")), "d", {"dt": 0.5})
 
 
 def sides(df: DataFrame) -> DataFrame:
@@ -58,6 +59,24 @@ def intended_receiver(candidates: DataFrame, key: str, most: float = 40.0) -> Da
     return best.where(F.col("b.angle") <= most).select(key, F.col("b.id").alias("receiver"), F.col("b.angle").alias("angle"))
 
 
+def receiver_in_frame(snapshots: DataFrame, most: float = 40.0) -> DataFrame:
+    """Adds receiver, angle to rows with start, end and frame: the teammate (k, without the actor) whose bearing deviates
+    least from the ball's way, within `most` degrees; the first in the frame of equals; null without one. Computed in the
+    row: nothing is exploded or shuffled."""
+    dx, dy = F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")
+    n = F.sqrt(dx * dx + dy * dy)
+
+    def turned(p: Column, i: Column) -> Column:
+        vx, vy = p["x"] - F.col("start_x"), p["y"] - F.col("start_y")
+        v = F.sqrt(vx * vx + vy * vy)
+        angle = F.degrees(F.acos(clip((vx / v) * (dx / n) + (vy / v) * (dy / n), -1.0, 1.0)))
+        return F.struct(F.when((n >= 1e-6) & (v >= 1e-6), angle).alias("angle"), i.alias("i"), p["k"].alias("k"))
+
+    mates = F.transform(F.filter("frame", lambda p: p["teammate"] & ~p["actor"]), turned)
+    best = snapshots.withColumn("_b", F.array_min(F.filter(mates, lambda m: m["angle"] <= most)))
+    return best.select(*snapshots.columns, F.col("_b.k").alias("receiver"), F.col("_b.angle").alias("angle"))
+
+
 def control_grid(snapshot: DataFrame, nx: int = 50, ny: int = 34, params: ControlParams = ControlParams()) -> DataFrame:
     """ix, iy, gx, gy, control of every point of an inclusive grid for each row of `snapshot` (teammates, opponents)."""
     gx = F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda i: F.struct(i.alias("ix"), (i * (105.0 / (nx - 1)) - 52.5).alias("gx")))

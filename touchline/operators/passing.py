@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions.scalar import ControlParams, control, distance, events_to_metric, logistic, metric_to_season, mirror, num, zone
-from touchline.operators.motion import match_target, pressure
+from touchline.operators.motion import match_target, pressure, receiver_in_frame
 from touchline.operators.threat import NX, NY, lookup
 
 FEATURES = ["control_target", "distance_m", "forward_m", "pressure_m"]
@@ -71,8 +71,9 @@ def passing_value(valued: DataFrame) -> DataFrame:
 
 
 def zone_values(values: DataFrame) -> DataFrame:
-    """One row with the values of all zones as an array: a surface has a value for each."""
-    return values.agg(F.transform(F.array_sort(F.collect_list(F.struct("zone", "xt"))), lambda v: v["xt"]).alias("zone_values"))
+    """One row with the values of all zones of the grid as an array; 0 for a zone that has none."""
+    known = values.agg(F.map_from_entries(F.collect_list(F.struct(F.col("zone").cast("int"), F.col("xt").cast("double")))).alias("v"))
+    return known.select(F.transform(F.sequence(F.lit(0), F.lit(NX * NY - 1)), lambda z: F.coalesce(F.try_element_at("v", z), num(0))).alias("zone_values"))
 
 
 def passing_value_in_place(passes: DataFrame, xt: DataFrame, model, turnover: DataFrame | None = None, params: ControlParams = ControlParams()) -> DataFrame:
@@ -93,9 +94,11 @@ def passing_value_in_place(passes: DataFrame, xt: DataFrame, model, turnover: Da
         mx, my = mirror(x, y)
         lost = -F.get("gains", zone(my, NY) * NX + zone(mx, NX)) if turnover is None else -F.get("losses", at)
         features = {"control_target": control(F.col("teammates"), F.col("opponents"), c["x"], c["y"], params), "distance_m": distance(c["x"], c["y"], sx, sy), "forward_m": c["x"] - sx, "pressure_m": F.col("pressure_m")}
-        return F.struct(model(features).alias("p"), F.get("gains", at).alias("v"), lost.alias("t"))
+        return F.struct(*(f.alias(k) for k, f in features.items()), F.get("gains", at).alias("v"), lost.alias("t"))
 
     df = df.withColumn("options", F.transform(F.concat("teammates", F.array(point)), option))
+    # the features are bound now: a model may read them many times
+    df = df.withColumn("options", F.transform("options", lambda o: F.struct(model({k: o[k] for k in FEATURES}).alias("p"), o["v"].alias("v"), o["t"].alias("t"))))
     df = df.withColumn("evs", F.transform("options", lambda o: o["p"] * o["v"] + (num(1) - o["p"]) * o["t"])).withColumn("n", F.size("evs"))
     total = lambda f: F.aggregate("evs", num(0), lambda s, e: s + f(e))
     df = df.withColumn("ev_chosen", F.get("evs", F.col("n") - 1)).withColumn("ev_mean", total(lambda e: e) / F.col("n")).withColumn("ev_max", F.array_max("evs")).withColumn("best", F.get("options", F.col("n") - 1))
@@ -106,28 +109,71 @@ def passing_value_in_place(passes: DataFrame, xt: DataFrame, model, turnover: Da
                      (c - m).alias("cpv_avg"), (c - F.col("ev_max")).alias("cpv_max"), ((c - m) / F.greatest("ev_spread", num(1e-4))).alias("cpv_z"), (below / F.greatest(F.col("n") - 1, F.lit(1))).alias("cpv_rank"))
 
 
+def tracked_value(passes: DataFrame, xt: DataFrame, model, include_failed: bool = False, widest: float | None = None, most: float = 40.0, params: ControlParams = ControlParams()) -> DataFrame:
+    """The value of tracked attempts: pass_id, team, from_player, to_player, completed, ev_chosen, ev_baseline_max,
+    ev_baseline_avg, cpv_max, cpv_avg, execution_quality, n_candidates.
+
+    passes(pass_id, team, passer, completed, receiver, start, end, frame, teammates, opponents): `receiver` is the k of the
+    recorded receiver of a completed pass; a failed one's is the teammate whose bearing deviates least, within `most`
+    degrees. Candidates are the teammates in the frame, those within `widest` metres and the receiver. Failed passes are left
+    out unless asked for, as their inferred target leans to valuable places. What a pass returned is the threat at its end,
+    or what losing the ball there costs; less the expected value, this is its execution. Computed in the row.
+    """
+    sx, sy = F.col("start_x"), F.col("start_y")
+    inferred = receiver_in_frame(passes.withColumnRenamed("receiver", "recorded"), most)
+    df = inferred.withColumn("to_player", F.when(F.col("completed") == 1, F.col("recorded")).otherwise(F.col("receiver"))).drop("receiver", "angle")
+    df = df.where(F.col("to_player").isNotNull() & (F.size("opponents") >= 1) & (F.lit(include_failed) | (F.col("completed") == 1)))
+    df = df.crossJoin(F.broadcast(zone_values(xt).withColumnRenamed("zone_values", "gains"))).withColumn("pressure_m", pressure(F.col("opponents"), sx, sy))
+
+    def worth(x: Column, y: Column) -> tuple[Column, Column]:
+        x, y = metric_to_season(x, y)
+        mx, my = mirror(x, y)
+        return F.get("gains", zone(y, NY) * NX + zone(x, NX)), -F.get("gains", zone(my, NY) * NX + zone(mx, NX))
+
+    def option(c: Column) -> Column:
+        v, t = worth(c["x"], c["y"])
+        features = {"control_target": control(F.col("teammates"), F.col("opponents"), c["x"], c["y"], params), "distance_m": distance(c["x"], c["y"], sx, sy), "forward_m": c["x"] - sx, "pressure_m": F.col("pressure_m")}
+        return F.struct(c["k"].alias("k"), *(f.alias(n) for n, f in features.items()), v.alias("v"), t.alias("t"))
+
+    near = (lambda c: (distance(c["x"], c["y"], sx, sy) <= widest) | (c["k"] == F.col("to_player"))) if widest is not None else (lambda c: F.lit(True))
+    df = df.withColumn("options", F.transform(F.filter("frame", lambda c: c["teammate"] & ~c["actor"] & near(c)), option))
+
+    def valued(o: Column) -> Column:
+        p = model({k: o[k] for k in FEATURES})
+        return F.struct(o["k"].alias("k"), p.alias("p"), o["v"].alias("v"), o["t"].alias("t"))
+
+    df = df.withColumn("options", F.transform("options", valued)).withColumn("options", F.transform("options", lambda o: F.struct(o["k"].alias("k"), (o["p"] * o["v"] + (num(1) - o["p"]) * o["t"]).alias("ev"))))
+    df = df.withColumn("ev_chosen", F.get(F.filter("options", lambda o: o["k"] == F.col("to_player")), F.lit(0))["ev"]).where("ev_chosen is not null").withColumn("n_candidates", F.size("options"))
+    df = df.withColumn("ev_baseline_max", F.array_max(F.transform("options", lambda o: o["ev"]))).withColumn("ev_baseline_avg", F.aggregate("options", num(0), lambda a, o: a + o["ev"]) / F.col("n_candidates"))
+    good, bad = worth(F.col("end_x"), F.col("end_y"))
+    c = F.col("ev_chosen")
+    return df.select("pass_id", "team", F.col("passer").alias("from_player"), "to_player", "completed", "ev_chosen", "ev_baseline_max", "ev_baseline_avg", (c - F.col("ev_baseline_max")).alias("cpv_max"), (c - F.col("ev_baseline_avg")).alias("cpv_avg"),
+                     (F.when(F.col("completed") == 1, good).otherwise(bad) - c).alias("execution_quality"), F.col("n_candidates").cast("long").alias("n_candidates"))
+
+
 def pass_table(events: DataFrame, frames: DataFrame) -> DataFrame:
     """One row a pass that has a freeze frame with players of both sides: its ends, its nearest teammate as the target, all
     positions in metres, and whether its possession's first team scored in it.
 
     events(match_id, event_seq, and the provider's fields) and frames(match_id, event_uuid, freeze_frame). Passes that were
-    neither completed nor cut out (out of play, offside, stopped) are left out.
+    neither completed nor cut out (out of play, offside, stopped) and those without a place are left out. The columns are
+    those that features, values and receptions are made of.
     """
-    point = lambda p: F.struct(*(c.alias(n) for c, n in zip(events_to_metric(p[0], p[1]), "xy")))
+    point = lambda p: F.struct(*(c.alias(n) for c, n in zip(events_to_metric(F.get(p, F.lit(0)), F.get(p, F.lit(1))), "xy")))
     goal = (F.col("type.name") == "Shot") & (F.col("shot.outcome.name") == "Goal")
     log = events.select("match_id", "possession", F.col("event_seq").alias("seq"), F.col("possession_team.name").alias("owner"), F.when(goal, F.col("team.name")).alias("scorer"))
     owners = log.where("possession is not null").groupBy("match_id", "possession").agg(F.min_by("owner", "seq").alias("owner"), F.collect_set("scorer").alias("scorers"))
-    scored = owners.select("match_id", "possession", F.array_contains("scorers", F.col("owner")).cast("int").alias("possession_scored"))
+    scored = owners.select("match_id", "possession", F.array_contains("scorers", F.col("owner")).cast("int").alias("scored"))
     outcome = F.col("pass.outcome.name")
-    passes = events.where((F.col("type.name") == "Pass") & F.col("location").isNotNull() & (outcome.isNull() | (outcome == "Incomplete")))
-    passes = passes.select("match_id", F.col("id").alias("event_id"), "period", "minute", F.col("team.name").alias("team"), F.col("player.id").alias("passer_id"), F.col("player.name").alias("passer"), F.col("pass.recipient.id").alias("recipient_id"), F.col("pass.recipient.name").alias("recipient"),
+    passes = events.where((F.col("type.name") == "Pass") & (F.size("location") > 0) & (outcome.isNull() | (outcome == "Incomplete")))
+    passes = passes.select("match_id", F.col("id").alias("pass_id"), "period", "minute", F.col("team.name").alias("team"), F.col("player.id").alias("passer_id"), F.col("player.name").alias("passer"), F.col("pass.recipient.id").alias("recipient_id"), F.col("pass.recipient.name").alias("recipient"),
                            F.when(outcome.isNull(), 1).otherwise(0).alias("completed"), point(F.col("location")).alias("s"), point(F.col("pass.end_location")).alias("e"), "possession")
-    seen = frames.select("match_id", F.col("event_uuid").alias("event_id"), F.transform("freeze_frame", lambda p: F.struct(point(p["location"]).alias("at"), p["teammate"].alias("teammate"), F.coalesce(p["actor"], F.lit(False)).alias("actor"))).alias("ps"))
+    seen = frames.select("match_id", F.col("event_uuid").alias("pass_id"), F.transform("freeze_frame", lambda p: F.struct(point(p["location"]).alias("at"), p["teammate"].alias("teammate"), F.coalesce(p["actor"], F.lit(False)).alias("actor"))).alias("ps"))
     side = lambda mate: F.transform(F.filter("ps", lambda p: ~p["actor"] & (p["teammate"] == mate)), lambda p: p["at"])
-    df = passes.join(seen, ["match_id", "event_id"]).select("*", side(True).alias("teammates"), side(False).alias("opponents"), F.size("ps").alias("n_visible"))
+    df = passes.join(seen, ["match_id", "pass_id"]).select("*", side(True).alias("teammates"), side(False).alias("opponents"), F.size("ps").alias("n_visible"))
     df = df.where((F.size("teammates") > 0) & (F.size("opponents") > 0)).select("*", F.col("s.x").alias("start_x"), F.col("s.y").alias("start_y"), F.col("e.x").alias("end_x"), F.col("e.y").alias("end_y")).drop("s", "e", "ps")
     df = match_target(df).join(scored, ["match_id", "possession"], "left")
-    return df.withColumn("possession_scored", F.coalesce("possession_scored", F.lit(0)))
+    return df.withColumn("scored", F.coalesce("scored", F.lit(0)))
 
 
 def possessions(log: DataFrame) -> DataFrame:

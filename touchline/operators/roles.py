@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.functions.scalar import num, safe_div
+from touchline.functions.scalar import num, safe_div, tracking_to_metric
+from touchline.operators.order import quantiles
+from touchline.operators.threat import directions
 
 TERRITORY = ["mean_x", "mean_y", "dispersion", "def_share", "mid_share", "att_share"]
 STYLE = ["fwd_share", "lat_share", "back_share", "mean_pass_dist", "std_pass_dist", "long_share"]
@@ -81,7 +83,7 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(closed, ["team", "node"], "left").select("team", "node", safe_div(F.coalesce("t", num(0)), F.col("k") * (F.col("k") - 1)).alias("clustering"))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, team: str = "int") -> DataFrame:
     """team, node, betweenness: shares of shortest paths (length 1 / weight), normalised for directed networks.
 
     Brandes' algorithm on one team's network at a time: a squad has a few dozen nodes.
@@ -122,7 +124,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
         return pd.DataFrame({"team": pdf["team"].iloc[0], "node": names, "betweenness": [score[k] * scale for k in names]})
 
-    return edges.groupBy("team").applyInPandas(one, "team int, node int, betweenness double")
+    return edges.groupBy("team").applyInPandas(one, f"team {team}, node int, betweenness double")
 
 
 def role_features(passes: DataFrame, least: int = 1) -> DataFrame:
@@ -132,6 +134,28 @@ def role_features(passes: DataFrame, least: int = 1) -> DataFrame:
     return territory_style(passes, least).join(net.withColumnRenamed("node", "player_id"), ["team", "player_id"], "left")
 
 
+def oriented_passes(events: DataFrame) -> DataFrame:
+    """Completed passes of tracked events (game_id, team, period, type, passer, recipient, sx .. ey in 0 .. 1) as a metric
+    pass table in which every team attacks towards +x in every period of every game. Rows without a passer or a place go."""
+    d = events.where("type = 'PASS' and passer is not null and sx is not null and sy is not null and ex is not null and ey is not null")
+    games = directions(events.withColumn("team", F.struct("game_id", "team"))).select(F.col("team.game_id").alias("game_id"), F.col("team.team").alias("team"), "period", "direction")
+    d = d.join(F.broadcast(games), ["game_id", "team", "period"], "left").withColumn("direction", F.coalesce("direction", F.lit(1)))
+    ends = [c for x, y in (("sx", "sy"), ("ex", "ey")) for c in tracking_to_metric(F.col(x), F.col(y))]
+    return d.select("game_id", "team", "passer", "recipient", F.lit(True).alias("completed"), *((c * F.col("direction")).alias(n) for c, n in zip(ends, ("start_x", "start_y", "end_x", "end_y"))))
+
+
+def match_role_features(events: DataFrame, least: int = 10) -> DataFrame:
+    """Role vectors of both teams' players in each match: oriented territory and style, and the network with betweenness;
+    players with fewer passes are left out, those without edges have no network features."""
+    passes = oriented_passes(events)
+    side = F.concat_ws("/", F.col("game_id").cast("string"), F.col("team").cast("string"))
+    passes = passes.withColumn("team", side)
+    e = network(passes)
+    far = betweenness(e, "string").withColumnRenamed("node", "player_id")
+    out = role_features(passes, least).join(far, ["team", "player_id"], "left")
+    return out.withColumn("game_id", F.substring_index("team", "/", 1).cast(events.schema["game_id"].dataType)).withColumn("team", F.substring_index("team", "/", -1))
+
+
 def z_scores(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Each column as z-score within its group (sample deviation); 0 in groups without spread."""
     w = Window.partitionBy(*by)
@@ -163,14 +187,14 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 def scarcity_density(pairs: DataFrame, scale: float = 1.0) -> DataFrame:
     """player_id, scarcity_density: -log of the mean Gaussian kernel to all others; bandwidth: the median distance x scale."""
-    h = pairs.agg((F.percentile("d", F.lit(0.5)) * scale).alias("h"))
+    h = quantiles(pairs, "d", {"h": 0.5}).select((F.col("h") * scale).alias("h"))
     k = F.exp(num(-0.5) * (F.col("d") / F.col("h")) * (F.col("d") / F.col("h")))
     return both_ways(pairs).crossJoin(F.broadcast(h)).groupBy(F.col("p").alias("player_id")).agg((-F.ln(F.avg(k) + 1e-12)).alias("scarcity_density"))
 
 
 def scarcity_pool(df: DataFrame, pairs: DataFrame, key: str = "player_id") -> DataFrame:
     """player_id, scarcity_pool: -log((others as near as the lower quartile of distances and at least as good + 1) / N)."""
-    tau = pairs.agg(F.percentile("d", F.lit(0.25)).alias("tau"))
+    tau = quantiles(pairs, "d", {"tau": 0.25})
     q = df.select(F.col(key).alias("id"), "quality")
     near = both_ways(pairs).crossJoin(F.broadcast(tau)).where("d <= tau")
     near = near.join(q.withColumnRenamed("id", "p").withColumnRenamed("quality", "qp"), "p").join(q.withColumnRenamed("id", "q").withColumnRenamed("quality", "qq"), "q")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from touchline.functions import scalar as S
+from touchline.operators import bootstrap as B
 from touchline.operators import market as K
 from touchline.operators import models as M
 from touchline.operators import passing as P
@@ -10,7 +11,7 @@ from touchline.operators import roles as R
 from touchline.operators import threat as T
 
 from .base import query
-from .passes import prepared, reliability
+from .passes import prepared, rated, reliability
 from .people import AX, PAIRS, priced
 from .zones import SURFACE, Z
 
@@ -25,9 +26,9 @@ def _(s):
 
 @query("m02_completion_boosted", "syn_snapshots")
 def _(s):
-    """Few rounds and the reliability of the result; `rounds` is a parameter of the operator."""
+    """Reliability of the boosted model: up to 300 rounds, ended by a tenth of the passes."""
     d = P.completion_features(prepared(s))
-    return reliability(M.boosted_probability(M.boosted(d, P.FEATURES, "completed", rounds=5), d, P.FEATURES), "completed", "p")
+    return reliability(M.boosted_probability(M.boosted(d, P.FEATURES, "completed", key=["pass_id"]), d, P.FEATURES), "completed", "p")
 
 
 @query("m03_grouped_folds", "syn_snapshots")
@@ -35,6 +36,12 @@ def _(s):
     return reliability(M.out_of_fold(P.completion_features(prepared(s)), "match_id", P.FEATURES, "completed"), "completed", "p")
 
 
+@query("m03_model_choice", "syn_snapshots")
+def _(s):
+    """Logistic and boosted, judged out of fold over the matches; the least worst gap is chosen."""
+    return M.compared(P.completion_features(prepared(s).where("target_match_dist <= 6D")), "match_id", P.FEATURES, "completed", ["pass_id"])
+
+
 @query("m04_leave_one_out", "syn_snapshots")
 def _(s):
     """Two games, each predicted from the other."""
@@ -55,15 +62,16 @@ def _(p, s):
     return d.select("pass_id", curve(F.col("control_target")).alias("discount"), (F.col("zone_xt") * curve(F.col("control_target"))).alias("v_receive"))
 
 
-@query("m06_bootstrap_ci", "syn_passes")
-def _(p):
-    return M.bootstrap_mean(p, "team", "start_x", 100)
+@query("m06_bootstrap_ci", "syn_passes syn_snapshots")
+def _(p, s):
+    """Does control at the target tell more than the zone: 300 resamples of the reception model's coefficients."""
+    return B.coefficient_intervals(received(p, s), ["zone_xt", "control_target"], "scored", ["pass_id"])
 
 
-@query("v04_player_ci", "syn_passes")
-def _(p):
-    d = p.where("team = 0").withColumnRenamed("passer", "player_id")
-    return M.bootstrap_mean(d, "player_id", "end_x", 100).join(d.groupBy("player_id").agg(F.avg("end_x").alias("mean")), "player_id")
+@query("v04_player_ci", "syn_passes syn_snapshots")
+def _(p, s):
+    """Players of all teams with 20 passes: the mean of cpv_avg and its interval over 400 resamples."""
+    return B.mean_intervals(rated(p, s), ["team", "passer"], "cpv_avg", ["pass_id"]).where("n >= 20")
 
 
 @query("m07_pca", "syn_passes")

@@ -1,15 +1,22 @@
 """Queries: snapshots, control, completion features, passing value, tracking windows."""
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions import scalar as S
 from touchline.operators import motion as M
+from touchline.operators.models import reliability
+from touchline.operators.order import rank_correlation
 from touchline.operators import passing as P
 from touchline.operators import threat as T
+from touchline.sources import files
+from touchline.sources.scratch import kept, shared_dir
 
 from .base import query
-from .zones import XT, Z
+from .zones import SURFACE, XT, Z
 
 EX = """ex AS (SELECT pass_id, match_id, team, passer, completed, scored, start_x, start_y, end_x, end_y, unnest(frame) f FROM syn_snapshots),
   att AS (SELECT pass_id, f.k k, f.x x, f.y y FROM ex WHERE f.teammate AND NOT f.actor), opp AS (SELECT pass_id, f.k k, f.x x, f.y y FROM ex WHERE NOT f.teammate)"""
@@ -104,7 +111,7 @@ def candidates(s):
 
 @query("g04_intended_receiver", "syn_snapshots", f"WITH {EX}, {CANDIDATES} SELECT pass_id, b.k receiver, R[b.angle]R angle FROM rec WHERE b.angle <= 40")
 def _(s):
-    return M.intended_receiver(candidates(s), "pass_id")
+    return M.receiver_in_frame(s).where("receiver is not null").select("pass_id", "receiver", "angle")
 
 
 @query("a32_receiver_accuracy", "syn_snapshots", f"""WITH {EX}, {TARGET}, {CANDIDATES}, truth AS (SELECT s.pass_id, arg_min(a.k, {{'d': sqrt((a.x - s.end_x) ** 2 + (a.y - s.end_y) ** 2), 'k': a.k}}) k FROM syn_snapshots s JOIN att a USING (pass_id) WHERE completed = 1 GROUP BY 1)
@@ -112,8 +119,7 @@ def _(s):
     FROM truth t LEFT JOIN rec r USING (pass_id)""")
 def _(s):
     """How often the bearing finds the receiver of completed passes, where the nearest teammate is the truth."""
-    truth = M.sides(s).where("completed = 1").select("pass_id", S.nearest(F.col("teammates"), F.col("end_x"), F.col("end_y"))["i"].alias("i"))
-    d = truth.join(M.intended_receiver(candidates(s.where("completed = 1")), "pass_id"), "pass_id", "left").withColumn("ok", F.col("receiver") == F.col("i") * 2 + 3)
+    d = M.receiver_in_frame(M.sides(s).where("completed = 1")).withColumn("i", S.nearest(F.col("teammates"), F.col("end_x"), F.col("end_y"))["i"]).withColumn("ok", F.col("receiver") == F.col("i") * 2 + 3)
     n, r = F.count("*"), F.count("receiver")
     return d.agg(n.alias("n_total"), r.alias("n_resolved"), (r / n).alias("resolve_rate"), F.try_divide(F.count_if("ok"), r).alias("accuracy"))
 
@@ -127,7 +133,7 @@ def _(s):
     WHERE r.b.angle <= 40 AND (sqrt((a.x - start_x) ** 2 + (a.y - start_y) ** 2) <= 40 OR a.k = r.b.k)) GROUP BY 1""")
 def _(s):
     c = candidates(s)
-    return M.choice_set(c.join(M.intended_receiver(c, "pass_id").select("pass_id", "receiver"), "pass_id"), 40.0).groupBy("pass_id").agg(F.count("*").alias("n"))
+    return M.choice_set(c.join(M.receiver_in_frame(s).where("receiver is not null").select("pass_id", "receiver"), "pass_id"), 40.0).groupBy("pass_id").agg(F.count("*").alias("n"))
 
 
 @query("c06_completion_features", "syn_snapshots", f"WITH {FEATS} SELECT pass_id, match_id, team, passer, completed, R[target_match_dist]R target_match_dist, R[control_target]R control_target, R[distance_m]R distance_m, R[forward_m]R forward_m, R[pressure_m]R pressure_m FROM feats")
@@ -140,7 +146,7 @@ def _(s):
     FROM pts JOIN ctl USING (pass_id) JOIN press USING (pass_id) JOIN syn_snapshots s USING (pass_id)""")
 def _(s):
     """Features at the start-frame place of the receiver that the bearing points to."""
-    d = M.sides(s).join(M.intended_receiver(candidates(s), "pass_id").select("pass_id", "receiver"), "pass_id")
+    d = M.receiver_in_frame(M.sides(s)).where("receiver is not null")
     p = F.element_at(F.filter("frame", lambda p: p["k"] == F.col("receiver")), 1)
     d = d.withColumn("tx", p["x"]).withColumn("ty", p["y"])
     return d.select("pass_id", F.col("receiver").alias("target_id"), S.control(F.col("teammates"), F.col("opponents"), F.col("tx"), F.col("ty")).alias("control_target"), S.distance(F.col("tx"), F.col("ty"), F.col("start_x"), F.col("start_y")).alias("distance_m"), (F.col("tx") - F.col("start_x")).alias("forward_m"), M.pressure(F.col("opponents"), F.col("start_x"), F.col("start_y")).alias("pressure_m"))
@@ -152,13 +158,6 @@ def _(s):
     return reliability(P.completion_features(prepared(s)).withColumn("p", MODEL({k: F.col(k) for k in P.FEATURES})), "completed", "p")
 
 
-def reliability(df, label, p, bins=10, least=30):
-    """bin, n, mean prediction and label, whether the bin counts, and their gap; bins without rows are left out."""
-    b = F.greatest(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
-    d = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(label).alias("mean_observed"))
-    return d.withColumn("counts", F.col("n") >= least).withColumn("gap", F.abs(F.col("mean_predicted") - F.col("mean_observed")))
-
-
 @query("a18_brier", "syn_snapshots", f"WITH {FEATS}, pr AS (SELECT completed y, {PSQL} p, avg(completed) OVER () base FROM feats) SELECT R[avg((p - y) ** 2)]R brier, R[avg((base - y) ** 2)]R baseline FROM pr")
 def _(s):
     d = P.completion_features(prepared(s)).withColumn("p", MODEL({k: F.col(k) for k in P.FEATURES}))
@@ -181,6 +180,10 @@ VALUED = f"""{XTS}, opt AS (SELECT pass_id, k ord, x tx, y ty, false chosen FROM
   cpv AS (SELECT ag.*, (SELECT count(*) FROM ev e WHERE e.pass_id = ag.pass_id AND e.ev < ag.c) below FROM ag)"""
 
 
+#: The same with the empirical cost of a loss at the option's own place.
+EMPIRICAL = VALUED.replace("-b.xt v_turnover", "-sv.value v_turnover").replace(f"""JOIN xt b ON b.zone = {Z("1 - (0.5 - ty / 68.0)", 8)} * 12 + {Z("1 - (tx / 105.0 + 0.5)", 12)}""", f"""JOIN surf sv ON sv.zone = {Z("0.5 - ty / 68.0", 8)} * 12 + {Z("tx / 105.0 + 0.5", 12)}""").replace("WITH RECURSIVE", f"WITH RECURSIVE {SURFACE},", 1)
+
+
 def valued(p, s):
     return P.expected_values(P.choices(prepared(s)), T.surface(p), MODEL)
 
@@ -195,6 +198,23 @@ def _(p, s):
     return rated(p, s).select("pass_id", "team", "passer", F.col("n_candidates").cast("long").alias("n_candidates"), "ev_chosen", "ev_mean", "ev_max", "ev_spread", "p_complete_chosen", "cpv_avg", "cpv_max", "cpv_z")
 
 
+@query("c07_cpv_empirical_turnover", "syn_passes syn_snapshots syn_log", f"""{EMPIRICAL} SELECT pas.pass_id, R[c]R ev_chosen, R[m]R ev_mean, R[mx]R ev_max, R[c - m]R cpv_avg, R[c - mx]R cpv_max FROM cpv JOIN pas USING (pass_id)""")
+def _(p, s, log):
+    """Losses are charged what was conceded after losses in the zone."""
+    return P.passing_value_in_place(prepared(s), T.surface(p), MODEL, P.turnover_surface(log)).select("pass_id", "ev_chosen", "ev_mean", "ev_max", "cpv_avg", "cpv_max")
+
+
+@query("c07_cpv_fitted", "syn_passes syn_snapshots syn_log")
+def _(p, s, log):
+    """The season's value: the completion model that calibrates best out of fold, fitted to the passes whose target is
+    matched, scores every option of all passes; losses by the empirical surface."""
+    from touchline.operators import models
+
+    rows = prepared(s)
+    model, _ = models.completion_model(P.completion_features(rows.where("target_match_dist <= 6D")), "match_id", P.FEATURES, "completed", ["pass_id"])
+    return P.passing_value_in_place(rows, T.surface(p), model, P.turnover_surface(log))
+
+
 @query("a19_choice_aggregates", "syn_passes syn_snapshots", f"{VALUED} SELECT team, R[avg(c - m)]R cpv_avg, R[avg(c - mx)]R cpv_max, R[avg(sd)]R spread, count(*) n FROM cpv JOIN pas USING (pass_id) GROUP BY team")
 def _(p, s):
     return rated(p, s).groupBy("team").agg(F.avg("cpv_avg").alias("cpv_avg"), F.avg("cpv_max").alias("cpv_max"), F.avg("ev_spread").alias("spread"), F.count("*").alias("n"))
@@ -294,3 +314,149 @@ def _(t):
 @query("j02_events_at_frames", "syn_attempts syn_tracking", "SELECT a.seq, a.type, R[t.x]R x FROM syn_attempts a JOIN syn_tracking t ON t.frame = a.seq AND t.period = a.period WHERE a.type = 'PASS'")
 def _(e, t):
     return e.where("type = 'PASS'").join(t.withColumnRenamed("frame", "seq"), ["seq", "period"]).select("seq", "type", "x")
+
+
+# --- tracked attempts ---
+def tracked_sql(failed: bool, widest: float | None = None, name: str = "") -> str:
+    """CTEs ending in tv{name}: the value of tracked attempts."""
+    near = "" if widest is None else f" WHERE sqrt((a.x - s.start_x) ** 2 + (a.y - s.start_y) ** 2) <= {widest} OR a.k = ch{name}.k"
+    more = " UNION ALL SELECT pass_id, b.k FROM rec JOIN syn_snapshots USING (pass_id) WHERE completed = 0 AND b.angle <= 40" if failed else ""
+    return f"""ch{name} AS (SELECT pass_id, k FROM truth{more}), opt{name} AS (SELECT a.pass_id, a.k ord, a.x tx, a.y ty, a.k = ch{name}.k chosen FROM att a JOIN ch{name} USING (pass_id) JOIN syn_snapshots s USING (pass_id){near}),
+  pts{name} AS (SELECT pass_id, ord, tx, ty FROM opt{name}), ctl{name} AS {control_sql(f"pts{name}", "pass_id, ord")},
+  ft{name} AS (SELECT o.*, c.control control_target, sqrt((tx - start_x) ** 2 + (ty - start_y) ** 2) distance_m, tx - start_x forward_m, pr.pressure_m FROM opt{name} o JOIN ctl{name} c USING (pass_id, ord) JOIN press pr USING (pass_id) JOIN pas USING (pass_id)),
+  ev{name} AS (SELECT ft{name}.*, {PSQL} p, p * a.xt + (1 - p) * -b.xt ev FROM ft{name} JOIN xt a ON a.zone = {Z("0.5 - ty / 68.0", 8)} * 12 + {Z("tx / 105.0 + 0.5", 12)} JOIN xt b ON b.zone = {Z("1 - (0.5 - ty / 68.0)", 8)} * 12 + {Z("1 - (tx / 105.0 + 0.5)", 12)}),
+  tv{name} AS (SELECT pass_id, count(*) n, avg(ev) m, max(ev) mx, max(ev) FILTER (chosen) c, max(ord) FILTER (chosen) k FROM ev{name} GROUP BY 1)"""
+
+
+TRACKED = f"""{XTS}, {CANDIDATES}, truth AS (SELECT s.pass_id, arg_min(a.k, {{'d': sqrt((a.x - s.end_x) ** 2 + (a.y - s.end_y) ** 2), 'k': a.k}}) k FROM syn_snapshots s JOIN att a USING (pass_id) WHERE completed = 1 GROUP BY 1)"""
+TABLE = f"""SELECT pas.pass_id, pas.team, pas.passer from_player, tv.k to_player, completed, R[c]R ev_chosen, R[mx]R ev_baseline_max, R[m]R ev_baseline_avg, R[c - mx]R cpv_max, R[c - m]R cpv_avg, R[CASE WHEN completed = 1 THEN a.xt ELSE -b.xt END - c]R execution_quality, n n_candidates
+    FROM tv JOIN pas USING (pass_id) JOIN xt a ON a.zone = {Z("0.5 - end_y / 68.0", 8)} * 12 + {Z("end_x / 105.0 + 0.5", 12)} JOIN xt b ON b.zone = {Z("1 - (0.5 - end_y / 68.0)", 8)} * 12 + {Z("1 - (end_x / 105.0 + 0.5)", 12)}"""
+
+
+def attempts(s):
+    """Snapshots as tracked attempts: the teammate nearest to a completed pass's end is its recorded receiver."""
+    d = M.sides(s)
+    return d.withColumn("receiver", F.when(F.col("completed") == 1, S.nearest(F.col("teammates"), F.col("end_x"), F.col("end_y"))["i"] * 2 + 3))
+
+
+@query("c03_cpv_table", "syn_passes syn_snapshots", f"{TRACKED}, {tracked_sql(False)} {TABLE}")
+def _(p, s):
+    """The tracked passes' value table: completed passes alone, unless failed ones are asked for."""
+    return P.tracked_value(attempts(s), T.surface(p), MODEL)
+
+
+@query("c03_cpv_table_with_failed", "syn_passes syn_snapshots", f"{TRACKED}, {tracked_sql(True)} {TABLE}")
+def _(p, s):
+    return P.tracked_value(attempts(s), T.surface(p), MODEL, include_failed=True)
+
+
+# --- does a choice of the method change who ranks well ---
+def by_player(sql: str, value: str, where: str = "true", least: int = 5) -> str:
+    return f"(SELECT team, passer, round(avg({value}), 9) v, count(*) n FROM {sql} JOIN pas USING (pass_id) WHERE {where} GROUP BY ALL HAVING count(*) >= {least})"
+
+
+RHO = "(SELECT corr(a, b) FROM (SELECT rank() OVER (ORDER BY x.v) + (count(*) OVER (PARTITION BY x.v) - 1) / 2.0::DOUBLE a, rank() OVER (ORDER BY y.v) + (count(*) OVER (PARTITION BY y.v) - 1) / 2.0::DOUBLE b FROM {x} x JOIN {y} y USING (team, passer)))"
+THRESHOLDS = [4.0, 6.0, 8.0, 12.0, 1e9]
+
+
+def player_means(d, value, by, least=5):
+    """Mean of each player with so many passes, rounded so that equal means are equal."""
+    return d.groupBy(*by).agg(F.round(F.avg(value), 9).alias("v"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def stability(x, y, by):
+    """Rank correlation of two rankings over the players of both."""
+    both = x.withColumnRenamed("v", "x").join(y.withColumnRenamed("v", "y"), by)
+    return rank_correlation(both, "x", "y")
+
+
+@query("m14_match_distance_sensitivity", "syn_passes syn_snapshots", f"{VALUED}, cv AS (SELECT pass_id, c - m v FROM cpv) " + " UNION ALL ".join(f"SELECT {t}::DOUBLE threshold, (SELECT count(*) FROM cpv JOIN pas USING (pass_id) WHERE target_match_dist <= {t}) n_passes, (SELECT count(*) FROM {by_player('cv', 'v', f'target_match_dist <= {t}')}) n_players, R[{RHO.format(x=by_player('cv', 'v', 'target_match_dist <= 6.0'), y=by_player('cv', 'v', f'target_match_dist <= {t}'))}]R rho" for t in THRESHOLDS))
+def _(p, s):
+    """How many passes and players stay under each limit of the target's distance, and whether they rank as under 6 m."""
+    by = ["team", "passer"]
+    d = kept(rated(p, s).select(*by, "target_match_dist", "cpv_avg"), "rated")
+    at = lambda t: player_means(d.where(F.col("target_match_dist") <= t), "cpv_avg", by)
+    rows = [(t, d.where(F.col("target_match_dist") <= t).count(), at(t).count(), stability(at(6.0), at(t), by).first().rho) for t in THRESHOLDS]
+    return s.sparkSession.createDataFrame(rows, "threshold double, n_passes long, n_players long, rho double")
+
+
+@query("m14_baseline_and_width_stability", "syn_passes syn_snapshots", f"""{TRACKED}, {tracked_sql(False)}, {tracked_sql(False, 40.0, "w")}, r AS (SELECT {RHO.format(x=by_player("(SELECT pass_id, c - mx v FROM tv)", "v"), y=by_player("(SELECT pass_id, c - m v FROM tv)", "v"))} rb,
+    {RHO.format(x=by_player("(SELECT pass_id, c - mx v FROM tv)", "v"), y=by_player("(SELECT pass_id, c - mx v FROM tvw)", "v"))} rw) SELECT R[rb]R rho_baseline, R[rw]R rho_width, rb >= 0.7 AND rw >= 0.7 passed FROM r""")
+def _(p, s):
+    """Players ranked against the best and against the mean option, and with all options and those within 40 m."""
+    xt, by = T.surface(p), ["team", "from_player"]
+    wide, narrow = (kept(P.tracked_value(attempts(s), xt, MODEL, widest=w).select(*by, "cpv_max", "cpv_avg"), "tracked") for w in (None, 40.0))
+    best = player_means(wide, "cpv_max", by)
+    rho = [stability(best, other, by).first().rho for other in (player_means(wide, "cpv_avg", by), player_means(narrow, "cpv_max", by))]
+    return s.sparkSession.createDataFrame([(*rho, None not in rho and min(rho) >= 0.7)], "rho_baseline double, rho_width double, passed boolean")
+
+
+# --- provider files: a season is written from the snapshots, read back and valued ---
+CONVERTED = """cs AS (SELECT pass_id, match_id, team, passer, completed, scored, X(start_x) start_x, Y(start_y) start_y, X(end_x) end_x, Y(end_y) end_y,
+    list_transform(frame, lambda p: {'k': p.k, 'teammate': p.teammate, 'actor': p.actor, 'x': X(p.x), 'y': Y(p.y)}) frame FROM syn_snapshots)"""
+CONVERTED = re.sub(r"X\(([\w.]+)\)", r"(((\1 / 105.0::DOUBLE + 0.5::DOUBLE) * 120.0::DOUBLE) / 120.0::DOUBLE - 0.5::DOUBLE) * 105.0::DOUBLE", CONVERTED)
+CONVERTED = re.sub(r"Y\(([\w.]+)\)", r"(0.5::DOUBLE - ((0.5::DOUBLE - \1 / 68.0::DOUBLE) * 80.0::DOUBLE) / 80.0::DOUBLE) * 68.0::DOUBLE", CONVERTED)
+
+
+def from_files(sql: str) -> str:
+    """The same SQL over snapshots whose places went through the files' units."""
+    sql = sql.replace("syn_snapshots", "cs")
+    return sql.replace("WITH RECURSIVE", f"WITH RECURSIVE {CONVERTED},", 1) if "WITH RECURSIVE" in sql else sql.replace("WITH", f"WITH {CONVERTED},", 1)
+
+
+def season_files(s) -> str:
+    """Folder of event and freeze-frame files of all snapshots: a pass each, and a goal in its possession if it led to one."""
+    spot = lambda x, y: F.array((x / S.LENGTH + 0.5) * S.EVENT_LENGTH, (S.num(0.5) - y / S.WIDTH) * S.EVENT_WIDTH)
+    name = lambda c: F.struct(c.alias("name"))
+    team = name(F.col("team").cast("string"))
+    at = spot(F.col("start_x"), F.col("start_y"))
+    common = [F.lit(1).alias("period"), F.lit(0).alias("minute"), team.alias("team"), F.col("pass_id").alias("possession"), team.alias("possession_team")]
+    who = F.struct(F.col("passer").cast("long").alias("id"), F.concat(F.lit("P"), F.col("passer").cast("string")).alias("name")).alias("player")
+    detail = F.struct(spot(F.col("end_x"), F.col("end_y")).alias("end_location"), F.when(F.col("completed") == 0, name(F.lit("Incomplete"))).alias("outcome"))
+    part = F.floor(F.col("pass_id") / 10_000).alias("part")
+    given = F.struct(F.col("pass_id").cast("string").alias("id"), name(F.lit("Pass")).alias("type"), *common, who, at.alias("location"), detail.alias("pass"))
+    goal = F.struct(F.concat(F.lit("s"), F.col("pass_id").cast("string")).alias("id"), name(F.lit("Shot")).alias("type"), *common, F.struct(name(F.lit("Goal")).alias("outcome")).alias("shot"))
+    order = (F.col("pass_id") * 2).alias("event_seq")
+    events = s.select("match_id", part, order, F.to_json(given).alias("event")).union(s.where("scored = 1").select("match_id", part, order + 1, F.to_json(goal)))
+    seen = F.transform("frame", lambda p: F.struct(p["teammate"].alias("teammate"), p["actor"].alias("actor"), F.lit(False).alias("keeper"), spot(p["x"], p["y"]).alias("location")))
+    frames = s.select("match_id", part, F.to_json(F.struct(F.col("pass_id").cast("string").alias("event_uuid"), seen.alias("freeze_frame"))).alias("frame"))
+    folder = f"{shared_dir(s.sparkSession)}/season-{uuid.uuid4().hex}"
+    files.write_season(events, frames, folder)
+    return folder
+
+
+def read_back(s):
+    table = files.read_season(s.sparkSession, season_files(s))
+    return table.withColumn("pass_id", F.col("pass_id").cast("long"))
+
+
+@query("c05_pass_table", "syn_snapshots", from_files(f"WITH {EX}, {TARGET} SELECT pass_id, match_id, team::VARCHAR team, passer::BIGINT passer_id, completed, scored, 20 n_visible, R[target_x]R target_x, R[target_y]R target_y, R[target_match_dist]R target_match_dist FROM pas"))
+def _(s):
+    """The pass table of event and frame files."""
+    return read_back(s).select("pass_id", "match_id", "team", "passer_id", "completed", "scored", "n_visible", "target_x", "target_y", "target_match_dist")
+
+
+@query("c05_values_of_files", "syn_passes syn_snapshots", from_files(f"{VALUED} SELECT pas.pass_id, n n_candidates, R[c]R ev_chosen, R[c - m]R cpv_avg, R[c - mx]R cpv_max FROM cpv JOIN pas USING (pass_id)"))
+def _(p, s):
+    """Features, completion and value of passes that come from files."""
+    d = P.passing_value_in_place(read_back(s), T.surface(p), MODEL)
+    return d.select("pass_id", F.col("n_candidates").cast("long").alias("n_candidates"), "ev_chosen", "cpv_avg", "cpv_max")
+
+
+@query("c05_receptions_of_files", "syn_passes syn_snapshots", from_files(f"""{XTS}, pts AS (SELECT pass_id, target_x tx, target_y ty FROM pas WHERE completed = 1 AND target_match_dist <= 6), ctl AS {control_sql("pts", "pass_id")}
+    SELECT pass_id, scored, R[xt.xt]R zone_xt, R[control]R control_target FROM ctl JOIN pas USING (pass_id) JOIN xt ON xt.zone = {Z("0.5 - target_y / 68.0", 8)} * 12 + {Z("target_x / 105.0 + 0.5", 12)}"""))
+def _(p, s):
+    return P.reception(read_back(s), T.surface(p))
+
+
+MATCHES = "ml AS (SELECT match_id, '2023-' || lpad((8 + match_id // 9)::VARCHAR, 2, '0') || '-' || lpad((1 + match_id * 11 % 28)::VARCHAR, 2, '0') date, (match_id % 18)::VARCHAR home_team, ((match_id * 7 + 3) % 18)::VARCHAR away_team FROM (SELECT DISTINCT match_id FROM syn_snapshots))"
+
+
+@query("s16_season_report", "syn_snapshots", f"""WITH {MATCHES}, ch AS (SELECT * FROM ml WHERE '3' IN (home_team, away_team) ORDER BY date, match_id LIMIT 3)
+    SELECT ch.match_id::BIGINT match_id, date, count(*) + count(*) FILTER (scored = 1) events, count(*) frames, count(*) passes, 'read' status FROM ch JOIN syn_snapshots s ON s.match_id = ch.match_id GROUP BY ALL""")
+def _(s):
+    """A team's first matches at home and away, read from files, with a report of each."""
+    m = F.col("match_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    matches = s.select("match_id").distinct().select(m.cast("long").alias("match_id"), F.concat(F.lit("2023-"), two(8 + F.floor(m / 9)), F.lit("-"), two(1 + m * 11 % 28)).alias("date"), (m % 18).cast("string").alias("home_team"), ((m * 7 + 3) % 18).cast("string").alias("away_team"))
+    return files.read_chosen(s.sparkSession, season_files(s), files.season_matches(matches, "3", 3))[1]

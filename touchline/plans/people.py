@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from touchline.functions import scalar as S
 from touchline.operators import market as K
 from touchline.operators import roles as R
+from touchline.operators.order import quantiles, rank_correlation
 
 from .base import query
 
@@ -29,9 +30,21 @@ def _(p):
     return R.territory_style(p).select("team", "player_id", *R.STYLE)
 
 
-@query("x12_territory_style_oriented", "syn_passes", f"WITH {ROLES} SELECT team, player_id, n_passes, R[mean_x]R mean_x, R[long_share]R long_share FROM ts WHERE n_passes >= 100")
-def _(p):
-    return R.territory_style(p, 100).select("team", "player_id", "n_passes", "mean_x", "long_share")
+TURNED = """gs AS (SELECT game_id, team, period, CASE WHEN avg(sx) > 0.5 THEN 1 ELSE -1 END d FROM syn_attempts WHERE type = 'SHOT' GROUP BY ALL),
+  gk AS (SELECT t.game_id, t.team, max(d) FILTER (period = 1) a, max(d) FILTER (period = 2) b FROM (SELECT DISTINCT game_id, team FROM syn_attempts) t LEFT JOIN gs USING (game_id, team) GROUP BY ALL),
+  gd AS (SELECT game_id, team, 1 period, coalesce(a, -b, 1) d FROM gk UNION ALL SELECT game_id, team, 2, coalesce(b, -coalesce(a, -b, 1)) FROM gk),
+  op AS (SELECT game_id, team tm, game_id * 2 + CASE WHEN team = 'Home' THEN 0 ELSE 1 END team, passer, recipient, true completed, (sx - 0.5) * 105.0 * d start_x, (sy - 0.5) * 68.0 * d start_y, (ex - 0.5) * 105.0 * d end_x, (ey - 0.5) * 68.0 * d end_y
+    FROM syn_attempts JOIN gd USING (game_id, team, period) WHERE type = 'PASS' AND passer IS NOT NULL AND sx IS NOT NULL AND sy IS NOT NULL AND ex IS NOT NULL AND ey IS NOT NULL)"""
+OF_GAMES = lambda sql: sql.replace("syn_passes", "op")
+SIDE = "team // 2 game_id, CASE WHEN team % 2 = 0 THEN 'Home' ELSE 'Away' END team"
+
+
+@query("x12_territory_style_oriented", "syn_attempts", f"WITH {TURNED}, {OF_GAMES(ROLES)} SELECT {SIDE}, player_id, n_passes, R[mean_x]R mean_x, R[mean_y]R mean_y, R[dispersion]R dispersion, R[def_share]R def_share, R[att_share]R att_share, R[fwd_share]R fwd_share, R[back_share]R back_share, R[std_pass_dist]R std_pass_dist, R[long_share]R long_share FROM ts WHERE n_passes >= 10")
+def _(e):
+    """Where tracked players pass from and how, every team turned to attack towards +x."""
+    d = R.oriented_passes(e).withColumn("team", F.col("game_id") * 2 + F.when(F.col("team") == "Home", 0).otherwise(1))
+    d = R.territory_style(d, 10).withColumn("game_id", F.floor(F.col("team") / 2).cast("int")).withColumn("team", F.when(F.col("team") % 2 == 0, "Home").otherwise("Away"))
+    return d.select("game_id", "team", "player_id", "n_passes", "mean_x", "mean_y", "dispersion", "def_share", "att_share", "fwd_share", "back_share", "std_pass_dist", "long_share")
 
 
 @query("p12_min_support", "syn_passes", "SELECT team, passer player_id, count(*) n_passes FROM syn_passes GROUP BY ALL HAVING count(*) >= 130")
@@ -97,10 +110,10 @@ def _(p):
     return R.role_features(p).select("team", "player_id", "n_passes", F.round("dispersion", 5).alias("dispersion"), "long_share", "pagerank", "clustering")
 
 
-@query("x10_role_features_match", "syn_passes", "SELECT match_id, team, passer player_id, count(*) n_passes, R[avg(start_x)]R mean_x, R[sqrt(var_pop(start_x) + var_pop(start_y))]R dispersion FROM syn_passes WHERE completed GROUP BY ALL")
-def _(p):
-    """Within one match, over completed passes."""
-    return p.where("completed").groupBy("match_id", "team", F.col("passer").alias("player_id")).agg(F.count("*").alias("n_passes"), F.avg("start_x").alias("mean_x"), F.sqrt(F.var_pop("start_x") + F.var_pop("start_y")).alias("dispersion"))
+@query("x10_role_features_match", "syn_attempts", f"{OF_GAMES(PR).replace('WITH RECURSIVE', 'WITH RECURSIVE ' + TURNED + ',', 1)}, io AS{OF_GAMES(IO.split(', io AS')[1])}, {CL}, {OF_GAMES(ROLES)} SELECT ts.team // 2 game_id, CASE WHEN ts.team % 2 = 0 THEN 'Home' ELSE 'Away' END team, ts.player_id, n_passes, R[mean_x]R mean_x, R[fwd_share]R fwd_share, R[pagerank]R pagerank, R[(in_w + 1) * 1.0::DOUBLE / (out_w + 1)]R in_out_ratio, R[clustering]R clustering FROM ts LEFT JOIN pr ON pr.team = ts.team AND pr.node = ts.player_id LEFT JOIN io ON io.team = ts.team AND io.node = ts.player_id LEFT JOIN cl ON cl.team = ts.team AND cl.node = ts.player_id WHERE n_passes >= 10")
+def _(e):
+    """Both teams' role vectors in each match; betweenness, which the operator gives too, is x06's."""
+    return R.match_role_features(e).select("game_id", "team", "player_id", "n_passes", "mean_x", "fwd_share", "pagerank", "in_out_ratio", "clustering")
 
 
 @query("w03_team_z_scores", "syn_players", "SELECT player_id, R[CASE WHEN coalesce(stddev_samp(a) OVER w, 0) = 0 THEN 0 ELSE (a - avg(a) OVER w) / stddev_samp(a) OVER w END]R a FROM syn_players WINDOW w AS (PARTITION BY team)")
@@ -186,7 +199,8 @@ def _(r):
 
 @query("a23_exact_quantiles", "syn_passes", "SELECT team, R[median(start_x)]R med, R[quantile_cont(end_x, 0.02)]R q02, R[quantile_cont(end_x, 0.98)]R q98, R[quantile_cont(end_y, 0.25)]R q25 FROM syn_passes GROUP BY team")
 def _(p):
-    return p.groupBy("team").agg(F.median("start_x").alias("med"), F.percentile("end_x", F.lit(0.02)).alias("q02"), F.percentile("end_x", F.lit(0.98)).alias("q98"), F.percentile("end_y", F.lit(0.25)).alias("q25"))
+    x = quantiles(p, "start_x", {"med": 0.5}, ["team"]).join(quantiles(p, "end_x", {"q02": 0.02, "q98": 0.98}, ["team"]), "team")
+    return x.join(quantiles(p, "end_y", {"q25": 0.25}, ["team"]), "team")
 
 
 @query("a25_pearson", "syn_players", "SELECT team, R[corr(a, quality)]R r FROM syn_players GROUP BY team")
@@ -219,8 +233,8 @@ BW2 = "h AS (SELECT quantile_cont(d, 0.5) h FROM pr), s AS (SELECT p, -ln(avg(ex
 @query("m14_bandwidth_sensitivity", "syn_roles", f"WITH {PAIRS}, {BW2} SELECT R[corr(a, b)]R rho, corr(a, b) >= 0.7 passed FROM r")
 def _(r):
     p = R.pair_distances(r, AX)
-    d = R.scarcity_density(p, 0.6).withColumnRenamed("scarcity_density", "narrow").join(R.scarcity_density(p, 1.6).withColumnRenamed("scarcity_density", "wide"), "player_id").withColumn("g", F.lit(0))
-    return R.spearman(d, "narrow", "wide", ["g"]).select("rho", (F.col("rho") >= 0.7).alias("passed"))
+    d = R.scarcity_density(p, 0.6).withColumnRenamed("scarcity_density", "narrow").join(R.scarcity_density(p, 1.6).withColumnRenamed("scarcity_density", "wide"), "player_id")
+    return rank_correlation(d, "narrow", "wide").select("rho", (F.col("rho") >= 0.7).alias("passed"))
 
 
 HALF = "h AS (SELECT match_id % 2 AS half, team, passer, avg(start_x) v FROM syn_passes GROUP BY ALL), j AS (SELECT a.team, a.passer, a.v x, b.v y FROM h a JOIN h b ON a.team = b.team AND a.passer = b.passer AND a.half = 0 AND b.half = 1)"
@@ -239,8 +253,7 @@ def halves(p):
 
 @query("x14_split_half_rho", "syn_passes", f"WITH {HALF}, r AS (SELECT rank() OVER (ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY round(x, 9)) - 1) / 2.0::DOUBLE a, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2.0::DOUBLE b FROM j) SELECT R[corr(a, b)]R rho, count(*) n FROM r")
 def _(p):
-    d = halves(p).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), F.lit(0).alias("g"))
-    return R.spearman(d, "x", "y", ["g"]).select("rho", "n")
+    return rank_correlation(halves(p).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y")), "x", "y")
 
 
 # --- names and links: every name whose id is divisible by 50 against all others of its club ---
@@ -377,7 +390,40 @@ def _(c, v):
     return K.price_features(priced(c, v), "2024-03-01")
 
 
-@query("c13_price_data", "customer syn_valuations", f"WITH {FEAT} SELECT position, count(*) n, count(v) priced, R[avg(v)]R mean_value FROM pf GROUP BY position")
+CHAIN = r"""sq AS (SELECT DISTINCT c_nationkey club_id, o_custkey tm FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'),
+  ro AS (SELECT c_custkey player_id, n_name team, n_nationkey nk, CASE c_custkey % 7 WHEN 1 THEN 'Jr. ' || c_name WHEN 2 THEN 'Unknown ' || right(c_name, 9) || ' Of The Long Name' WHEN 3 THEN 'nobody' ELSE c_name END name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  nr AS (SELECT player_id, team, nk, trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', ' ', 'g')) norm FROM ro), nm AS (SELECT c_custkey tm, trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}]+', ' ', 'g')) norm FROM customer),
+  pl AS (SELECT nr.player_id, sq.tm FROM nr JOIN sq ON sq.club_id = nr.nk UNION ALL SELECT nr.player_id, nm.tm FROM nr, nm WHERE nr.nk NOT IN (SELECT club_id FROM sq)),
+  pr AS (SELECT nr.player_id, pl.tm, nr.norm = nm.norm ex, string_split(nr.norm, ' ') a, string_split(nm.norm, ' ') b FROM nr JOIN pl USING (player_id) JOIN nm USING (tm)),
+  sc AS (SELECT player_id, tm, ex, CASE WHEN ex THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) * 1.0::DOUBLE / len(list_distinct(list_concat(a, b))) END s, len(list_filter(list_intersect(a, b), lambda w: length(w) >= 4)) > 0 anchor FROM pr),
+  be AS (SELECT player_id, arg_min(tm, {'x': NOT ex, 's': -s, 'o': tm}) best, bool_or(ex) ex, max(s) s, count(*) FILTER (anchor) k, min(tm) FILTER (anchor) one FROM sc GROUP BY 1),
+  li AS (SELECT *, CASE WHEN ex THEN 'exact' WHEN s >= 0.34 THEN 'token' WHEN k = 1 THEN 'surname' WHEN k > 1 THEN 'ambiguous' ELSE 'none' END me FROM be),
+  lk AS (SELECT player_id, CASE WHEN me IN ('exact', 'token') THEN best WHEN me = 'surname' THEN one END tm, s, me FROM li),
+  va AS (SELECT lk.*, (SELECT arg_max(o_totalprice, {'d': o_orderdate, 't': o_orderkey}) FROM orders WHERE o_custkey = lk.tm AND o_orderdate::DATE <= DATE '1998-01-01') v FROM lk)
+  SELECT ro.player_id, ro.team, CASE WHEN tm % 97 = 5 THEN NULL ELSE tm END tm_id, R[coalesce(s, 0)]R score, CASE WHEN tm % 97 = 5 THEN 'excluded' ELSE coalesce(me, 'none') END AS method, R[CASE WHEN tm % 97 = 5 THEN NULL ELSE v END]R market_value FROM ro LEFT JOIN va USING (player_id)"""
+
+
+def market_of(c, n, o):
+    """Roles, appearances, clubs, players, valuations and known wrong links, drawn from customers and their orders."""
+    i = F.col("c_custkey")
+    odd = F.when(i % 7 == 1, F.concat(F.lit("Jr. "), "c_name")).when(i % 7 == 2, F.concat(F.lit("Unknown "), F.right(F.col("c_name"), F.lit(9)), F.lit(" Of The Long Name"))).when(i % 7 == 3, F.lit("nobody")).otherwise(F.col("c_name"))
+    roles = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(i.alias("player_id"), F.col("n_name").alias("team"), odd.alias("name"))
+    appearances = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_custkey").alias("player_id"), F.col("c_nationkey").alias("player_club_id"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("competition_id"))
+    clubs, players = n.select(F.col("n_nationkey").alias("club_id"), F.col("n_name").alias("name")), c.select(i.alias("player_id"), F.col("c_name").alias("name"))
+    valuations = o.select(F.col("o_custkey").alias("player_id"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("tiebreak"), F.col("o_totalprice").cast("double").alias("value"))
+    wrong = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).where(i % 97 == 5).select(i.alias("tm_id"), F.col("n_name").alias("team"))
+    return roles, appearances, clubs, players, valuations, wrong
+
+
+@query("c13_price_data", "customer nation orders", f"WITH {CHAIN}")
+def _(c, n, o):
+    """The chain: season squads, clubs by name, players by name within their club's squad, values at a date, wrong links out."""
+    roles, appearances, clubs, players, valuations, wrong = market_of(c, n, o)
+    out = K.price_data(roles, appearances, clubs, players, valuations, "1-URGENT", ("1996-01-01", "1996-12-31"), "1998-01-01", wrong)
+    return out.select("player_id", "team", "tm_id", "score", "method", "market_value")
+
+
+@query("c13_priced_by_position", "customer syn_valuations", f"WITH {FEAT} SELECT position, count(*) n, count(v) priced, R[avg(v)]R mean_value FROM pf GROUP BY position")
 def _(c, v):
     return priced(c, v).groupBy("position").agg(F.count("*").alias("n"), F.count("market_value").alias("priced"), F.avg("market_value").alias("mean_value"))
 

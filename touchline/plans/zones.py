@@ -6,7 +6,7 @@ from touchline.functions import scalar as S
 from touchline.operators import passing as P
 from touchline.operators import threat as T
 
-from .base import query
+from .base import opened, query, streamed
 
 ZONE = "CAST(least(floor(least(0.999999, greatest(0.0, {v})) * {n}), {m}) AS INT)"
 Z = lambda v, n: ZONE.format(v=v, n=n, m=n - 1)
@@ -25,6 +25,7 @@ ITERATE = """dense AS (SELECT a.z z0, list(coalesce(p, 0.0::DOUBLE) ORDER BY b.z
     UNION ALL SELECT i + 1, nx, list_max(list_transform(list_zip(nx, x), lambda q: abs(q[1] - q[2]))) FROM (
       SELECT i, x, list_transform(a, lambda c: c.sg + c.m * list_dot_product(c.r, x)) nx FROM it, packed WHERE i < 200 AND d >= 1e-7)),
   xt AS (SELECT unnest(range(96))::INT zone, unnest(x) xt FROM (SELECT x FROM it ORDER BY i DESC LIMIT 1))"""
+VELOCITY = """st AS (SELECT *, x - lag(x) OVER (PARTITION BY player_id, period ORDER BY frame) dx FROM syn_tracking), sm AS (SELECT *, avg(dx) OVER (PARTITION BY player_id, period ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 0.04 v FROM st)"""
 XT = f"WITH RECURSIVE {ACTIONS}, {COUNTS}, {RATES}, {MOVES}, {ITERATE}"
 
 
@@ -192,10 +193,23 @@ def _(p):
     return m.crossJoin(F.broadcast(p.agg(F.stddev_samp("end_x").alias("b")))).select((F.col("a") / F.col("b")).alias("spread"))
 
 
-@query("st01_windowed_zone_counts", "events", f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, {Z("(event_id * 11 % 1000) / 1000.0", 8)} * 12 + {Z("(user_id * 7 % 1000) / 1000.0", 12)} zone, count(*) n FROM events GROUP BY 1, 2""")
-def _(e):
-    """The streaming rollup over a table."""
+@streamed("st01_windowed_zone_counts", "events", "", f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, {Z("(event_id * 11 % 1000) / 1000.0", 8)} * 12 + {Z("(user_id * 7 % 1000) / 1000.0", 12)} zone, count(*) n FROM events GROUP BY 1, 2""")
+def _(spark, path):
+    """The rollup of a stream over the table's files."""
+    from touchline.streaming.sink import latest
     from touchline.streaming.zone_counts import zone_counts
 
+    e = opened(spark, path)
     d = e.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") * 7 % 1000 / 1000.0).alias("x"), (F.col("event_id") * 11 % 1000 / 1000.0).alias("y"))
-    return zone_counts(d, window="1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
+    return latest(zone_counts(d, window="1 hour"), ["start", "zone"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "zone", "n")
+
+
+@streamed("st02_smoothed_velocity", "events", "syn_tracking", f"WITH {VELOCITY} SELECT player_id, period, frame, R[CASE WHEN v IS NULL THEN NULL ELSE least(12.0, greatest(-12.0, v)) END]R vx FROM sm")
+def _(spark, path):
+    """Velocities of a stream of positions, as files come in; the last version of each frame."""
+    from touchline.streaming.sink import latest
+    from touchline.streaming.velocities import velocities
+
+    e = opened(spark, path, 1)
+    t = e.select(F.col("user_id").cast("int").alias("player_id"), (F.col("event_id") % 2 + 1).cast("int").alias("period"), F.col("event_id").alias("frame"), ((F.col("user_id") * 53 + F.col("event_id") * 7) % 1050 / 10.0 - 52.5).alias("x"))
+    return latest(velocities(t), ["player_id", "period", "frame"])

@@ -30,7 +30,8 @@ SPARK: dict[str, tuple[str, str]] = {
           event_type = 'error' lost, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST((user_id * 29 + event_id * 7) % 1200 AS DOUBLE) / 10D END x,
           CAST((user_id * 31 + event_id * 3) % 800 AS DOUBLE) / 10D y FROM events"""),
     "syn_attempts": ("events", """
-        SELECT event_id seq, CAST(event_id % 2 + 1 AS INT) period, CASE WHEN user_id % 2 = 0 THEN 'Home' ELSE 'Away' END team,
+        SELECT event_id seq, CAST(user_id % 3 AS INT) game_id, CAST(event_id % 2 + 1 AS INT) period, CASE WHEN user_id % 2 = 0 THEN 'Home' ELSE 'Away' END team,
+          CASE WHEN event_id % 50 = 7 THEN NULL ELSE CAST((user_id * 3 + event_id) % 11 AS INT) END passer, CAST((user_id + event_id * 5) % 11 AS INT) recipient,
           CASE event_type WHEN 'purchase' THEN 'SHOT' WHEN 'click' THEN 'BALL LOST' ELSE 'PASS' END type,
           CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'INTERCEPTION' WHEN event_id % 4 = 2 THEN 'ON TARGET-GOAL' ELSE 'interception' END subtype,
           CAST((user_id * 7 + event_id * 3) % 1000 AS DOUBLE) / 1000D sx, CAST((user_id * 5 + event_id * 11) % 1000 AS DOUBLE) / 1000D sy,
