@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions.scalar import num
+from touchline.sources.scratch import kept
 
 #: Rows that one task of a fit takes at least, and groups whose ids still go through the driver.
 ROWS_PER_TASK, MOST_GROUPS = 50_000, 100_000
+#: Tasks of a fit at most: each round's statistics come from every one of them.
+MOST_TASKS = 2_000
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -51,7 +54,8 @@ def boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, s
     here = df.dropna(subset=[*features, label]).withColumn("label", F.col(label).cast("double"))
     aside = F.pmod(F.xxhash64(*(key or [F.lit(0)]), F.lit(seed)), F.lit(1000)) < F.lit(int(1000 * held)) if key else F.lit(False)
     d = assembled(here.withColumn("held", aside), features).select("features", "label", "held")
-    d = d.coalesce(max(1, -(-d.count() // ROWS_PER_TASK))).persist()
+    d = kept(d, "rows")
+    d = d.repartition(max(1, min(-(-d.count() // ROWS_PER_TASK), MOST_TASKS))).persist()
     settings = {"validationIndicatorCol": "held", "validationTol": least} if key and not d.where("held").isEmpty() else {}
     model = GBTClassifier(maxIter=rounds, stepSize=0.06, minInstancesPerNode=60, maxDepth=5, maxBins=255, seed=seed, **settings).fit(d)
     d.unpersist()
@@ -144,7 +148,7 @@ def quality_of(df: DataFrame, label: str, p: str = "p", gate: float = 0.10) -> D
 def compared(df: DataFrame, group: str, features: list[str], label: str, key: list[str], n: int = 5, seed: int = 0, rounds: int = 300) -> DataFrame:
     """kind, n, brier, baseline, worst_gap, passed, chosen: both kinds of model judged out of fold; the one whose worst gap
     is least is chosen, the first of equals."""
-    tried = []
+    df, tried = kept(df, "features"), []
     for kind, how in (("logistic", {}), ("boosted", {"rounds": rounds, "key": key})):
         tried.append(quality_of(out_of_fold(df, group, features, label, n, seed, kind, **how), label).first())
     gaps = [1.0 if r.worst_gap is None else r.worst_gap for r in tried]
@@ -156,6 +160,7 @@ def completion_model(df: DataFrame, group: str, features: list[str], label: str,
     """The kind of model that `compared` chooses, fitted to all rows, as a column function; and the comparison."""
     from touchline.operators.passing import fixed_model
 
+    df = kept(df, "features")
     table = compared(df, group, features, label, key, **how)
     if table.where("chosen").first().kind == "logistic":
         return fixed_model(*logistic(df, features, label)), table
