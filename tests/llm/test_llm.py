@@ -260,7 +260,7 @@ def test_html_extraction(spark):
         m = html_extraction.marginals([t], w)
         right += [x for x, y in zip(t.text, t.marks) if x and y == "1"] == [x for x, q in zip(t.text, m) if x and q >= 0.5]
         pages += 1
-    assert right / pages > 0.7  # whole pages, of many layouts
+    assert right / pages > 0.85  # whole pages, of many layouts, some of which tell too little
 
 
 def test_sum_product_against_enumeration():

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from touchline.llm import conversation_repair as repair
-from touchline.llm import queries
+from touchline.llm import html_extraction, queries
 from touchline.llm import token_alignment as alignment
 from touchline.llm import topk_search as search
 from touchline.llm.common import tokenizer_path
@@ -273,3 +273,83 @@ def test_ids_survive_as_they_are(spark):
     given = spark.createDataFrame([(key, 0, "user", "Hello."), (key, 1, "assistant", "Yes.")], "conv_id string, turn long, role string, text string")
     got = repair.repair(given).collect()
     assert (got[0].conv_id, got[0].cost, got[0].audit) == (key, 0, "KK")
+
+
+# ---------------------------------------------------------------- main text of pages
+
+
+PROSE = "The council met on Tuesday to discuss the new bridge over the river, which has been closed since the flood of last spring."
+
+
+def test_what_is_around_a_text_counts_more_than_its_length():
+    w = html_extraction.train()
+    cases = {
+        f"<body><h1>Head</h1><p>{PROSE}</p><aside><p>Side text.</p></aside></body>": f"Head\n{PROSE}",
+        f"<body><p>{PROSE}</p><aside><p>Side text.</p></aside></body>": PROSE,
+        f"<article><p>{PROSE}</p><div class='ad'><p>Buy our stuff now.</p></div><p>{PROSE}</p></article>": f"{PROSE}\n{PROSE}",
+        f"<article><p>{PROSE}</p><aside><p>{PROSE}</p><p>{PROSE} {PROSE}</p></aside></article>": PROSE,
+        f"<div><p>{PROSE}</p></div><div><a>Home</a> <a>News</a></div>": PROSE,
+        "<article><p>The sign © stands for copyright.</p></article>": "The sign © stands for copyright.",
+        "plain text": "plain text",
+    }
+    for page, text in cases.items():
+        assert html_extraction.extract_all([page], w) == [text], page
+
+
+def written_pages(n, seed):
+    """Pages of a newspaper, a blog, a manual, a shop's magazine and a page without containers, with their main texts."""
+    r = random.Random(seed)
+    subjects, verbs, objects = "The mayor|Our team|A visitor|The old engine|Every reader|My neighbour|The committee|Nobody".split("|"), "opened|described|repaired|forgot|measured|painted|sold|carried".split("|"), "the gate behind the station|two boxes of apples|a report on the harbour|the longest road in the county|his first letter|an unusual kind of clock|their plans for the summer".split("|")
+    sentence = lambda: f"{r.choice(subjects)} {r.choice(verbs)} {r.choice(objects)}{r.choice(['', ', as expected', ' in ' + str(r.randint(1900, 2020)), ' &amp; more'])}."
+    plain = lambda t: t.replace("&amp;", "&")
+    title = lambda: " ".join(r.sample("Bridge Harbour Market Garden Winter Music Letters Engine Trade".split(), r.randint(1, 4)))
+
+    def text(k):
+        return " ".join(sentence() for _ in range(k))
+
+    def body():
+        parts = [(f"<h1>{(t := title())}</h1>", t)]
+        for _ in range(r.randint(2, 7)):
+            t = text(r.randint(1, 5))
+            kind = r.random()
+            parts.append((f"<p>{t}</p>", plain(t)) if kind < 0.7 else (f"<h2>{(h := title())}</h2>", h) if kind < 0.8 else (f"<ul><li>{t}</li><li>{t}</li></ul>", plain(t) + "\n" + plain(t)) if kind < 0.9 else (f"<blockquote><p>{t}</p></blockquote>", plain(t)))
+        return parts
+
+    def menu(k=5):
+        return "<ul>" + "".join(f'<li><a href="/{i}">{title()}</a></li>' for i in range(k)) + "</ul>"
+
+    noise = [
+        lambda: f'<aside class="related"><h3>Read also</h3>{menu(3)}</aside>', lambda: f'<div class="advertisement"><p>{text(1)}</p></div>', lambda: f'<div id="sidebar"><h4>Popular</h4><p>{text(1)}</p>{menu(4)}</div>',
+        lambda: f'<div class="newsletter-signup"><p>{text(1)}</p><form><input name=mail><button>Send</button></form></div>', lambda: f'<div class="share-buttons"><a>Mail</a> <a>Print</a></div>', lambda: f"<aside><p>{text(3)}</p></aside>",
+    ]
+
+    def page():
+        parts = body()
+        core = "".join(h + (r.choice(noise)() if r.random() < 0.12 else "") for h, _ in parts)
+        main = "\n".join(t for _, t in parts)
+        top = f'<header class="masthead"><a href="/">{title()}</a><nav class="main-nav">{menu()}</nav></header>'
+        foot = f'<footer><p>&copy; 2021 {title()}. {text(1)}</p>{menu(3)}</footer>'
+        talk = f'<section id="comments"><h2>Comments</h2><div class="comment"><p>{text(2)}</p></div><div class="comment"><p>{text(1)}</p></div></section>' if r.random() < 0.5 else ""
+        cookie = f'<div class="cookie-banner"><p>{text(1)}</p><button>Accept</button></div>' if r.random() < 0.3 else ""
+        side = r.choice(noise)()
+        layout = r.choice([
+            f"{cookie}{top}<main><article>{core}</article>{side}</main>{talk}{foot}", f'{top}<div class="wrapper"><div class="post-content">{core}</div>{side}</div>{talk}{foot}{cookie}',
+            f'{cookie}{top}<article class="story"><div class="story-body">{core}</div>{talk}</article>{foot}', f'{top}<div id="content" role="main">{core}</div>{side}{foot}', f"{top}{core}{side}{foot}",
+        ])
+        return f"<!DOCTYPE html><html lang=en><head><title>{title()}</title><style>p{{}}</style><script>let a = '<p>x</p>';</script></head><body>{layout}</body></html>", main
+
+    return [page() for _ in range(n)]
+
+
+def test_pages_that_were_written_apart_from_the_training_ones():
+    pages = written_pages(300, 4)
+    got = html_extraction.extract_all([p for p, _ in pages], html_extraction.train())
+    right = sum(a == b for a, (_, b) in zip(got, pages)) / len(pages)
+    assert right > 0.95
+
+
+def test_extraction_ignores_clashing_columns_and_takes_empty_tables(spark):
+    given = spark.createDataFrame([(1, "u", f"<article><p>{PROSE}</p></article>", "x", 7), (1, "u", None, "x", 7)], "page_id long, url string, html string, text string, n_chars long")
+    got = html_extraction.extract(given).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "", 0), (1, PROSE, len(PROSE))]
+    assert html_extraction.extract(given.limit(0)).collect() == []

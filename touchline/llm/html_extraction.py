@@ -1,14 +1,14 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its block elements and text blocks. Each node is content or not; a node's own features
-(tag, words of class and id, share of links, length) give its potential, and parent and child are coupled by a 2 x 2
+(tag, words of class and id, share of links, length, and what the elements around it call themselves) give its potential, and parent and child are coupled by a 2 x 2
 potential. Sum-product message passing, upward and then downward, yields each node's marginal; text blocks of marginal
 0.5 or more are kept, in page order. The weights are trained on labelled pages by their likelihood.
 
 Null or empty html, and pages without content: text "" and n_chars 0. Broken markup is read as browsers do it: open
 elements are closed where they must be, stray end tags are ignored, elements beyond DEEPEST levels become siblings; a
-quote that nothing closes ends with its tag. One pass over the page, in time linear in its length. Plain text,
-and a page that has only paragraphs and headings, is an article of its own. Repeated rows: each on its own. Extra columns are ignored. Ties (a
+quote that nothing closes ends with its tag. One pass over the page, in time linear in its length; very long pages are whole.
+Repeated rows: each on its own. An empty table gives no row. Extra columns are ignored, whatever their names. Ties (a
 marginal of exactly 0.5) count as content.
 """
 
@@ -55,12 +55,16 @@ WORDS = {
     "w_content": "content article post entry story main body text blog page prose single articlebody maincontent".split(),
 }
 WORD = {w: k for k, ws in WORDS.items() for w in ws}
-#: What a page has to say where its article is: an article element, a main one, a class of that kind, or nothing.
-KINDS = ("article", "main", "class", "bare")
-BASE = [*sorted(set(TAGS.values())), "other", *WORDS, "hidden", "links", "short", "long", "stop", "sign"]
+#: What a page has to say where its article is: an article element, a main one, a class of that kind, or nothing; or that it
+#: has paragraphs and headings alone.
+KINDS = ("article", "main", "class", "bare", "plain")
+#: Kinds of elements and of their names that tell of all that is within them, however deep.
+TELLS = ("nav", "header", "footer", "aside", "form", "notice", *(w for w in WORDS if w != "w_content"), "hidden")
+BASE = [*sorted(set(TAGS.values())), "other", *WORDS, "hidden", "links", "short", "long", "stop", "sign", *(f"in_{t}" for t in TELLS)]
 #: A node's features, and each of them together with its page's kind.
 NAMES = [*BASE, "bias", *(f"{k}:{n}" for k in KINDS for n in BASE)]
 COLUMN = {n: k for k, n in enumerate(NAMES)}
+INSIDE = {COLUMN[t]: COLUMN[f"in_{t}"] for t in TELLS}
 
 
 class Tree:
@@ -71,14 +75,16 @@ class Tree:
         self.features: list[tuple[int, ...]] = [(COLUMN["root"],)]
         self.text: list[str | None] = [None]
         self.marks: list[str] = [""]
-        self.kind = len(KINDS) - 1
-        self.plain = True  # whether there are only paragraphs and headings, and so nothing to choose from
-        self.stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, node, whether its text is dropped
+        self.kind, self.plain = KINDS.index("bare"), True  # plain: so far only paragraphs and headings
+        #: Open elements: tag, node, whether its text is dropped, features that all within it have.
+        self.stack: list[tuple[str, int, bool, frozenset[int]]] = [("#page", 0, False, frozenset())]
         self.open: dict[str, list[int]] = {}  # where each tag stands in the stack
         self.scopes = [0]  # where elements of SCOPE stand in the stack
         self.run: list[str] = []
         self.linked = self.inside = 0  # characters within links; open links
         self.read(source)
+        if self.plain:
+            self.kind = KINDS.index("plain")
         own = len(BASE) * (1 + self.kind) + 1
         self.features = [(*f, *(own + c for c in f)) for f in self.features]
 
@@ -149,8 +155,8 @@ class Tree:
             if t:
                 if self.stack[-1][0] == "head":
                     self.cut(len(self.stack) - 1)
-                _, node, dropped = self.stack[-1]
-                f = [COLUMN["text"]]
+                _, node, dropped, within = self.stack[-1]
+                f = [COLUMN["text"], *within]
                 if self.linked > 0.5 * len(t):
                     f.append(COLUMN["links"])
                 if len(t) < 40:
@@ -159,7 +165,7 @@ class Tree:
                     f.append(COLUMN["long"])
                 if t[-1] in ".!?\"'”»。":
                     f.append(COLUMN["stop"])
-                if "©" in t[:60]:
+                if t[0] == "©" or t[:12].lower().startswith(("copyright", "(c)")):
                     f.append(COLUMN["sign"])
                 if not dropped:
                     self.add(node, f, t, "")
@@ -195,7 +201,10 @@ class Tree:
         self.inside = 0
         if self.open.get("head") and tag not in HEADISH:
             self.cut(self.open["head"][-1])
-        if tag in VOID or tag in ("html", "head", "body") and self.open.get(tag):
+        if tag == "html":  # the page itself
+            self.marks[0] = self.marks[0] or dict(values).get("data-y", "")
+            return
+        if tag in VOID or tag in ("head", "body") and self.open.get(tag):
             return
         if self.stack[-1][0] == "p":  # a block ends a paragraph
             self.cut(len(self.stack) - 1)
@@ -211,24 +220,28 @@ class Tree:
         for name, value in values:
             name, value = name.lower(), value.lower()
             if name in ("class", "id", "role", "aria-label"):
-                for w in re.split(r"[^a-z]+", value):
-                    if w in WORD:
-                        f.add(COLUMN[WORD[w]])
-                        if WORD[w] == "w_content" and tag != "body":
-                            self.kind = min(self.kind, KINDS.index("class"))
+                for one in value.split():
+                    told = {WORD[w] for w in re.split(r"[^a-z]+", one) if w in WORD}
+                    if told != {"w_content"}:  # a main-nav is no main part
+                        told.discard("w_content")
+                    elif tag != "body":
+                        self.kind = min(self.kind, KINDS.index("class"))
+                    f.update(COLUMN[t] for t in told)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 f.add(COLUMN["hidden"])
             elif name == "data-y":
                 mark = value
-        _, above, dropped = self.stack[-1]
-        node = self.add(above, f, None, mark)
+        _, above, dropped, within = self.stack[-1]
+        # what calls itself content, and what holds whole pages, says nothing against what is within it
+        tells = () if tag in ("body", "html", "article", "main") or COLUMN["w_content"] in f else (INSIDE[c] for c in f if c in INSIDE)
+        node = self.add(above, f | within, None, mark)
         if closed and tag not in TAGS and tag not in RAW:
             return
         deep = len(self.stack) >= DEEPEST
         if tag in SCOPE:
             self.scopes.append(len(self.stack))
         self.open.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, above if deep else node, dropped or tag in DROPPED or tag in RAW and tag != "title"))
+        self.stack.append((tag, above if deep else node, dropped or tag in DROPPED or tag in RAW and tag != "title", within.union(tells)))
 
     def add(self, parent: int, features, text: str | None, mark: str) -> int:
         self.parent.append(parent)
@@ -278,6 +291,9 @@ def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
             lambda: f"<div {attr('w_form')} data-y=0><form><p>{words(1, 6)}</p></form></div>",
             lambda: f"<div data-y=0 {r.choice(['hidden', 'style=\"display:none\"', 'aria-hidden=true'])}><p>{prose()}</p></div>",
             lambda: f"<dialog data-y=0><p>{prose()}</p></dialog>",
+            lambda: f"<div data-y=0>{links(2, 5, r.choice(['span', 'b', 'i']))}</div>",
+            lambda: f"<{r.choice(['aside', 'nav'])} data-y=0>{''.join('<p>' + prose() + '</p>' for _ in range(r.randint(1, 4)))}</{'aside'}>",
+            lambda: f"<div {attr(r.choice(['w_ad', 'w_side', 'w_notice']))} data-y=0>{''.join('<p>' + prose() + '</p>' for _ in range(r.randint(1, 4)))}</div>",
         ])()
 
     def comments():
@@ -309,10 +325,12 @@ def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
                 out.append(f"<section><h2>{words(1, 4)}</h2><p>{prose()}</p></section>")
             elif x < 0.95:
                 out.append(f"{r.choice(['', '<div>'])}{prose()}")
-            elif x < 0.97:
+            elif x < 0.98:
                 out.append(rest())
+            elif x < 0.985:
+                out.append(f"<p>{words(1, 9)} &copy; {prose()}</p>")
             else:
-                out.append(f"<p><a href=x>{prose()}</a></p>")
+                out.append(f"<p><a href=x>{prose()}</a> {words(4, 9)}</p>")
         if r.random() < 0.15:
             out.insert(0, f"<header data-y=0><p>{prose()}</p></header>")
         if r.random() < 0.15:
@@ -324,22 +342,30 @@ def labelled_pages(n: int = 900, seed: int = 7) -> list[str]:
     def wrapped(core, odd=True):
         """An article within a few boxes that say nothing, or something else."""
         for _ in range(r.randint(0, 3)):
-            core = f"<div {r.choice(['', '', 'class=' + words(1, 1), attr(r.choice(list(WORDS))) if odd else ''])}>{core}</div>"
+            core = f"<div {r.choice(['', '', 'class=' + words(1, 1), attr('w_content') if odd else ''])}>{core}</div>"
         return core
 
     def bare():
         text = [words(25, 90).capitalize() + "." if r.random() < 0.5 else prose() for _ in range(r.randint(1, 8))]
         core = "".join(r.choice(["<p>{}</p>", "<p>{}", "<p>{}", "<div>{}</div>", "<h2>{}</h2><p>{}</p>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).replace("{}", t) for t in text)
         core = r.choice([f"<div data-y=1>{wrapped(core, False)}</div>", f"<div data-y=1>{text[0]}</div>", f"<table data-y=1><tr><td>{core}</td></tr></table>", f"<section data-y=1>{core}</section>", f"<div data-y=1><h1>{words(1, 8)}</h1>{core}</div>", f"<center data-y=1>{core}</center>"])
-        if r.random() < 0.4:
-            core = "".join(f"<p data-y=1>{t}</p>" for t in text)
-        before, after = ("".join(rest() for _ in range(r.randint(0, 2))) for _ in range(2))
+        if r.random() < 0.4:  # straight in the body, with other things between
+            core = (f"<h1 data-y=1>{words(1, 8)}</h1>" if r.random() < 0.5 else "") + "".join(f"<p data-y=1>{t}</p>" + (rest() if r.random() < 0.2 else "") for t in text)
+        before, after = ("".join(rest() for _ in range(r.randint(0, 3))) for _ in range(2))
         foot = f"<footer data-y=0>&copy; {prose()}</footer>" if r.random() < 0.4 else f"<div {attr('w_frame')} data-y=0>&copy; {prose()}</div>" if r.random() < 0.3 else ""
         whole = f"<html data-y=0><head><title>{words(1, 8)}</title></head><body>{before}{core}{after}{foot}</body></html>"
         # fragments: what isn't marked is the page itself
         return r.choice([whole, whole, core, f"<html data-y=1><body>{text[0]}<p>{text[-1]}</body></html>", f"<html data-y=1>{''.join(f'<p>{t}' for t in text)}", f"<html data-y=1><head data-y=0><title>{words(1, 8)}</title></head><body><h1>{words(1, 8)}</h1>{text[0]}<br>{text[-1]}{foot}</body></html>", f"<html data-y=1>{text[0]}"])
 
+    def plain():
+        """A page, or a piece of one, that has paragraphs and headings alone, or no markup at all."""
+        head = f"<head data-y=0><title>{words(1, 8)}</title></head>" if r.random() < 0.5 else f"<title data-y=0>{words(1, 8)}</title>" if r.random() < 0.3 else ""
+        text = "".join(r.choice(["<p>{}", "<p>{}</p>", "<p>{}</p>", "<h1>{}</h1>", "<h3>{}</h3>", "{}<br>"]).replace("{}", r.choice([prose, lambda: words(1, 4)])()) for _ in range(r.randint(1, 6)))
+        return f"<html data-y=1>{head}{r.choice(['<body>', ''])}{r.choice([text, text, prose(), words(1, 3)])}"
+
     def page():
+        if r.random() < 0.08:
+            return plain()
         if r.random() < 0.3:  # no container at all, or no markup
             return bare()
         body = [f"<header data-y=0><div>{words(1, 3)}</div>{r.choice(['', '<h1>' + words(1, 3) + '</h1>'])}<p>{prose()}</p></header>"] if r.random() < 0.5 else []
@@ -467,10 +493,7 @@ def extract_all(sources: list[str | None], w: np.ndarray) -> list[str]:
         return []
     p, out, at = marginals(trees, w), [], 0
     for t in trees:
-        if t.plain:
-            out.append("\n".join(x for x, above in zip(t.text, t.parent) if x and COLUMN["head"] not in t.features[above]))
-        else:
-            out.append("\n".join(x for x, q in zip(t.text, p[at : at + len(t.parent)].tolist()) if x and q >= 0.5))
+        out.append("\n".join(x for x, q in zip(t.text, p[at : at + len(t.parent)].tolist()) if x and q >= 0.5))
         at += len(t.parent)
     return out
 
