@@ -1,6 +1,7 @@
 """Queries: fitted models, gates, the data behind figures."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.functions import scalar as S
 from touchline.operators import bootstrap as B
@@ -9,10 +10,11 @@ from touchline.operators import models as M
 from touchline.operators import passing as P
 from touchline.operators import roles as R
 from touchline.operators import threat as T
+from touchline.operators.order import rank_correlation
 
 from .base import query
 from .passes import prepared, rated, reliability
-from .people import AX, PAIRS, priced
+from .people import AX, PAIRS, POOL, ROLES, priced
 from .zones import SURFACE, Z
 
 FULL = ["quality", "age", "age_sq", "log_passes", "log_caps", "pos_MID", "pos_FWD"]
@@ -88,11 +90,42 @@ def _(p):
     return R.scarcity_density(R.pair_distances(d, [f"pc{i + 1}" for i in range(k)])).orderBy(F.desc("scarcity_density"), "player_id")
 
 
-@query("c11_population", "syn_passes", "SELECT team, passer player_id, CASE WHEN avg(start_x) < -12 THEN 'DEF' WHEN avg(start_x) < 12 THEN 'MID' ELSE 'FWD' END position FROM syn_passes GROUP BY ALL HAVING count(*) >= 15 AND avg(start_x) >= -30")
+STANDARD = lambda c: f"CASE WHEN coalesce(stddev_samp({c}) OVER w, 0) = 0 THEN 0 ELSE ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END"
+
+
+@query("c11_population", "syn_passes", f"WITH {ROLES}, po AS (SELECT *, CASE WHEN mean_x < -12 THEN 'DEF' WHEN mean_x < 12 THEN 'MID' ELSE 'FWD' END position FROM ts WHERE n_passes >= 15 AND mean_x >= -30) SELECT team, player_id, position, R[{STANDARD('mean_x')}]R mean_x, R[{STANDARD('dispersion')}]R dispersion, R[{STANDARD('fwd_share')}]R fwd_share, R[{STANDARD('long_share')}]R long_share FROM po WINDOW w AS (PARTITION BY team)")
 def _(p):
-    """Position by depth, goalkeepers left out, and only then normalised."""
+    """Position by depth, goalkeepers left out, and only then each team's features normalised."""
     d = R.territory_style(p, 15).withColumn("position", S.position_by_depth(F.col("mean_x"))).where("position <> 'GK'")
-    return R.z_scores(d, ["team"], ["mean_x"]).select("team", "player_id", "position")
+    return R.z_scores(d, ["team"], ["mean_x", "dispersion", "fwd_share", "long_share"]).select("team", "player_id", "position", "mean_x", "dispersion", "fwd_share", "long_share")
+
+
+BOTH = f"""{POOL}, h AS (SELECT quantile_cont(d, 0.5) h FROM pr), den AS (SELECT p player_id, -ln(avg(exp(-0.5 * (d / h) ** 2)) + 1e-12) density FROM bw, h GROUP BY p),
+  bo AS (SELECT r.player_id, r.team, density, CASE WHEN quality IS NOT NULL THEN -ln((coalesce(k, 0) + 1) * 1.0::DOUBLE / (SELECT count(*) FROM syn_roles)) END pool FROM syn_roles r JOIN den USING (player_id) LEFT JOIN k ON k.id = r.player_id)"""
+
+
+def boarded(r):
+    pairs = R.pair_distances(r, AX)
+    return R.scarcity_density(pairs).join(R.scarcity_pool(r, pairs), "player_id").join(r.select("player_id", "team"), "player_id").select("player_id", "team", F.col("scarcity_density").alias("density"), F.col("scarcity_pool").alias("pool"))
+
+
+@query("v05_squad_board", "syn_roles", f"WITH {BOTH} SELECT team, player_id, R[density]R density, R[pool]R pool, row_number() OVER (PARTITION BY team ORDER BY round(density, 9) DESC, player_id)::INT place FROM bo")
+def _(r):
+    """Each squad's players, the scarcest first, with both kinds of scarcity."""
+    place = F.row_number().over(Window.partitionBy("team").orderBy(F.round("density", 9).desc(), "player_id"))
+    return boarded(r).withColumn("place", place).select("team", "player_id", "density", "pool", "place")
+
+
+@query("v05_density_against_pool", "syn_roles", f"WITH {BOTH}, rk AS (SELECT rank() OVER (ORDER BY round(density, 9)) + (count(*) OVER (PARTITION BY round(density, 9)) - 1) / 2.0::DOUBLE a, rank() OVER (ORDER BY round(pool, 9)) + (count(*) OVER (PARTITION BY round(pool, 9)) - 1) / 2.0::DOUBLE b FROM bo WHERE pool IS NOT NULL) SELECT R[corr(a, b)]R rho, count(*) n FROM rk")
+def _(r):
+    return rank_correlation(boarded(r).select(F.round("density", 9).alias("density"), F.round("pool", 9).alias("pool")), "density", "pool")
+
+
+@query("v06_residual_by_club", "syn_players", "WITH f AS (SELECT team, regr_slope(quality, b) OVER () * b + regr_intercept(quality, b) OVER () - quality surplus FROM syn_players WHERE quality IS NOT NULL) SELECT team, count(*) n, R[avg(surplus)]R surplus FROM f GROUP BY team HAVING count(*) >= 5")
+def _(p):
+    """Mean surplus of clubs with five players."""
+    d = M.surplus(p.where("quality is not null"), ["b"], "quality")
+    return d.groupBy("team").agg(F.count("*").alias("n"), F.avg("surplus").alias("surplus")).where("n >= 5")
 
 
 @query("m08_cross_validated_r2", "customer syn_valuations")

@@ -93,9 +93,16 @@ def _(s):
     return M.control_grid(M.sides(dealt).select("pass_id", "teammates", "opponents")).select("pass_id", "ix", "iy", "control")
 
 
-@query("j18_player_grid", "syn_snapshots", f"WITH {EX} SELECT pass_id, R[min(0.7 + sqrt(x ** 2 + y ** 2) / 5.0)]R t FROM att GROUP BY 1")
+@query("j18_player_grid", "syn_snapshots", f"""WITH {EX}, g AS (SELECT x.ix, y.iy, (x.ix + 0.5) * 105.0 / 12 - 52.5 gx, (y.iy + 0.5) * 68.0 / 8 - 34 gy FROM range(12) x(ix), range(8) y(iy)),
+  ta AS (SELECT pass_id, ix, iy, min(0.7 + sqrt((gx - x) ** 2 + (gy - y) ** 2) / 5.0) t FROM att, g GROUP BY ALL), td AS (SELECT pass_id, ix, iy, min(0.7 + sqrt((gx - x) ** 2 + (gy - y) ** 2) / 5.0) t FROM opp, g GROUP BY ALL)
+  SELECT ix, iy, R[avg(ta.t)]R attackers, R[avg(td.t)]R defenders, count(*) FILTER (ta.t < td.t) led FROM ta JOIN td USING (pass_id, ix, iy) GROUP BY ALL""")
 def _(s):
-    return M.sides(s).select("pass_id", S.nearest_time(F.col("teammates"), S.num(0), S.num(0), S.ControlParams()).alias("t"))
+    """Every player against every cell of the pitch, in all snapshots: how soon either side is there, and how often first."""
+    cell = F.explode(F.sequence(F.lit(0), F.lit(95))).alias("z")
+    d = M.sides(s).select("teammates", "opponents", cell).withColumn("ix", F.col("z") % 12).withColumn("iy", F.floor(F.col("z") / 12))
+    x, y = (F.col("ix") + 0.5) * 105.0 / 12.0 - 52.5, (F.col("iy") + 0.5) * 68.0 / 8.0 - 34.0
+    d = d.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), S.nearest_time(F.col("teammates"), x, y, S.ControlParams()).alias("a"), S.nearest_time(F.col("opponents"), x, y, S.ControlParams()).alias("d"))
+    return d.groupBy("ix", "iy").agg(F.avg("a").alias("attackers"), F.avg("d").alias("defenders"), F.count_if(F.col("a") < F.col("d")).alias("led"))
 
 
 CANDIDATES = """ang AS (SELECT s.pass_id, a.k, a.x, a.y, degrees(acos(least(1.0, greatest(-1.0, ((a.x - start_x) / sqrt((a.x - start_x) ** 2 + (a.y - start_y) ** 2)) * ((end_x - start_x) / sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2))
@@ -114,6 +121,12 @@ def _(s):
     return M.receiver_in_frame(s).where("receiver is not null").select("pass_id", "receiver", "angle")
 
 
+@query("j16_bearing_argmin", "syn_snapshots", f"WITH {EX}, {CANDIDATES} SELECT pass_id, b.k receiver, R[b.angle]R angle FROM rec WHERE b.angle <= 40")
+def _(s):
+    """The same as a join of passes and candidates, for candidates that are rows of a table."""
+    return M.intended_receiver(candidates(s), "pass_id")
+
+
 @query("a32_receiver_accuracy", "syn_snapshots", f"""WITH {EX}, {TARGET}, {CANDIDATES}, truth AS (SELECT s.pass_id, arg_min(a.k, {{'d': sqrt((a.x - s.end_x) ** 2 + (a.y - s.end_y) ** 2), 'k': a.k}}) k FROM syn_snapshots s JOIN att a USING (pass_id) WHERE completed = 1 GROUP BY 1)
     SELECT count(*) n_total, count(*) FILTER (b.angle <= 40) n_resolved, R[count(*) FILTER (b.angle <= 40) * 1.0::DOUBLE / count(*)]R resolve_rate, R[count(*) FILTER (b.angle <= 40 AND b.k = t.k) * 1.0::DOUBLE / count(*) FILTER (b.angle <= 40)]R accuracy
     FROM truth t LEFT JOIN rec r USING (pass_id)""")
@@ -226,10 +239,50 @@ def _(p, s):
     return valued(p, s).where("not chosen").groupBy("pass_id").agg(F.count("*").alias("n_candidates"), F.avg("ev").alias("ev_baseline_avg"), F.max("ev").alias("ev_baseline_max"))
 
 
-@query("w05_choice_rank", "syn_passes syn_snapshots", None)
+@query("w05_choice_rank", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, R[(SELECT count(*) FROM ev e WHERE e.pass_id = ag.pass_id AND round(e.ev, 9) < round(ag.c, 9)) * 1.0::DOUBLE / greatest(n - 1, 1)]R cpv_rank FROM ag")
+def _(p, s):
+    """Rank of the chosen option; options whose values agree to nine places are equal."""
+    c = F.max(F.when(F.col("chosen"), F.round("ev", 9))).over(Window.partitionBy("pass_id"))
+    d = valued(p, s).withColumn("c", c).groupBy("pass_id").agg(F.count_if(F.round("ev", 9) < F.col("c")).alias("below"), F.count("*").alias("n"))
+    return d.select("pass_id", (F.col("below") / F.greatest(F.col("n") - 1, F.lit(1))).alias("cpv_rank"))
+
+
+@query("c02_candidates", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, row_number() OVER (PARTITION BY pass_id ORDER BY ord) - 1 ord, chosen, R[control_target]R control_target, R[p]R p, R[v_receive]R v_receive, R[v_turnover]R v_turnover, R[ev]R ev FROM ev")
+def _(p, s):
+    """Every option of every pass, with what its value is made of."""
+    return valued(p, s).select("pass_id", F.col("ord").cast("long").alias("ord"), "chosen", "control_target", "p", "v_receive", "v_turnover", "ev")
+
+
+@query("w09_chosen_candidate", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, min(row_number) ord FROM (SELECT o.pass_id, row_number() OVER (PARTITION BY o.pass_id ORDER BY o.ord) - 1 row_number, o.tx, o.ty FROM opt o) q JOIN pas USING (pass_id) WHERE tx = target_x AND ty = target_y GROUP BY pass_id")
+def _(p, s):
+    """The first option that stands where the target is: the receiver's own, before the copy that is added."""
+    d = P.choices(prepared(s)).where("cx = target_x and cy = target_y")
+    return d.groupBy("pass_id").agg(F.min("ord").cast("long").alias("ord"))
+
+
+ZONED = f"""{VALUED}, zv AS (SELECT {Z("0.5 - start_y / 68.0", 8)} * 12 + {Z("start_x / 105.0 + 0.5", 12)} zone, c - m cpv_avg, c - mx cpv_max, (c - m) / greatest(sd, 1e-4) cpv_z FROM cpv JOIN pas USING (pass_id)),
+  zl AS (SELECT zone, 'cpv_avg' metric, cpv_avg v FROM zv UNION ALL SELECT zone, 'cpv_max', cpv_max FROM zv UNION ALL SELECT zone, 'cpv_z', cpv_z FROM zv), zm AS (SELECT metric, zone, count(*) n, CASE WHEN count(*) >= 25 THEN avg(v) END mean FROM zl GROUP BY ALL)"""
+
+
+def zoned(p, s):
+    """metric, zone, v of each pass and each way to value it."""
+    x, y = S.metric_to_season(F.col("start_x"), F.col("start_y"))
+    d = rated(p, s).select((S.zone(y, 8) * 12 + S.zone(x, 12)).alias("zone"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("cpv_avg", "cpv_max", "cpv_z")))).alias("m"))
+    return d.select("zone", "m.*")
+
+
+@query("v01_zone_means", "syn_passes syn_snapshots", f"{ZONED} SELECT metric, zone, n, R[mean]R mean FROM zm")
 def _(p, s):
-    """Rank of the chosen option; no SQL twin as equal options are told apart by the last bit."""
-    return rated(p, s).select("pass_id", "cpv_rank")
+    """Mean value by where a pass starts, of zones with 25 passes, for each way to value it."""
+    return zoned(p, s).groupBy("metric", "zone").agg(F.count("*").alias("n"), F.when(F.count("*") >= 25, F.avg("v")).alias("mean"))
+
+
+@query("v01_zone_dependence", "syn_passes syn_snapshots", f"{ZONED} SELECT metric, R[(SELECT stddev_pop(mean) FROM zm WHERE zm.metric = zl.metric) / (stddev_samp(v) + 1e-12)]R spread FROM zl GROUP BY metric")
+def _(p, s):
+    """How much of a metric's deviation the zones' means have: the less, the less a value tells where its passes were."""
+    d = zoned(p, s)
+    means = d.groupBy("metric", "zone").agg(F.when(F.count("*") >= 25, F.avg("v")).alias("mean")).groupBy("metric").agg(F.stddev_pop("mean").alias("between"))
+    return d.groupBy("metric").agg(F.stddev_samp("v").alias("all")).join(means, "metric").select("metric", (F.col("between") / (F.col("all") + 1e-12)).alias("spread"))
 
 
 @query("w04_choice_z", "syn_passes syn_snapshots", f"{VALUED} SELECT pass_id, R[(c - m) / greatest(sd, 1e-4)]R cpv_z FROM cpv")
@@ -452,11 +505,86 @@ def _(p, s):
 MATCHES = "ml AS (SELECT match_id, '2023-' || lpad((8 + match_id // 9)::VARCHAR, 2, '0') || '-' || lpad((1 + match_id * 11 % 28)::VARCHAR, 2, '0') date, (match_id % 18)::VARCHAR home_team, ((match_id * 7 + 3) % 18)::VARCHAR away_team FROM (SELECT DISTINCT match_id FROM syn_snapshots))"
 
 
+def matches_of(s):
+    """A match list of the snapshots' matches."""
+    m = F.col("match_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return s.select("match_id").distinct().select(m.cast("long").alias("match_id"), F.concat(F.lit("2023-"), two(8 + F.floor(m / 9)), F.lit("-"), two(1 + m * 11 % 28)).alias("date"), (m % 18).cast("string").alias("home_team"), ((m * 7 + 3) % 18).cast("string").alias("away_team"))
+
+
 @query("s16_season_report", "syn_snapshots", f"""WITH {MATCHES}, ch AS (SELECT * FROM ml WHERE '3' IN (home_team, away_team) ORDER BY date, match_id LIMIT 3)
     SELECT ch.match_id::BIGINT match_id, date, count(*) + count(*) FILTER (scored = 1) events, count(*) frames, count(*) passes, 'read' status FROM ch JOIN syn_snapshots s ON s.match_id = ch.match_id GROUP BY ALL""")
 def _(s):
     """A team's first matches at home and away, read from files, with a report of each."""
-    m = F.col("match_id")
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    matches = s.select("match_id").distinct().select(m.cast("long").alias("match_id"), F.concat(F.lit("2023-"), two(8 + F.floor(m / 9)), F.lit("-"), two(1 + m * 11 % 28)).alias("date"), (m % 18).cast("string").alias("home_team"), ((m * 7 + 3) % 18).cast("string").alias("away_team"))
-    return files.read_chosen(s.sparkSession, season_files(s), files.season_matches(matches, "3", 3))[1]
+    return files.read_chosen(s.sparkSession, season_files(s), files.season_matches(matches_of(s), "3", 3))[1]
+
+
+@query("s05_match_list", "syn_snapshots", f"WITH {MATCHES} SELECT match_id::BIGINT match_id, date, home_team, away_team FROM ml")
+def _(s):
+    """The match list as a JSON file, flattened."""
+    team = lambda c, n: F.struct(F.col(c).alias(n))
+    raw = matches_of(s).select("match_id", F.col("date").alias("match_date"), team("home_team", "home_team_name").alias("home_team"), team("away_team", "away_team_name").alias("away_team"))
+    folder = f"{shared_dir(s.sparkSession)}/matches-{uuid.uuid4().hex}"
+    part = F.floor(F.col("match_id") / 1000)  # an array a file, of a thousand matches
+    raw.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*raw.columns))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return files.read_matches(s.sparkSession, folder)
+
+
+@query("s06_events_of_files", "syn_snapshots", """SELECT pass_id::VARCHAR id, match_id::BIGINT match_id, 'Pass' type, team::VARCHAR team, pass_id possession FROM syn_snapshots
+    UNION ALL SELECT 's' || pass_id, match_id, 'Shot', team::VARCHAR, pass_id FROM syn_snapshots WHERE scored = 1""")
+def _(s):
+    """All events of all matches' files in one scan."""
+    e = files.read_events(s.sparkSession, f"{season_files(s)}/events")
+    return e.select("id", "match_id", F.col("type.name").alias("type"), F.col("team.name").alias("team"), "possession")
+
+
+@query("s07_frames_of_files", "syn_snapshots", "SELECT pass_id::VARCHAR event_uuid, match_id::BIGINT match_id, len(frame)::INT n, len(list_filter(frame, lambda p: p.teammate))::INT mates FROM syn_snapshots")
+def _(s):
+    """Freeze frames of all matches' files, by event; a missing folder has none."""
+    folder = season_files(s)
+    f = files.read_frames(s.sparkSession, f"{folder}/three-sixty").unionByName(files.read_frames(s.sparkSession, f"{folder}/not-there"))
+    return f.select("event_uuid", "match_id", F.size("freeze_frame").alias("n"), F.size(F.filter("freeze_frame", lambda p: p["teammate"])).alias("mates"))
+
+
+@query("s10_season_of_a_team", "syn_snapshots", f"WITH {MATCHES} SELECT match_id::BIGINT match_id, date FROM ml WHERE '3' IN (home_team, away_team) ORDER BY date, match_id")
+def _(s):
+    """The matches that a team plays at home or away, by date."""
+    return files.season_matches(matches_of(s), "3").select("match_id", "date")
+
+
+@query("j03_passes_of_frames", "syn_snapshots", "SELECT pass_id::VARCHAR id, completed, len(list_filter(frame, lambda p: NOT p.teammate))::INT opponents FROM syn_snapshots")
+def _(s):
+    """Passes of the event files with the freeze frame of their id."""
+    folder = season_files(s)
+    e, f = files.read_events(s.sparkSession, f"{folder}/events").where("type.name = 'Pass'"), files.read_frames(s.sparkSession, f"{folder}/three-sixty")
+    both = e.join(f, (e.match_id == f.match_id) & (e.id == f.event_uuid))
+    return both.select("id", F.when(F.col("pass.outcome").isNull(), 1).otherwise(0).alias("completed"), F.size(F.filter("freeze_frame", lambda p: ~p["teammate"])).alias("opponents"))
+
+
+@query("s01_tracking_files", "syn_tracking", "SELECT period, frame, player_id::VARCHAR player_id, R[x]R x, R[x / 2]R y FROM syn_tracking WHERE player_id % 3 = 1 UNION ALL SELECT period, frame, player_id::VARCHAR, R[x]R, NULL FROM syn_tracking WHERE player_id % 3 <> 1")
+def _(t):
+    """Tracking CSVs with their own header rows, each of other players, read in one scan."""
+    spark, folder = t.sparkSession, f"{shared_dir(t.sparkSession)}/tracking-{uuid.uuid4().hex}"
+
+    def lines(rows):
+        """A file for each task: three header rows, and a line a frame with the players that are in it."""
+        import pandas as pd
+
+        rows = pd.concat(list(rows)) if rows is not None else None
+        if rows is None or not len(rows):
+            return
+        who = sorted(rows["player_id"].unique())
+        head = [",,," + ",".join(["Home,"] * len(who)), ",,," + ",".join(f"{w}," for w in who), "Period,Frame,Time [s]," + ",".join(f"Player{w}," for w in who)]
+        at = {w: k for k, w in enumerate(who)}
+        body = []
+        for p, f, w, x in zip(rows["period"], rows["frame"], rows["player_id"], rows["x"]):
+            cells = ["NaN,NaN"] * len(who)
+            cells[at[w]] = f"{float(x)!r},{float(x) / 2!r}" if w % 3 == 1 else f"{float(x)!r},NaN"
+            body.append(f"{p},{f},{f * 0.04:.2f}," + ",".join(cells))
+        yield pd.DataFrame({"value": head + body})
+
+    # few rows a file, so that its players are few
+    n = max(1, -(-t.count() // 500))
+    t.repartitionByRange(n, "player_id", "frame").mapInPandas(lines, "value string").write.text(folder)
+    got = files.read_tracking(spark, folder, "home", 1)
+    return got.where("x is not null").select("period", "frame", "player_id", "x", "y")

@@ -49,10 +49,17 @@ def _(p):
     return T.surface(p)
 
 
-@query("x02_xt_pooled_games", "syn_attempts", None)
+POOLED = f"""WITH RECURSIVE gs AS (SELECT game_id, team, period, CASE WHEN avg(sx) > 0.5 THEN 1 ELSE -1 END d FROM syn_attempts WHERE type = 'SHOT' GROUP BY ALL),
+  gk AS (SELECT t.game_id, t.team, max(d) FILTER (period = 1) a, max(d) FILTER (period = 2) b FROM (SELECT DISTINCT game_id, team FROM syn_attempts) t LEFT JOIN gs USING (game_id, team) GROUP BY ALL),
+  gd AS (SELECT game_id, team, 1 period, coalesce(a, -b, 1) d FROM gk UNION ALL SELECT game_id, team, 2, coalesce(b, -coalesce(a, -b, 1)) FROM gk),
+  tn AS (SELECT type, subtype, CASE WHEN d = -1 THEN 1 - sx ELSE sx END sx, CASE WHEN d = -1 THEN 1 - sy ELSE sy END sy, CASE WHEN d = -1 THEN 1 - ex ELSE ex END ex, CASE WHEN d = -1 THEN 1 - ey ELSE ey END ey FROM syn_attempts JOIN gd USING (game_id, team, period)),
+  acts AS (SELECT type, coalesce(contains(subtype, 'GOAL'), false) goal, {Z("sy", 8)} * 12 + {Z("sx", 12)} z0, {Z("ey", 8)} * 12 + {Z("ex", 12)} z1 FROM tn), {COUNTS}, {RATES}, {MOVES}, {ITERATE}"""
+
+
+@query("x02_xt_pooled_games", "syn_attempts", f"{POOLED} SELECT zone, R[xt]R xt FROM xt")
 def _(e):
-    """Orientation of each team and period, then one surface over all games."""
-    o = T.orient(e)
+    """Orientation of each team and period of each game, then one surface over all games."""
+    o = T.orient(e.withColumn("team", F.struct("game_id", "team")))
     x, y = S.zone(F.col("sx"), 12), S.zone(F.col("sy"), 8)
     acts = o.select(F.col("type"), F.coalesce(F.contains("subtype", F.lit("GOAL")), F.lit(False)).alias("goal"), (y * 12 + x).alias("z0"), (S.zone(F.col("ey"), 8) * 12 + S.zone(F.col("ex"), 12)).alias("z1"))
     return T.value_iteration(T.zone_rates(T.zone_counts(acts)), T.transitions(acts))
