@@ -393,14 +393,16 @@ def _(c, v):
 CHAIN = r"""sq AS (SELECT DISTINCT c_nationkey club_id, o_custkey tm FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'),
   ro AS (SELECT c_custkey player_id, n_name team, n_nationkey nk, CASE c_custkey % 7 WHEN 1 THEN 'Jr. ' || c_name WHEN 2 THEN 'Unknown ' || right(c_name, 9) || ' Of The Long Name' WHEN 3 THEN 'nobody' ELSE c_name END name FROM customer JOIN nation ON n_nationkey = c_nationkey),
   nr AS (SELECT player_id, team, nk, trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', ' ', 'g')) norm FROM ro), nm AS (SELECT c_custkey tm, trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}]+', ' ', 'g')) norm FROM customer),
-  pl AS (SELECT nr.player_id, sq.tm FROM nr JOIN sq ON sq.club_id = nr.nk UNION ALL SELECT nr.player_id, nm.tm FROM nr, nm WHERE nr.nk NOT IN (SELECT club_id FROM sq)),
+  tk AS (SELECT n_nationkey nk, list_filter(string_split(trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN (WORDS)) t FROM nation),
+  cm AS (SELECT a.nk, arg_min(b.nk, {'s': -len(list_intersect(a.t, b.t)) * 1.0::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 'o': b.nk}) club FROM tk a JOIN tk b ON len(list_intersect(a.t, b.t)) > 0 WHERE b.nk IN (SELECT club_id FROM sq) GROUP BY a.nk),
+  pl AS (SELECT nr.player_id, sq.tm FROM nr JOIN cm USING (nk) JOIN sq ON sq.club_id = cm.club UNION ALL SELECT nr.player_id, nm.tm FROM nr, nm WHERE nr.nk NOT IN (SELECT nk FROM cm)),
   pr AS (SELECT nr.player_id, pl.tm, nr.norm = nm.norm ex, string_split(nr.norm, ' ') a, string_split(nm.norm, ' ') b FROM nr JOIN pl USING (player_id) JOIN nm USING (tm)),
   sc AS (SELECT player_id, tm, ex, CASE WHEN ex THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) * 1.0::DOUBLE / len(list_distinct(list_concat(a, b))) END s, len(list_filter(list_intersect(a, b), lambda w: length(w) >= 4)) > 0 anchor FROM pr),
   be AS (SELECT player_id, arg_min(tm, {'x': NOT ex, 's': -s, 'o': tm}) best, bool_or(ex) ex, max(s) s, count(*) FILTER (anchor) k, min(tm) FILTER (anchor) one FROM sc GROUP BY 1),
   li AS (SELECT *, CASE WHEN ex THEN 'exact' WHEN s >= 0.34 THEN 'token' WHEN k = 1 THEN 'surname' WHEN k > 1 THEN 'ambiguous' ELSE 'none' END me FROM be),
   lk AS (SELECT player_id, CASE WHEN me IN ('exact', 'token') THEN best WHEN me = 'surname' THEN one END tm, s, me FROM li),
   va AS (SELECT lk.*, (SELECT arg_max(o_totalprice, {'d': o_orderdate, 't': o_orderkey}) FROM orders WHERE o_custkey = lk.tm AND o_orderdate::DATE <= DATE '1998-01-01') v FROM lk)
-  SELECT ro.player_id, ro.team, CASE WHEN tm % 97 = 5 THEN NULL ELSE tm END tm_id, R[coalesce(s, 0)]R score, CASE WHEN tm % 97 = 5 THEN 'excluded' ELSE coalesce(me, 'none') END AS method, R[CASE WHEN tm % 97 = 5 THEN NULL ELSE v END]R market_value FROM ro LEFT JOIN va USING (player_id)"""
+  SELECT ro.player_id, ro.team, CASE WHEN tm % 97 = 5 THEN NULL ELSE tm END tm_id, R[coalesce(s, 0)]R score, CASE WHEN tm % 97 = 5 THEN 'excluded' ELSE coalesce(me, 'none') END AS method, R[CASE WHEN tm % 97 = 5 THEN NULL ELSE v END]R market_value FROM ro LEFT JOIN va USING (player_id)""".replace("WORDS", ", ".join(map(repr, S.CLUB_WORDS)))
 
 
 def market_of(c, n, o):
