@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from touchline.llm import conversation_repair as repair
-from touchline.llm import html_extraction, queries
+from touchline.llm import html_extraction, jaccard_join, language_id, queries, token_counts, token_files
 from touchline.llm import token_alignment as alignment
 from touchline.llm import topk_search as search
 from touchline.llm.common import tokenizer_path
@@ -353,3 +353,17 @@ def test_extraction_ignores_clashing_columns_and_takes_empty_tables(spark):
     got = html_extraction.extract(given).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "", 0), (1, PROSE, len(PROSE))]
     assert html_extraction.extract(given.limit(0)).collect() == []
+
+
+# ---------------------------------------------------------------- ids of other types
+
+
+def test_ids_may_be_stored_as_smaller_numbers(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", 7), (2, text, "en", 7), (3, None, "en", 7), (4, "eins zwei drei vier", "de", 7)]
+    small, large = (spark.createDataFrame(rows, f"doc_id {kind}, text string, lang string, n_tokens long") for kind in ("int", "long"))
+    for run in (language_id.identify, token_counts.count_tokens, jaccard_join.join, token_files.round_trip):
+        got = run(small)
+        assert dict(got.dtypes)["doc_id"] == "bigint"
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, run(large).collect()), key=str)
+    assert token_counts.count_tokens(small.limit(0)).collect() == []

@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, a 64-bit number whatever whole number it is stored as, and text; no other column, whatever its name."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -11,8 +11,9 @@ Windows with fewer than `literals` plain words can't be told from chance by thei
 window, or fewer than `least` windows, is also searched by all its windows of raw tokens, so that its numbers and names
 must be equal. An item under `width` tokens is one window; an item of one word is thus found wherever that word stands.
 
-Null and empty texts and items: no row. Texts or items that repeat: rows with equal ids count as one. Extra
-columns are ignored. The windows of the items are broadcast only up to MOST rows; beyond, both sides are shuffled.
+Null and empty texts and items, and empty tables: no row. Texts or items that repeat: rows with equal ids count as one.
+Very long texts are searched whole, in all their windows. Every item that is leaked is a row, so that there are no ties.
+Extra columns are ignored, whatever their names. The windows of the items are broadcast only up to MOST rows; beyond, both sides are shuffled.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ as one set. Two sets link when 100 * intersection >= PERCENT * union.
 Null texts and texts without words have the empty set, and link with nothing. Fewer than SHINGLE words: the whole
 sequence is one shingle. Rows with one doc_id are one document: it links with all that one of its rows links with. A
 null doc_id is a document of its own, which links as any other. Extra columns are ignored. An empty table gives an
-empty result. component_id: the least doc_id reachable; null where only rows without a doc_id are.
+empty result. Very long texts are one set of all their shingles. component_id: the least doc_id reachable (no ties: a
+doc_id is one document); null where only rows without a doc_id are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, few_rows, frugal, kept, parts, passing, release
+from .common import batch_rows, few_rows, frugal, kept, parts, passing, release, texts_of
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -407,7 +408,7 @@ def numbered(counted: DataFrame) -> tuple[DataFrame, bool]:
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select("doc_id", "text")
+    docs = texts_of(docs)
     counted = kept(sets(docs, size, percent), "shingles")
     classes, odd = numbered(counted)
     one = counted.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))

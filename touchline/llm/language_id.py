@@ -5,8 +5,11 @@ it: each phrase is the longest prefix of the rest that occurs in the sample. The
 fewest phrases, normalised to bits per letter (phrases x log2 of the sample's length / length), wins.
 
 Null texts, empty texts and texts without letters: `und`, score 0. Ties: the first language by name. Repeated rows are
-predicted each on its own; extra columns of the input are ignored. No labelled row at all: every text is `und`. Alphabets
-may be of any size: the automata are sparse tables. Of more than `max_languages` labels the most frequent are learned.
+predicted each on its own; extra columns of the input are ignored, whatever their names. No labelled row at all: every text
+is `und`. An empty table gives no row. Very long texts are parsed whole. Alphabets may be of any size: the automata are
+sparse tables. Of more than `max_languages` labels the most frequent are learned. What is learned is bounded: of each
+language `per_language` rows, chosen by a hash, and of these as many in the order of doc_id as `max_chars` characters hold,
+of a long text its first share; all else sees whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_rows, frugal
+from .common import batch_rows, frugal, texts_of
 
 UND = "und"
 
@@ -231,7 +234,7 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())))], names=["doc_id", "lang_pred", "score", "bits"])
 
     batch_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(frugal(batches), "doc_id long, lang_pred string, score double, bits double")
+    return texts_of(docs).mapInArrow(frugal(batches), "doc_id long, lang_pred string, score double, bits double")
 
 
 def keep(docs: DataFrame, texts: dict[str, str]) -> DataFrame:

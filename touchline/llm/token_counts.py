@@ -5,7 +5,8 @@ both computed beforehand; a word is then read once, from left to right, and only
 The result is the greedy longest-match (word-piece) length of each pre-token.
 
 Null and empty texts: 0 words, 0 tokens. A byte that no piece covers counts as one token. Repeated rows count each on
-their own; extra columns of the input are ignored.
+their own; extra columns of the input are ignored, whatever their names. An empty table gives no row. Very long texts are
+read whole, word by word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from .common import batch_rows, frugal, tokenizer_path
+from .common import batch_rows, frugal, texts_of, tokenizer_path
 
 #: Entries of a worker's memo of words; it is emptied when full and never changes a result.
 MEMO = 600_000
@@ -127,4 +128,4 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     batch_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(frugal(batches), "doc_id long, n_words long, n_tokens long")
+    return texts_of(docs).mapInArrow(frugal(batches), "doc_id long, n_words long, n_tokens long")

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, frugal, parts, scratch, tokenizer_path
+from .common import batch_rows, frugal, parts, scratch, texts_of, tokenizer_path
 
 MAGIC, HEAD, TAIL = b"TLTK", "<4sHH16s", "<QQ4s"
 #: Words that a worker remembers; they are forgotten when there are more, which never changes a result.
@@ -188,7 +188,7 @@ def write(docs: DataFrame, out_uri: str, path: str | None = None, end_id: int =
     import zstandard
 
     spark, path = docs.sparkSession, path or tokenizer_path("word_bpe_49k.json")
-    docs = docs.select("doc_id", "text")
+    docs = texts_of(docs)
     if not files:
         files = max(parts(spark), -(-(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 128)).first()[0] or 0) // FILE_BYTES))
     chosen = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect() if r.doc_id is not None]

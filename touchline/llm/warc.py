@@ -9,7 +9,8 @@ name-based on page_id, url and payload, so a task that is run again makes the sa
 and html are one capture: each row gives the same record under the same id, and a file holds it once. Header names are
 read in any case and with or without blanks after the colon; folded lines are joined, repeated names listed. A
 WARC-Page-Id that is no number reads as null; a record without its length is an error. Files are read record by record.
-Extra columns are ignored. An empty table makes no records.
+Very long pages are one record each, whole. Extra columns are ignored, whatever their names. An empty table makes no
+records. There are no ties: equal records are equal in every field.
 """
 
 from __future__ import annotations
