@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Null and repeated doc_ids and repeated rows are allowed everywhere: each row is a document of its own. Extra columns of
-any name are kept. An empty table stays empty.
+any name are kept. An empty table stays empty. Very long texts go through every stage whole. Of linked rows with no least
+doc_id the first in the order of (doc_id, text, the other columns) stays.
 """
 
 from __future__ import annotations
