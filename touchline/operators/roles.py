@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.functions.scalar import num, safe_div, tracking_to_metric
+from touchline.functions.scalar import length, num, safe_div, tracking_to_metric
 from touchline.operators.order import quantiles
 from touchline.operators.threat import directions
 
@@ -24,8 +24,8 @@ def territory_style(passes: DataFrame, least: int = 1) -> DataFrame:
     """team, player_id, n_passes, where a player passes from and how."""
     x, dx = F.col("start_x"), F.col("end_x") - F.col("start_x")
     dy = F.col("end_y") - F.col("start_y")
-    d = F.sqrt(dx * dx + dy * dy)
-    out = passes.groupBy("team", F.col("passer").alias("player_id")).agg(
+    d = F.col("_d")
+    out = passes.withColumn("_d", length(dx, dy)).groupBy("team", F.col("passer").alias("player_id")).agg(
         F.count("*").alias("n_passes"), F.avg("start_x").alias("mean_x"), F.avg("start_y").alias("mean_y"), F.sqrt(F.var_pop("start_x") + F.var_pop("start_y")).alias("dispersion"),
         share(x < -17.5).alias("def_share"), share((x >= -17.5) & (x <= 17.5)).alias("mid_share"), share(x > 17.5).alias("att_share"),
         share(dx > 5).alias("fwd_share"), share(F.abs(dx) <= 5).alias("lat_share"), share(dx < -5).alias("back_share"), F.avg(d).alias("mean_pass_dist"), F.stddev_pop(d).alias("std_pass_dist"), share(d > 30).alias("long_share"),
