@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.functions.scalar import length, num, safe_div, tracking_to_metric
+from touchline.operators import pairs
 from touchline.operators.order import quantiles
 from touchline.operators.threat import directions
 
@@ -166,14 +167,12 @@ def z_scores(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def pair_distances(df: DataFrame, axes: list[str], key: str = "player_id") -> DataFrame:
-    """p, q, d of each pair p < q, for one population at a time: a league's players, some hundreds.
+    """p, q, d of each pair p < q.
 
-    Every player of the population needs every other's distance, so the pairs are the result; the right side is broadcast
-    for populations of up to 20,000 rows, and larger ones are refused.
+    Every player of the population needs every other's distance, so the pairs are the result: they are streamed, never
+    written, from the players (three numbers each) dealt out over the tasks and all players beside them.
     """
-    n = df.count()
-    if n > 20_000:
-        raise ValueError(f"a population of {n} rows; pairwise scarcity is for one league's players")
+    df = df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, key) if df.count() > 1_000 else df
     left, right = df.select(F.col(key).alias("p"), *[F.col(a).alias(f"p_{a}") for a in axes]), df.select(F.col(key).alias("q"), *[F.col(a).alias(f"q_{a}") for a in axes])
     total = num(0)
     for a in axes:
@@ -181,20 +180,28 @@ def pair_distances(df: DataFrame, axes: list[str], key: str = "player_id") -> Da
     return left.join(F.broadcast(right), F.col("p") < F.col("q")).select("p", "q", F.sqrt(total).alias("d"))
 
 
+def neighbours(df: DataFrame, axes: list[str], k: int, key: str = "player_id") -> DataFrame:
+    """p, q, d: the pairs p < q among which each player's k nearest are, found block by block."""
+    d = df.select(F.lit(0).alias("_all"), F.col(key).alias("p"), F.array(*axes).alias("at"))
+    kind = d.schema["p"].dataType.simpleString()
+    near = pairs.met(d, d.select("_all", F.col("p").alias("q"), F.col("at").alias("there")), "_all", "p", "q", pairs.nearest_points(k), f"p {kind}, q {kind}, d double")
+    return near.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "d").distinct()
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("q", "p", "d"))
 
 
 def scarcity_density(pairs: DataFrame, scale: float = 1.0) -> DataFrame:
     """player_id, scarcity_density: -log of the mean Gaussian kernel to all others; bandwidth: the median distance x scale."""
-    h = quantiles(pairs, "d", {"h": 0.5}).select((F.col("h") * scale).alias("h"))
+    h = quantiles(pairs, "d", {"h": 0.5}, keep=False).select((F.col("h") * scale).alias("h"))
     k = F.exp(num(-0.5) * (F.col("d") / F.col("h")) * (F.col("d") / F.col("h")))
     return both_ways(pairs).crossJoin(F.broadcast(h)).groupBy(F.col("p").alias("player_id")).agg((-F.ln(F.avg(k) + 1e-12)).alias("scarcity_density"))
 
 
 def scarcity_pool(df: DataFrame, pairs: DataFrame, key: str = "player_id") -> DataFrame:
     """player_id, scarcity_pool: -log((others as near as the lower quartile of distances and at least as good + 1) / N)."""
-    tau = quantiles(pairs, "d", {"tau": 0.25})
+    tau = quantiles(pairs, "d", {"tau": 0.25}, keep=False)
     q = df.select(F.col(key).alias("id"), "quality")
     near = both_ways(pairs).crossJoin(F.broadcast(tau)).where("d <= tau")
     near = near.join(q.withColumnRenamed("id", "p").withColumnRenamed("quality", "qp"), "p").join(q.withColumnRenamed("id", "q").withColumnRenamed("quality", "qq"), "q")
