@@ -98,11 +98,7 @@ def _(s):
   SELECT ix, iy, R[avg(ta.t)]R attackers, R[avg(td.t)]R defenders, count(*) FILTER (ta.t < td.t) led FROM ta JOIN td USING (pass_id, ix, iy) GROUP BY ALL""")
 def _(s):
     """Every player against every cell of the pitch, in all snapshots: how soon either side is there, and how often first."""
-    cell = F.explode(F.sequence(F.lit(0), F.lit(95))).alias("z")
-    d = M.sides(s).select("teammates", "opponents", cell).withColumn("ix", F.col("z") % 12).withColumn("iy", F.floor(F.col("z") / 12))
-    x, y = (F.col("ix") + 0.5) * 105.0 / 12.0 - 52.5, (F.col("iy") + 0.5) * 68.0 / 8.0 - 34.0
-    d = d.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), S.nearest_time(F.col("teammates"), x, y, S.ControlParams()).alias("a"), S.nearest_time(F.col("opponents"), x, y, S.ControlParams()).alias("d"))
-    return d.groupBy("ix", "iy").agg(F.avg("a").alias("attackers"), F.avg("d").alias("defenders"), F.count_if(F.col("a") < F.col("d")).alias("led"))
+    return M.player_grid(M.sides(s))
 
 
 CANDIDATES = """ang AS (SELECT s.pass_id, a.k, a.x, a.y, degrees(acos(least(1.0, greatest(-1.0, ((a.x - start_x) / sqrt((a.x - start_x) ** 2 + (a.y - start_y) ** 2)) * ((end_x - start_x) / sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2))
