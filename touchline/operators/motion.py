@@ -89,7 +89,7 @@ SLICE, PLAYERS = 1 << 16, 32
 
 def _squares(v: np.ndarray) -> np.ndarray:
     """By the C library's pow, as SQL engines compare lengths (see `scalar.length`)."""
-    return pc.power(pa.array(v.ravel()), 2.0).to_numpy().reshape(v.shape)
+    return np.float_power(v, 2.0)
 
 
 def soonest(players: pa.Array, gx: np.ndarray, gy: np.ndarray, params: ControlParams = ControlParams()) -> Iterator[tuple[np.ndarray, np.ndarray]]:

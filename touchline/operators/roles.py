@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 from touchline.functions.scalar import length, num, safe_div, tracking_to_metric
 from touchline.operators import pairs
-from touchline.operators.order import quantiles
 from touchline.operators.threat import directions
 
 TERRITORY = ["mean_x", "mean_y", "dispersion", "def_share", "mid_share", "att_share"]
@@ -188,26 +187,29 @@ def neighbours(df: DataFrame, axes: list[str], k: int, key: str = "player_id") -
     return near.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "d").distinct()
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.union(pairs.select("q", "p", "d"))
+def scarcity_densities(df: DataFrame, axes: list[str], scales: dict[str, float], key: str = "player_id") -> DataFrame:
+    """player_id, and for each of `scales` -log of the mean Gaussian kernel to all others; bandwidth: the median distance x scale.
+    Blocks of players meet in tasks, which give back sums a player."""
+    h = pairs.distance_quantile(df, key, axes, 0.5)
+    means = pairs.kernel_means(df, key, axes, [float("nan") if h is None else h * s for s in scales.values()])
+    return means.select(F.col("p").alias("player_id"), *((-F.ln(F.col(f"k{k}") + 1e-12)).alias(name) for k, name in enumerate(scales)))
 
 
-def scarcity_density(pairs: DataFrame, scale: float = 1.0) -> DataFrame:
-    """player_id, scarcity_density: -log of the mean Gaussian kernel to all others; bandwidth: the median distance x scale."""
-    h = quantiles(pairs, "d", {"h": 0.5}, keep=False).select((F.col("h") * scale).alias("h"))
-    k = F.exp(num(-0.5) * (F.col("d") / F.col("h")) * (F.col("d") / F.col("h")))
-    return both_ways(pairs).crossJoin(F.broadcast(h)).groupBy(F.col("p").alias("player_id")).agg((-F.ln(F.avg(k) + 1e-12)).alias("scarcity_density"))
+def scarcity_density(df: DataFrame, axes: list[str], key: str = "player_id") -> DataFrame:
+    return scarcity_densities(df, axes, {"scarcity_density": 1.0}, key)
 
 
-def scarcity_pool(df: DataFrame, pairs: DataFrame, key: str = "player_id") -> DataFrame:
+def pool_sizes(df: DataFrame, axes: list[str], key: str = "player_id") -> DataFrame:
+    """p, k: how many others are as near as the lower quartile of distances and at least as good; without those that have none."""
+    tau = pairs.distance_quantile(df, key, axes, 0.25)
+    return pairs.better_within(df, key, axes, "quality", float("nan") if tau is None else tau)
+
+
+def scarcity_pool(df: DataFrame, axes: list[str], key: str = "player_id") -> DataFrame:
     """player_id, scarcity_pool: -log((others as near as the lower quartile of distances and at least as good + 1) / N)."""
-    tau = quantiles(pairs, "d", {"tau": 0.25}, keep=False)
-    q = df.select(F.col(key).alias("id"), "quality")
-    near = both_ways(pairs).crossJoin(F.broadcast(tau)).where("d <= tau")
-    near = near.join(q.withColumnRenamed("id", "p").withColumnRenamed("quality", "qp"), "p").join(q.withColumnRenamed("id", "q").withColumnRenamed("quality", "qq"), "q")
-    good = near.where("qq >= qp").groupBy(F.col("p").alias("id")).agg(F.count("*").alias("k"))
+    q = df.select(F.col(key).alias("p"), "quality")
     n = df.agg(F.count("*").alias("n"))
-    return q.join(good, "id", "left").crossJoin(F.broadcast(n)).select(F.col("id").alias(key), F.when(F.col("quality").isNotNull(), -F.ln((F.coalesce("k", F.lit(0)) + 1) / F.col("n"))).alias("scarcity_pool"))
+    return q.join(pool_sizes(df, axes, key), "p", "left").crossJoin(F.broadcast(n)).select(F.col("p").alias(key), F.when(F.col("quality").isNotNull(), -F.ln((F.coalesce("k", F.lit(0)) + 1) / F.col("n"))).alias("scarcity_pool"))
 
 
 def average_rank(c: str, by: list[str]):

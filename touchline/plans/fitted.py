@@ -93,7 +93,7 @@ def _(p):
     """Scarcity of one league's players in the space of their roles' main components."""
     d, k = M.principal_axes(R.z_scores(R.territory_style(p, 20), ["team"], R.TERRITORY + R.STYLE), R.TERRITORY + R.STYLE)
     d = d.withColumn("player_id", F.col("team") * 1000 + F.col("player_id"))
-    return R.scarcity_density(R.pair_distances(d, [f"pc{i + 1}" for i in range(k)])).orderBy(F.desc("scarcity_density"), "player_id")
+    return R.scarcity_density(d, [f"pc{i + 1}" for i in range(k)]).orderBy(F.desc("scarcity_density"), "player_id")
 
 
 STANDARD = lambda c: f"CASE WHEN coalesce(stddev_samp({c}) OVER w, 0) = 0 THEN 0 ELSE ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END"
@@ -111,8 +111,7 @@ BOTH = f"""{POOL}, h AS (SELECT quantile_cont(d, 0.5) h FROM pr), den AS (SELECT
 
 
 def boarded(r):
-    pairs = R.pair_distances(r, AX)
-    return R.scarcity_density(pairs).join(R.scarcity_pool(r, pairs), "player_id").join(r.select("player_id", "team"), "player_id").select("player_id", "team", F.col("scarcity_density").alias("density"), F.col("scarcity_pool").alias("pool"))
+    return R.scarcity_density(r, AX).join(R.scarcity_pool(r, AX), "player_id").join(r.select("player_id", "team"), "player_id").select("player_id", "team", F.col("scarcity_density").alias("density"), F.col("scarcity_pool").alias("pool"))
 
 
 @query("v05_squad_board", "syn_roles", f"WITH {BOTH} SELECT team, player_id, R[density]R density, R[pool]R pool, row_number() OVER (PARTITION BY team ORDER BY round(density, 9) DESC, player_id)::INT place FROM bo")
