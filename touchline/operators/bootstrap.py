@@ -11,10 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from touchline.functions.scalar import num
 from touchline.sources.scratch import kept
 
+#: Groups whose sums a task holds before it gives them on.
+MOST_GROUPS = 2_000
 #: Chances that a row is drawn 0, 0 to 1, 0 to 2, ... times.
 BELOW = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(8)])
 
@@ -104,14 +107,55 @@ def coefficient_intervals(df: DataFrame, features: list[str], label: str, key: l
 def mean_intervals(df: DataFrame, by: list[str], value: str, key: list[str], draws: int = 400, seed: int = 0) -> DataFrame:
     """by, n, mean, lo, hi: the mean of each group and the 2.5 and 97.5 % points of its resamples' means.
 
-    Rows are weighted where they are, and only sums a group and draw are shuffled. `key` tells rows apart; nulls of `value`
-    are left out.
+    Rows are weighted where they are, in one pass, and only sums a task, group and draw are shuffled. `key` tells rows apart;
+    nulls of `value` are left out.
     """
-    hashed = F.xxhash64("_row", "_draw", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / num(2.0**53)
-    drawn = sum((F.when(hashed >= num(b), 1).otherwise(0) for b in BELOW), F.lit(0))
-    rows = df.where(F.col(value).isNotNull())
-    each = rows.select(*by, F.col(value).alias("_v"), F.xxhash64(*key).alias("_row"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
-    each = each.select(*by, "_draw", "_v", drawn.alias("_w"))
-    means = each.groupBy(*by, "_draw").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    ends = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ends, by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.xxhash64(*key).alias("_row"), F.col(value).cast("double").alias("_v"))
+    each, kinds = np.arange(1, draws + 1), [rows.schema[c] for c in by]
+
+    def sums(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        groups: dict[tuple, np.ndarray] = {}
+
+        def told():
+            keys = [pa.array([g[k] for g in groups], t) for k, t in enumerate(types)]
+            flat = [pa.array([x for s in groups.values() for x in s[k]], pa.float64()) for k in range(2)]
+            ends = pa.array(np.arange(0, len(groups) * (draws + 1) + 1, draws + 1), pa.int32())
+            out = pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(ends, f) for f in flat)], names=[*by, "_s", "_w"])
+            groups.clear()
+            return out
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            code = np.zeros(b.num_rows, dtype=np.int64)
+            for c in by:
+                known = b.column(c).dictionary_encode()
+                code = code * (len(known.dictionary) + 1) + pc.fill_null(known.indices, len(known.dictionary)).to_numpy(zero_copy_only=False)
+                code = np.unique(code, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            hashed, v = (b.column(c).to_numpy()[order] for c in ("_row", "_v"))
+            code, first = code[order], np.flatnonzero(np.diff(code[order], prepend=-1))
+            names = list(zip(*(b.column(c).take(pa.array(order[first])).to_pylist() for c in by)))
+            for at in range(0, len(v), 512):
+                w = np.concatenate((np.ones((len(v[at : at + 512]), 1)), weights(hashed[at : at + 512], each, seed)), axis=1)
+                here = code[at : at + 512]
+                starts = np.flatnonzero(np.diff(here, prepend=-1))
+                n = np.add.reduceat(w, starts)
+                w *= v[at : at + 512, None]
+                for g, s, m in zip(here[starts], np.add.reduceat(w, starts), n):
+                    if names[g] in groups:
+                        groups[names[g]] += (s, m)
+                    else:
+                        groups[names[g]] = np.array((s, m))
+            if len(groups) > MOST_GROUPS:
+                yield told()
+        if groups:
+            yield told()
+
+    listed = StructType([*kinds, StructField("_s", ArrayType(DoubleType())), StructField("_w", ArrayType(DoubleType()))])
+    found = rows.mapInArrow(sums, listed).select(*by, F.posexplode(F.arrays_zip("_s", "_w")).alias("_draw", "_x"))
+    found = found.groupBy(*by, "_draw").agg(F.sum("_x._s").alias("_s"), F.sum("_x._w").alias("_w"))
+    mean, again = F.col("_s") / F.nullif("_w", num(0)), F.col("_draw") > 0  # draw 0: the rows as they are
+    return found.groupBy(*by).agg(F.max(F.when(~again, F.col("_w"))).cast("long").alias("n"), F.max(F.when(~again, mean)).alias("mean"), F.percentile(F.when(again, mean), F.lit(0.025)).alias("lo"), F.percentile(F.when(again, mean), F.lit(0.975)).alias("hi"))
