@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import scalar as S
 from touchline.operators import pairs
 from touchline.operators import roles as R
 
@@ -58,3 +59,36 @@ def test_no_pair_leaves_its_task(spark):
     df = spark.range(9000).select(F.col("id").cast("int").alias("player_id"), (F.col("id") % 997).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"), F.lit(1.0).alias("quality"))
     plan = R.scarcity_density(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_pairs_meet_range_by_range(spark, monkeypatch):
+    """No side is sent to all tasks, and every pair comes once, whatever ranges the ids fall to."""
+    monkeypatch.setattr(pairs, "RANGE", 10)
+    monkeypatch.setattr(pairs, "LOOKED_AT", 3)
+    rows, df = population(spark)
+    rows, df = rows + [(91, 0.0, 0.0, 1.0)], df.union(spark.createDataFrame([(91, 0.0, 0.0, 1.0)], df.schema))
+    d = R.pair_distances(df, ["a", "b"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    people = [r for r in rows if r[0] is not None]
+    want = sorted((p[0], q[0], None if p[1] is None or q[1] is None else math.sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)) for p in people for q in people if p[0] < q[0])
+    got = sorted((r.p, r.q, r.d) for r in d.collect())
+    key = lambda x: (x[0], x[1], x[2] is None, x[2] or 0.0)
+    assert [x[:2] for x in sorted(got, key=key)] == [x[:2] for x in sorted(want, key=key)]
+    assert [x[2] for x in sorted(got, key=key)] == pytest.approx([x[2] for x in sorted(want, key=key)], abs=1e-12)
+    words = df.select(F.format_string("n%03d", "player_id").alias("name"), "a", "b").where("player_id < 40")
+    assert R.pair_distances(words, ["a", "b"], "name").where("p < q").count() == 40 * 39 // 2
+    assert R.pair_distances(df.where("player_id < 0"), ["a", "b"]).collect() == []
+
+
+def test_lengths_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    rng = random.Random(7)
+    v = [0.0, 1.0000005, 0.0000005, 2.5e-7, 0.49999999999999994e-6, 1e9 + 0.1234565, 2.0**33 + 0.25, 1e300, float("inf"), float("nan"), None]
+    v += [rng.randrange(10**9) / 1e7 for _ in range(2000)] + [math.sqrt(rng.randrange(10**6)) for _ in range(2000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "k int, d double")
+    d = df.select("k", S.r6_length(F.col("d")).alias("d"))
+    got = {r.k: r.d for r in d.collect()}
+    want = dict(duckdb.sql("SELECT k, round(d, 6) + 0.0 FROM (SELECT unnest($1) k, unnest($2::DOUBLE[]) d)", params=[list(range(len(v))), v]).fetchall())
+    assert {k: str(x) for k, x in got.items()} == {k: str(x) for k, x in want.items()}

@@ -168,15 +168,15 @@ def z_scores(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 def pair_distances(df: DataFrame, axes: list[str], key: str = "player_id") -> DataFrame:
     """p, q, d of each pair p < q.
 
-    Every player of the population needs every other's distance, so the pairs are the result: they are streamed, never
-    written, from the players (three numbers each) dealt out over the tasks and all players beside them.
+    Every player of the population needs every other's distance, so the pairs are the result: they are streamed where two
+    ranges of players meet, so that a task keeps one range at a time and no player is sent to all tasks at once.
     """
-    df = df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, key) if df.count() > 1_000 else df
-    left, right = df.select(F.col(key).alias("p"), *[F.col(a).alias(f"p_{a}") for a in axes]), df.select(F.col(key).alias("q"), *[F.col(a).alias(f"q_{a}") for a in axes])
+    sides = (d.select("_g", "_h", F.col(key).alias(n), *[F.col(a).alias(f"{n}_{a}") for a in axes]) for n, d in zip("pq", pairs.in_ranges(df, key, axes)))
+    left, right = sides
     total = num(0)
     for a in axes:
         total = total + (F.col(f"p_{a}") - F.col(f"q_{a}")) * (F.col(f"p_{a}") - F.col(f"q_{a}"))
-    return left.join(F.broadcast(right), F.col("p") < F.col("q")).select("p", "q", F.sqrt(total).alias("d"))
+    return left.join(right.hint("merge"), ["_g", "_h"]).where("p < q").select("p", "q", F.sqrt(total).alias("d"))
 
 
 def neighbours(df: DataFrame, axes: list[str], k: int, key: str = "player_id") -> DataFrame:
