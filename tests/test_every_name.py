@@ -16,7 +16,7 @@ def folder(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["c12_link_audit", "f02_token_jaccard", "t04_lowest_confidence"])
+@pytest.mark.parametrize("name", ["c12_link_audit", "f02_token_jaccard", "t04_lowest_confidence", "u03_token_sets"])
 def test_every_name_is_asked(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
